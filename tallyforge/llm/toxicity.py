@@ -169,3 +169,10 @@ def grade(docs: DataFrame, model: OrdinalModel, params: ToxicityParams = Toxicit
 
     names = [c for c in docs.columns if c not in ("severity", "grade", "p_toxic", "toxic")]
     return docs.select(*names, run(docs["text"]).alias("_g")).select(*names, "_g.*")
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The rows of ``docs`` that ``grade`` does not call toxic, all columns."""
+    names = docs.columns
+    graded = grade(docs.select(F.struct(*names).alias("_row"), "text"), model, params)
+    return graded.where("not toxic").select("_row.*").select(*names)
