@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.plans import accuracy_queries, event_queries, record_queries, report_queries, scalar_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for module in (scalar_queries, record_queries, event_queries, accuracy_queries, report_queries):
+    QUERIES |= module.Q.queries
+    ORACLES |= module.Q.oracles
