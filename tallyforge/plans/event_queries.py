@@ -40,7 +40,7 @@ Q.add(
     "evt_06_touched_days",
     ["stage_events"],
     lambda e: E.touched_days([(e, "stem", "who", "at")]).groupBy("stem", "who").agg(F.count("day").alias("days")),
-    "SELECT stem, who, count(DISTINCT substr("at", 1, 10)) AS days FROM stage_events GROUP BY stem, who",
+    "SELECT stem, who, count(DISTINCT substr(\"at\", 1, 10)) AS days FROM stage_events GROUP BY stem, who",
 )
 Q.add(
     "evt_07_owned",

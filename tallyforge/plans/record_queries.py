@@ -1,5 +1,155 @@
-"""Registered queries."""
+"""Queries of sources, projections, filters, reconciliation, registry and retention."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyforge.functions import dictionaries as D
+from tallyforge.functions import text as T
+from tallyforge.operators import reconcile as R
+from tallyforge.operators import standardise as S
 from tallyforge.plans.register import Register
+from tallyforge.sources import records as X
 
 Q = Register()
+_NO = "regexp_replace(upper({c}), '[^0-9A-Z]', '', 'g')"
+_FILES = ", f AS (SELECT stem, stem || '.txt' AS name, md5(model || channel) AS md5, chars AS size, processed_at AS archived_at FROM qc), o AS (SELECT stem, name, CASE WHEN size % 3 = 0 THEN 'x' ELSE md5 END AS md5, '2026-01-01' AS archived_at FROM f WHERE size % 2 = 0) "
+
+
+def _files(q):
+    return q.select("stem", F.concat("stem", F.lit(".txt")).alias("name"), F.md5(F.concat("model", "channel")).alias("md5"), F.col("chars").alias("size"), F.col("processed_at").alias("archived_at"))
+
+
+def _old(q):
+    return _files(q).where("size % 2 = 0").withColumn("md5", F.when(F.col("size") % 3 == 0, "x").otherwise(F.col("md5"))).withColumn("archived_at", F.lit("2026-01-01"))
+
+
+Q.add("src_03_manifest", ["qc"], lambda q: X.manifest(_files(q), _old(q)), _FILES + "SELECT f.stem, f.name, f.md5, f.size, CASE WHEN f.md5 = o.md5 THEN o.archived_at ELSE f.archived_at END AS archived_at FROM f LEFT JOIN o USING (stem, name)")
+Q.add("src_04_pending_inputs", ["qc"], lambda q: X.pending_inputs(_files(q), _old(q), q.where("num % 5 <> 0")).select("stem", "md5"), _FILES + "SELECT f.stem, f.md5 FROM f WHERE NOT EXISTS (SELECT 1 FROM o JOIN qc ON qc.stem = o.stem AND qc.num % 5 <> 0 WHERE o.stem = f.stem AND o.md5 = f.md5)")
+Q.add(
+    "src_05_reuse_cached",
+    ["qc"],
+    lambda q: X.reuse_cached(q.select("stem", "model", "channel"), q.select("stem", F.when(F.col("num") % 2 == 0, F.col("model")).alias("model"), "channel", F.col("chars").cast("string").alias("value")), "stem", ["model", "channel"], "value"),
+    "SELECT stem, model, channel, CASE WHEN num % 2 = 0 THEN CAST(chars AS STRING) END AS value FROM qc",
+)
+Q.add(
+    "src_07_normalise_lines",
+    ["tickets"],
+    lambda t: t.select("stem", X.normalise_lines(F.array(F.concat(F.lit(" "), "SHIPPER"), F.lit("  "), "GOODS")).alias("l")).select("stem", F.size("l").cast("long").alias("n"), X.full_text(F.col("l")).alias("text")),
+    "SELECT stem, CAST(2 AS BIGINT) AS n, trim(SHIPPER) || chr(10) || GOODS AS text FROM tickets",
+)
+Q.add(
+    "src_08_record_to_lines",
+    ["finals"],
+    lambda f: X.record_to_lines(f, "stem", {"SHIPPER": "SHIPPER", "GOODS": "CARGO"}).select("stem", F.col("i").cast("long").alias("i"), "text"),
+    "SELECT stem, CAST(1 AS BIGINT) AS i, 'SHIPPER: ' || trim(SHIPPER) AS text FROM finals WHERE trim(SHIPPER) <> '' UNION ALL SELECT stem, CASE WHEN trim(SHIPPER) <> '' THEN 2 ELSE 1 END, 'CARGO: ' || GOODS FROM finals",
+)
+Q.add(
+    "src_10_upsert",
+    ["tickets", "finals"],
+    lambda t, f: X.upsert(t.select("stem", "SHIPPER"), f.where("num % 2 = 0").select("stem", "SHIPPER"), "stem", ~T.blank(F.col("SHIPPER")))[0],
+    "SELECT t.stem, CASE WHEN t.num % 2 = 0 AND trim(f.SHIPPER) <> '' THEN f.SHIPPER ELSE t.SHIPPER END AS SHIPPER FROM tickets t JOIN finals f ON f.stem = t.stem",
+)
+Q.add("src_11_delete_keys", ["tickets", "ledger"], lambda t, l: X.delete_keys([t.select("stem", "num")], l, "stem")[0], "SELECT stem, num FROM tickets WHERE stem NOT IN (SELECT stem FROM ledger)")
+Q.add(
+    "src_12_export_view",
+    ["finals", "qc"],
+    lambda f, q: X.export_view(f.withColumn("stem", F.concat(F.lit("D"), F.col("num"))), q, ["MAWB_NO", "GOODS"]),
+    "SELECT 'D' || f.num AS stem, f.MAWB_NO, f.GOODS, CASE WHEN q.needs_review IS NULL THEN 'none' WHEN q.needs_review = 1 THEN 'yes' ELSE 'no' END AS needs_review, coalesce(q.error, '') AS error FROM finals f LEFT JOIN qc q ON q.stem = 'D' || f.num",
+)
+Q.add("src_13_report_tables", ["qc"], lambda q: X.to_long(q.agg(F.count(F.lit(1)).alias("records"), F.sum("flags").alias("flags"))), "SELECT 'records' AS name, CAST(count(*) AS DOUBLE) AS value FROM qc UNION ALL SELECT 'flags', CAST(sum(flags) AS DOUBLE) FROM qc")
+Q.add("src_14_run_report", ["qc"], X.run_report, "SELECT channel, count(*) AS records, count(*) FILTER (WHERE trim(error) <> '') AS failed, count(*) FILTER (WHERE needs_review = 1) AS review FROM qc GROUP BY channel")
+Q.add("prj_01_contract", ["finals"], lambda f: X.to_contract(f, ["stem", "SHIPPER", "TAX"]), "SELECT stem, SHIPPER, '' AS TAX FROM finals")
+Q.add("prj_02_submit_projection", ["finals"], lambda f: X.submit_projection(f.select("stem", "GOODS", "SHIPPER"), {"GOODS": "CARGO"}, ["SHIPPER"]), "SELECT stem, GOODS AS CARGO FROM finals")
+Q.add(
+    "prj_03_clean_partial",
+    ["finals"],
+    lambda f: f.select("stem", S.clean_partial(F.create_map(F.lit("MAWB_NO"), "MAWB_NO", F.lit("A_TEL"), "SHIPPER")).alias("m")).select("stem", F.col("m")["MAWB_NO"].alias("mawb"), F.col("m")["A_TEL"].alias("tel"), F.expr("map_contains_key(m, 'A_FAX')").alias("fax_given")),
+    "SELECT stem, substr(replace(MAWB_NO, '-', ''), 1, 3) || '-' || substr(replace(MAWB_NO, '-', ''), 4) AS mawb, CASE WHEN trim(SHIPPER) <> '' THEN regexp_replace(SHIPPER, '[^0-9A-Za-z]', '', 'g') END AS tel, false AS fax_given FROM finals",
+)
+_SPEC = "concat(CASE k % 3 WHEN 0 THEN 'SHIPPER' WHEN 1 THEN 'CONSIGNEE' ELSE 'AGENT' END, '_INFO_', CASE k % 2 WHEN 0 THEN 'POSTAL' ELSE 'ADDRESS' END)"
+Q.add("prj_04_actionable_cells", ["id_cells"], lambda d: X.actionable(d.select("k", F.expr(_SPEC).alias("field")), ["POSTAL", "STATE", "TEL"]), f"SELECT k, {_SPEC} AS field FROM id_cells WHERE k % 3 < 2 AND k % 2 = 0")
+Q.add("flt_01_day_window", ["qc"], lambda q: q.where(T.in_window(F.col("processed_at"), "2026-09-05", "2026-09-09")).select("stem"), "SELECT stem FROM qc WHERE substr(processed_at, 1, 10) BETWEEN '2026-09-05' AND '2026-09-09'")
+Q.add("flt_03_valid_keys", ["finals"], lambda f: f.select("stem", X.valid_key(F.col("HAWB_NO"), "number").alias("number_ok"), X.valid_key(F.concat("SHIPPER", F.when(F.col("num") % 4 == 0, "/x").otherwise("")), "path").alias("path_ok")), f"SELECT stem, regexp_matches({_NO.format(c='HAWB_NO')}, '^[0-9A-Z]{{6,20}}$') AS number_ok, num % 4 <> 0 AND trim(SHIPPER) <> '' AS path_ok FROM finals")
+_MODES = {"unsent": "action = ''", "done": "action <> ''", "flagged": "num % 3 = 0", "all": "true"}
+Q.add("flt_04_ledger_filter", ["ledger"], lambda l: l.select("stem", F.inline(F.array(*[F.struct(F.lit(k).alias("mode"), F.expr(v).alias("pass")) for k, v in _MODES.items()]))).where("pass").groupBy("mode").agg(F.count(F.lit(1)).alias("n")), " UNION ALL ".join(f"SELECT '{k}' AS mode, count(*) AS n FROM ledger WHERE {v} HAVING count(*) > 0" for k, v in _MODES.items()))
+Q.add("flt_06_retention_filter", ["finals"], lambda f: f.where(F.contains(T.alnum_upper(F.concat("MAWB_NO", "HAWB_NO")), F.lit("12"))).select("stem"), "SELECT stem FROM finals WHERE contains(upper(regexp_replace(MAWB_NO || HAWB_NO, '[^0-9A-Za-z]', '', 'g')), '12')")
+Q.add("flt_07_number_search", ["finals"], lambda f: f.where((T.norm_no(F.col("HAWB_NO")) == "H12") | F.contains(T.norm_no(F.col("MAWB_NO")), F.lit("00012"))).select("stem"), f"SELECT stem FROM finals WHERE {_NO.format(c='HAWB_NO')} = 'H12' OR contains({_NO.format(c='MAWB_NO')}, '00012')")
+Q.add(
+    "jn_01_ticket_state",
+    ["finals", "ledger", "masters"],
+    lambda f, l, m: f.join(l.select("stem", "reviewer", "submitted_at"), "stem", "left").join(m.select("cust", "sent"), "cust", "left").select("stem", "reviewer", F.col("sent").cast("string").alias("sent"), F.when(F.col("submitted_at").isNotNull(), "submitted").otherwise("parsed").alias("state")),
+    "SELECT f.stem, l.reviewer, CAST(m.sent AS STRING) AS sent, CASE WHEN l.submitted_at IS NOT NULL THEN 'submitted' ELSE 'parsed' END AS state FROM finals f LEFT JOIN ledger l ON l.stem = f.stem LEFT JOIN masters m ON m.cust = f.cust",
+)
+_IDX = f", i AS (SELECT {_NO.format(c='mawb')} || '|' || {_NO.format(c='hawb')} AS number_key, arg_max(stem, submitted_at) AS stem FROM ledger GROUP BY 1) "
+Q.add("jn_02_enrich_remote", ["remote", "ledger"], lambda r, l: R.enrich_remote(r, R.number_index(l, "submitted_at")).select("num", "state", "stem"), _IDX + f"SELECT num, state, coalesce(i.stem, '—') AS stem FROM remote LEFT JOIN i ON i.number_key = {_NO.format(c='MAWB')} || '|' || {_NO.format(c='HAWB')}")
+Q.add("jn_03_number_index", ["ledger"], lambda l: R.number_index(l, "submitted_at"), _IDX + "SELECT * FROM i")
+Q.add("jn_04_existence_checked_lookup", ["ledger", "qc"], lambda l, q: R.lookup_stem(R.number_index(l, "submitted_at").select("number_key"), R.number_index(l, "submitted_at"), l.where("num % 3 = 0")), _IDX + "SELECT number_key, CASE WHEN CAST(substr(stem, 2) AS BIGINT) % 3 = 0 THEN stem END AS stem FROM i")
+Q.add("jn_05_children_of_master", ["finals", "masters"], lambda f, m: R.children_of(f, f.where("num % 50 = 0").select(F.col("MAWB_NO").alias("mawb"))).select("stem"), f"SELECT stem FROM finals WHERE {_NO.format(c='MAWB_NO')} IN (SELECT {_NO.format(c='MAWB_NO')} FROM finals WHERE num % 50 = 0)")
+Q.add("jn_06_local_pending", ["finals", "ledger", "masters"], lambda f, l, m: f.join(l.select("stem"), "stem", "left_anti").join(m.where("sent = 1").select("cust"), "cust", "left_semi").select("stem", "MAWB_NO"), "SELECT stem, MAWB_NO FROM finals WHERE stem NOT IN (SELECT stem FROM ledger) AND cust IN (SELECT cust FROM masters WHERE sent = 1)")
+Q.add(
+    "jn_07_merge_remote_local",
+    ["remote", "finals"],
+    lambda r, f: R.merge_remote_local(r.withColumnRenamed("MAWB", "n"), f.select(F.col("MAWB_NO").alias("n"), "num"), "n"),
+    f", b AS (SELECT {_NO.format(c='MAWB')} AS no, 'remote' AS side, 1 AS rank, num FROM remote UNION ALL SELECT {_NO.format(c='MAWB_NO')}, 'local', 0, num FROM finals) SELECT no, arg_max(side, rank * 1000000000 + num) AS side, arg_max(num, rank * 1000000000 + num) AS num, count(*) AS copies FROM b GROUP BY no",
+)
+Q.add("jn_08_dictionary_join", ["id_cells"], lambda d: S.standardise(d.select("k", F.when(F.col("k") % 2 == 0, "Brazil.").otherwise("Atlantis").alias("c")), "c", D.countries(d.sparkSession), "iso2").select("k", "iso2"), "SELECT k, CASE WHEN k % 2 = 0 THEN 'BR' END AS iso2 FROM id_cells")
+Q.add("jn_09_rightmost_phrase", ["id_cells"], lambda d: S.rightmost_phrase(d.select("k", F.when(F.col("k") % 2 == 0, "Road 1, New York, United States").otherwise("Paris France 7").alias("t")), "k", "t", D.countries(d.sparkSession)).select("k", "phrase"), "SELECT k, CASE WHEN k % 2 = 0 THEN 'UNITED STATES' ELSE 'FRANCE' END AS phrase FROM id_cells")
+Q.add("jn_10_longest_prefix", ["id_cells"], lambda d: S.longest_prefix(d, "tel", D.dial_codes(d.sparkSession)).select("k", F.col("prefix_iso2").alias("dialled")), "SELECT k, CASE k % 4 WHEN 0 THEN 'CN' WHEN 1 THEN 'SE' WHEN 2 THEN 'FI' ELSE 'IE' END AS dialled FROM id_cells")
+Q.add("jn_12_backfill", ["finals", "masters"], lambda f, m: R.backfill_plan(f, m, "cust", {"SHIPPER": "goods", "GOODS": "goods"}), "SELECT stem, 'SHIPPER' AS field, m.goods AS \"to\" FROM finals f JOIN masters m USING (cust) WHERE trim(SHIPPER) = ''")
+Q.add("jn_13_whole_row_merge", ["remote", "finals"], lambda r, f: R.whole_row_merge(r.select("num", F.col("SHIPPER_NAME").alias("SHIPPER"), F.col("state").cast("string").alias("STATE")), f.select("num", "SHIPPER"), "num", ["SHIPPER", "STATE"]), "SELECT f.num, nullif(trim(f.SHIPPER), '') AS SHIPPER, CAST(r.state AS STRING) AS STATE FROM finals f LEFT JOIN remote r ON r.num = f.num")
+Q.add(
+    "jn_14_three_way_merge",
+    ["tickets", "finals"],
+    lambda t, f: t.select("stem", "num", F.create_map(F.lit("G"), "GOODS").alias("b")).join(f.select("stem", F.create_map(F.lit("G"), "GOODS").alias("x")), "stem").select("stem", F.inline(R.three_way_merge(F.col("b"), F.col("x"), F.when(F.col("num") % 2 == 0, F.create_map(F.lit("G"), F.lit("new"))).otherwise(F.col("b"))))).select("stem", "v", "conflict"),
+    "SELECT f.stem, CASE WHEN f.num % 13 = 5 THEN f.GOODS WHEN f.num % 2 = 0 THEN 'new' ELSE t.GOODS END AS v, f.num % 13 = 5 AND f.num % 2 = 0 AND f.GOODS <> t.GOODS AS conflict FROM finals f JOIN tickets t ON t.stem = f.stem",
+)
+Q.add("jn_15_authoritative_version", ["ledger", "tickets"], lambda l, t: R.authoritative(l, t.where("num % 2 = 0").select("stem", F.concat("CREATE_TIME", F.when(F.col("num") % 4 == 0, "T11:00:00").otherwise("T10:00:00")).alias("staged_at"))), ", s AS (SELECT stem, CREATE_TIME || CASE WHEN num % 4 = 0 THEN 'T11:00:00' ELSE 'T10:00:00' END AS staged_at FROM tickets WHERE num % 2 = 0) SELECT coalesce(l.stem, s.stem) AS stem, CASE WHEN s.staged_at IS NULL OR l.submitted_at >= s.staged_at THEN 'submitted' ELSE 'staged' END AS version FROM ledger l FULL JOIN s ON s.stem = l.stem")
+Q.add("jn_16_parent_gate", ["finals", "masters"], lambda f, m: R.parent_gate(f.select("stem", "cust"), m, "cust").select("stem", "parent"), "SELECT stem, CASE WHEN m.sent = 1 THEN 'sent' WHEN m.sent = 0 THEN 'not sent' ELSE 'unknown' END AS parent FROM finals f LEFT JOIN masters m ON m.cust = f.cust")
+_TTL = {"valid": 20, "invalid": 7}
+for _n in ("jn_18_fresh_status", "reg_02_registry_flags"):
+    _only = _n.startswith("reg")
+    Q.add(
+        _n,
+        ["qc"],
+        lambda q, only=_only: R.fresh_status(q.select("num"), q.select("num", F.when(F.col("num") % 2 == 0, "valid").otherwise("invalid").alias("status"), (F.col("num") % 30).alias("checked_at")), 30, _TTL).where(F.lit(not only) | (F.col("status") == "invalid")),
+        "SELECT * FROM (SELECT num, CASE WHEN num % 2 = 0 AND 30 - num % 30 < 20 THEN 'valid' WHEN num % 2 = 1 AND 30 - num % 30 < 7 THEN 'invalid' END AS status FROM qc)" + (" WHERE status = 'invalid'" if _only else ""),
+    )
+_GATE = lambda f, l, m: R.submission_gate(R.parent_gate(f.join(l.select("stem", F.lit(True).alias("s")), "stem", "left"), m, "cust").select("stem", F.coalesce("s", F.lit(False)).alias("already_sent"), F.col("MAWB_NO").alias("mawb"), F.when(F.col("num") % 19 > 0, F.col("HAWB_NO")).alias("hawb"), F.array(F.lit("a"), F.lit("b")).alias("flags"), F.when(F.col("num") % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("acked"), "parent"))
+Q.add("rec_01_submission_gate", ["finals", "ledger", "masters"], lambda f, l, m: _GATE(f, l, m).select("stem", "verdict"), "SELECT f.stem, CASE WHEN l.stem IS NOT NULL THEN 'sent' WHEN f.num % 19 = 0 THEN 'number' WHEN f.num % 3 = 0 THEN 'flags' WHEN m.sent = 0 THEN 'parent' ELSE 'pass' END AS verdict FROM finals f LEFT JOIN ledger l ON l.stem = f.stem LEFT JOIN masters m ON m.cust = f.cust")
+Q.add("rec_02_master_gate", ["masters"], lambda m: m.select("mawb", F.when(F.col("cust") % 4 == 0, "no signer").when(F.size(F.array_except(F.array(F.lit("x")), F.when(F.col("cust") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))) > 0, "flags").otherwise("pass").alias("verdict")), "SELECT mawb, CASE WHEN cust % 4 = 0 THEN 'no signer' WHEN cust % 2 = 1 THEN 'flags' ELSE 'pass' END AS verdict FROM masters")
+Q.add("rec_03_review_provenance", ["stage_events"], lambda e: e.groupBy("stem").agg((~F.bool_or(F.col("role") == "inputter")).alias("no_inputter_review"), (F.max_by("role", "seq") == "inputter").alias("inputter_self_submit")), "SELECT stem, NOT bool_or(role = 'inputter') AS no_inputter_review, arg_max(role, seq) = 'inputter' AS inputter_self_submit FROM stage_events GROUP BY stem")
+Q.add("rec_04_fingerprints", ["finals"], lambda f: f.select("stem", R.fingerprint({"g": F.col("GOODS"), "a": F.col("MAWB_NO")}).alias("sha"), F.md5("GOODS").alias("md5"), F.sha1("MAWB_NO").alias("sha1")), """SELECT stem, sha256('{"a":"' || MAWB_NO || '","g":"' || GOODS || '"}') AS sha, md5(GOODS) AS md5, sha1(MAWB_NO) AS sha1 FROM finals""")
+Q.add("rec_06_status_gate", ["remote", "finals"], lambda r, f: f.join(r.select("num", "state"), "num", "left").select("stem", R.status_gate(F.col("state")).alias("gate")), "SELECT f.stem, CASE WHEN r.state IS NULL OR r.state = 0 THEN 'write' ELSE 'locked' END AS gate FROM finals f LEFT JOIN remote r ON r.num = f.num")
+Q.add("rec_07_preread_guard", ["ledger", "remote"], lambda l, r: R.preread_guard(l.select("stem", "num"), r, "num").select("stem", "guard"), "SELECT stem, CASE WHEN num IN (SELECT num FROM remote) THEN 'ok' ELSE 'error' END AS guard FROM ledger")
+Q.add(
+    "rec_08_self_echo",
+    ["finals"],
+    lambda f: R.exclude_self_echo(f.select("stem", F.lit("GOODS").alias("label"), F.concat("GOODS", F.lit("-")).alias("value")), f.where("num % 3 > 0").select("stem", F.when(F.col("num") % 3 == 1, "GOODS").otherwise("OTHER").alias("label")), f.select("stem", F.lit("GOODS").alias("label"), F.col("GOODS").alias("value"))).select("stem", "verdict"),
+    "SELECT stem, CASE num % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'kept' ELSE 'echo' END AS verdict FROM finals",
+)
+Q.add("rec_09_missed_columns", ["finals"], lambda f: R.missed_columns(f.select("stem", F.lit("SHIPPER").alias("field"), F.col("SHIPPER").alias("value")), f.select("stem", F.lit(1).alias("i"), F.concat(F.lit("SHIPPER: "), "GOODS").alias("text"))), "SELECT stem, 'SHIPPER' AS field, GOODS AS seen FROM finals WHERE trim(SHIPPER) = ''")
+Q.add("rec_10_backfill_flags", ["finals", "masters"], lambda f, m: R.backfill_flags(R.backfill_plan(f, m, "cust", {"SHIPPER": "goods"}), f.select("stem", F.lit("SHIPPER").alias("field"), F.when(F.col("num") % 2 == 0, "by hand").otherwise("").alias("value"))), "SELECT stem, 'SHIPPER' AS field, m.goods AS \"to\" FROM finals f JOIN masters m USING (cust) WHERE trim(SHIPPER) = '' AND f.num % 2 = 1")
+Q.add("reg_01_registry_numbers", ["id_cells"], lambda d: R.registry_numbers(d, "k", "cell"), "SELECT k, CASE k % 8 WHEN 2 THEN cell ELSE regexp_extract(cell, 'IT[0-9]+') END AS num FROM id_cells WHERE k % 8 IN (2, 3)")
+Q.add("reg_03_page_verdict", ["finals"], lambda f: f.select("stem", R.page_verdict(F.concat(F.lit("<p>This number is "), F.when(F.col("num") % 3 == 0, "not valid.").when(F.col("num") % 3 == 1, "Valid.").otherwise("unknown"), F.lit("</p>"))).alias("verdict")), "SELECT stem, CASE num % 3 WHEN 0 THEN 'invalid' WHEN 1 THEN 'valid' ELSE 'unreachable' END AS verdict FROM finals")
+_TOUCH = "CASE WHEN num % 9 = 0 THEN 'soon' ELSE processed_at END"
+_NOW = "2026-10-20"
+
+
+def _cands(q):
+    return R.retention_candidates(q.withColumn("touched", R.last_touched(F.expr(_TOUCH), F.lit("?"))), "touched", _NOW, 30)
+
+
+_AGED = f", c AS (SELECT *, CASE WHEN num % 9 > 0 THEN date_diff('day', CAST(substr(processed_at, 1, 10) AS DATE), DATE '{_NOW}') END AS idle FROM qc), d AS (SELECT *, coalesce(idle >= 30, false) AS aged FROM c) "
+Q.add("ret_01_last_touched", ["qc"], lambda q: q.select("stem", F.date_format(R.last_touched(F.expr(_TOUCH), F.lit("?")), "yyyy-MM-dd").alias("day")), "SELECT stem, CASE WHEN num % 9 > 0 THEN substr(processed_at, 1, 10) END AS day FROM qc")
+for _n in ("ret_02_retention_candidates", "srt_03_oldest_first"):
+    Q.add(_n, ["qc"], lambda q: _cands(q).select("stem", "aged", F.col("due_in").cast("long").alias("due_in")).orderBy("stem"), _AGED + "SELECT stem, aged, CAST(CASE WHEN idle IS NULL THEN 0 ELSE greatest(0, 30 - idle) END AS BIGINT) AS due_in FROM d")
+Q.add("ret_03_parent_protection", ["masters", "ledger", "tickets"], lambda m, l, t: R.protect_parents(m, t.join(l.select("stem"), "stem", "left_semi"), "cust").select("mawb"), "SELECT mawb FROM masters WHERE cust NOT IN (SELECT cust FROM tickets WHERE stem IN (SELECT stem FROM ledger))")
+Q.add("ret_04_refusals", ["qc"], lambda q: R.retention_refusals(q.select("stem"), _cands(q).where("num % 7 > 0"), q.where("num % 5 = 0"), "stem"), _AGED + "SELECT stem, CASE WHEN num % 7 = 0 THEN 'missing' WHEN num % 5 = 0 THEN 'has children' WHEN NOT aged THEN 'not aged' END AS reason FROM d")
+Q.add("ret_05_purge", ["qc"], lambda q: R.purge([q], _cands(q).where("aged OR num % 2 = 0"), "stem", 30)[0].select("stem", "early"), _AGED + "SELECT stem, coalesce(idle, 0) < 30 AS early FROM d WHERE aged OR num % 2 = 0")
+Q.add("ret_06_run_state", ["qc"], lambda q: q.agg(F.count(F.lit(1)).alias("checked"), F.count_if(T.blank(F.col("error"))).alias("removed"), F.count_if(~T.blank(F.col("error"))).alias("failed")), "SELECT count(*) AS checked, count(*) FILTER (WHERE trim(error) = '') AS removed, count(*) FILTER (WHERE trim(error) <> '') AS failed FROM qc")
+Q.add("set_01_all_keys", ["qc", "ledger", "stage_events"], lambda q, l, e: q.select("stem").union(l.select("stem")).union(e.select("stem")).distinct(), "SELECT stem FROM qc UNION SELECT stem FROM ledger UNION SELECT stem FROM stage_events")
+_FLAGS = lambda q: q.select("stem", F.transform(F.sequence(F.lit(1), F.col("flags") + 1), lambda i: F.concat(F.lit("f"), i)).alias("flags"), F.array(F.lit("f1"), F.lit("f3")).alias("acked"))
+Q.add("set_03_open_flags", ["qc"], lambda q: _FLAGS(q).select("stem", F.array_join(F.array_except("flags", "acked"), ",").alias("open")), "SELECT stem, array_to_string(list_filter(list_transform(range(1, flags + 2), lambda i: 'f' || i), lambda x: x NOT IN ('f1', 'f3')), ',') AS open FROM qc")
+Q.add("set_04_flag_union", ["qc"], lambda q: _FLAGS(q).select("stem", F.array_join(F.concat("acked", F.array_except("flags", "acked")), ",").alias("merged")), "SELECT stem, array_to_string(list_concat(['f1', 'f3'], list_filter(list_transform(range(1, flags + 2), lambda i: 'f' || i), lambda x: x NOT IN ('f1', 'f3'))), ',') AS merged FROM qc")
+Q.add("set_05_blank_tiers", ["finals"], lambda f: f.select("stem", R.blank_tiers(F.lit(None), F.create_map(F.lit("SHIPPER"), "SHIPPER", F.lit("TAX"), F.lit("")), F.array(F.lit("TAX"))).alias("t")).select("stem", F.array_join("t.acked", ",").alias("acked"), F.array_join("t.skipped", ",").alias("skipped")), "SELECT stem, 'TAX' AS acked, CASE WHEN trim(SHIPPER) = '' THEN 'SHIPPER' ELSE '' END AS skipped FROM finals")

@@ -147,8 +147,8 @@ Q.add(
 Q.add(
     "src_09_numeric_coercion",
     ["finals"],
-    _select("stem", T.coerce_num(F.concat("PIECES", F.lit(" KGM")), True).alias("whole"), T.coerce_num(F.concat(F.lit("1,"), F.col("PIECES"), F.lit(".5"))).alias("num"), T.coerce_num(F.concat("PIECES", F.lit(".5")), True).alias("no_int"), T.coerce_num(F.lit("abc")).alias("no_num")),
-    "SELECT stem, CAST(PIECES AS BIGINT) AS whole, CAST('1' || PIECES || '.5' AS DOUBLE) AS num, CAST(NULL AS BIGINT) AS no_int, CAST(NULL AS DOUBLE) AS no_num FROM finals",
+    _select("stem", T.coerce_num(F.concat("PIECES", F.lit(" KGM")), True).alias("whole"), T.coerce_num(F.concat(F.lit("1,"), F.col("PIECES"), F.lit(".5"))).alias("num"), T.coerce_num(F.concat("PIECES", F.lit(".5")), True).cast("string").alias("no_int"), T.coerce_num(F.lit("abc")).alias("no_num")),
+    "SELECT stem, CAST(PIECES AS BIGINT) AS whole, CAST('1' || PIECES || '.5' AS DOUBLE) AS num, CAST(NULL AS STRING) AS no_int, CAST(NULL AS DOUBLE) AS no_num FROM finals",
 )
 KINDS = "CASE field WHEN 'MAWB_NO' THEN 'no' WHEN 'HAWB_NO' THEN 'no' WHEN 'PIECES' THEN 'int' WHEN 'WEIGHT' THEN 'num' ELSE 'text' END"
 #: DuckDB's form of the value comparison, for the oracles
