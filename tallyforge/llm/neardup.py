@@ -213,19 +213,26 @@ def lead(sigs: np.ndarray, least: int) -> np.ndarray:
     return leader
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-    """Rows of equal (key, chunk) from sorted batches (key, chunk, node, sig)."""
-    now, nodes, sigs = None, [], []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list[str]]]:
+    """Rows of equal (key, chunk) from sorted batches (key, chunk, node, sig and perhaps text), groups of one left out."""
+    now, nodes, sigs, texts = None, [], [], []
+
+    def group() -> tuple:
+        return now, np.array(nodes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(nodes), -1), texts
+
     for batch in batches:
-        for key, chunk, node, sig in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        columns.append(batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * batch.num_rows)
+        for key, chunk, node, sig, text in zip(*columns, strict=True):
             if (key, chunk) != now:
                 if len(nodes) > 1:
-                    yield now, np.array(nodes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(nodes), -1)
-                now, nodes, sigs = (key, chunk), [], []
+                    yield group()
+                now, nodes, sigs, texts = (key, chunk), [], [], []
             nodes.append(node)
             sigs.append(sig)
+            texts.append(text)
     if len(nodes) > 1:
-        yield now, np.array(nodes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(nodes), -1)
+        yield group()
 
 
 def _led(rows: DataFrame, params: NearParams) -> DataFrame:
@@ -241,7 +248,7 @@ def _led(rows: DataFrame, params: NearParams) -> DataFrame:
                 x.clear()
             return out
 
-        for (key, _), group, sigs in _groups(batches):
+        for (key, _), group, sigs, _ in _groups(batches):
             found = lead(sigs, least)
             keys.extend([key] * len(group))
             nodes.extend(group.tolist())
@@ -292,15 +299,19 @@ def candidates(buckets: DataFrame, sigs: DataFrame, params: NearParams) -> DataF
         rows = settle(led.where("node = leader").select("key", "node").distinct().join(multi, "key"), "near-leaders")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
-    """``node, leader, like`` for pairs of nodes, from their whole texts. ``nodes``: ``node, doc_id, text_key``."""
+def node_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes in ``pairs``. ``nodes``: ``node, doc_id, text_key``."""
     used = pairs.select("node").union(pairs.select("leader")).distinct()
     wanted = settle(nodes.join(used, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "near-wanted")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_of().alias("text"))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_key"] == wanted["_key"])).select("node", "text").dropDuplicates(["node"])
-    texts = settle(texts, "near-texts")
+    return settle(texts, "near-texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
+    """``node, leader, like`` for pairs of nodes, from their whole texts."""
     rows = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
-    sent = docs.sparkSession.sparkContext.broadcast(idf)
+    sent = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, own = Words(), sent.value
@@ -316,6 +327,53 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray,
     return rows.select("node", "leader", "text", "other").mapInArrow(run, "node long, leader long, like double")
 
 
+def link_rest(rest: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
+    """``node, leader`` links among the documents (``key, node``) that looked like their bucket's leader but are not.
+
+    Inside a bucket all of them are compared in memory, on whole texts where the signatures look alike; only links that
+    join two groups come out. Buckets over ``chunk`` documents are dealt out as blocks of two chunks each.
+    """
+    sized = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    parts = F.when(F.col("n") <= params.chunk, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / params.chunk)).cast("long")
+    own = sized.select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node", "key"), parts).alias("own"))
+    blocks = own.select("key", "node", "own", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    blocks = blocks.withColumn("chunk", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
+    rows = blocks.select("key", "chunk", "node").join(sigs, "node").join(texts, "node").select("key", "chunk", "node", "sig", "text")
+    least = int(params.estimate * params.hashes)
+    sent = rest.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own_idf = Words(), sent.value
+        sets: dict[int, tuple] = {}
+        for _, nodes, sig, texts_ in _groups(batches):
+            if len(sets) > 5_000:
+                sets.clear()
+            parent = list(range(len(nodes)))
+
+            def root(x: int, parent: list[int] = parent) -> int:
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            def of(i: int, nodes: np.ndarray = nodes, texts_: list[str] = texts_) -> tuple:
+                k = int(nodes[i])
+                if k not in sets:
+                    sets[k] = weighted_shingles(words.hashes(texts_[i]), own_idf, params)
+                return sets[k]
+
+            found = []
+            for i in range(1, len(nodes)):
+                for j in np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= least).tolist():
+                    if root(i) != root(j) and weighted_jaccard(of(i), of(j)) >= params.similarity:
+                        parent[root(i)] = root(j)
+                        found.append((int(nodes[i]), int(nodes[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["node", "leader"])
+
+    spread = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
+    return spread.mapInArrow(run, "node long, leader long").distinct()
+
+
 def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """A row per row of ``docs``: ``doc_id, text_key, class_id, class_size, kept``.
 
@@ -334,23 +392,15 @@ def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     sigs = settle(keyed.select(F.col("uid").alias("node"), "sig", "bands"), "near-node-signatures")
     buckets = sigs.select("node", F.explode("bands").alias("key"))
     sigs = sigs.select("node", "sig")
-    links = None
-    checked = None
-    while True:
-        led = settle(candidates(buckets, sigs, params), "near-candidates")
-        pairs = led.select("node", "leader").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("node", "leader"), ["node", "leader"], "left_anti")
-        like = settle(verify(settle(pairs, "near-pairs"), nodes, docs, idf, params), "near-verified")
-        good = like.where(F.col("like") >= params.similarity).select("node", "leader")
-        links = good if links is None else links.unionByName(good)
-        checked = like if checked is None else checked.unionByName(like)
-        # what looked alike but is not, and has no other link in that bucket, is led anew among its kind
-        bad = led.join(checked.where(F.col("like") < params.similarity).select("node", "leader"), ["node", "leader"], "left_semi")
-        bad = bad.join(led.join(links, ["node", "leader"], "left_semi").select("key", "node"), ["key", "node"], "left_anti")
-        buckets = settle(bad.select("key", "node").distinct(), "near-again")
-        if buckets.groupBy("key").count().where("count > 1").isEmpty():
-            break
+    led = settle(candidates(buckets, sigs, params), "near-candidates")
+    pairs = settle(led.select("node", "leader").distinct(), "near-pairs")
+    texts = node_texts(pairs, nodes, docs)
+    like = settle(verify(pairs, texts, idf, params), "near-verified")
+    links = like.where(F.col("like") >= params.similarity).select("node", "leader")
+    # what looked alike but is not, and has no link in that bucket, is compared with its kind
+    near = led.join(links, ["node", "leader"], "left_semi").select("key", "node")
+    rest = settle(led.select("key", "node").distinct().join(near, ["key", "node"], "left_anti"), "near-rest")
+    links = links.unionByName(settle(link_rest(rest, sigs, texts, idf, params), "near-rest-links"))
     labels = components(links.select(F.col("node").alias("u"), F.col("leader").alias("v")))
     labelled = nodes.select("norm", "node").join(labels, "node", "left").select("norm", F.coalesce("label", "node").alias("label"))
     members = settle(rows.select("uid", "doc_id", "text_key", "norm").join(labelled, "norm").drop("norm"), "near-members")
