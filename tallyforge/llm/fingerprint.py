@@ -53,7 +53,7 @@ def vectors(texts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     pairs = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", F.lit(2), F.greatest(F.size("_w"), F.lit(1))).alias("b"))
     names = [f"e{k}" for k in range(EXACT)]
     rows = rows.select("_row", *keep, *names, F.inline_outer(pairs).alias("a", "b"))
-    h = F.when(F.col("a").isNotNull() & (F.col("a") != "\n"), F.xxhash64("a", "b"))
+    h = F.when(F.col("a").isNotNull() & (F.col("a") != "\n"), F.xxhash64("a", F.nullif(F.col("b"), F.lit("\n"))))
     rows = rows.select("_row", *keep, *names, h.alias("h"))
     # try_sum: a text of over 8 million words may not fit, and then its counters are 0
     lanes = [F.coalesce(F.try_sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(MASK))), F.lit(0)).alias(f"c{k}") for k in range(PACKED)]
