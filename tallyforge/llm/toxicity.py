@@ -34,12 +34,11 @@ class ToxicityParams:
 
     labelled_bound: int = 20_000
     vocabulary: int = 4_096
-    min_docs: int = 4
+    min_docs: int = 6
     #: least smoothed log odds of a feature between toxic and clean documents
-    min_log_odds: float = 2.0
+    min_log_odds: float = 3.0
     l2: float = 1e-3
     steps: int = 400
-    cut: float = 0.5
 
 
 @dataclass
@@ -48,6 +47,8 @@ class OrdinalModel:
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (1.0, 2.0, 3.0)
+    #: least P(grade >= 1) of a toxic document
+    cut: float = 0.5
 
     def grades(self, eta: float) -> list[float]:
         """P(grade >= k) for k = 1, 2, 3."""
@@ -113,7 +114,21 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     low, high = np.quantile(hits[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + (hits > low) + (hits > high), 0)
     weights, thresholds = fit_ordinal(doc, col, val, grade, len(names), params)
-    return OrdinalModel({x: float(w) for x, w in zip(names, weights, strict=True) if w}, tuple(map(float, thresholds)))
+    eta = np.bincount(doc, weights[col] * val, minlength=len(toxic))
+    cut = best_cut(1 / (1 + np.exp(thresholds[0] - eta)), toxic)
+    return OrdinalModel({x: float(w) for x, w in zip(names, weights, strict=True) if w}, tuple(map(float, thresholds)), cut)
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut with the largest sum of both rates on the fitted rows, in the middle of its gap; from 0.3 to 0.5,
+    since labels hold some noise and clean documents weigh more."""
+    order = np.argsort(p, kind="stable")
+    p, toxic = p[order], toxic[order]
+    gain = np.r_[0, np.cumsum(np.where(toxic, -1 / toxic.sum(), 1 / (~toxic).sum()))]
+    edges = np.r_[0.0, (p[1:] + p[:-1]) / 2, 1.0]
+    # between equal scores there is no cut
+    gain[1:-1][p[1:] == p[:-1]] = -np.inf
+    return float(np.clip(edges[int(gain.argmax())], 0.3, 0.5))
 
 
 def fit_ordinal(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, width: int, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +155,7 @@ def fit_ordinal(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.nda
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
-def grade(docs: DataFrame, model: OrdinalModel, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``docs`` with ``severity`` (0 to 3), ``grade``, ``p_toxic`` and ``toxic`` added; every row, whole texts.
 
     A null or empty text has no features: the model's base rate. Columns of these names are replaced.
@@ -164,15 +179,15 @@ def grade(docs: DataFrame, model: OrdinalModel, params: ToxicityParams = Toxicit
                 found = features_of(" ".join(w for w in words if w in frozenset(near)), known)
                 eta = sum(own.weights[f] * (1 + math.log(n)) for f, n in sorted(found.items()))
             p = own.grades(eta)
-            rows.append((sum(p), sum(x >= 0.5 for x in p), p[0], p[0] >= params.cut))
+            rows.append((sum(p), sum(x >= 0.5 for x in p), p[0], p[0] >= own.cut))
         return pd.DataFrame(rows, columns=["severity", "grade", "p_toxic", "toxic"])
 
     names = [c for c in docs.columns if c not in ("severity", "grade", "p_toxic", "toxic")]
     return docs.select(*names, run(docs["text"]).alias("_g")).select(*names, "_g.*")
 
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of ``docs`` that ``grade`` does not call toxic, all columns."""
     names = docs.columns
-    graded = grade(docs.select(F.struct(*names).alias("_row"), "text"), model, params)
+    graded = grade(docs.select(F.struct(*names).alias("_row"), "text"), model)
     return graded.where("not toxic").select("_row.*").select(*names)
