@@ -304,13 +304,15 @@ def node_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     used = pairs.select("node").union(pairs.select("leader")).distinct()
     wanted = settle(nodes.join(used, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "near-wanted")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_of().alias("text"))
+    # both sides grow with the input, so neither is broadcast however small it is now
+    wanted = wanted.hint("merge")
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_key"] == wanted["_key"])).select("node", "text").dropDuplicates(["node"])
     return settle(texts, "near-texts")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
     """``node, leader, like`` for pairs of nodes, from their whole texts."""
-    rows = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
+    rows = pairs.hint("merge").join(texts, "node").hint("merge").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
     sent = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
