@@ -36,10 +36,12 @@ class RepeatParams:
     window: int = 50
     gram: int = 25
     #: contexts one partition of the first meeting holds on average, and of the second
-    part_rows: int = 500_000
-    index_rows: int = 50_000
+    part_rows: int = 120_000
+    index_rows: int = 20_000
     #: contexts a task gathers before it hands them on
-    flush_rows: int = 1_500_000
+    flush_rows: int = 300_000
+    #: bytes of text that are taken at a time (a longer document is taken whole)
+    chunk_bytes: int = 400_000
     #: bits of the filter that says which minimizers have several contexts; its size is fixed
     filter_bits: int = 1 << 27
 
@@ -154,6 +156,16 @@ def _later(c: Columns, new: np.ndarray) -> np.ndarray:
     return c["doc"] > c["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
+def _firsts(c: Columns) -> np.ndarray:
+    """Places of the rows by key, without those whose context an earlier document has: their spans are known, and the
+    earlier document stands for them wherever they would match."""
+    order = np.lexsort((c["doc"], c["hash"], c["key"]))
+    key, h, doc = c["key"][order], c["hash"][order], c["doc"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+    return order[doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]] if len(order) else order
+
+
 def _spans(c: Columns) -> Columns:
     """Rows as spans, those of a document that touch or overlap merged."""
     c = _take(c, np.lexsort((c["start"], c["rid"], c["doc"])))
@@ -198,7 +210,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams, wanted
                 yield _span_rows(_spans(_take(c, later)), _NAMES)
             c = _take(c, ~later)
         else:
-            order = np.argsort(c["key"], kind="stable")
+            order = _firsts(c)
             ends = np.cumsum(c["length"].astype(np.int64))
             begins = ends - c["length"]
             lengths = c["length"].astype(np.int64)[order]
@@ -218,9 +230,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams, wanted
             )
 
     size = 0
-    for batch in batches:
-        raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-        ids, rids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    for ids, rids, raw in _chunks(batches, p):
         key, h, doc, start, length = contexts(raw, p)
         if wanted is not None:
             bit = key.astype(np.int64) * p.filter_bits >> 32
@@ -232,13 +242,28 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams, wanted
             texts.append(buf[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())] if len(doc) else buf[:0])
         gathered.append({"key": key, "hash": h, "doc": ids[doc] if len(doc) else doc, "rid": rids[doc] if len(doc) else doc, "start": start.astype(np.int32), "length": length.astype(np.uint8)})
         size += len(key)
-        if size >= p.flush_rows // (1 if wanted is None else 4):
+        if size >= p.flush_rows // (1 if wanted is None else 2):
             yield from flush()
             size = 0
     if gathered:
         yield from flush()
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], p: RepeatParams) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids, row ids and UTF-8 texts of some documents at a time."""
+    for batch in batches:
+        raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+        ids, rids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        first = held = 0
+        for i, t in enumerate(raw):
+            if held and held + len(t) > p.chunk_bytes:
+                yield ids[first:i], rids[first:i], raw[first:i]
+                first, held = i, 0
+            held += len(t)
+        if first < len(raw):
+            yield ids[first:], rids[first:], raw[first:]
+
+
 def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Columns, np.ndarray | None] | pa.RecordBatch]:
     """Each partition's contexts as one table; spans pass through. Batches are sorted by part."""
     now, parts, raw = None, [], []
@@ -343,7 +368,7 @@ def _match(batches: Iterator[pa.RecordBatch], p: RepeatParams) -> Iterator[pa.Re
         lengths = c["length"].astype(np.int64)
         ends = np.cumsum(lengths)
         # a piece of the sorted minimizers at a time, all contexts of a minimizer together
-        order = np.argsort(c["key"], kind="stable")
+        order = _firsts(c)
         keys = c["key"][order]
         at = 0
         while at < len(order):
