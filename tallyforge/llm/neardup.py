@@ -8,9 +8,9 @@ buckets; a bucket's documents are compared with its leaders by their short
 signatures, and the pairs that look alike are verified on the whole texts.
 
 Texts with the same words are one node from the start, so large groups of copies
-cost no pairs. In a bucket each document is paired with one leader, not with all
-others; a document that fails against its leaders leads a group itself. Links
-of all buckets together give the classes (connected components).
+cost no pairs. In a bucket each document is paired with one leader first. The links
+of all buckets give components; then all members of a bucket that lie in different
+components are compared by signature, and those that look alike on whole texts.
 """
 
 from __future__ import annotations
@@ -213,8 +213,8 @@ def lead(sigs: np.ndarray, least: int) -> np.ndarray:
     return leader
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list[str]]]:
-    """Rows of equal (key, chunk) from sorted batches (key, chunk, node, sig and perhaps text), groups of one left out."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list]]:
+    """Rows of equal (key, chunk) from sorted batches (key, chunk, node, sig and perhaps one more), groups of one left out."""
     now, nodes, sigs, texts = None, [], [], []
 
     def group() -> tuple:
@@ -299,10 +299,9 @@ def candidates(buckets: DataFrame, sigs: DataFrame, params: NearParams) -> DataF
         rows = settle(led.where("node = leader").select("key", "node").distinct().join(multi, "key"), "near-leaders")
 
 
-def node_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, text`` of the nodes in ``pairs``. ``nodes``: ``node, doc_id, text_key``."""
-    used = pairs.select("node").union(pairs.select("leader")).distinct()
-    wanted = settle(nodes.join(used, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "near-wanted")
+def node_texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes in ``used``. ``nodes``: ``node, doc_id, text_key``."""
+    wanted = settle(nodes.join(used.distinct(), "node").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "near-wanted")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_of().alias("text"))
     # both sides grow with the input, so neither is broadcast however small it is now
     wanted = wanted.hint("merge")
@@ -329,51 +328,109 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearPara
     return rows.select("node", "leader", "text", "other").mapInArrow(run, "node long, leader long, like double")
 
 
-def link_rest(rest: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
-    """``node, leader`` links among the documents (``key, node``) that looked like their bucket's leader but are not.
+def _blocks(members: DataFrame, params: NearParams) -> DataFrame:
+    """``key, chunk, node, label`` for bucket members (``key, node, label``) of buckets with two labels or more: any two
+    members of a bucket with different labels share a chunk at least once.
 
-    Inside a bucket all of them are compared in memory, on whole texts where the signatures look alike; only links that
-    join two groups come out. Buckets over ``chunk`` documents are dealt out as blocks of two chunks each.
+    Small buckets are one chunk. Larger ones are dealt out as blocks of two parts each; parts of the bucket's most
+    frequent label do not meet each other, so a large class costs little more than one reading.
     """
-    sized = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
-    parts = F.when(F.col("n") <= params.chunk, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / params.chunk)).cast("long")
-    own = sized.select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node", "key"), parts).alias("own"))
-    blocks = own.select("key", "node", "own", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    blocks = blocks.withColumn("chunk", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
-    rows = blocks.select("key", "chunk", "node").join(sigs, "node").join(texts, "node").select("key", "chunk", "node", "sig", "text")
+    half = max(1, params.chunk // 2)
+    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    sized = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    sized = sized.select("key", "n", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.c")) / half).alias("few"), F.ceil(F.col("top.c") / half).alias("many"))
+    rows = members.join(sized, "key").withColumn("parts", F.col("few") + F.col("many"))
+    draw, common, whole = F.xxhash64("node", "key"), F.col("label") == F.col("top"), F.col("n") <= params.chunk
+    own = F.when(whole, F.lit(0)).when(common, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("long")
+    last = F.when(whole, F.lit(0)).when(common, F.col("few") - 1).otherwise(F.col("parts") - 1).cast("long")
+    rows = rows.select("key", "node", "label", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    return rows.select("key", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("chunk"), "node", "label")
+
+
+def _across(sig: np.ndarray, labels: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows and the other rows of different labels that share ``least`` samples with them, each pair once."""
+    _, group, size = np.unique(labels, return_inverse=True, return_counts=True)
+    # the most frequent label first: its rows are never compared with each other
+    order = np.lexsort((group, -size[group]))
+    sig, labels = sig[order], labels[order]
+    ends = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1], True]).tolist()
+    for a, b in zip(ends[1:-1], ends[2:], strict=True):
+        for i in range(a, b):
+            like = np.flatnonzero((sig[:a] == sig[i]).sum(axis=1) >= least)
+            if len(like):
+                yield int(order[i]), order[like]
+
+
+def look_alikes(members: DataFrame, sigs: DataFrame, params: NearParams) -> DataFrame:
+    """``key, node`` of the bucket members (``key, node, label``) that look like one of another label; each such pair has
+    both its nodes in the least of the buckets where it meets."""
     least = int(params.estimate * params.hashes)
-    sent = rest.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            out = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "node", "other"])
+
+        for (key, _), nodes, sig, labels in _groups(batches):
+            for i, like in _across(sig, np.array(labels), least):
+                other = nodes[like]
+                found.append(np.stack([np.full(len(like), key), np.minimum(other, nodes[i]), np.maximum(other, nodes[i])]))
+                if len(found) > 5_000:
+                    yield flush()
+        yield flush()
+
+    rows = _blocks(members, params).join(sigs, "node").select("key", "chunk", "node", "sig", "label")
+    spread = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
+    pairs = spread.mapInArrow(run, "key long, node long, other long").groupBy("node", "other").agg(F.min("key").alias("key"))
+    return pairs.select("key", F.explode(F.array("node", "other")).alias("node")).distinct()
+
+
+def link_across(members: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
+    """``u, v``: links between labels of the bucket members (``key, node, label``).
+
+    Members of a block are compared on whole texts where their signatures look alike and their labels are not yet
+    linked in the block; only links that join two labels come out.
+    """
+    rows = _blocks(members, params).join(sigs, "node").hint("merge").join(texts, "node").select("key", "chunk", "node", "sig", "label", "text")
+    rows = rows.select("key", "chunk", "node", "sig", F.struct("label", "text").alias("own"))
+    least = int(params.estimate * params.hashes)
+    sent = members.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, own_idf = Words(), sent.value
         sets: dict[int, tuple] = {}
-        for _, nodes, sig, texts_ in _groups(batches):
+        for _, nodes, sig, own in _groups(batches):
             if len(sets) > 5_000:
                 sets.clear()
-            parent = list(range(len(nodes)))
+            labels = np.array([x["label"] for x in own])
+            parent: dict[int, int] = {}
 
-            def root(x: int, parent: list[int] = parent) -> int:
-                while parent[x] != x:
+            def root(x: int, parent: dict[int, int] = parent) -> int:
+                while parent.get(x, x) != x:
                     x = parent[x]
                 return x
 
-            def of(i: int, nodes: np.ndarray = nodes, texts_: list[str] = texts_) -> tuple:
+            def of(i: int, nodes: np.ndarray = nodes, own: list = own) -> tuple:
                 k = int(nodes[i])
                 if k not in sets:
-                    sets[k] = weighted_shingles(words.hashes(texts_[i]), own_idf, params)
+                    sets[k] = weighted_shingles(words.hashes(own[i]["text"]), own_idf, params)
                 return sets[k]
 
             found = []
-            for i in range(1, len(nodes)):
-                for j in np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= least).tolist():
-                    if root(i) != root(j) and weighted_jaccard(of(i), of(j)) >= params.similarity:
-                        parent[root(i)] = root(j)
-                        found.append((int(nodes[i]), int(nodes[j])))
+            for i, like in _across(sig, labels, least):
+                for j in like.tolist():
+                    u, v = root(int(labels[i])), root(int(labels[j]))
+                    if u != v and weighted_jaccard(of(i), of(j)) >= params.similarity:
+                        parent[max(u, v)] = min(u, v)
+                        found.append((max(u, v), min(u, v)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["node", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
     spread = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
-    return spread.mapInArrow(run, "node long, leader long").distinct()
+    return spread.mapInArrow(run, "u long, v long").distinct()
 
 
 def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -396,14 +453,21 @@ def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     sigs = sigs.select("node", "sig")
     led = settle(candidates(buckets, sigs, params), "near-candidates")
     pairs = settle(led.select("node", "leader").distinct(), "near-pairs")
-    texts = node_texts(pairs, nodes, docs)
+    # a bucket without a pair has no two documents that look alike
+    members = settle(buckets.join(led.select("key").distinct(), "key"), "near-members-of-buckets")
+    texts = node_texts(members.select("node"), nodes, docs)
     like = settle(verify(pairs, texts, idf, params), "near-verified")
     links = like.where(F.col("like") >= params.similarity).select("node", "leader")
-    # what looked alike but is not, and has no link in that bucket, is compared with its kind
-    near = led.join(links, ["node", "leader"], "left_semi").select("key", "node")
-    rest = settle(led.select("key", "node").distinct().join(near, ["key", "node"], "left_anti"), "near-rest")
-    links = links.unionByName(settle(link_rest(rest, sigs, texts, idf, params), "near-rest-links"))
-    labels = components(links.select(F.col("node").alias("u"), F.col("leader").alias("v")))
+    labels = settle(components(links.select(F.col("node").alias("u"), F.col("leader").alias("v"))), "near-labels")
+    # what looks alike in a bucket and is not in one class yet is compared too, leaders and linked documents as well
+    members = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    alike = settle(look_alikes(members, sigs, params), "near-look-alikes")
+    if not alike.isEmpty():
+        alike = alike.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        across = components(settle(link_across(alike, sigs, texts, idf, params), "near-links-across"))
+        across = across.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
+        own = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        labels = own.join(across, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
     labelled = nodes.select("norm", "node").join(labels, "node", "left").select("norm", F.coalesce("label", "node").alias("label"))
     members = settle(rows.select("uid", "doc_id", "text_key", "norm").join(labelled, "norm").drop("norm"), "near-members")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("uid"))

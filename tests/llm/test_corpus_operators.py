@@ -128,6 +128,23 @@ def test_near_duplicates_match_brute_force(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want)
 
 
+@pytest.mark.parametrize("chunk", [512, 64])
+def test_near_duplicates_of_drifting_families_match_brute_force(spark, chunk):
+    texts = []
+    for family in range(2):
+        base = prose(700 + family, 400).split()
+        for step in range(3):
+            # copies with endings of their own are like the text without one, not like each other
+            texts += [" ".join(base + prose(1000 * family + 100 * step + k, 40).split()) for k in range(50)]
+            texts.append(" ".join(base))
+            base = [*base]
+            base[100 * step : 100 * step + 20] = prose(900 + 10 * family + step, 20).split()
+    docs = documents(spark, texts)
+    params = neardup.NearParams(chunk=chunk)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, params).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts, params, neardup.fit_idf(docs, params))
+
+
 def test_near_duplicates_of_repeated_rows_and_empty_tables(spark):
     rows = [(1, "same text here and there", "en", "s", 0, "x")] * 3 + [(None, "SAME text, here and there", "en", "s", 0, "x")]
     docs = frame(spark, rows)
