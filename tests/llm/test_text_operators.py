@@ -123,6 +123,23 @@ def test_language_probabilities_sum_to_one(spark):
         assert np.exp(model.log_probs(codes))[:, 0].sum() <= 1.000001
 
 
+def test_language_model_over_the_driver_bound_keeps_every_gram(spark):
+    import random
+
+    rng = random.Random(6)
+    ends = {"aa": "ing ed th".split(), "bb": "ção nh ou".split(), "cc": "ющ ый 𐐀я".split()}
+    # cc is rare, so a bound over all languages together would drop its grams first
+    rows = [(i, " ".join("".join(rng.choice(ends[x]) for _ in range(3)) for _ in range(30)), x, "s", 0, "x") for i, x in enumerate(["aa"] * 90 + ["bb"] * 60 + ["cc"] * 12)]
+    docs = frame(spark, rows)
+    small, large = language.fit(docs), language.fit(docs, language.LanguageParams(max_grams=20))
+    assert small.langs == large.langs == ["aa", "bb", "cc"]
+    assert all(len(small.tables[n][0]) == len(large.tables[n][0]) for n in range(1, 5))
+    got, want = ({r["doc_id"]: r for r in language.identify(docs, m).collect()} for m in (large, small))
+    for i, row in want.items():
+        assert (got[i]["lang_pred"], got[i]["rejected"]) == (row["lang_pred"], row["rejected"])
+        assert abs(got[i]["cross_entropy"] - row["cross_entropy"]) < 1e-9 and abs(got[i]["score"] - row["score"]) < 1e-9
+
+
 def test_language_empty_table(spark):
     docs = documents(spark, awkward()).limit(0)
     model = language.fit(docs)
