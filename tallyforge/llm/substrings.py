@@ -12,6 +12,10 @@ one partition:
    the ends of runs. Matching statistics of each context, read along it, say
    where it matches an earlier document over the whole window.
 
+A minimizer with very many contexts (a common phrase in ever new surroundings) would fill one partition. A sample of the
+documents tells which these are; their windows are dealt out one by one instead, by hashes of the whole window, and
+the second step needs none of them.
+
 Spans go back to their documents, are merged, and their bytes are cut out.
 """
 
@@ -44,6 +48,11 @@ class RepeatParams:
     chunk_bytes: int = 400_000
     #: bits of the filter that says which minimizers have several contexts; its size is fixed
     filter_bits: int = 1 << 27
+    #: contexts from which a minimizer is dealt out by windows; one document in ``sample_every`` at most is counted for it
+    hot_rows: int = 20_000
+    sample_every: int = 64
+    #: documents up to which all are counted
+    sample_rows: int = 10_000
 
 
 # --- contexts of documents -------------------------------------------------
@@ -74,10 +83,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def contexts(texts: list[bytes], p: RepeatParams) -> tuple[np.ndarray, ...]:
+def contexts(texts: list[bytes], p: RepeatParams, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For each context: minimizer (32 bits), hash of the context, document, first byte and length in bytes.
 
-    A context is a run of windows with the same minimizer, so each window of a document lies in exactly one.
+    A context is a run of windows with the same minimizer, so each window of a document lies in exactly one. Contexts
+    whose minimizer is in ``hot`` are given as their windows, with a hash of the window's grams for a minimizer.
     """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -111,7 +121,17 @@ def contexts(texts: list[bytes], p: RepeatParams) -> tuple[np.ndarray, ...]:
     h = (sums[s1] - sums[s0]) * down[s0]
     h = (h ^ (h >> np.uint64(31))) * _ODD ^ ((s1 - s0) * 64 + (a - s0)).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
     begins = np.cumsum(lengths) - lengths
-    return (gram[a] >> np.uint64(32)).astype(np.uint32), h, doc[a], s0 - begins[doc[a]], s1 - s0
+    out = (gram[a] >> np.uint64(32)).astype(np.uint32), h, doc[a], s0 - begins[doc[a]], s1 - s0
+    if hot is None or not len(hot) or not (many := np.isin(out[0], hot)).any():
+        return out
+    size = (last - first + 1)[many]
+    w0 = np.repeat(s0[many] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    h = (sums[w0 + p.window] - sums[w0]) * down[w0]
+    h = (h ^ (h >> np.uint64(31))) * _ODD
+    key = (gram[w0] * np.uint64(0x9FB21C651E98DF25)) ^ gram[w0 + p.window - p.gram]
+    key = ((key ^ (key >> np.uint64(32))) * _ODD) >> np.uint64(32)
+    windows = key.astype(np.uint32), h, doc[w0], w0 - begins[doc[w0]], np.full(len(w0), p.window)
+    return tuple(np.concatenate([x[~many], y]) for x, y in zip(out, windows, strict=True))
 
 
 # --- tables of contexts, as compressed columns in a row per partition --------
@@ -193,8 +213,9 @@ def _span_rows(s: Columns, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((s["doc"] & 0x3FFFFFFF), pa.int32()) if x == "part" else pa.nulls(n, kinds[x]) if x in kinds else pa.array(s[x], pa.int64()) for x in names], names=names)
 
 
-def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Contexts of the documents (doc, rid, text), dealt out by minimizer; with ``wanted``, only those whose bit is set, with their bytes."""
+def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams, wanted: np.ndarray | None, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Contexts of the documents (doc, rid, text), dealt out by minimizer, ``hot`` ones as windows; with ``wanted``, only
+    those whose bit is set and that are not hot, with their bytes."""
     gathered: list[Columns] = []
     texts: list[np.ndarray] = []
 
@@ -231,10 +252,12 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams, wanted
 
     size = 0
     for ids, rids, raw in _chunks(batches, p):
-        key, h, doc, start, length = contexts(raw, p)
+        key, h, doc, start, length = contexts(raw, p, hot if wanted is None else None)
         if wanted is not None:
             bit = key.astype(np.int64) * p.filter_bits >> 32
             keep = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            if hot is not None and len(hot):
+                keep &= ~np.isin(key, hot)
             key, h, doc, start, length = (x[keep] for x in (key, h, doc, start, length))
             buf = np.frombuffer(b"".join(raw), np.uint8)
             sizes = np.array([len(t) for t in raw], dtype=np.int64)
@@ -395,17 +418,36 @@ def _filter(bits: DataFrame, p: RepeatParams) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def hot_minimizers(docs: DataFrame, params: RepeatParams) -> tuple[np.ndarray, int]:
+    """Minimizers with about ``hot_rows`` contexts or more, sorted, and the number of their contexts. They are judged by a
+    sample: which ones it finds decides where windows meet, never what is removed."""
+    every = min(params.sample_every, max(1, docs.count() // params.sample_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, raw in _chunks(batches, params):
+            keys, n = np.unique(contexts(raw, params)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc", "rid"), F.lit(every)) == 0)
+    counts = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * every >= params.hot_rows).toArrow()
+    return np.sort(found.column("key").to_numpy().astype(np.uint32)), int(found.column("n").to_numpy().sum()) * every
+
+
 def repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
     """Spans ``doc, rid, start, stop`` (bytes) to remove from documents (``doc long, rid long, text``); they may overlap."""
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, int(total * 2 / (params.window - params.gram + 2) / params.part_rows))
+    hot, n_hot = hot_minimizers(docs, params)
+    # a context has about half as many windows as it may have
+    parts = max(1, int((total * 2 / (params.window - params.gram + 2) + n_hot * (params.window - params.gram + 2) / 2) / params.part_rows))
+    often = spark.sparkContext.broadcast(hot)
     meet = lambda batches: _meet(batches, params)
-    sent = docs.mapInArrow(lambda batches: _send(batches, parts, params, None), _SENT)
+    sent = docs.mapInArrow(lambda batches: _send(batches, parts, params, None, often.value), _SENT)
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     first = settle(dealt.mapInArrow(meet, _FOUND), "repeat-contexts")
     wanted = spark.sparkContext.broadcast(_filter(first.where("bit is not null"), params))
-    sent = docs.mapInArrow(lambda batches: _send(batches, parts, params, wanted.value), _SENT)
+    sent = docs.mapInArrow(lambda batches: _send(batches, parts, params, wanted.value, often.value), _SENT)
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     second = dealt.mapInArrow(lambda batches: _match(batches, params), _FOUND)
     return first.where("bit is null").drop("bit").unionByName(second.drop("bit"))

@@ -203,6 +203,38 @@ def test_repeats_match_brute_force(spark, repeat_ids):
     assert substrings.cut(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_a_common_phrase_match_brute_force(spark):
+    phrase = "Reprinted under the terms of the open licence, all rights kept."
+    texts = [prose(i, 8) + " " + phrase[: 63 - i % 9] + " " + prose(i + 300, 8) for i in range(60)] + [phrase * 3, prose(3, 30), prose(3, 25)]
+    docs = documents(spark, texts)
+    params = substrings.RepeatParams(flush_rows=200, hot_rows=20)
+    rows = docs.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("rid"), "text")
+    assert len(substrings.hot_minimizers(rows, params)[0])
+    got = sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.cut(docs, params).collect()], key=str)
+    assert got == brute_cut(list(enumerate(texts)))
+
+
+def test_repeats_deal_a_common_phrase_out_evenly():
+    import pyarrow as pa
+
+    # under 50 bytes: no window lies inside the phrase, so each document has contexts of its own
+    texts = [prose(i, 4) + " licensed for personal and educational use " + prose(i + 5000, 4) for i in range(2000)]
+    params = substrings.RepeatParams(hot_rows=500)
+    keys, n = np.unique(substrings.contexts([t.encode() for t in texts], params)[0], return_counts=True)
+    hot = keys[n >= params.hot_rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([0] * 2000), pa.array(texts)], names=["doc", "rid", "text"])
+    loads = np.zeros(64)
+    for out in substrings._send(iter([batch]), 64, params, None, hot):
+        for part, size, data in zip(*(out.column(x).to_pylist() for x in ("part", "n", "data")), strict=True):
+            if data:
+                sent_keys = substrings._unpack(data, size)["key"]
+                assert not np.isin(sent_keys, hot).any()
+                loads[part] += np.count_nonzero(~np.isin(sent_keys, keys))  # windows of the hot contexts
+    assert len(hot) and loads.sum() > 20_000 and loads.max() < 1.5 * loads.mean()
+    sent = substrings._send(iter([batch]), 64, params, np.full(params.filter_bits // 8, 255, np.uint8), hot)
+    assert not any(np.isin(substrings._unpack(d, k)["key"], hot).any() for b in sent for d, k in zip(b.column("data").to_pylist(), b.column("n").to_pylist(), strict=True) if d)
+
+
 def test_run_index_is_shorter_than_its_text():
     text = prose(5, 30).encode()
     copies = 50
