@@ -92,6 +92,18 @@ def test_city_lookup_order_and_permutation(spark):
         assert [got[i] for i in range(7)] == ["MAO", "FRA", "BJS", "BJS", "", "", "NOWHERE"]
 
 
+def test_dictionaries_know_the_whole_reference(spark):
+    assert (len(D.COUNTRIES), len(D.CITIES), {k: len(v) for k, v in D.STATES.items()}) == (116, 201, {"US": 56, "CA": 13, "BR": 27, "AU": 8})
+    rows = [("c", k, v) for k, v in D.COUNTRIES.items()] + [("c", "People's Republic of China", "CN"), ("c", "Bangladesh", "BD"), ("c", "Republic of Korea", "KR")]
+    got = S.country_iso2(spark.createDataFrame(rows, "kind string, name string, want string"), "name", D.countries(spark)).collect()
+    assert len(got) == len(rows) and all(r["country_iso2"] in (r["want"], r["name"]) if len(r["name"]) == 2 else r["country_iso2"] == r["want"] for r in got)
+    rows = [(k, v) for k, v in D.CITIES.items()] + [("Hamburg", "HAM"), ("Xi'an", "XIY"), ("dubai", "DXB")]
+    assert [(r["name"], r["city_code"]) for r in S.city_code(spark.createDataFrame(rows, "name string, want string"), "name", D.cities(spark)).where("want <> city_code").collect()] == []
+    rows = [(cc, k, v) for cc, t in D.STATES.items() for k, v in t.items()] + [("US", "Pennsylvania", "PA")]
+    found = S.state_code(spark.createDataFrame(rows, "cc string, name string, want string"), "name", "cc", D.states(spark))
+    assert found.where("want <> state_code or state_code is null").isEmpty()
+
+
 def test_no_cross_join_on_dictionaries(spark):
     rows = spark.createDataFrame([(1, "+46 1"), (2, "+358 2")], "k int, tel string")
     plan = S.longest_prefix(rows, "tel", D.dial_codes(spark))._jdf.queryExecution().toString()
