@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -114,20 +117,27 @@ def suppress_repeats(events: DataFrame, ttl: int, key: str = "key", order: str =
     """REC-05: whether each write is accepted: unlike the last accepted one, or that one is ``ttl`` old. A suppressed
     repeat does not extend the time; a failed write clears the memory.
 
-    A fold over each key's events in order. A key's events are gathered in one row, so keys are expected to be bounded;
-    the streaming form keeps one state per key instead.
+    A fold over each key's events in order, row by row: a task keeps one state, that of the key it reads, so memory does
+    not depend on how many events a key has.
     """
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, fp, ok))).alias("_e"))
-    start = F.struct(F.lit(None).cast("string").alias("fp"), F.lit(None).cast("long").alias("at"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        repeat = F.coalesce((s["fp"] == e[fp]) & (e[order].cast("long") - s["at"] < ttl), F.lit(False))
-        new_fp = F.when(repeat, s["fp"]).when(e[ok], e[fp].cast("string"))
-        new_at = F.when(repeat, s["at"]).when(e[ok], e[order].cast("long"))
-        return F.struct(new_fp.alias("fp"), new_at.alias("at"), F.concat(s["out"], F.array(~repeat)).alias("out"))
-
-    folded = rows.select(key, "_e", F.aggregate("_e", start, step, lambda s: s["out"]).alias("_o"))
-    return folded.select(key, F.inline(F.arrays_zip(F.col("_e").alias("e"), F.col("_o").alias("accepted")))).select(key, f"e.{order}", f"e.{fp}", "accepted")
+    kinds = dict(events.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last_fp, last_at = (), None, None
+        for batch in batches:
+            accepted = []
+            for k, at, print_, good in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
+                if (k,) != now:
+                    now, last_fp, last_at = (k,), None, None
+                repeat = None not in (last_fp, last_at, at) and print_ == last_fp and at - last_at < ttl
+                if not repeat:
+                    last_fp, last_at = (print_, at) if good else (None, None)
+                accepted.append(not repeat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(accepted, pa.bool_())], names=[key, order, fp, "accepted"])
+
+    rows = events.select(key, order, fp, F.col(order).cast("long").alias("_at"), F.col(fp).cast("string").alias("_fp"), F.col(ok).alias("_ok"))
+    rows = rows.repartition(key).sortWithinPartitions(key, order, fp, "_ok")
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{fp}` {kinds[fp]}, accepted boolean")
 
 
 def board_current(events: DataFrame) -> DataFrame:

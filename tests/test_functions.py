@@ -84,6 +84,15 @@ def test_suppression_compares_with_the_last_accepted_write(spark):
     assert [r["accepted"] for r in out.orderBy("at").collect()] == [True, False, True, True, True]
 
 
+def test_suppression_does_not_gather_a_key(spark):
+    rows = spark.range(30_000).select(F.lit("hot").alias("key"), F.col("id").alias("at"), F.lit("x").alias("fp"), (F.col("id") % 1000 != 0).alias("ok"))
+    out = E.suppress_repeats(rows, 90)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    # a write is accepted when the last accepted one is 90 old; the one at 0 failed and left no memory
+    assert [r["at"] for r in out.where("accepted").orderBy("at").limit(4).collect()] == [0, 1, 91, 181]
+    assert out.count() == 30_000
+
+
 def test_city_lookup_order_and_permutation(spark):
     names = ["Manaus", "FRA", "Beijing Capital International Apt", "PEK-PEKING", "", None, "Nowhere"]
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, city string")
