@@ -63,9 +63,14 @@ def in_long_value(value: Column, lines_text: Column) -> Column:
     return F.when(F.size(tokens) == 0, F.lit(False)).otherwise(digits & (F.size(missing) <= 0.05 * F.size(words)) & ordered)
 
 
-def date_evidence(value: Column, candidates: Column) -> Column:
-    """EVD-06: the day among the candidates; null (not counted) if the text names no day."""
-    return F.when(F.size(candidates) > 0, F.array_contains(candidates, T.strip(value)))
+def date_evidence(value: Column, candidates: Column, text: Column | None = None) -> Column:
+    """EVD-06: the day among the candidates, or among those without a year (``--09-24``) if its year stands in the whole
+    text; null (not counted) if the text names no day."""
+    day = T.strip(value)
+    hit = F.array_contains(candidates, day)
+    if text is not None:
+        hit = hit | (F.array_contains(candidates, F.concat(F.lit("-"), F.substring(day, 5, 6))) & F.contains(T.text(text), F.substring(day, 1, 4)))
+    return F.when(F.size(candidates) > 0, hit)
 
 
 def missed_masters(text: Column, record: Column) -> Column:

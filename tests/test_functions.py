@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import dictionaries as D
 from tallyforge.functions import text as T
+from tallyforge.operators import evidence as V
 from tallyforge.operators import events as E
 from tallyforge.operators import standardise as S
 
@@ -84,6 +85,17 @@ def test_suppression_compares_with_the_last_accepted_write(spark):
     assert [r["accepted"] for r in out.orderBy("at").collect()] == [True, False, True, True, True]
 
 
+def test_dates_of_all_printed_forms(spark):
+    cases = [("24SEP", "--09-24"), ("20SEP26", "2026-09-20"), ("20SEP2026", "2026-09-20"), ("26/09/2026", "2026-09-26"), ("05/09/2026", "2026-05-09,2026-09-05"), ("9月16日", "--09-16"), ("19-9月-26日", "2026-09-19"), ("2026 09 20", "2026-09-20"), ("20 Sep. 2026", "2026-09-20"), ("", ""), (None, ""), ("2026-13-40", "")]
+    df = spark.createDataFrame(cases, "text string, want string")
+    got = df.select("text", "want", F.array_join(S.date_candidates(F.col("text")), ",").alias("got")).collect()
+    assert [(r["text"], r["got"]) for r in got] == [(r["text"], r["want"]) for r in got]
+    rows = [("2026-09-24", "24SEP FLIGHT, 2026", True), ("2025-09-24", "24SEP FLIGHT, 2026", False), ("2026-09-24", "24SEP", False), ("2026-09-26", "26/09/2026", True), ("2026-09-26", "none", None)]
+    df = spark.createDataFrame(rows, "day string, text string, want boolean")
+    got = df.select("want", V.date_evidence(F.col("day"), S.date_candidates(F.col("text")), F.col("text")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
 def test_suppression_does_not_gather_a_key(spark):
     rows = spark.range(30_000).select(F.lit("hot").alias("key"), F.col("id").alias("at"), F.lit("x").alias("fp"), (F.col("id") % 1000 != 0).alias("ok"))
     out = E.suppress_repeats(rows, 90)
