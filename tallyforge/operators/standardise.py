@@ -183,13 +183,41 @@ def clean_partial(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(T.blank(v), F.lit(None).cast("string")).otherwise(F.when(k.rlike("_(TEL|FAX)$"), T.phone_cell(v)).when(k.rlike("_(EORI|TAX|AEO)$"), T.id_join(v)).when(k == "MAWB_NO", T.hyphenate11(v)).otherwise(T.fold_ws(v))))
 
 
-def address_residual(df: DataFrame, key: str, address: str, known: list[str]) -> DataFrame:
-    """STD-03: what is left of an address once labelled ids, phone segments and the known parts (``known`` columns) are cut."""
+def strip_tail(address: Column, postal: Column, country: Column, state: Column, city: Column) -> Column:
+    """STD-03: an address without commas, without the postal code, country, state and city that stand at its end in any
+    order and number, a CITY label before the city and a two-letter country code at the very end."""
+    codes = sorted(set(D.COUNTRIES.values()))
+    start = F.split(T.fold_ws(address), " ")
+    plain = lambda x: F.regexp_replace(F.upper(x), "^[,-]+|[,-]+$", "")
+    coded = (F.size(start) > 1) & plain(F.element_at(start, -1)).isin(codes)
+    tokens = F.when(coded, F.slice(start, 1, F.size(start) - 1)).otherwise(start)
+
+    def step(left: Column, _: Column) -> Column:
+        out = F.when(F.lit(False), left)
+        for value in (postal, country, state, city):
+            words = F.split(F.upper(T.fold_ws(value)), " ")
+            n = F.size(left) - F.size(words)
+            fits = ~T.blank(value) & (n >= 0) & (F.transform(F.slice(left, F.greatest(n, F.lit(0)) + 1, F.size(words)), plain) == words)
+            label = (n > 0) & (F.upper(T.fold_ws(value)) == F.upper(T.fold_ws(city))) & F.coalesce(plain(F.get(left, n - 1)).isin("CITY", "CITT"), F.lit(False))
+            out = out.when(fits, F.slice(left, 1, F.greatest(n - F.when(label, 1).otherwise(0), F.lit(0))))
+        return out.otherwise(left)
+
+    left = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), tokens, step)
+    return F.regexp_replace(F.array_join(left, " "), "^[ ,]+|[ ,]+$", "")
+
+
+def address_residual(df: DataFrame, key: str, address: str, known: list[str], tail: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """STD-03: what is left of an address once labelled ids, phone segments and the known parts (``known`` columns) are cut.
+    ``tail`` names the columns of postal code, country, state and city, which are cut from the end of an address without
+    commas too."""
     segments = F.transform(F.split(F.regexp_replace(T.text(F.col(address)), T.LABELLED_ID, ""), r"[,\n]"), T.fold_ws)
     parts = F.array(*[T.bare(F.col(c)) for c in known])
     phone = r"(?i)^(TEL|FAX|PHONE|MOB)?[.:\s]*\+?[0-9][0-9 ()./-]{5,}$"
     left = F.filter(segments, lambda s: (s != "") & ~s.rlike(phone) & ~F.array_contains(parts, T.bare(s)))
-    return df.withColumn("street", F.array_join(left, ", "))
+    street = F.array_join(left, ", ")
+    if tail is not None:
+        street = F.when((F.size(left) == 1) & ~T.text(F.col(address)).rlike(r"[,\n]"), strip_tail(street, *(F.col(c) for c in tail))).otherwise(street)
+    return df.withColumn("street", street)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

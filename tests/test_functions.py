@@ -85,6 +85,21 @@ def test_suppression_compares_with_the_last_accepted_write(spark):
     assert [r["accepted"] for r in out.orderBy("at").collect()] == [True, False, True, True, True]
 
 
+def test_address_without_commas_loses_its_tail(spark):
+    rows = [
+        ("MAIN ST 5 10115 BERLIN GERMANY", "10115", "GERMANY", None, "BERLIN", "MAIN ST 5"),
+        ("5 Long Road New York 10001 NEW YORK USA US", "10001", "USA", "New York", "NEW YORK", "5 Long Road"),
+        ("HEBEI ROAD 7 CITY LANGFANG HEBEI 066200 CN", "066200", "CHINA", "HEBEI", "LANGFANG", "HEBEI ROAD 7"),
+        ("BERLIN STREET 4", None, None, None, "BERLIN", "BERLIN STREET 4"),
+        ("BERLIN", None, None, None, "BERLIN", ""),
+        ("ROAD 1, BERLIN, GERMANY", None, "GERMANY", None, "BERLIN", "ROAD 1"),
+        (None, "1", "USA", None, "X", ""),
+    ]
+    df = spark.createDataFrame(rows, "address string, postal string, country string, state string, city string, want string").withColumn("stem", F.lit("s"))
+    got = S.address_residual(df, "stem", "address", ["postal", "country", "state", "city"], ("postal", "country", "state", "city")).collect()
+    assert [r["street"] for r in got] == [r["want"] for r in got]
+
+
 def test_dates_of_all_printed_forms(spark):
     cases = [("24SEP", "--09-24"), ("20SEP26", "2026-09-20"), ("20SEP2026", "2026-09-20"), ("26/09/2026", "2026-09-26"), ("05/09/2026", "2026-05-09,2026-09-05"), ("9月16日", "--09-16"), ("19-9月-26日", "2026-09-19"), ("2026 09 20", "2026-09-20"), ("20 Sep. 2026", "2026-09-20"), ("", ""), (None, ""), ("2026-13-40", "")]
     df = spark.createDataFrame(cases, "text string, want string")
