@@ -12,59 +12,60 @@ from tallyforge.plans.register import Register
 Q = Register()
 
 
-def _select(*columns):
-    return lambda df: df.select(*columns)
+def _select(columns):
+    """A query that selects ``columns()``; columns are built inside it, since they need a session."""
+    return lambda df: df.select(*columns())
 
 
 Q.add(
     "fn_01_norm_no",
     ["finals"],
-    _select("stem", T.norm_no(F.col("MAWB_NO")).alias("mawb"), T.number_key(F.col("MAWB_NO"), F.col("HAWB_NO")).alias("number_key")),
+    _select(lambda: ["stem", T.norm_no(F.col("MAWB_NO")).alias("mawb"), T.number_key(F.col("MAWB_NO"), F.col("HAWB_NO")).alias("number_key")]),
     "SELECT stem, regexp_replace(upper(MAWB_NO), '[^0-9A-Z]', '', 'g') AS mawb, regexp_replace(upper(MAWB_NO), '[^0-9A-Z]', '', 'g') || '|' || regexp_replace(upper(HAWB_NO), '[^0-9A-Z]', '', 'g') AS number_key FROM finals",
 )
 Q.add(
     "fn_02_whitespace_fold",
     ["finals"],
-    _select("stem", T.fold_ws(F.col("SHIPPER")).alias("folded"), T.clean_chars(F.concat(F.col("SHIPPER"), F.lit(" ‐​X"))).alias("cleaned"), T.half_width(F.concat(F.col("GOODS"), F.lit("（1，2）"))).alias("half")),
+    _select(lambda: ["stem", T.fold_ws(F.col("SHIPPER")).alias("folded"), T.clean_chars(F.concat(F.col("SHIPPER"), F.lit(" ‐​X"))).alias("cleaned"), T.half_width(F.concat(F.col("GOODS"), F.lit("（1，2）"))).alias("half")]),
     "SELECT stem, trim(regexp_replace(SHIPPER, '\\s+', ' ', 'g')) AS folded, trim(regexp_replace(SHIPPER, '\\s+', ' ', 'g') || ' -X') AS cleaned, GOODS || '(1,2)' AS half FROM finals",
 )
 Q.add(
     "fn_03_accent_fold",
     ["qc"],
-    _select("stem", T.bare(F.concat(F.lit("São "), F.col("channel"), F.lit("-Paulo."))).alias("bare"), T.fold_ascii(F.concat(F.lit("Ößø"), F.col("model"))).alias("folded")),
+    _select(lambda: ["stem", T.bare(F.concat(F.lit("São "), F.col("channel"), F.lit("-Paulo."))).alias("bare"), T.fold_ascii(F.concat(F.lit("Ößø"), F.col("model"))).alias("folded")]),
     "SELECT stem, 'SAO ' || upper(channel) || ' PAULO' AS bare, 'O' || model AS folded FROM qc",
 )
-Q.add("fn_04_symbols_to_space", ["id_cells"], _select("k", T.sym_to_space(F.col("cell")).alias("plain")), "SELECT k, trim(regexp_replace(regexp_replace(cell, '[^0-9A-Za-z\\s]', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS plain FROM id_cells")
-Q.add("fn_05_alnum", ["id_cells"], _select("k", T.alnum(F.col("cell")).alias("a"), T.alnum_upper(F.col("cell")).alias("u")), "SELECT k, regexp_replace(cell, '[^0-9A-Za-z]', '', 'g') AS a, upper(regexp_replace(cell, '[^0-9A-Za-z]', '', 'g')) AS u FROM id_cells")
+Q.add("fn_04_symbols_to_space", ["id_cells"], _select(lambda: ["k", T.sym_to_space(F.col("cell")).alias("plain")]), "SELECT k, trim(regexp_replace(regexp_replace(cell, '[^0-9A-Za-z\\s]', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS plain FROM id_cells")
+Q.add("fn_05_alnum", ["id_cells"], _select(lambda: ["k", T.alnum(F.col("cell")).alias("a"), T.alnum_upper(F.col("cell")).alias("u")]), "SELECT k, regexp_replace(cell, '[^0-9A-Za-z]', '', 'g') AS a, upper(regexp_replace(cell, '[^0-9A-Za-z]', '', 'g')) AS u FROM id_cells")
 Q.add(
     "fn_06_master_number",
     ["finals"],
-    _select("stem", T.hyphenate11(F.col("MAWB_NO")).alias("hyphenated"), T.fmt_mawb(F.concat(F.substring("MAWB_NO", 1, 3), F.lit("-PEK"), F.substring("stem", 2, 9))).alias("formatted")),
+    _select(lambda: ["stem", T.hyphenate11(F.col("MAWB_NO")).alias("hyphenated"), T.fmt_mawb(F.concat(F.substring("MAWB_NO", 1, 3), F.lit("-PEK"), F.substring("stem", 2, 9))).alias("formatted")]),
     "SELECT stem, substr(replace(MAWB_NO, '-', ''), 1, 3) || '-' || substr(replace(MAWB_NO, '-', ''), 4) AS hyphenated, substr(MAWB_NO, 1, 3) || CASE WHEN length(substr(stem, 2, 9)) = 8 THEN '-' ELSE '-PEK ' END || substr(stem, 2, 9) AS formatted FROM finals",
 )
 Q.add(
     "fn_07_check_digit",
     ["tickets"],
-    _select("stem", T.awb_check_digit(F.substring("MAWB_NO", 5, 8)).alias("ok")),
+    _select(lambda: ["stem", T.awb_check_digit(F.substring("MAWB_NO", 5, 8)).alias("ok")]),
     "SELECT stem, CAST(substr(MAWB_NO, 5, 7) AS INT) % 7 = CAST(substr(MAWB_NO, 12, 1) AS INT) AS ok FROM tickets",
 )
 Q.add(
     "fn_08_hs_codes",
     ["id_cells"],
-    _select("k", T.hs6(F.col("goods")).alias("hs6"), T.hs_from_text(F.col("goods")).alias("labelled")),
+    _select(lambda: ["k", T.hs6(F.col("goods")).alias("hs6"), T.hs_from_text(F.col("goods")).alias("labelled")]),
     "SELECT k, substr(CAST(k + 8526109 AS STRING), 1, 6) || CASE WHEN k % 4 = 0 THEN ',' || substr(CAST(k + 841000 AS STRING), 1, 6) ELSE '' END AS hs6, CAST(k + 8526109 AS STRING) || CASE WHEN k % 4 = 0 THEN ',' || CAST(k + 841000 AS STRING) ELSE '' END AS labelled FROM id_cells",
 )
 Q.add(
     "fn_09_phones",
     ["id_cells"],
-    _select("k", T.phone_cell(F.col("tel")).alias("cell"), T.clean_phone(F.col("tel")).alias("clean")),
+    _select(lambda: ["k", T.phone_cell(F.col("tel")).alias("cell"), T.clean_phone(F.col("tel")).alias("clean")]),
     "SELECT k, regexp_replace(split_part(tel, ' / ', 1), '[^0-9A-Za-z]', '', 'g') AS cell, regexp_replace(replace(split_part(tel, ' / ', 1), '(0)', ''), '[^0-9+]', '', 'g') AS clean FROM id_cells",
 )
 _LABEL = "(USCI|CNPJ|CPF|RFC|GST|TAX\\s*ID|TAX\\s*NO|TAX|EORI\\s*(NO|NR|NUMBER)?|EOI\\s*(NO|NR|NUMBER)?|VAT\\s*(NO|NR|NUMBER|ID)|VAT)[#.:\\s]*"
 Q.add(
     "fn_10_id_labels",
     ["id_cells"],
-    _select("k", T.clean_tax(F.col("cell")).alias("clean"), T.id_cell(F.col("cell")).alias("id_cell")),
+    _select(lambda: ["k", T.clean_tax(F.col("cell")).alias("clean"), T.id_cell(F.col("cell")).alias("id_cell")]),
     f"""SELECT k, regexp_replace(regexp_replace(upper(replace(cell, ' ', '')), '^{_LABEL}', ''), '^{_LABEL}', '') AS clean,
     CASE WHEN regexp_matches(upper(cell), '^{_LABEL}') AND NOT regexp_matches(regexp_replace(upper(cell), '^{_LABEL}', ''), '[0-9]') THEN ''
     ELSE regexp_replace(regexp_extract(upper(cell), '^{_LABEL}'), '[^A-Z]', '', 'g') || regexp_replace(regexp_replace(upper(cell), '^{_LABEL}', ''), '[^0-9A-Z]', '', 'g') END AS id_cell FROM id_cells""",
@@ -72,7 +73,7 @@ Q.add(
 Q.add(
     "fn_11_multi_id_cells",
     ["id_cells"],
-    _select("k", T.merge_ids(F.col("cell"), F.col("cell")).alias("merged"), F.size(T.split_ids(F.col("cell"))).cast("long").alias("n"), T.classify_id(F.col("cell")).alias("kind"), T.id_join(F.lower("cell")).alias("joined")),
+    _select(lambda: ["k", T.merge_ids(F.col("cell"), F.col("cell")).alias("merged"), F.size(T.split_ids(F.col("cell"))).cast("long").alias("n"), T.classify_id(F.col("cell")).alias("kind"), T.id_join(F.lower("cell")).alias("joined")]),
     f"""SELECT k, CASE WHEN k % 8 = 6 THEN CAST(k AS STRING) ELSE cell END AS merged, len(string_split(cell, ' / ')) AS n,
     CASE WHEN NOT regexp_matches(regexp_replace(upper(cell), '^{_LABEL}', ''), '[0-9]') THEN NULL WHEN k % 8 IN (2, 3) THEN 'eori' ELSE 'tax' END AS kind,
     array_to_string(list_transform(string_split(upper(cell), ' / '), lambda x: replace(x, ' ', '')), ' / ') AS joined FROM id_cells""",
@@ -80,7 +81,7 @@ Q.add(
 Q.add(
     "fn_12_labelled_ids",
     ["id_cells"],
-    _select("k", F.array_join(T.labelled_ids(F.col("cell")), ",").alias("all_ids"), T.first_labelled_id(F.col("cell")).alias("first_id")),
+    _select(lambda: ["k", F.array_join(T.labelled_ids(F.col("cell")), ",").alias("all_ids"), T.first_labelled_id(F.col("cell")).alias("first_id")]),
     """SELECT k, array_to_string(list_transform(regexp_extract_all(cell, '(?i)\\b(USCI|CNPJ|CPF|EORI\\s*NO|EORI|VAT\\s*NO|VAT)\\b[^0-9A-Za-z]{0,4}([A-Z]{0,3}[0-9][0-9A-Za-z./-]{5,})', 2), lambda x: upper(x)), ',') AS all_ids,
     upper(coalesce(regexp_extract_all(cell, '(?i)\\b(USCI|CNPJ|CPF|EORI\\s*NO|EORI|VAT\\s*NO|VAT)\\b[^0-9A-Za-z]{0,4}([A-Z]{0,3}[0-9][0-9A-Za-z./-]{5,})', 2)[1], '')) AS first_id FROM id_cells""",
 )
@@ -103,7 +104,7 @@ for _name in ("fn_14_city_codes", "jn_11_city_lookup"):
 Q.add(
     "fn_15_postal_format",
     ["id_cells"],
-    _select("k", T.postal_format(F.col("postal"), F.col("iso2")).alias("postal")),
+    _select(lambda: ["k", T.postal_format(F.col("postal"), F.col("iso2")).alias("postal")]),
     """SELECT k, CASE WHEN iso2 = 'BR' AND length(postal) = 8 THEN substr(postal, 1, 5) || '-' || substr(postal, 6) WHEN iso2 = 'SE' AND length(postal) = 5 THEN substr(postal, 1, 3) || ' ' || substr(postal, 4)
     WHEN iso2 = 'US' AND length(postal) = 9 THEN substr(postal, 1, 5) || '-' || substr(postal, 6) END AS postal FROM id_cells""",
 )
@@ -117,7 +118,7 @@ Q.add("fn_17_date_candidates", ["qc"], lambda df: df.select("stem", F.array_join
 Q.add(
     "fn_18_tokens",
     ["id_cells"],
-    _select("k", F.array_join(T.tokens(F.concat("goods", F.lit(" A&B"))), "|").alias("tokens")),
+    _select(lambda: ["k", F.array_join(T.tokens(F.concat("goods", F.lit(" A&B"))), "|").alias("tokens")]),
     "SELECT k, array_to_string(list_filter(regexp_split_to_array(goods || ' A&B', '[^0-9A-Za-z&]+'), lambda x: x <> ''), '|') AS tokens FROM id_cells",
 )
 Q.add(
@@ -129,13 +130,13 @@ Q.add(
 Q.add(
     "fn_20_unrepr",
     ["qc"],
-    _select("stem", T.unrepr(F.concat(F.lit("['"), F.col("channel"), F.lit("', '"), F.col("model"), F.lit("']"))).alias("listed"), T.unrepr(F.col("model")).alias("kept")),
+    _select(lambda: ["stem", T.unrepr(F.concat(F.lit("['"), F.col("channel"), F.lit("', '"), F.col("model"), F.lit("']"))).alias("listed"), T.unrepr(F.col("model")).alias("kept")]),
     "SELECT stem, channel || ' | ' || model AS listed, model AS kept FROM qc",
 )
 Q.add(
     "fn_21_loose_numbers",
     ["finals"],
-    _select("stem", T.as_num(F.concat(F.lit("1,"), F.col("PIECES"))).alias("num"), T.int_or_none(F.col("WEIGHT")).alias("whole"), T.as_num(F.concat("PIECES", F.lit("d"))).alias("no_num")),
+    _select(lambda: ["stem", T.as_num(F.concat(F.lit("1,"), F.col("PIECES"))).alias("num"), T.int_or_none(F.col("WEIGHT")).alias("whole"), T.as_num(F.concat("PIECES", F.lit("d"))).alias("no_num")]),
     "SELECT stem, CAST('1' || PIECES AS DOUBLE) AS num, CAST(CAST(WEIGHT AS DOUBLE) AS BIGINT) AS whole, CAST(NULL AS DOUBLE) AS no_num FROM finals",
 )
 Q.add(
@@ -147,7 +148,7 @@ Q.add(
 Q.add(
     "src_09_numeric_coercion",
     ["finals"],
-    _select("stem", T.coerce_num(F.concat("PIECES", F.lit(" KGM")), True).alias("whole"), T.coerce_num(F.concat(F.lit("1,"), F.col("PIECES"), F.lit(".5"))).alias("num"), T.coerce_num(F.concat("PIECES", F.lit(".5")), True).cast("string").alias("no_int"), T.coerce_num(F.lit("abc")).alias("no_num")),
+    _select(lambda: ["stem", T.coerce_num(F.concat("PIECES", F.lit(" KGM")), True).alias("whole"), T.coerce_num(F.concat(F.lit("1,"), F.col("PIECES"), F.lit(".5"))).alias("num"), T.coerce_num(F.concat("PIECES", F.lit(".5")), True).cast("string").alias("no_int"), T.coerce_num(F.lit("abc")).alias("no_num")]),
     "SELECT stem, CAST(PIECES AS BIGINT) AS whole, CAST('1' || PIECES || '.5' AS DOUBLE) AS num, CAST(NULL AS STRING) AS no_int, CAST(NULL AS DOUBLE) AS no_num FROM finals",
 )
 KINDS = "CASE field WHEN 'MAWB_NO' THEN 'no' WHEN 'HAWB_NO' THEN 'no' WHEN 'PIECES' THEN 'int' WHEN 'WEIGHT' THEN 'num' ELSE 'text' END"
@@ -155,4 +156,4 @@ KINDS = "CASE field WHEN 'MAWB_NO' THEN 'no' WHEN 'HAWB_NO' THEN 'no' WHEN 'PIEC
 SAME = f"""(CASE WHEN trim(model) = '' AND trim(final) = '' THEN true WHEN trim(model) = '' OR trim(final) = '' THEN false
  WHEN {KINDS} = 'no' THEN regexp_replace(upper(model), '[^0-9A-Z]', '', 'g') = regexp_replace(upper(final), '[^0-9A-Z]', '', 'g')
  WHEN {KINDS} IN ('int', 'num') THEN CAST(model AS DOUBLE) = CAST(final AS DOUBLE) ELSE trim(regexp_replace(model, '\\s+', ' ', 'g')) = trim(regexp_replace(final, '\\s+', ' ', 'g')) END)"""
-Q.add("evt_01_same_value", ["cells"], _select("stem", "field", T.same_value(F.expr(KINDS), F.col("model"), F.col("final")).alias("same")), f"SELECT stem, field, {SAME} AS same FROM cells")
+Q.add("evt_01_same_value", ["cells"], _select(lambda: ["stem", "field", T.same_value(F.expr(KINDS), F.col("model"), F.col("final")).alias("same")]), f"SELECT stem, field, {SAME} AS same FROM cells")

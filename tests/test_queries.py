@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from tallyforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["agg_02_usage_report", "acc_01_accuracy_rows", "evd_01_text_evidence", "evt_03_fold_stage_events", "jn_07_merge_remote_local", "jn_15_authoritative_version", "rec_01_submission_gate", "ret_04_refusals", "std_01_house_job", "str_05_usage_by_day", "str_07_upsert_sink", "val_20_qc_record"]
 
 
 def rows_of(df: pd.DataFrame) -> list[tuple]:
@@ -20,13 +23,20 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for file in os.listdir(SF):
         con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
-    got = entry.queries()[name](spark, SF).toPandas()
-    assert rows_of(got) == rows_of(con.execute(entry.oracle_sql()[name]).df())
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    assert rows_of(got) == rows_of(con.execute(registry.ORACLES[name]).df())
+
+
+def test_entry_loads_without_a_session():
+    """In a fresh process, before any session: every query and its SQL can be listed."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0 and int(run.stdout) >= len(registry.QUERIES), run.stderr
 
 
 def test_every_oracle_has_a_query():
