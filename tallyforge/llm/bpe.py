@@ -35,6 +35,25 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+class Chunks(dict):
+    """Ids (as text) of chunks without white space, each id with a space after it; ``decoded`` has their strings alike."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.decoded = encode, {}
+
+    def __missing__(self, chunk: str) -> str:
+        ids, self.decoded[chunk] = self.encode(chunk)
+        self[chunk] = ids
+        return ids
+
+    def texts(self, chunks: list[str]) -> tuple[str, str]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.decoded.clear()
+        return "".join(map(self.__getitem__, chunks)), "".join(map(self.decoded.__getitem__, chunks))
+
+
 class WordBPE:
     def __init__(self, source: str):
         spec = json.loads(source)
@@ -42,89 +61,87 @@ class WordBPE:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        # by both ids of a pair, in one number: its rank; by rank: the new id
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
+        self.first = {b: self.vocab.get(c) for b, c in byte_letters().items()}
+        self.last = {b: self.vocab.get(c + self.suffix) for b, c in byte_letters().items()}
         self.strings = {i: s for s, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.letters = byte_letters()
-        self.cache: dict[str, tuple[str, str, int]] = {}
-
-    def merge(self, word: str) -> list[int]:
-        """Ids of one word (letters that stand for bytes). Symbols that the vocabulary lacks are left out."""
-        names = [*word[:-1], word[-1] + self.suffix]
-        ids = [self.vocab[s] for s in names if s in self.vocab]
-        n = len(ids)
-        prev, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right >= 0 and (found := self.ranks.get((ids[left], ids[right]))):
-                heapq.heappush(queue, (found[0], left, ids[left], ids[right], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
+        self.words: dict[str, list[int]] = {}
+        self.chunks = Chunks(self._chunk)
+
+    def merge(self, word: bytes) -> list[int]:
+        """Ids of one word. Symbols that the vocabulary lacks are left out."""
+        ids = [self.first[b] for b in word[:-1]]
+        ids.append(self.last[word[-1]])
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        rank_of, n = self.ranks.get, len(ids)
+        # a doubly linked list of symbols; -1 is its end and, as an id, a symbol that is gone
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(queue)
         while queue:
-            _, left, a, b, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            left, rank = entry & 0xFFFFFFFF, entry >> 32
             right = after[left]
-            if not alive[left] or right < 0 or ids[left] != a or ids[right] != b:
+            if right < 0 or ids[left] < 0 or rank_of(ids[left] << 32 | ids[right]) != rank:
                 continue  # stale: one of the symbols has merged meanwhile
-            ids[left], alive[right], after[left] = new, False, after[right]
-            if after[right] >= 0:
-                prev[after[right]] = left
-            if prev[left] >= 0:
-                offer(prev[left])
-            offer(left)
-        return [x for x, live in zip(ids, alive, strict=True) if live]
-
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Ids as text, decoded text and number of ids of a piece without white space."""
+            new = ids[left] = self.made[rank]
+            ids[right] = -1
+            after[left] = follower = after[right]
+            if follower >= 0:
+                before[follower] = left
+                if (r := rank_of(new << 32 | ids[follower])) is not None:
+                    heapq.heappush(queue, r << 32 | left)
+            if (leader := before[left]) >= 0 and (r := rank_of(ids[leader] << 32 | new)) is not None:
+                heapq.heappush(queue, r << 32 | leader)
+        return [i for i in ids if i >= 0]
+
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """Ids and vocabulary strings of a piece without white space, each with a space after it."""
         ids: list[int] = []
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         for word in self.pattern.findall(chunk):
-            ids += self.merge("".join(self.letters[b] for b in word.encode("utf-8")))
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[i] for i in ids)
-
-    def pieces(self, text: str) -> list[tuple[str, str, int]]:
-        out: list[tuple[str, str, int]] = []
-        at = 0
-        for hit in self.split_special.finditer(text) if self.split_special else ():
-            self._plain(text[at : hit.start()], out)
-            i = self.special[hit.group()]
-            out.append((str(i), self.strings[i], 1))
-            at = hit.end()
-        self._plain(text[at:] if at else text, out)
-        return out
-
-    def _plain(self, text: str, out: list[tuple[str, str, int]]) -> None:
+            if (found := self.words.get(word)) is None:
+                found = self.words[word] = self.merge(word.encode("utf-8"))
+            ids += found
+        return "".join([f"{i} " for i in ids]), "".join([f"{self.strings[i]} " for i in ids])
+
+    def encode(self, text: str) -> tuple[str, str]:
+        """Ids of the text, joined by a space, and its decoded text: vocabulary strings joined by a space."""
+        ids, strings, at = [], [], 0
+        hits = self.split_special.finditer(text) if any(s in text for s in self.special) else ()
+        for start, end, name in [*((h.start(), h.end(), h.group()) for h in hits), (len(text), len(text), None)]:
+            for out, part in zip((ids, strings), self.chunks.texts(self._split(text[at:start] if at or name else text)), strict=True):
+                out.append(part)
+            if name is not None:
+                ids.append(f"{self.special[name]} ")
+                strings.append(f"{self.strings[self.special[name]]} ")
+            at = end
+        return "".join(ids)[:-1], "".join(strings)[:-1]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # lower case goes letter by letter, without the rule for a final sigma
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         # str.split also ends words at four control characters that the pattern keeps
-        chunks = regex.split(r"\s+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for c in chunks:
-            found = cache.get(c)
-            if found is None:
-                found = self._chunk(c)
-                if len(c) < 64:
-                    cache[c] = found
-            if found[2]:
-                out.append(found)
+        return regex.split(r"\s+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row.
 
-    A null or empty text has no tokens and the digests of the empty text. Repeated rows are encoded
-    one by one; other columns are ignored; an empty table gives an empty result.
+    A null or empty text has no tokens and the digests of the empty text. A text of any length is encoded whole; of
+    merges with equal rank the leftmost goes first. Repeated rows are encoded one by one; other columns are ignored; an
+    empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
@@ -136,10 +153,10 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                found = bpe.pieces(text)
-                n.append(sum([x[2] for x in found]))
-                ids.append(sha(" ".join([x[0] for x in found])))
-                decoded.append(sha(" ".join([x[1] for x in found])))
+                own, strings = bpe.encode(text)
+                n.append(own.count(" ") + 1 if own else 0)
+                ids.append(sha(own))
+                decoded.append(sha(strings))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
