@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold, so that a batch of long texts stays small.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,8 +32,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for the whole session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound an Arrow batch's rows and bytes. A session setting, since plans read it when they run; it lowers what is set, never raises it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_of(name: str = "text") -> Column:

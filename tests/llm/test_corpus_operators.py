@@ -191,58 +191,75 @@ def brute_cut(rows, window=50):
     return sorted(out, key=str)
 
 
+#: everything cut small: several blocks, slices of texts, partitions, flushes and indexes
+SMALL = {"flush_rows": 200, "block_bytes": 2000, "chunk_bytes": 300, "part_keys": 300, "part_rows": 200, "index_rows": 50}
+
+
+def cut_rows(docs, **params):
+    return sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.cut(docs, substrings.RepeatParams(**params)).collect()], key=str)
+
+
 @pytest.mark.parametrize("repeat_ids", [False, True])
-def test_repeats_match_brute_force(spark, repeat_ids):
+@pytest.mark.parametrize("params", [{}, SMALL, {**SMALL, "hot_rows": 20}])
+def test_repeats_match_brute_force(spark, repeat_ids, params):
     shared, other = prose(900, 30), prose(901, 20)
+    phrase = "Reprinted under the terms of the open licence, all rights kept."
     texts = list(awkward()) + [prose(i, 20) + shared + prose(i + 50, 10) for i in range(8)] + [shared[i:] + other[: 60 + i] for i in range(6)] + ["ab" * 100, "ab" * 60, "ü" * 80, "x" + "ü" * 40, other + shared, "a" * 50, "a" * 49]
+    texts += [prose(i, 8) + " " + phrase[: 63 - i % 9] + " " + prose(i + 300, 8) for i in range(60)] + [phrase * 3, prose(3, 30), prose(3, 25)]
     ids = [i // 2 if repeat_ids else i for i in range(len(texts))]
     rows = [(i, t, "en", "s", 0, "x") for i, t in zip(ids, texts, strict=True)] + [(None, shared, "en", "s", 0, "x")]
-    docs = frame(spark, rows)
-    got = sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.cut(docs, substrings.RepeatParams(flush_rows=40)).collect()], key=str)
-    assert got == brute_cut([(r[0], r[1]) for r in rows])
+    docs = frame(spark, rows).repartition(3)
+    assert cut_rows(docs, **params) == brute_cut([(r[0], r[1]) for r in rows])
+
+
+def test_repeats_keep_other_columns_and_take_empty_tables(spark):
+    docs = documents(spark, [prose(1, 40), None, prose(1, 40)]).withColumn("kept", F.lit(1)).withColumn("tags", F.array(F.lit("a")))
+    out = substrings.cut(docs)
+    assert out.columns == [*[c for c in docs.columns if c != "kept"], "n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[0]["kept_text"] == rows[0]["text"] == rows[2]["text"] and rows[2]["kept_text"] == "" and rows[1]["text"] is None and rows[2]["tags"] == ["a"]
     assert substrings.cut(docs.limit(0)).count() == 0
 
 
-def test_repeats_of_a_common_phrase_match_brute_force(spark):
-    phrase = "Reprinted under the terms of the open licence, all rights kept."
-    texts = [prose(i, 8) + " " + phrase[: 63 - i % 9] + " " + prose(i + 300, 8) for i in range(60)] + [phrase * 3, prose(3, 30), prose(3, 25)]
-    docs = documents(spark, texts)
-    params = substrings.RepeatParams(flush_rows=200, hot_rows=20)
-    rows = docs.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("rid"), "text")
-    assert len(substrings.hot_minimizers(rows, params)[0])
-    got = sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.cut(docs, params).collect()], key=str)
-    assert got == brute_cut(list(enumerate(texts)))
+def test_repeats_of_a_very_long_text(spark):
+    text = prose(8, 60_000)
+    docs = documents(spark, [text[300_000:300_200], text, "x" + text])
+    rows = {r[0]: r for r in cut_rows(docs)}
+    assert [rows[i][2] for i in range(3)] == [0, 200, len(text)]
 
 
 def test_repeats_deal_a_common_phrase_out_evenly():
-    import pyarrow as pa
-
     # under 50 bytes: no window lies inside the phrase, so each document has contexts of its own
-    texts = [prose(i, 4) + " licensed for personal and educational use " + prose(i + 5000, 4) for i in range(2000)]
-    params = substrings.RepeatParams(hot_rows=500)
-    keys, n = np.unique(substrings.contexts([t.encode() for t in texts], params)[0], return_counts=True)
-    hot = keys[n >= params.hot_rows]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([0] * 2000), pa.array(texts)], names=["doc", "rid", "text"])
-    loads = np.zeros(64)
-    for out in substrings._send(iter([batch]), 64, params, None, hot):
-        for part, size, data in zip(*(out.column(x).to_pylist() for x in ("part", "n", "data")), strict=True):
-            if data:
-                sent_keys = substrings._unpack(data, size)["key"]
-                assert not np.isin(sent_keys, hot).any()
-                loads[part] += np.count_nonzero(~np.isin(sent_keys, keys))  # windows of the hot contexts
-    assert len(hot) and loads.sum() > 20_000 and loads.max() < 1.5 * loads.mean()
-    sent = substrings._send(iter([batch]), 64, params, np.full(params.filter_bits // 8, 255, np.uint8), hot)
-    assert not any(np.isin(substrings._unpack(d, k)["key"], hot).any() for b in sent for d, k in zip(b.column("data").to_pylist(), b.column("n").to_pylist(), strict=True) if d)
-
-
-def test_run_index_is_shorter_than_its_text():
-    text = prose(5, 30).encode()
-    copies = 50
-    blob = np.frombuffer(text * copies, np.uint8)
-    lengths = np.full(copies, len(text))
-    index = substrings.RunIndex(blob, np.arange(copies) * len(text), lengths, np.arange(copies), 50)
-    assert len(index.heads) <= 1.1 * len(text) < len(blob) / 10
-    assert index.earlier(np.arange(copies)).sum() == (copies - 1) * (len(text) - 49)
+    texts = [(prose(i, 4) + " licensed for personal and educational use " + prose(i + 5000, 4)).encode() for i in range(2000)]
+    params = substrings.RepeatParams()
+    keys, n = np.unique(substrings.contexts(texts, params).key, return_counts=True)
+    dealt = substrings.contexts(texts, params, keys, keys[n >= 500])
+    assert not np.isin(dealt.key, keys[n >= 500]).any()
+    loads = np.bincount((dealt.key[~np.isin(dealt.key, keys)] >> np.uint64(42)).astype(int), minlength=64)
+    assert loads.sum() > 20_000 and loads.max() < 1.5 * loads.mean()
+
+
+def test_run_index_is_shorter_than_its_text_and_right():
+    rng = np.random.default_rng(4)
+    base = [bytes(rng.choice(list(b"ab c"), rng.integers(50, 76)).tolist()) for _ in range(6)]
+    found = set()
+    for _ in range(300):
+        text = bytearray(base[rng.integers(6)])
+        text[rng.integers(len(text))] = ord("d")
+        found.add(bytes(text[rng.integers(3) :]))
+    texts = sorted(t for t in found if len(t) >= 50)
+    docs = rng.integers(0, 40, len(texts))
+    first: dict[bytes, int] = {}
+    for t, d in zip(texts, docs.tolist(), strict=True):
+        for o in range(len(t) - 49):
+            first[t[o : o + 50]] = min(first.get(t[o : o + 50], 99), d)
+    index = substrings.RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), docs, 50)
+    got = {(c, o): d for c, o, d in zip(*(x.tolist() for x in index.matches()), strict=True)}
+    assert got == {(i, o): first[t[o : o + 50]] for i, t in enumerate(texts) for o in range(len(t) - 49)}
+    assert len(index.heads) < len(index.text) / 3
+    # what decides is in the runs: other symbols or samples give other matches
+    index.least = index.least + 1
+    assert all(d > got[c, o] for c, o, d in zip(*(x.tolist() for x in index.matches()), strict=True))
 
 
 # --- pipeline ------------------------------------------------------------------------------
