@@ -6,10 +6,11 @@ on the order of paragraphs, and a paragraph is inserted or deleted by adding or
 subtracting its vector. A vector has two parts:
 
 - ``EXACT`` words of 64 bits, hashed from the whole paragraph, modulo 2^64: equality;
-- ``LANES`` counters, modulo 2^20, packed three to a word: for each word pair of
+- ``LANES`` counters, modulo 2^32, packed two to a word: for each word pair of
   the paragraph the bits of its hash. They let two fingerprints be compared: the
   counters less half the number of pairs are random projections of the multiset
-  of pairs, and the cosine of two documents' projections is their likeness.
+  of pairs, and the cosine of two documents' projections is their likeness. A
+  text holds less than 2^31 bytes, so no counter of a document reaches its modulus.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import Window
 from tallyforge.llm.common import settle, text_of
 
 EXACT = 4
-WIDTH = 20
-PACKED = 20
-LANES = 3 * PACKED
-MASK = 1 | 1 << WIDTH | 1 << 2 * WIDTH
+WIDTH = 32
+PACKED = 30
+LANES = 2 * PACKED
+MASK = 1 | 1 << WIDTH
 
 
 def _wrapping_sum(values: Column, of) -> Column:
@@ -55,8 +56,7 @@ def vectors(texts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     rows = rows.select("_row", *keep, *names, F.inline_outer(pairs).alias("a", "b"))
     h = F.when(F.col("a").isNotNull() & (F.col("a") != "\n"), F.xxhash64("a", F.nullif(F.col("b"), F.lit("\n"))))
     rows = rows.select("_row", *keep, *names, h.alias("h"))
-    # try_sum: a text of over 8 million words may not fit, and then its counters are 0
-    lanes = [F.coalesce(F.try_sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(MASK))), F.lit(0)).alias(f"c{k}") for k in range(PACKED)]
+    lanes = [F.coalesce(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(MASK))), F.lit(0)).alias(f"c{k}") for k in range(PACKED)]
     first = [F.first(c).alias(c) for c in [*keep, *names]]
     summed = rows.groupBy("_row").agg(*first, *lanes, F.count("h").alias("pairs"))
     vector = F.struct(F.array(*names).alias("exact"), F.array(*[f"c{k}" for k in range(PACKED)]).alias("packed"), "pairs")
@@ -70,15 +70,14 @@ def as_text(v: str) -> Column:
 
 
 def _lane(packed: Column, k: int, pairs: Column) -> Column:
-    """Twice the counter less the number of pairs, taken from the middle of its modulus."""
+    """Twice the counter less the number of pairs."""
     count = F.shiftrightunsigned(packed, WIDTH * k).bitwiseAND(F.lit((1 << WIDTH) - 1))
-    half = 1 << WIDTH - 1
-    return (F.pmod(2 * count - pairs + half, F.lit(2 * half)) - half).cast("double")
+    return (2 * count - pairs).cast("double")
 
 
 def _dot(one: str, two: str) -> Column:
     a, b = F.col(f"{one}.pairs"), F.col(f"{two}.pairs")
-    products = F.zip_with(f"{one}.packed", f"{two}.packed", lambda x, y: reduce(lambda p, q: p + q, [_lane(x, k, a) * _lane(y, k, b) for k in range(3)]))
+    products = F.zip_with(f"{one}.packed", f"{two}.packed", lambda x, y: reduce(lambda p, q: p + q, [_lane(x, k, a) * _lane(y, k, b) for k in range(2)]))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
@@ -125,7 +124,7 @@ def compare(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty, a null doc_id is an id of its own that sorts first. Rows that repeat a doc_id each
     give a row; as a neighbour such an id stands with the smallest of its texts. A single document follows itself.
-    Other columns are ignored; an empty table gives an empty result.
+    Texts of any length are hashed whole. Other columns are ignored; an empty table gives an empty result.
     """
     kind = dict(docs.dtypes)["doc_id"]
     # nulls would meet nothing in a join; the flag beside the id lets them
