@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import small_batches
 
-#: Rules beyond this many bytes are not sent to the executors; ``judge`` raises and asks for ``judge_by_join``.
+#: Rules beyond this many bytes are not sent to the executors; ``judge`` then hands them to ``judge_by_join``.
 MAX_INDEX_BYTES = 64 << 20
 
 
@@ -113,12 +113,13 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
 
     A null url or one without ``://`` has an empty host and path, no rule and the default verdict, which
     is also the verdict of a url that is not in the digest array. Of equally long rules that fit, the one
-    with the longer host wins. Repeated rows are judged one by one; other columns are ignored; an empty
-    rule list gives every url the default.
+    with the longer host wins. Urls of any length are judged whole. Repeated rows are judged one by one; other columns
+    are ignored; an empty rule list gives every url the default, an empty table an empty result.
     """
     index = DigestArray.build(rules)
     if index.keys.nbytes + sum(len(t) for t in index.texts) > MAX_INDEX_BYTES:
-        raise ValueError("the rules exceed MAX_INDEX_BYTES: use judge_by_join")
+        rows = pages.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules] or [], "verdict string, host string, path string")
+        return judge_by_join(pages, rows, default)
     small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast((index.keys.tobytes(), index.texts, index.verdicts))
 
@@ -150,21 +151,20 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """As ``judge`` for rule tables of any size (``verdict, host, path``): candidates meet their rules in an equi-join.
 
-    Candidates are joined once per (host, path prefix) text, not per page, so a host that many pages share costs one lookup.
+    A host's rules say which lengths of path are worth a try, so every rule counts, however long its path. Each host and
+    path is looked up once, not once per page.
     """
-    texts = rules.select(F.concat(F.lower("host"), "path").alias("rule"), "verdict", F.length("path").alias("n"))
-    texts = texts.groupBy("rule").agg(F.max("verdict").alias("verdict"), F.max("n").alias("n"))
+    texts = rules.select(F.lower("host").alias("rule_host"), "path", "verdict")
     # block sorts after allow, so that max() lets block win as parse_rules does
-    lengths = [r["n"] for r in texts.select("n").distinct().orderBy("n").limit(1000).collect()]
+    texts = texts.withColumn("rule", F.concat("rule_host", "path")).groupBy("rule").agg(F.max("verdict").alias("verdict"), F.collect_set(F.struct("rule_host", F.length("path").alias("n"))).alias("at"))
+    lengths = texts.select(F.inline("at")).groupBy("rule_host").agg(F.collect_set("n").alias("lengths"))
     rows = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    sites = rows.select("host", F.explode(prefixes).alias("prefix")).where("host <> ''").distinct()
-    sites = sites.select("host", "prefix", F.explode(suffixes).alias("suffix")).withColumn("rule", F.concat("suffix", "prefix"))
-    hits = sites.join(texts, "rule")
-    best = hits.groupBy("host", "prefix").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("suffix"))).alias("b"))
-    options = rows.distinct().select("host", "path", F.explode(prefixes).alias("prefix"))
-    chosen = options.join(best, ["host", "prefix"]).groupBy("host", "path").agg(F.max_by("b", F.struct(F.length("b.rule"), F.length("b.rule") - F.length("prefix"))).alias("b"))
+    sites = rows.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("suffix")).where("suffix <> ''")
+    tries = sites.join(lengths, sites["suffix"] == lengths["rule_host"]).select("host", "path", "suffix", F.explode("lengths").alias("n")).where("n <= length(path)")
+    tries = tries.withColumn("rule", F.concat("suffix", F.expr("substring(path, 1, n)")))
+    best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("suffix")))
+    chosen = tries.join(texts.select("rule", "verdict"), "rule").groupBy("host", "path").agg(best.alias("b"))
     out = rows.join(chosen, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

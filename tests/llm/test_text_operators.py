@@ -180,7 +180,7 @@ RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "bl
 URLS = {"http://a.example.com/en/1": ("example.com/en/", "block"), "https://WWW.Example.com/en/": ("www.example.com/en/", "allow"), "http://x.net/es": (None, "allow"), "http://x.net/es/?a": ("net/es/", "block"), "http://notexample.com/en/": ("com/", "allow"), "http://com/x": ("com/", "allow"), "http://com": (None, "allow"), "nonsense": (None, "allow"), None: (None, "allow"), "a://b://c.net/fr/": (None, "allow")}
 
 
-def test_url_rules(spark):
+def test_url_rules(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, host string")
     rules = urls.parse_rules(RULES)
     want = dict(enumerate(URLS.values()))
@@ -189,6 +189,13 @@ def test_url_rules(spark):
     table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
     joined = urls.judge_by_join(pages, table).collect()
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in joined} == want
+    # rules that are too large to send, and more path lengths than any list would hold
+    many = [urls.Rule("block", "long.net", "/" + "x" * n) for n in range(1, 1500)]
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in [*rules, *many]], "verdict string, host string, path string")
+    far = spark.createDataFrame([(1, "http://a.long.net/" + "x" * 1400 + "y")], "page_id long, url string")
+    assert urls.judge_by_join(far, table).first()["rule"] == "long.net/" + "x" * 1400
+    monkeypatch.setattr(urls, "MAX_INDEX_BYTES", 10)
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules).collect()} == want
     assert urls.judge(pages.limit(0), rules).count() == 0 and urls.judge(pages, []).where("rule is not null").count() == 0
 
 
