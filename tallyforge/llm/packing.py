@@ -4,7 +4,7 @@ Pieces that fill a sequence stand alone. The others are dealt into blocks of
 bounded size; each block is packed by several islands, each a population of
 packings. A crossover injects well-filled bins of one parent whole into the
 other, drops the bins that now hold duplicates, and best-fits the displaced
-pieces. After each epoch the islands of a block pass their elites on in a ring.
+pieces, first in the place of smaller ones. After each epoch the islands of a block pass their elites on in a ring.
 Bins that a block leaves open are dealt anew into fewer blocks, round by round.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,8 @@ class IdEncoder:
     """Ids of a text as the vocabulary file's own library gives them, as little-endian bytes.
 
     Texts of Latin letters without special tokens go through the faster of two libraries, fed with the same
-    vocabulary and pattern; on those both give the same ids. Other texts go through the first.
+    vocabulary and pattern, if the file's ids are in the order of its merges; on those both give the same ids.
+    Other texts go through the first.
     """
 
     # Fixed value: the pattern of byte-level vocabularies.
@@ -57,15 +59,19 @@ class IdEncoder:
         self.tokenizer = tokenizers.Tokenizer.from_str(source)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = {c: b for b, c in byte_letters().items()}
-        vocab = json.loads(source)["model"]["vocab"]
-        # ids are in the order of merges, so they are the ranks
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.special}
-        self.fast = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        model = json.loads(source)["model"]
+        vocab = model["vocab"]
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        self.fast = None
+        # the faster library takes ids for ranks, so they have to be in the order of merges, after the letters
+        if all(a < b for a, b in zip(merged, merged[1:], strict=False)) and max(vocab[c] for c in letters) < min(merged, default=len(vocab)):
+            ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if max(text) < self.LATIN_END and not any(s in text for s in self.special):
+        if self.fast and max(text) < self.LATIN_END and not any(s in text for s in self.special):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -79,7 +85,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, params: PackingParams = PackingParams()) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every document; a null or empty text is the end id alone."""
+    """``doc_id, piece, start, length, ids_crc32`` of every document; a null or empty text is the end id alone.
+
+    A text of any length is encoded whole and cut into pieces. Rows that repeat a doc_id, or have none, are cut one by
+    one; other columns are ignored; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -149,43 +159,91 @@ def fitness(packing: list[list[int]], sizes: list[int], capacity: int) -> tuple[
     return -len(packing), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in packing)
 
 
+def replace(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Swap a loose piece for a smaller one of a bin wherever that fills the bin better; the pieces that are loose then."""
+    waiting = sorted((sizes[i], i) for i in loose)
+    spare = [(b, room) for b in bins if (room := capacity - sum([sizes[i] for i in b]))]
+    while spare:
+        left = []
+        for b, room in spare:
+            before, k = room, 0
+            while room and k < len(b):
+                size = sizes[b[k]]
+                at = bisect_right(waiting, (size + room, len(sizes))) - 1
+                if at >= 0 and waiting[at][0] > size:
+                    grown, i = waiting.pop(at)
+                    insort(waiting, (size, b[k]))
+                    b[k], room = i, room - (grown - size)
+                else:
+                    k += 1
+            left.append((b, room, room < before))
+        if not any(moved for _, _, moved in left):
+            break
+        spare = [(b, room) for b, room, _ in left if room]
+    return [i for _, i in waiting]
+
+
+def insert(kept: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Displaced pieces go back: swapped into bins that they fill better, then the largest first where they fit best."""
+    kept = [list(b) for b in kept]
+    loose = replace(kept, loose, sizes, capacity)
+    loose.sort(key=lambda i: (-sizes[i], i))
+    return fill(loose, sizes, capacity, kept)
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Inject a run of ``a``'s well-filled bins into ``b``; bins of ``b`` with duplicates go, their other pieces are best-fitted."""
-    filled = [x for x in a if sum(sizes[i] for i in x) >= 0.98 * capacity]
-    if not filled:
-        return b
+    """Inject some of ``a``'s well-filled bins into ``b``; bins of ``b`` with duplicates go, and its least filled ones; their other pieces go back in."""
+    used = [sum([sizes[i] for i in x]) for x in a]
+    well = float(np.median(used))
+    filled = [x for x, n in zip(a, used, strict=True) if n >= well]
     first, last = sorted(rng.integers(0, len(filled) + 1, 2).tolist())
     inject = filled[first:last]
     taken = {i for x in inject for i in x}
+    own = [sum([sizes[i] for i in x]) for x in b]
+    low = sorted(own)[len(own) // 20] if len(own) > 20 else min(own)
     kept, loose = [], []
-    for x in b:
-        if any(i in taken for i in x) or sum(sizes[i] for i in x) < 0.9 * capacity:
+    for x, n in zip(b, own, strict=True):
+        if n <= low < capacity or any(i in taken for i in x):
             loose += [i for i in x if i not in taken]
         else:
             kept.append(x)
-    loose.sort(key=lambda i: (-sizes[i], i))
-    return fill(loose, sizes, capacity, [*inject, *kept])
+    return insert([*inject, *kept], loose, sizes, capacity)
+
+
+def mutate(packing: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
+    """Take out the least filled bin and some others, mostly badly filled ones; their pieces go back in."""
+    used = np.array([sum([sizes[i] for i in x]) for x in packing])
+    chance = 0.02 + 0.5 * (used < capacity) * rng.random()
+    out = rng.random(len(packing)) < chance
+    out[int(used.argmin())] = True
+    kept = [x for x, gone in zip(packing, out.tolist(), strict=True) if not gone]
+    loose = [i for x, gone in zip(packing, out.tolist(), strict=True) if gone for i in x]
+    return insert(kept, loose, sizes, capacity)
 
 
 def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, params: PackingParams) -> list[list[list[int]]]:
-    """One island's epoch; the best two packings."""
+    """One island's epoch; the best two packings. It ends early where a packing needs no more bins than the sum of sizes does."""
     rng, cap = np.random.default_rng(seed), params.capacity
     low = -(-sum(sizes) // cap)
+    rate = lambda p: fitness(p, sizes, cap)
     population = list(elites)
     if not population:
         population.append(fill(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, cap))
     while len(population) < params.population and len(population[0]) > low:
-        noise = rng.normal(0, 40, len(sizes))
+        # random orders, from nearly sorted by size to not sorted at all
+        noise = rng.normal(0, cap * rng.random(), len(sizes))
         population.append(fill(sorted(range(len(sizes)), key=lambda i: (-sizes[i] - noise[i], i)), sizes, cap))
-    rate = lambda p: fitness(p, sizes, cap)
-    population.sort(key=rate, reverse=True)
-    for _ in range(params.generations):
-        if len(population[0]) <= low or len(population) < 2:  # no packing needs fewer sequences
+    population = sorted(((rate(p), k, p) for k, p in enumerate(population)), key=lambda x: (x[0], -x[1]), reverse=True)
+    for born in range(params.generations):
+        if -population[0][0][0] <= low or len(population) < 2:  # no packing needs fewer sequences
             break
         i, j = rng.choice(len(population), 2, replace=False).tolist()
-        population.append(crossover(population[i], population[j], sizes, cap, rng))
-        population = sorted(population, key=rate, reverse=True)[: params.population]
-    return population[:2]
+        child = crossover(population[i][2], population[j][2], sizes, cap, rng)
+        if rng.random() < 0.7:
+            child = mutate(child, sizes, cap, rng)
+        population.append((rate(child), params.population + born, child))
+        population = sorted(population, key=lambda x: (x[0], -x[1]), reverse=True)[: params.population]
+    return [p for _, _, p in population[:2]]
 
 
 def _genome(packing: list[list[int]], n: int) -> np.ndarray:
@@ -246,7 +304,9 @@ def _pack_round(pieces: DataFrame, blocks: int, number: int, params: PackingPara
 def pack(pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` of at most ``capacity``.
 
-    Equal pieces are packed one by one; an empty table gives an empty result.
+    Equal pieces are packed one by one. Of packings with as many bins the one with the larger sum of squared fills wins,
+    then the first by its genome. Each round halves what is open, so their number is bounded by the logarithm of the
+    number of pieces. An empty table gives an empty result.
     """
     pieces = settle(pieces.withColumn("uid", F.monotonically_increasing_id()), "packing-pieces")
     whole = pieces.where(F.col("length") >= params.capacity)
@@ -259,7 +319,7 @@ def pack(pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFram
         ident = F.lit(number + 1) * F.lit(1 << 58) + F.col("block") * F.lit(1 << 16) + F.col("bin")
         found = found.withColumn("sequence_id", ident)
         closed = F.col("used") >= int(params.closed * params.capacity)
-        if blocks > 1 and number < 14:
+        if blocks > 1:
             part = found.where(~closed).join(part, "uid").select("uid", "length")
             rest = part.count()
             if rest <= 0.5 * left:

@@ -55,6 +55,31 @@ def test_crossover_keeps_every_item():
     assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 1024 for x in child)
 
 
+def test_search_needs_fewer_bins_than_best_fit():
+    rng, sizes = np.random.default_rng(5), []
+    for _ in range(200):  # three pieces fill a bin; best fit alone can't find out which
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1024 - a) // 2))
+        sizes += [a, b, 1024 - a - b]
+    sizes.sort(reverse=True)
+    start = packing.fill(list(range(600)), sizes, 1024)
+    best = packing.evolve(sizes, [], 7, packing.PackingParams(generations=20))[0]
+    assert sorted(i for x in best for i in x) == list(range(600)) and all(sum(sizes[i] for i in x) <= 1024 for x in best)
+    assert len(start) > 220 and len(best) <= len(start) - 12
+
+
+def test_both_encoders_agree_on_latin_texts():
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = packing.IdEncoder(f.read())
+    assert encoder.fast is not None
+    rng = np.random.default_rng(6)
+    letters = [*"aAbeEzßéÑÿ ŁŒƀɏ", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "'s", "'LL", "'re", "0", "12", "²", "½", "ª", ".", ",,", "!?", "$", "<|", "|>", "\x00", "\xad", "the", "ing", "http://", "a" * 90, " " * 40]
+    for _ in range(400):
+        text = "".join(rng.choice(letters, rng.integers(1, 60)).tolist())
+        assert encoder.fast.encode_ordinary(text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # --- fingerprints ---------------------------------------------------------------------
 
 
