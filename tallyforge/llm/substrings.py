@@ -192,6 +192,8 @@ def _spread(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+#: for texts: a fifth less to move than at the first level, for a twentieth more time in all
+_TEXT = pa.Codec("zstd", compression_level=6)
 _SPAN = ("<u4", "<u4", "<u4")  # row in the block, first byte, byte after the last
 _STEPS = ("<u8", "u1")  # steps between sorted minimizers, contexts of each (255: or more)
 
@@ -226,7 +228,7 @@ def _by_block(block: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.nd
 
 def _batch_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=_TEXT)) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -417,7 +419,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams) -> Ite
                 c, r = heads[i:j], rows[ri:rj]
                 classes = _squeeze(np.diff(key[c], prepend=np.uint64(0)), length[c].astype(np.uint8), per[i:j].astype("<u4"))
                 members = _squeeze(doc[r].astype("<i8"), block[r].astype("<i8"), row[r].astype("<u4"), start[r].astype("<u4"))
-                raw = pa.compress(_joined(blob, begins[c], length[c]).tobytes(), codec="zstd", asbytes=True)
+                raw = _TEXT.compress(_joined(blob, begins[c], length[c]).tobytes(), asbytes=True)
                 values = int(part[i]), len(classes), j - i, rj - ri, classes + members, raw
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
