@@ -4,9 +4,10 @@ P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all ordered
 thresholds theta_1 < theta_2 < theta_3. The outcome is the expected severity,
 the sum over k of P(grade >= k), from 0 to 3.
 
-Labels only say toxic or not, so the training grades of toxic documents are
-made from them: 1 to 3 by terciles of how many of the document's words carry a
-feature that is typical of toxic documents. Grade 0 is a document labelled clean.
+Labels only say toxic or not. The training grade of a clean document is 0. That of a
+toxic one, 1 to 3, is the tercile of its severity among toxic documents, as judged
+by a two-grade model fitted on the other half of the labelled rows: a document has
+no part in the fit that grades it for training, nor have counts of its features.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ class ToxicityParams:
     labelled_bound: int = 20_000
     vocabulary: int = 4_096
     min_docs: int = 6
-    #: least smoothed log odds of a feature between toxic and clean documents
-    min_log_odds: float = 3.0
+    #: least likelihood ratio statistic (G) of a feature against the label, typical of toxic documents or of clean ones
+    min_g: float = 20.0
     l2: float = 1e-3
     steps: int = 400
 
@@ -66,11 +67,12 @@ def features_of(text: str, known: frozenset[str] | None = None) -> dict[str, int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> DataFrame:
-    """``text, toxic`` of at most ``labelled_bound`` labelled documents, in the order of a hash of their id."""
+    """``text, toxic, half`` of at most ``labelled_bound`` labelled documents, in the order of a hash of their id."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(params.labelled_bound)
     ids = settle(ids, "toxicity-sample")
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(33)), F.lit(2)).cast("int").alias("half")
+    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic", half)
 
 
 def _count(rows: DataFrame) -> DataFrame:
@@ -94,31 +96,48 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     sizes = {int(bool(r["toxic"])): r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return OrdinalModel()
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    chosen = _count(rows).where(F.col("toxic") >= params.min_docs).withColumn("odds", odds).where(F.col("odds") >= params.min_log_odds)
-    names = [r["feature"] for r in chosen.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "feature").limit(params.vocabulary).collect()]
+    cell = lambda seen, share: seen * F.log(F.greatest(seen, F.lit(1e-9)) / share)
+    n_toxic, n_clean = sizes[1], sizes[0]
+    n, toxic, clean = n_toxic + n_clean, F.col("toxic").cast("double"), F.col("clean").cast("double")
+    has, lacks = (toxic + clean) / n, 1 + 1e-12 - (toxic + clean) / n
+    g = 2 * (cell(toxic, has * n_toxic) + cell(clean, has * n_clean) + cell(n_toxic - toxic, lacks * n_toxic) + cell(n_clean - clean, lacks * n_clean))
+    chosen = _count(rows).where(F.greatest("toxic", "clean") >= params.min_docs).withColumn("g", g).where(F.col("g") >= params.min_g)
+    names = [r["feature"] for r in chosen.orderBy(F.desc("g"), "feature").limit(params.vocabulary).collect()]
     known = frozenset(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features_of(t, known) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], names=["toxic", "features", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], names=["toxic", "half", "features", "counts"])
 
-    sparse = rows.mapInArrow(run, f"toxic {dict(rows.dtypes)['toxic']}, features array<string>, counts array<long>").collect()
+    sparse = rows.mapInArrow(run, f"toxic {dict(rows.dtypes)['toxic']}, half int, features array<string>, counts array<long>").collect()
     at = {x: i for i, x in enumerate(names)}
-    toxic = np.array([bool(r["toxic"]) for r in sparse])
+    toxic, half = np.array([bool(r["toxic"]) for r in sparse]), np.array([r["half"] for r in sparse])
     doc = np.array([i for i, r in enumerate(sparse) for _ in r["features"]], dtype=np.int64)
     col = np.array([at[x] for r in sparse for x in r["features"]], dtype=np.int64)
     val = np.array([1 + math.log(n) for r in sparse for n in r["counts"]])
-    hits = np.array([sum(n for x, n in zip(r["features"], r["counts"], strict=True) if not x.endswith("*")) + len([x for x in r["features"] if x.endswith("*")]) for r in sparse])
-    low, high = np.quantile(hits[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + (hits > low) + (hits > high), 0)
+    grade = training_grades(doc, col, val, toxic, half, len(names), params)
     weights, thresholds = fit_ordinal(doc, col, val, grade, len(names), params)
     eta = np.bincount(doc, weights[col] * val, minlength=len(toxic))
     cut = best_cut(1 / (1 + np.exp(thresholds[0] - eta)), toxic)
     return OrdinalModel({x: float(w) for x, w in zip(names, weights, strict=True) if w}, tuple(map(float, thresholds)), cut)
 
 
+def training_grades(doc: np.ndarray, col: np.ndarray, val: np.ndarray, toxic: np.ndarray, half: np.ndarray, width: int, params: ToxicityParams) -> np.ndarray:
+    """0 for clean rows, 1 to 3 for toxic ones, by terciles of what the model of the other half says. Ties share the lower grade."""
+    severity = np.zeros(len(toxic))
+    for k in (0, 1):
+        use = half != k
+        if not (use & toxic).any() or not (use & ~toxic).any():
+            use = np.ones(len(toxic), bool)  # too few rows to part
+        place = np.cumsum(use) - 1
+        own = use[doc]
+        w, _ = fit_ordinal(place[doc[own]], col[own], val[own], toxic[use].astype(np.int64), width, params, top=1)
+        severity[half == k] = np.bincount(doc, w[col] * val, minlength=len(toxic))[half == k]
+    low, high = np.quantile(severity[toxic], [1 / 3, 2 / 3])
+    return np.where(toxic, 1 + (severity > low) + (severity > high), 0)
+
+
 def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     """The cut with the largest sum of both rates on the fitted rows, in the middle of its gap; from 0.3 to 0.5,
     since labels hold some noise and clean documents weigh more."""
@@ -131,10 +150,10 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(np.clip(edges[int(gain.argmax())], 0.3, 0.5))
 
 
-def fit_ordinal(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, width: int, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with an L2 penalty by Adam. Thresholds are a first value and positive steps, so they stay ordered."""
-    n, top = len(grade), 3
-    w, free = np.zeros(width), np.array([1.0, 0.0, 0.0])
+def fit_ordinal(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, width: int, params: ToxicityParams, top: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood with an L2 penalty by Adam, for grades 0 to ``top``. Thresholds are a first value and positive steps, so they stay ordered."""
+    n = len(grade)
+    w, free = np.zeros(width), np.r_[1.0, np.zeros(top - 1)]
     m, v = np.zeros(width + top), np.zeros(width + top)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, params.steps + 1):
@@ -158,7 +177,9 @@ def fit_ordinal(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.nda
 def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``docs`` with ``severity`` (0 to 3), ``grade``, ``p_toxic`` and ``toxic`` added; every row, whole texts.
 
-    A null or empty text has no features: the model's base rate. Columns of these names are replaced.
+    A null or empty text has no features: the model's base rate. Texts of any length are read whole; equal texts have
+    equal grades, repeated rows are graded one by one. A probability equal to a cut counts as above it. Columns of these
+    names are replaced; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
