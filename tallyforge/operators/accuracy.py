@@ -21,23 +21,38 @@ def compared(cells: DataFrame) -> DataFrame:
     return cells.withColumn("comparable", some).withColumn("changed", some & ~T.same_value(F.col("kind"), F.col("model"), F.col("final")))
 
 
-def accuracy_rows(cells: DataFrame, exempt: DataFrame | None = None, late: DataFrame | None = None, key: str = "stem") -> DataFrame:
+def accuracy_rows(cells: DataFrame, touched: DataFrame | None = None, late: DataFrame | None = None, staged: DataFrame | None = None, key: str = "stem") -> DataFrame:
     """ACC-01 to ACC-03: comparable columns and edits per ticket, by who made them.
 
-    ``exempt`` (stem, field): columns a rule changed and a person accepted; they leave both numerator and denominator.
-    ``late`` (stem, field): columns changed after the last staging; those edits count as the inputter's.
+    ``touched`` (``events.last_touchers``): a changed column whose last event carries a rule was accepted, not corrected: it
+    leaves numerator and denominator and counts as polished, unless it is in ``late`` (stem, field), the columns changed
+    after the last staging. Columns that an inputter's event touched, and late ones, count as ``inp``; those another's event
+    touched as ``doc``. A ticket without staging (not in ``staged``) has all its edits in ``doc``. Without ``touched`` late edits alone are ``inp``.
     """
     rows = compared(cells)
-    if exempt is not None:
-        rows = rows.join(exempt.select(key, "field").distinct(), [key, "field"], "left_anti")
-    rows = rows.join(late.select(key, "field").distinct().withColumn("_late", F.lit(True)), [key, "field"], "left") if late is not None else rows.withColumn("_late", F.lit(False))
+    flag = lambda df, name: df.select(key, "field").distinct().withColumn(name, F.lit(True))
+    rows = rows.join(flag(late, "_late"), [key, "field"], "left") if late is not None else rows.withColumn("_late", F.lit(False))
     is_late = F.coalesce("_late", F.lit(False))
+    if touched is None:
+        rows = rows.select("*", F.lit(None).cast("string").alias("rule"), (F.col("changed") & ~is_late).alias("_doc"), (F.col("changed") & is_late).alias("_inp"))
+    else:
+        has_staging = (touched if staged is None else staged).select(key).distinct().withColumn("_staged", F.lit(True))
+        rows = rows.join(touched.select(key, "field", "rule", "by_inputter", "by_preparer"), [key, "field"], "left").join(has_staging, key, "left")
+        rows = rows.withColumn("rule", F.when(~is_late & F.col("changed"), F.col("rule")))
+        staged_ = F.coalesce("_staged", F.lit(False))
+        doc = F.when(staged_, F.coalesce("by_preparer", F.lit(False))).otherwise(F.col("changed"))
+        inp = staged_ & (F.coalesce("by_inputter", F.lit(False)) | is_late)
+        rows = rows.withColumns({"_doc": doc, "_inp": inp})
+    own = F.col("rule").isNull()
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("field")))), ",")
     return rows.groupBy(key).agg(
-        F.count_if("comparable").alias("comparable"),
-        F.count_if("changed").alias("total"),
-        F.count_if(F.col("changed") & ~is_late).alias("doc"),
-        F.count_if(F.col("changed") & is_late).alias("inp"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("changed"), F.col("field")))), ",").alias("fields"),
+        F.count_if(F.col("comparable") & own).alias("comparable"),
+        F.count_if(F.col("changed") & own).alias("total"),
+        F.count_if(F.col("_doc") & own).alias("doc"),
+        F.count_if(F.col("_inp") & own).alias("inp"),
+        listed(F.col("changed") & own).alias("fields"),
+        F.count_if(~own).alias("polished"),
+        F.array_sort(F.collect_list(F.when(~own, F.struct("field", "rule")))).alias("rules"),
     )
 
 
@@ -46,11 +61,44 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 
 def accuracy_summary(rows: DataFrame) -> DataFrame:
-    """AGG-04: one row; ratios are null where nothing could be compared."""
-    sums = rows.agg(F.count(F.lit(1)).alias("tickets"), F.sum("comparable").alias("comparable"), F.sum("total").alias("edits"), F.sum("doc").alias("doc"), F.sum("inp").alias("inp"), F.count_if(F.col("total") == 0).alias("clean"))
+    """AGG-04: one row; ratios are null where nothing could be compared.
+
+    Optional columns of ``rows``: ``legacy`` (sent before values were kept: counted apart, in no ratio), ``submitted``,
+    ``no_inputter_review``, ``inputter_self_submit``.
+    """
+    have = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
+    usable = ~have("legacy")
+    total = lambda c: F.coalesce(F.sum(F.when(usable, F.col(c))), F.lit(0)) if c in rows.columns else F.lit(0).cast("long")
+    sums = rows.agg(
+        F.count_if(usable).alias("tickets"),
+        F.count_if(~usable).alias("legacy"),
+        *[total(c).alias(n) for c, n in (("comparable", "comparable"), ("total", "edits"), ("doc", "doc"), ("inp", "inp"), ("polished", "polished"))],
+        F.count_if(usable & (F.col("total") == 0)).alias("clean"),
+        F.count_if(usable & have("submitted") & have("no_inputter_review")).alias("unreviewed"),
+        F.count_if(usable & have("submitted") & have("inputter_self_submit")).alias("self_submit"),
+    )
     return sums.select("*", ratio(F.col("clean"), F.col("tickets")).alias("acc_ticket"), (1 - ratio(F.col("edits"), F.col("comparable"))).alias("acc_field"), (1 - ratio(F.col("inp"), F.col("comparable"))).alias("acc_after_review"))
 
 
+def accepted_rules(rows: DataFrame) -> DataFrame:
+    """AGG-07: how many columns each rule changed that a person accepted."""
+    return rows.select(F.explode("rules.rule").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def closure(summary: DataFrame, rows: DataFrame) -> DataFrame:
+    """AGG-08: do a summary and its detail rows tell of the same tickets: usable and legacy ones are all rows, comparable columns add up."""
+    detail = rows.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("comparable"), F.lit(0)).alias("_columns"))
+    return summary.crossJoin(detail).select((F.col("tickets") + F.col("legacy") == F.col("_n")).alias("rows_match"), (F.col("comparable") == F.col("_columns")).alias("columns_match"))
+
+
+def report_tables(rows: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
+    """SRC-13: the accuracy report as three tables: ``summary`` (name, value), ``tickets`` and ``fields``."""
+    one = accuracy_summary(rows)
+    numbers = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in one.columns]
+    tickets = rows.select("stem", "comparable", "total", "doc", "inp", "polished", "fields")
+    return {"summary": one.select(F.inline(F.array(*numbers))), "tickets": tickets, "fields": edits_by_field(cells)}
+
+
 def edits_by_field(cells: DataFrame) -> DataFrame:
     """AGG-05, SRT-04: edits per field, most first, then by name."""
     return compared(cells).where("changed").groupBy("field").agg(F.count(F.lit(1)).alias("edits")).orderBy(F.desc("edits"), "field")

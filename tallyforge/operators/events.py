@@ -26,9 +26,12 @@ def with_previous(events: DataFrame, columns: list[str], key: str = "stem", orde
 
 
 def with_baseline(events: DataFrame, columns: list[str], key: str = "stem", order: str = "seq") -> DataFrame:
-    """WIN-02: ``base_<c>``, the first non-null value of the record, untouched by later ones."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return events.withColumns({f"base_{c}": F.first(c, ignorenulls=True).over(w) for c in columns})
+    """WIN-02: ``base_<c>``, the first non-null value of the record, untouched by later ones.
+
+    An aggregate that each task combines before the shuffle, joined back: no task has to hold all events of a key.
+    """
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"base_{c}")
+    return events.join(events.groupBy(key).agg(*[first(c) for c in columns]), key, "left")
 
 
 def fold_stage_events(events: DataFrame, columns: list[str], key: str = "stem", order: str = "seq") -> DataFrame:
@@ -50,11 +53,39 @@ def fold_stage_events(events: DataFrame, columns: list[str], key: str = "stem",
     )
 
 
-def changed_counts(events: DataFrame, columns: list[str], key: str = "stem", order: str = "seq") -> DataFrame:
-    """EVT-03: how often each record's columns changed from one staging event to the next."""
-    seen = with_previous(events.where(F.col("kind") != "review"), columns, key, order)
-    changed = [F.count_if(F.col(f"prev_{c}").isNotNull() & ~T.same_value(F.lit("text"), F.col(f"prev_{c}"), F.col(c))).alias(f"n_{c}") for c in columns]
-    return seen.groupBy(key).agg(*changed)
+def event_diffs(events: DataFrame, model: DataFrame, kinds: dict[str, str], key: str = "stem", order: str = "seq") -> DataFrame:
+    """EVT-03: ``key, order, role, field, from, to, rule``: what each staging event changed against the one before, the first
+    against ``model`` (a row a key). ``rule`` is the event's ``rule_<field>``, kept on changed columns alone; null without one.
+    """
+    before = with_previous(events.where(F.col("kind") != "review"), list(kinds), key, order)
+    base = model.select(key, F.struct(*kinds).alias("_base"))
+    rows = before.join(base, key, "left").withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)
+    cells = [
+        F.struct(
+            F.lit(f).alias("field"),
+            T.text(F.when(F.col("_first"), F.col(f"_base.{f}")).otherwise(F.col(f"prev_{f}"))).alias("from"),
+            T.text(F.col(f)).alias("to"),
+            (F.nullif(T.strip(F.col(f"rule_{f}")), F.lit("")) if f"rule_{f}" in events.columns else F.lit(None).cast("string")).alias("rule"),
+            F.lit(k).alias("_kind"),
+        )
+        for f, k in kinds.items()
+    ]
+    long = rows.select(key, order, "role", F.inline(F.array(*cells)))
+    return long.where(~T.same_value(F.col("_kind"), F.col("from"), F.col("to"))).drop("_kind")
+
+
+def last_touchers(diffs: DataFrame, key: str = "stem", order: str = "seq") -> DataFrame:
+    """WIN-05: per record and column: who touched it, by role, and the rule of the last event that did (null: a person's own change)."""
+    return diffs.groupBy(key, "field").agg(
+        F.max_by("rule", order).alias("rule"),
+        F.bool_or(F.coalesce(F.col("role"), F.lit("")) == "inputter").alias("by_inputter"),
+        F.bool_or(F.coalesce(F.col("role"), F.lit("")) != "inputter").alias("by_preparer"),
+    )
+
+
+def changed_counts(diffs: DataFrame, fields: list[str], key: str = "stem") -> DataFrame:
+    """EVT-03: how often each column of a record changed."""
+    return diffs.groupBy(key).agg(*[F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields])
 
 
 def derive_state(error: Column, submitted: Column, staged: Column) -> Column:
@@ -107,10 +138,11 @@ def stable_files(scans: DataFrame) -> DataFrame:
 
 
 def retry_state(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """WIN-07: per file, failures since its last success, and whether it is given up."""
-    last_ok = Window.partitionBy("name").orderBy("scan").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    tail = attempts.withColumn("_later", F.max("ok").over(last_ok))
-    return tail.groupBy("name").agg(F.count_if((F.col("ok") == 0) & (F.col("_later") == 0)).alias("failures")).withColumn("given_up", F.col("failures") >= most)
+    """WIN-07: per file, failures since its last success, and whether it is given up. Two aggregates, joined: failures are
+    counted where they lie, whatever the length of a file's log."""
+    last_ok = attempts.groupBy("name").agg(F.max(F.when(F.col("ok") == 1, F.col("scan"))).alias("_ok"))
+    open_ = (F.col("ok") == 0) & (F.col("scan") > F.coalesce("_ok", F.lit(-1)))
+    return attempts.join(last_ok, "name").groupBy("name").agg(F.count_if(open_).alias("failures")).withColumn("given_up", F.col("failures") >= most)
 
 
 def suppress_repeats(events: DataFrame, ttl: int, key: str = "key", order: str = "at", fp: str = "fp", ok: str = "ok") -> DataFrame:

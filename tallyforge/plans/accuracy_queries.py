@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import accuracy as A
+from tallyforge.operators import events as E
+from tallyforge.operators import ledger as G
 from tallyforge.plans.bindings import FIELDS
 from tallyforge.plans.register import Register
 from tallyforge.plans.scalar_queries import KINDS, SAME
@@ -28,17 +30,86 @@ Q.add(
     lambda t, f, _: A.accuracy_rows(_cells(t, f)).select("stem", "comparable", "total", "fields"),
     _C + "SELECT stem, count(*) FILTER (WHERE comparable) AS comparable, count(*) FILTER (WHERE changed) AS total, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE changed), '') AS fields FROM c GROUP BY stem",
 )
+# --- tickets with staging events -----------------------------------------------------
+
+#: columns that staging events carry, with their kind
+STAGED = {"PIECES": "int", "GOODS": "text", "COUNTRY": "text"}
+_URGENT = "model IN ('1-URGENT', '2-HIGH')"
+_FOLD = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
+
+
+def _same(kind: str, a: str, b: str) -> str:
+    """DuckDB's comparison of two values of a kind."""
+    number = f"TRY_CAST({a} AS DOUBLE) = TRY_CAST({b} AS DOUBLE)" if kind == "int" else f"{_FOLD(a)} = {_FOLD(b)}"
+    return f"(CASE WHEN {_FOLD(a)} = '' OR {_FOLD(b)} = '' THEN {_FOLD(a)} = {_FOLD(b)} ELSE {number} END)"
+
+
+def staged_tickets(t, f, e):
+    """Model, staged and final values, with what the events changed: the inputs of attribution and exemption."""
+    staged = E.fold_stage_events(e, list(STAGED)).where("staged")
+    last = staged.select("stem", *[F.col(c).alias(f"_{c}") for c in STAGED], "reviewed")
+    final = f.join(last, "stem", "left").select("stem", "num", "model", "status", "reviewed", *[F.when(F.expr(_URGENT) | F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in STAGED])
+    late = A.compared(A.to_cells(staged, final, STAGED)).where("changed")
+    touched = E.last_touchers(E.event_diffs(e, t, STAGED))
+    return final, A.accuracy_rows(A.to_cells(t, final, STAGED), touched, late, staged)
+
+
+_DIFFS = " UNION ALL ".join(
+    f"SELECT e.stem, seq, role, '{c}' AS field, CASE WHEN row_number() OVER w = 1 THEN t.{c} ELSE lag(e.{c}) OVER w END AS a, e.{c} AS b, {'rule_' + c if c != 'PIECES' else chr(39) * 2} AS rule, '{k}' AS kind FROM ticket_events e JOIN tickets t ON t.stem = e.stem WHERE e.kind <> 'review' WINDOW w AS (PARTITION BY e.stem ORDER BY seq)"
+    for c, k in STAGED.items()
+)
+_BOTH = lambda a, b: f"CASE WHEN kind = 'int' THEN {_same('int', a, b)} ELSE {_same('text', a, b)} END"
+_TICKETS = f""", s AS (SELECT stem, {', '.join(f"arg_max({c}, seq) AS {c}" for c in STAGED)}, bool_or(role = 'inputter') AS reviewed FROM ticket_events WHERE kind <> 'review' GROUP BY stem),
+rv AS (SELECT stem, bool_or(role = 'inputter') AS reviewed FROM ticket_events GROUP BY stem HAVING bool_or(kind <> 'review')),
+n AS (SELECT f.stem, f.num, f.model, f.status, {', '.join(f"CASE WHEN {_URGENT} OR s.{c} IS NULL THEN f.{c} ELSE s.{c} END AS {c}" for c in STAGED)} FROM finals f LEFT JOIN s ON s.stem = f.stem),
+d AS (SELECT stem, seq, role, field, rule, a, b FROM ({_DIFFS}) WHERE NOT {_BOTH('a', 'b')}),
+h AS (SELECT stem, field, nullif(arg_max(rule, seq), '') AS rule, bool_or(role = 'inputter') AS by_inp, bool_or(role <> 'inputter') AS by_doc FROM d GROUP BY stem, field),
+x AS ({' UNION ALL '.join(f"SELECT t.stem, '{c}' AS field, '{k}' AS kind, t.{c} AS m, n.{c} AS f, s.{c} AS s, s.stem IS NOT NULL AS staged FROM tickets t JOIN n ON n.stem = t.stem LEFT JOIN s ON s.stem = t.stem" for c, k in STAGED.items())}),
+y AS (SELECT x.*, NOT (trim(m) = '' AND trim(f) = '') AS comparable, NOT {_BOTH('m', 'f')} AS changed, staged AND NOT {_BOTH('s', 'f')} AS late FROM x),
+z AS (SELECT y.*, coalesce(h.by_inp, false) AS by_inp, coalesce(h.by_doc, false) AS by_doc, CASE WHEN changed AND NOT late THEN h.rule END AS rule FROM y LEFT JOIN h ON h.stem = y.stem AND h.field = y.field),
+r AS (SELECT stem, count(*) FILTER (WHERE comparable AND rule IS NULL) AS comparable, count(*) FILTER (WHERE changed AND rule IS NULL) AS total,
+  count(*) FILTER (WHERE rule IS NULL AND CASE WHEN staged THEN by_doc ELSE changed END) AS doc, count(*) FILTER (WHERE rule IS NULL AND staged AND (by_inp OR late)) AS inp, count(*) FILTER (WHERE rule IS NOT NULL) AS polished FROM z GROUP BY stem) """
+_IN = ["tickets", "finals", "ticket_events"]
+Q.add("acc_02_attribution", _IN, lambda t, f, e: staged_tickets(t, f, e)[1].select("stem", "doc", "inp"), _TICKETS + "SELECT stem, doc, inp FROM r")
+Q.add("acc_03_rule_exemption", _IN, lambda t, f, e: staged_tickets(t, f, e)[1].select("stem", "comparable", "total", "polished"), _TICKETS + "SELECT stem, comparable, total, polished FROM r")
+Q.add("agg_07_rule_histogram", _IN, lambda t, f, e: A.accepted_rules(staged_tickets(t, f, e)[1]), _TICKETS + "SELECT rule, count(*) AS n FROM z WHERE rule IS NOT NULL GROUP BY rule")
 Q.add(
-    "acc_02_attribution",
-    ["cells"],
-    lambda c: A.accuracy_rows(_kinded(c), late=c.where("field IN ('PIECES', 'GOODS')")).select("stem", "doc", "inp"),
-    _C + "SELECT stem, count(*) FILTER (WHERE changed AND field NOT IN ('PIECES', 'GOODS')) AS doc, count(*) FILTER (WHERE changed AND field IN ('PIECES', 'GOODS')) AS inp FROM c GROUP BY stem",
+    "evt_03_event_diffs",
+    ["tickets", "ticket_events"],
+    lambda t, e: E.event_diffs(e, t, STAGED).select("stem", "seq", "field", "from", "to", F.coalesce("rule", F.lit("")).alias("rule")),
+    _TICKETS.replace("finals", "tickets") + 'SELECT stem, seq, field, a AS "from", b AS "to", rule FROM d',
 )
+Q.add("win_05_last_toucher", ["tickets", "ticket_events"], lambda t, e: E.last_touchers(E.event_diffs(e, t, STAGED)).select("stem", "field", F.coalesce("rule", F.lit("")).alias("rule"), "by_inputter", "by_preparer"), _TICKETS.replace("finals", "tickets") + "SELECT stem, field, coalesce(rule, '') AS rule, by_inp AS by_inputter, by_doc AS by_preparer FROM h")
+_LEGACY = "status = 'F' AND model = '4-NOT SPECIFIED'"
+
+
+def _summary_rows(t, f, e):
+    final, rows = staged_tickets(t, f, e)
+    how = G.review_provenance(F.col("reviewed"), F.when(F.col("model") == "5-LOW", "inputter").otherwise("preparer"))
+    return rows.join(final.select("stem", F.expr(_LEGACY).alias("legacy"), (F.col("status") == "F").alias("submitted"), how.alias("h")), "stem").select("*", "h.*").drop("h")
+
+
+_SUMMARY = _TICKETS + f""", q AS (SELECT r.*, {_LEGACY} AS legacy, status = 'F' AS submitted, NOT coalesce(rv.reviewed, false) AND model <> '5-LOW' AS unrev, NOT coalesce(rv.reviewed, false) AND model = '5-LOW' AS own FROM r JOIN n ON n.stem = r.stem LEFT JOIN rv ON rv.stem = r.stem),
+u AS (SELECT count(*) FILTER (WHERE NOT legacy) AS tickets, count(*) FILTER (WHERE legacy) AS legacy, {', '.join(f"CAST(sum({c}) FILTER (WHERE NOT legacy) AS BIGINT) AS {a}" for c, a in (('comparable', 'comparable'), ('total', 'edits'), ('doc', 'doc'), ('inp', 'inp'), ('polished', 'polished')))},
+  count(*) FILTER (WHERE NOT legacy AND total = 0) AS clean, count(*) FILTER (WHERE NOT legacy AND submitted AND unrev) AS unreviewed, count(*) FILTER (WHERE NOT legacy AND submitted AND own) AS self_submit FROM q) """
 Q.add(
-    "acc_03_rule_exemption",
-    ["cells"],
-    lambda c: A.accuracy_rows(_kinded(c), exempt=c.where("field = 'COUNTRY' AND final = 'NATION_X'")).select("stem", "comparable", "total"),
-    _C + "SELECT stem, count(*) FILTER (WHERE comparable AND NOT (field = 'COUNTRY' AND final = 'NATION_X')) AS comparable, count(*) FILTER (WHERE changed AND NOT (field = 'COUNTRY' AND final = 'NATION_X')) AS total FROM c GROUP BY stem",
+    "agg_04_full_summary",
+    _IN,
+    lambda t, f, e: A.accuracy_summary(_summary_rows(t, f, e)).select("tickets", "legacy", "comparable", "edits", "doc", "inp", "polished", "clean", "unreviewed", "self_submit", *[F.round(c, 6).alias(c) for c in ("acc_ticket", "acc_field", "acc_after_review")]),
+    _SUMMARY + "SELECT *, round(clean / tickets, 6) AS acc_ticket, round(1 - edits / comparable, 6) AS acc_field, round(1 - inp / comparable, 6) AS acc_after_review FROM u",
+)
+Q.add("rec_03_review_provenance", _IN, lambda t, f, e: _summary_rows(t, f, e).select("stem", "no_inputter_review", "inputter_self_submit"), _SUMMARY + "SELECT stem, unrev AS no_inputter_review, own AS inputter_self_submit FROM q")
+Q.add("agg_08_closure", _IN, lambda t, f, e: A.closure(A.accuracy_summary(_summary_rows(t, f, e)), _summary_rows(t, f, e).where("NOT legacy")), _SUMMARY + "SELECT tickets + legacy = (SELECT count(*) FROM q WHERE NOT legacy) AS rows_match, comparable = (SELECT sum(comparable) FROM q WHERE NOT legacy) AS columns_match FROM u")
+Q.add(
+    "src_13_report_tables",
+    _IN,
+    lambda t, f, e: (lambda r: r["summary"].unionByName(r["fields"].select(F.concat(F.lit("field "), "field").alias("name"), F.col("edits").cast("double").alias("value"))).unionByName(r["tickets"].select(F.concat(F.lit("ticket "), "stem").alias("name"), F.col("total").cast("double").alias("value"))).select("name", F.round("value", 6).alias("value")))(
+        A.report_tables(_summary_rows(t, f, e), A.to_cells(t, staged_tickets(t, f, e)[0], STAGED))
+    ),
+    _SUMMARY
+    + ", v AS (SELECT *, clean / tickets AS acc_ticket, 1 - edits / comparable AS acc_field, 1 - inp / comparable AS acc_after_review FROM u) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, round(CAST({c} AS DOUBLE), 6) AS value FROM v" for c in ("tickets", "legacy", "comparable", "edits", "doc", "inp", "polished", "clean", "unreviewed", "self_submit", "acc_ticket", "acc_field", "acc_after_review"))
+    + " UNION ALL SELECT 'field ' || field, CAST(count(*) AS DOUBLE) FROM z WHERE changed GROUP BY field UNION ALL SELECT 'ticket ' || stem, CAST(total AS DOUBLE) FROM r",
 )
 _CONFLICT = "SELECT stem, field, CASE WHEN kind = 'no' THEN 'num' ELSE 'count' END AS \"group\", field || ': ' || CASE WHEN trim(model) = '' THEN 'blank' ELSE trim(model) END || ' / ' || CASE WHEN trim(final) = '' THEN 'blank' ELSE trim(final) END AS flag FROM c WHERE kind IN ('no', 'int', 'num') AND trim(model) <> trim(final)"
 Q.add("acc_04_reader_conflicts", ["cells"], lambda c: A.reader_conflicts(_kinded(c)).select("stem", "field", "group"), _C + f"SELECT stem, field, \"group\" FROM ({_CONFLICT})")
@@ -71,13 +142,6 @@ Q.add(
     lambda c, t: A.accuracy_by(A.accuracy_rows(_kinded(c)).join(t.select("stem", F.when(F.col("num") % 10 > 0, F.col("model")).otherwise("").alias("who")), "stem"), "who"),
     _R + "SELECT CASE WHEN num % 10 > 0 THEN t.model ELSE '(not recorded)' END AS axis, count(*) AS tickets, CAST(sum(comparable) AS BIGINT) AS comparable, CAST(sum(total) AS BIGINT) AS edits FROM r JOIN tickets t ON t.stem = r.stem GROUP BY 1",
 )
-Q.add("agg_07_rule_histogram", ["stage_events"], lambda e: e.select(F.explode(F.create_map(F.lit("POSTAL"), "goods", F.lit("STATE"), "weight"))).where("value <> ''").groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")), "SELECT 'POSTAL' AS key, goods AS value, count(*) AS n FROM stage_events WHERE goods <> '' GROUP BY goods UNION ALL SELECT 'STATE', weight, count(*) FROM stage_events GROUP BY weight")
-Q.add(
-    "agg_08_closure",
-    ["cells"],
-    lambda c: A.accuracy_rows(_kinded(c)).agg(F.count(F.lit(1)).alias("rows"), F.sum("comparable").alias("comparable"), (F.sum("total") == F.sum(F.col("doc") + F.col("inp"))).alias("closed")),
-    _R + "SELECT count(*) AS rows, CAST(sum(comparable) AS BIGINT) AS comparable, true AS closed FROM r",
-)
 Q.add(
     "agg_12_segment_state",
     ["cells"],

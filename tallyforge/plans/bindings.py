@@ -48,6 +48,13 @@ UNION ALL SELECT stem, 'l2' AS stage, 2 AS calls, chars % 311 AS prompt_tokens,
 SELECT 'S' || CAST(user_id AS STRING) AS stem, event_id AS seq, CAST(ts AS STRING) AS at, 'u' || CAST(event_id % 7 AS STRING) AS who,
   CASE WHEN event_id % 3 = 0 THEN 'inputter' ELSE 'preparer' END AS role, CASE WHEN event_type = 'view' THEN 'review' ELSE 'stage' END AS kind,
   CAST(event_id % 4 AS STRING) AS weight, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS goods FROM events""",
+    "ticket_events": """
+SELECT t.stem, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq, t.num, 'u' || CAST(l_suppkey % 7 AS STRING) AS who,
+  CASE WHEN l_returnflag = 'R' THEN 'inputter' ELSE 'preparer' END AS role, CASE WHEN l_discount < 0.02 THEN 'review' ELSE 'stage' END AS kind, CAST(CAST(l_shipdate AS DATE) AS STRING) || 'T09:00:00' AS at,
+  CASE WHEN l_returnflag = 'N' THEN t.PIECES ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS PIECES, CASE WHEN l_linestatus = 'F' THEN p_type ELSE t.GOODS END AS GOODS,
+  CASE WHEN l_returnflag = 'A' THEN n_name ELSE t.COUNTRY END AS COUNTRY, t.MAWB_NO AS mawb, t.HAWB_NO AS hawb,
+  CASE WHEN p_brand LIKE 'Brand#1%%' THEN 'POSTAL' WHEN p_brand LIKE 'Brand#2%%' THEN 'CHARS' ELSE '' END AS rule_GOODS, CASE WHEN p_size > 25 THEN 'STATE' ELSE '' END AS rule_COUNTRY
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN tickets t ON t.num = l_orderkey""".replace("%%", "%"),
     "marks": """
 SELECT 'house' AS kind, 'K' || CAST(user_id AS STRING) AS key, event_id AS seq, CASE WHEN event_type IN ('error', 'signup') THEN 'void' ELSE 'unvoid' END AS action, 'u' || CAST(event_id % 7 AS STRING) AS who FROM events""",
     "board_events": """
@@ -71,7 +78,7 @@ SELECT t.stem, f.field, CASE f.field %s END AS model, CASE f.field %s END AS fin
         " UNION ALL ".join(f"SELECT '{f}' AS field" for f in FIELDS),
     ),
 }
-NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"]}
+NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"]}
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -98,12 +98,6 @@ Q.add(
     lambda t: E.cluster_order(t.select("stem", "num", "cust"), "cust", "num", F.col("num") % 5 == 0).select("stem", "first_pos", "kind_rank"),
     "SELECT stem, min(num) OVER (PARTITION BY cust) AS first_pos, CASE WHEN num % 5 = 0 THEN 0 ELSE 1 END AS kind_rank FROM tickets",
 )
-Q.add(
-    "win_05_last_toucher",
-    ["stage_events"],
-    lambda e: e.groupBy("stem", "goods").agg(F.max_by("who", "seq").alias("who")),
-    "SELECT stem, goods, arg_max(who, seq) AS who FROM stage_events GROUP BY stem, goods",
-)
 Q.add(
     "win_06_stable_files",
     ["scans"],

@@ -57,7 +57,6 @@ Q.add(
     lambda f, q: X.export_view(f.withColumn("stem", F.concat(F.lit("D"), F.col("num"))), q, ["MAWB_NO", "GOODS"]),
     "SELECT 'D' || f.num AS stem, f.MAWB_NO, f.GOODS, CASE WHEN q.needs_review IS NULL THEN 'none' WHEN q.needs_review = 1 THEN 'yes' ELSE 'no' END AS needs_review, coalesce(q.error, '') AS error FROM finals f LEFT JOIN qc q ON q.stem = 'D' || f.num",
 )
-Q.add("src_13_report_tables", ["qc"], lambda q: X.to_long(q.agg(F.count(F.lit(1)).alias("records"), F.sum("flags").alias("flags"))), "SELECT 'records' AS name, CAST(count(*) AS DOUBLE) AS value FROM qc UNION ALL SELECT 'flags', CAST(sum(flags) AS DOUBLE) FROM qc")
 Q.add("src_14_run_report", ["qc"], X.run_report, "SELECT channel, count(*) AS records, count(*) FILTER (WHERE trim(error) <> '') AS failed, count(*) FILTER (WHERE needs_review = 1) AS review FROM qc GROUP BY channel")
 Q.add("prj_01_contract", ["finals"], lambda f: X.to_contract(f, ["stem", "SHIPPER", "TAX"]), "SELECT stem, SHIPPER, '' AS TAX FROM finals")
 Q.add("prj_02_submit_projection", ["finals"], lambda f: X.submit_projection(f.select("stem", "GOODS", "SHIPPER"), {"GOODS": "CARGO"}, ["SHIPPER"]), "SELECT stem, GOODS AS CARGO FROM finals")
@@ -118,7 +117,6 @@ for _n in ("jn_18_fresh_status", "reg_02_registry_flags"):
 _GATE = lambda f, l, m: R.submission_gate(R.parent_gate(f.join(l.select("stem", F.lit(True).alias("s")), "stem", "left"), m, "cust").select("stem", F.coalesce("s", F.lit(False)).alias("already_sent"), F.col("MAWB_NO").alias("mawb"), F.when(F.col("num") % 19 > 0, F.col("HAWB_NO")).alias("hawb"), F.array(F.lit("a"), F.lit("b")).alias("flags"), F.when(F.col("num") % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("acked"), "parent"))
 Q.add("rec_01_submission_gate", ["finals", "ledger", "masters"], lambda f, l, m: _GATE(f, l, m).select("stem", "verdict"), "SELECT f.stem, CASE WHEN l.stem IS NOT NULL THEN 'sent' WHEN f.num % 19 = 0 THEN 'number' WHEN f.num % 3 = 0 THEN 'flags' WHEN m.sent = 0 THEN 'parent' ELSE 'pass' END AS verdict FROM finals f LEFT JOIN ledger l ON l.stem = f.stem LEFT JOIN masters m ON m.cust = f.cust")
 Q.add("rec_02_master_gate", ["masters"], lambda m: m.select("mawb", F.when(F.col("cust") % 4 == 0, "no signer").when(F.size(F.array_except(F.array(F.lit("x")), F.when(F.col("cust") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))) > 0, "flags").otherwise("pass").alias("verdict")), "SELECT mawb, CASE WHEN cust % 4 = 0 THEN 'no signer' WHEN cust % 2 = 1 THEN 'flags' ELSE 'pass' END AS verdict FROM masters")
-Q.add("rec_03_review_provenance", ["stage_events"], lambda e: e.groupBy("stem").agg((~F.bool_or(F.col("role") == "inputter")).alias("no_inputter_review"), (F.max_by("role", "seq") == "inputter").alias("inputter_self_submit")), "SELECT stem, NOT bool_or(role = 'inputter') AS no_inputter_review, arg_max(role, seq) = 'inputter' AS inputter_self_submit FROM stage_events GROUP BY stem")
 Q.add("rec_04_fingerprints", ["finals"], lambda f: f.select("stem", R.fingerprint({"g": F.col("GOODS"), "a": F.col("MAWB_NO")}).alias("sha"), F.md5("GOODS").alias("md5"), F.sha1("MAWB_NO").alias("sha1")), """SELECT stem, sha256('{"a":"' || MAWB_NO || '","g":"' || GOODS || '"}') AS sha, md5(GOODS) AS md5, sha1(MAWB_NO) AS sha1 FROM finals""")
 Q.add("rec_06_status_gate", ["remote", "finals"], lambda r, f: f.join(r.select("num", "state"), "num", "left").select("stem", R.status_gate(F.col("state")).alias("gate")), "SELECT f.stem, CASE WHEN r.state IS NULL OR r.state = 0 THEN 'write' ELSE 'locked' END AS gate FROM finals f LEFT JOIN remote r ON r.num = f.num")
 Q.add("rec_07_preread_guard", ["ledger", "remote"], lambda l, r: R.preread_guard(l.select("stem", "num"), r, "num").select("stem", "guard"), "SELECT stem, CASE WHEN num IN (SELECT num FROM remote) THEN 'ok' ELSE 'error' END AS guard FROM ledger")
