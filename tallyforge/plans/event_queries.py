@@ -48,24 +48,6 @@ Q.add(
     lambda e: E.owned(e.select("stem").distinct(), E.touched_days([(e, "stem", "who", "at")]), "u3", None),
     "SELECT DISTINCT stem FROM stage_events WHERE who = 'u3'",
 )
-Q.add(
-    "evt_08_in_day",
-    ["qc", "ledger"],
-    lambda q, l: q.where(F.substring("processed_at", 1, 10) == "2026-09-05").select("stem").unionByName(l.where(F.substring("submitted_at", 1, 4) == "1996").select("stem")).distinct(),
-    "SELECT stem FROM qc WHERE substr(processed_at, 1, 10) = '2026-09-05' UNION SELECT stem FROM ledger WHERE substr(submitted_at, 1, 4) = '1996'",
-)
-Q.add(
-    "evt_09_day_scope",
-    ["stage_events"],
-    lambda e: E.fold_stage_events(e, []).where("staged AND NOT coalesce(reviewed, false) OR last_who = 'u1'").select("stem"),
-    "SELECT stem FROM stage_events GROUP BY stem HAVING bool_or(kind <> 'review') AND NOT bool_or(role = 'inputter') OR arg_max(who, seq) = 'u1'",
-)
-Q.add(
-    "evt_10_master_rows",
-    ["masters", "tickets"],
-    lambda m, t: m.join(t.groupBy("cust").agg(F.max_by("model", "num").alias("last_model")), "cust", "left").select("mawb", "last_model", (F.when(F.col("sent").isNotNull(), 1).otherwise(0) + F.when(F.col("goods") != "", 1).otherwise(0) + 1).cast("long").alias("filled")),
-    "SELECT m.mawb, x.last_model, CAST(CASE WHEN sent IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN goods <> '' THEN 1 ELSE 0 END + 1 AS BIGINT) AS filled FROM masters m LEFT JOIN (SELECT cust, arg_max(model, num) AS last_model FROM tickets GROUP BY cust) x USING (cust)",
-)
 Q.add("evt_11_void_current", ["marks"], E.void_current, "SELECT kind, key, arg_max(who, seq) AS who FROM marks GROUP BY kind, key HAVING arg_max(action, seq) = 'void'")
 Q.add("evt_12_unlock_log", ["marks"], E.unlock_log, "SELECT kind, key, count(*) AS n, arg_max(who, seq) AS last_who, max(seq) AS last_seq FROM marks GROUP BY kind, key")
 Q.add(

@@ -70,16 +70,6 @@ _SPEC = "concat(CASE k % 3 WHEN 0 THEN 'SHIPPER' WHEN 1 THEN 'CONSIGNEE' ELSE 'A
 Q.add("prj_04_actionable_cells", ["id_cells"], lambda d: X.actionable(d.select("k", F.expr(_SPEC).alias("field")), ["POSTAL", "STATE", "TEL"]), f"SELECT k, {_SPEC} AS field FROM id_cells WHERE k % 3 < 2 AND k % 2 = 0")
 Q.add("flt_01_day_window", ["qc"], lambda q: q.where(T.in_window(F.col("processed_at"), "2026-09-05", "2026-09-09")).select("stem"), "SELECT stem FROM qc WHERE substr(processed_at, 1, 10) BETWEEN '2026-09-05' AND '2026-09-09'")
 Q.add("flt_03_valid_keys", ["finals"], lambda f: f.select("stem", X.valid_key(F.col("HAWB_NO"), "number").alias("number_ok"), X.valid_key(F.concat("SHIPPER", F.when(F.col("num") % 4 == 0, "/x").otherwise("")), "path").alias("path_ok")), f"SELECT stem, regexp_matches({_NO.format(c='HAWB_NO')}, '^[0-9A-Z]{{6,20}}$') AS number_ok, num % 4 <> 0 AND trim(SHIPPER) <> '' AS path_ok FROM finals")
-_MODES = {"unsent": "action = ''", "done": "action <> ''", "flagged": "num % 3 = 0", "all": "true"}
-Q.add("flt_04_ledger_filter", ["ledger"], lambda l: l.select("stem", F.inline(F.array(*[F.struct(F.lit(k).alias("mode"), F.expr(v).alias("pass")) for k, v in _MODES.items()]))).where("pass").groupBy("mode").agg(F.count(F.lit(1)).alias("n")), " UNION ALL ".join(f"SELECT '{k}' AS mode, count(*) AS n FROM ledger WHERE {v} HAVING count(*) > 0" for k, v in _MODES.items()))
-Q.add("flt_06_retention_filter", ["finals"], lambda f: f.where(F.contains(T.alnum_upper(F.concat("MAWB_NO", "HAWB_NO")), F.lit("12"))).select("stem"), "SELECT stem FROM finals WHERE contains(upper(regexp_replace(MAWB_NO || HAWB_NO, '[^0-9A-Za-z]', '', 'g')), '12')")
-Q.add("flt_07_number_search", ["finals"], lambda f: f.where((T.norm_no(F.col("HAWB_NO")) == "H12") | F.contains(T.norm_no(F.col("MAWB_NO")), F.lit("00012"))).select("stem"), f"SELECT stem FROM finals WHERE {_NO.format(c='HAWB_NO')} = 'H12' OR contains({_NO.format(c='MAWB_NO')}, '00012')")
-Q.add(
-    "jn_01_ticket_state",
-    ["finals", "ledger", "masters"],
-    lambda f, l, m: f.join(l.select("stem", "reviewer", "submitted_at"), "stem", "left").join(m.select("cust", "sent"), "cust", "left").select("stem", "reviewer", F.col("sent").cast("string").alias("sent"), F.when(F.col("submitted_at").isNotNull(), "submitted").otherwise("parsed").alias("state")),
-    "SELECT f.stem, l.reviewer, CAST(m.sent AS STRING) AS sent, CASE WHEN l.submitted_at IS NOT NULL THEN 'submitted' ELSE 'parsed' END AS state FROM finals f LEFT JOIN ledger l ON l.stem = f.stem LEFT JOIN masters m ON m.cust = f.cust",
-)
 _IDX = f", i AS (SELECT {_NO.format(c='mawb')} || '|' || {_NO.format(c='hawb')} AS number_key, arg_max(stem, submitted_at) AS stem FROM ledger GROUP BY 1) "
 Q.add("jn_02_enrich_remote", ["remote", "ledger"], lambda r, l: R.enrich_remote(r, R.number_index(l, "submitted_at")).select("num", "state", "stem"), _IDX + f"SELECT num, state, coalesce(i.stem, '—') AS stem FROM remote LEFT JOIN i ON i.number_key = {_NO.format(c='MAWB')} || '|' || {_NO.format(c='HAWB')}")
 Q.add("jn_03_number_index", ["ledger"], lambda l: R.number_index(l, "submitted_at"), _IDX + "SELECT * FROM i")
@@ -116,7 +106,6 @@ for _n in ("jn_18_fresh_status", "reg_02_registry_flags"):
     )
 _GATE = lambda f, l, m: R.submission_gate(R.parent_gate(f.join(l.select("stem", F.lit(True).alias("s")), "stem", "left"), m, "cust").select("stem", F.coalesce("s", F.lit(False)).alias("already_sent"), F.col("MAWB_NO").alias("mawb"), F.when(F.col("num") % 19 > 0, F.col("HAWB_NO")).alias("hawb"), F.array(F.lit("a"), F.lit("b")).alias("flags"), F.when(F.col("num") % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("acked"), "parent"))
 Q.add("rec_01_submission_gate", ["finals", "ledger", "masters"], lambda f, l, m: _GATE(f, l, m).select("stem", "verdict"), "SELECT f.stem, CASE WHEN l.stem IS NOT NULL THEN 'sent' WHEN f.num % 19 = 0 THEN 'number' WHEN f.num % 3 = 0 THEN 'flags' WHEN m.sent = 0 THEN 'parent' ELSE 'pass' END AS verdict FROM finals f LEFT JOIN ledger l ON l.stem = f.stem LEFT JOIN masters m ON m.cust = f.cust")
-Q.add("rec_02_master_gate", ["masters"], lambda m: m.select("mawb", F.when(F.col("cust") % 4 == 0, "no signer").when(F.size(F.array_except(F.array(F.lit("x")), F.when(F.col("cust") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))) > 0, "flags").otherwise("pass").alias("verdict")), "SELECT mawb, CASE WHEN cust % 4 = 0 THEN 'no signer' WHEN cust % 2 = 1 THEN 'flags' ELSE 'pass' END AS verdict FROM masters")
 Q.add("rec_04_fingerprints", ["finals"], lambda f: f.select("stem", R.fingerprint({"g": F.col("GOODS"), "a": F.col("MAWB_NO")}).alias("sha"), F.md5("GOODS").alias("md5"), F.sha1("MAWB_NO").alias("sha1")), """SELECT stem, sha256('{"a":"' || MAWB_NO || '","g":"' || GOODS || '"}') AS sha, md5(GOODS) AS md5, sha1(MAWB_NO) AS sha1 FROM finals""")
 Q.add("rec_06_status_gate", ["remote", "finals"], lambda r, f: f.join(r.select("num", "state"), "num", "left").select("stem", R.status_gate(F.col("state")).alias("gate")), "SELECT f.stem, CASE WHEN r.state IS NULL OR r.state = 0 THEN 'write' ELSE 'locked' END AS gate FROM finals f LEFT JOIN remote r ON r.num = f.num")
 Q.add("rec_07_preread_guard", ["ledger", "remote"], lambda l, r: R.preread_guard(l.select("stem", "num"), r, "num").select("stem", "guard"), "SELECT stem, CASE WHEN num IN (SELECT num FROM remote) THEN 'ok' ELSE 'error' END AS guard FROM ledger")
@@ -145,7 +134,6 @@ for _n in ("ret_02_retention_candidates", "srt_03_oldest_first"):
 Q.add("ret_03_parent_protection", ["masters", "ledger", "tickets"], lambda m, l, t: R.protect_parents(m, t.join(l.select("stem"), "stem", "left_semi"), "cust").select("mawb"), "SELECT mawb FROM masters WHERE cust NOT IN (SELECT cust FROM tickets WHERE stem IN (SELECT stem FROM ledger))")
 Q.add("ret_04_refusals", ["qc"], lambda q: R.retention_refusals(q.select("stem"), _cands(q).where("num % 7 > 0"), q.where("num % 5 = 0"), "stem"), _AGED + "SELECT stem, CASE WHEN num % 7 = 0 THEN 'missing' WHEN num % 5 = 0 THEN 'has children' WHEN NOT aged THEN 'not aged' END AS reason FROM d")
 Q.add("ret_05_purge", ["qc"], lambda q: R.purge([q], _cands(q).where("aged OR num % 2 = 0"), "stem", 30)[0].select("stem", "early"), _AGED + "SELECT stem, coalesce(idle, 0) < 30 AS early FROM d WHERE aged OR num % 2 = 0")
-Q.add("ret_06_run_state", ["qc"], lambda q: q.agg(F.count(F.lit(1)).alias("checked"), F.count_if(T.blank(F.col("error"))).alias("removed"), F.count_if(~T.blank(F.col("error"))).alias("failed")), "SELECT count(*) AS checked, count(*) FILTER (WHERE trim(error) = '') AS removed, count(*) FILTER (WHERE trim(error) <> '') AS failed FROM qc")
 Q.add("set_01_all_keys", ["qc", "ledger", "stage_events"], lambda q, l, e: q.select("stem").union(l.select("stem")).union(e.select("stem")).distinct(), "SELECT stem FROM qc UNION SELECT stem FROM ledger UNION SELECT stem FROM stage_events")
 _FLAGS = lambda q: q.select("stem", F.transform(F.sequence(F.lit(1), F.col("flags") + 1), lambda i: F.concat(F.lit("f"), i)).alias("flags"), F.array(F.lit("f1"), F.lit("f3")).alias("acked"))
 Q.add("set_03_open_flags", ["qc"], lambda q: _FLAGS(q).select("stem", F.array_join(F.array_except("flags", "acked"), ",").alias("open")), "SELECT stem, array_to_string(list_filter(list_transform(range(1, flags + 2), lambda i: 'f' || i), lambda x: x NOT IN ('f1', 'f3')), ',') AS open FROM qc")

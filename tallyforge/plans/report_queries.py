@@ -122,8 +122,6 @@ Q.add("agg_03_failure_kinds", ["qc"], P.failure_kinds, f"SELECT {_KIND} AS error
 Q.add("udx_02_user_kinds", ["qc"], lambda q: P.failure_kinds(q, q.sparkSession.createDataFrame([("disk trouble", "disk", 0), ("rest", "Error", 1)], "kind string, keyword string, precedence int")), "SELECT CASE WHEN error LIKE '%disk%' THEN 'disk trouble' WHEN error LIKE '%Error%' THEN 'rest' ELSE error END AS error_kind, count(*) AS n FROM qc WHERE error <> '' GROUP BY 1")
 Q.add("agg_09_day_counts", ["qc"], lambda q: P.day_counts(q.withColumn("state", E.derive_state(F.col("error"), F.col("num") % 3 == 0, F.lit(False)))), "SELECT count(*) AS total, count(*) FILTER (WHERE error = '' AND num % 3 = 0) AS submitted, count(*) FILTER (WHERE error = '' AND num % 3 <> 0) AS pending, count(*) FILTER (WHERE error <> '') AS failed, CAST(sum(flags) AS BIGINT) AS flags, count(*) FILTER (WHERE flags > 0) AS flagged FROM qc")
 Q.add("agg_10_child_counts", ["masters", "tickets"], lambda m, t: P.child_counts(m, t.where("num % 3 = 0"), "cust").select("mawb", "children"), "SELECT m.mawb, count(t.stem) AS children FROM masters m LEFT JOIN tickets t ON t.cust = m.cust AND t.num % 3 = 0 GROUP BY m.mawb")
-Q.add("agg_13_retention_totals", ["qc"], lambda q: q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.when(F.col("num") % 4 > 0, F.col("chars")), F.lit(0))).alias("bytes")), "SELECT count(*) AS n, CAST(sum(CASE WHEN num % 4 > 0 THEN chars ELSE 0 END) AS BIGINT) AS bytes FROM qc")
-Q.add("agg_15_day_header", ["ledger"], lambda l: l.groupBy("reviewer").agg(F.max(F.substring("submitted_at", 1, 10)).alias("last_day"), F.count(F.lit(1)).alias("n")), "SELECT reviewer, max(substr(submitted_at, 1, 10)) AS last_day, count(*) AS n FROM ledger GROUP BY reviewer")
 Q.add("win_08_share_of_max", ["qc"], lambda q: P.share_of_max(q.select("stem", "chars"), "chars").select("stem", F.round("share", 9).alias("share")), "SELECT stem, round(chars / max(chars) OVER (), 9) AS share FROM qc")
 Q.add("srt_01_ledger_order", ["qc", "masters"], lambda q, m: q.select("stem", F.col("processed_at").alias("at")).unionByName(m.select(F.col("mawb").alias("stem"), F.col("first_day").alias("at"))).orderBy("at", "stem"), "SELECT stem, processed_at AS \"at\" FROM qc UNION ALL SELECT mawb, first_day FROM masters")
 Q.add("srt_02_flag_first", ["qc"], lambda q: q.orderBy(*P.flag_first("flags", F.col("num") % 2 == 0, "num")).select("stem", "flags"), "SELECT stem, flags FROM qc")
