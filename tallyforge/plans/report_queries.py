@@ -153,13 +153,19 @@ Q.oracles["str_01_ingest"] = "SELECT event_type, count(*) AS n FROM events GROUP
 Q.queries["str_02_ingest_dedup"] = lambda spark, d: ST.drain(ST.dedup(ST.ingest(spark, d, "events").select(F.concat("user_id", F.lit("|"), "event_type").alias("key"), "ts"), "key"), "append").select("key")
 Q.oracles["str_02_ingest_dedup"] = "SELECT DISTINCT user_id || '|' || event_type AS key FROM events"
 Q.queries["str_03_suppress_repeats"] = lambda spark, d: ST.drain(ST.suppress_repeats(ST.ingest(spark, d, "events").select(F.concat(F.lit("F"), "user_id").alias("key"), F.col("event_id").alias("at"), F.floor(F.col("value") / 40).cast("string").alias("fp"), (~F.col("event_type").isin("error", "signup")).alias("ok")), 500), "append")
-Q.queries["str_04_fold_events"] = lambda spark, d: ST.drain_latest(ST.fold(ST.ingest(spark, d, "events")), "stem", "n_events")
-Q.oracles["str_04_fold_events"] = "SELECT 'S' || user_id AS stem, count(*) AS n_events, max(event_id) AS last_seq FROM events GROUP BY user_id"
+_STAGE = [
+    "'S' || user_id AS stem", "event_id AS seq", "CAST(ts AS STRING) AS at", "'u' || event_id % 7 AS who", "CASE WHEN event_id % 3 = 0 THEN 'inputter' ELSE 'preparer' END AS role",
+    "CASE WHEN event_type = 'view' THEN 'review' ELSE 'stage' END AS kind", "CAST(floor(value) AS STRING) AS weight", "event_type AS goods",
+]
+Q.queries["str_04_fold_events"] = lambda spark, d: ST.drain_latest(ST.fold(ST.ingest(spark, d, "events").selectExpr(*_STAGE), ["weight", "goods"]), "stem", "n_events").select("stem", "weight", "goods", "n_events", "n_staged", "reviewed", "last_who")
+_ARG = "arg_max({c}, event_id) FILTER (WHERE event_type <> 'view')"
+Q.oracles["str_04_fold_events"] = f"SELECT 'S' || user_id AS stem, {_ARG.format(c='CAST(CAST(floor(value) AS BIGINT) AS STRING)')} AS weight, {_ARG.format(c='event_type')} AS goods, count(*) AS n_events, count(*) FILTER (WHERE event_type <> 'view') AS n_staged, bool_or(event_id % 3 = 0) AS reviewed, arg_max('u' || event_id % 7, event_id) AS last_who FROM events GROUP BY user_id"
 Q.queries["str_05_usage_by_day"] = lambda spark, d: ST.drain(ST.usage_by_day(ST.ingest(spark, d, "events")), "complete")
 Q.oracles["str_05_usage_by_day"] = "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS amount FROM events GROUP BY 1"
 Q.queries["str_06_validation"] = lambda spark, d: ST.drain(L.validate(ST.ingest(spark, d, "events").select("event_id", "event_type", "value"), [L.Rule("S-1", "value", F.col("value") > 100, "large"), L.Rule("S-2", "event_type", F.col("event_type") == "error", "error")], "event_id"), "append").select("event_id", "rule_id")
 Q.oracles["str_06_validation"] = "SELECT event_id, 'S-1' AS rule_id FROM events WHERE value > 100 UNION ALL SELECT event_id, 'S-2' FROM events WHERE event_type = 'error'"
 Q.queries["str_07_upsert_sink"] = lambda spark, d: ST.upsert_stream(ST.ingest(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "event_type"), "key", "seq")
 Q.oracles["str_07_upsert_sink"] = "SELECT user_id AS key, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
-Q.queries["str_08_retry_cap"] = lambda spark, d: ST.drain_latest(ST.failures(ST.ingest(spark, d, "events")), "name", "failures")
-Q.oracles["str_08_retry_cap"] = "SELECT 'F' || user_id AS name, count(*) AS failures, count(*) >= 3 AS given_up FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id"
+_TRIES = ["'F' || user_id AS name", "event_id AS scan", "CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE 1 END AS ok"]
+Q.queries["str_08_retry_cap"] = lambda spark, d: ST.drain_latest(ST.failures(ST.ingest(spark, d, "events").selectExpr(*_TRIES)), "name", "last").select("name", "failures", "given_up")
+Q.oracles["str_08_retry_cap"] = "WITH g AS (SELECT user_id, max(event_id) FILTER (WHERE event_type NOT IN ('error', 'signup')) AS last_ok FROM events GROUP BY user_id) SELECT 'F' || e.user_id AS name, count(*) FILTER (WHERE event_type IN ('error', 'signup') AND event_id > coalesce(last_ok, -1)) AS failures, count(*) FILTER (WHERE event_type IN ('error', 'signup') AND event_id > coalesce(last_ok, -1)) >= 3 AS given_up FROM events e JOIN g ON g.user_id = e.user_id GROUP BY e.user_id"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyforge.operators.events import fold_stage_events
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none."""
+    """The folder all executors share. Where none is named, one of our own, but only if driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -83,9 +88,9 @@ def suppress_repeats(stream: DataFrame, ttl: int) -> DataFrame:
     return stream.groupBy("key").applyInPandasWithState(step, "key string, at long, fp string, accepted boolean", "fp string, at long", "append", "NoTimeout")
 
 
-def fold(stream: DataFrame) -> DataFrame:
-    """STR-04: current state per record, in update mode: number of events and the last one."""
-    return stream.groupBy(F.concat(F.lit("S"), F.col("user_id")).alias("stem")).agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_seq"))
+def fold(stream: DataFrame, columns: list[str]) -> DataFrame:
+    """STR-04: the batch fold of staging events (EVT-03) as a stateful aggregate, in update mode: one state row per record."""
+    return fold_stage_events(stream, columns)
 
 
 def usage_by_day(stream: DataFrame, late: str = "2 days") -> DataFrame:
@@ -95,23 +100,63 @@ def usage_by_day(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "amount")
 
 
-def upsert_stream(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """STR-07: last write wins per key, batch by batch; each batch writes a new version of the table."""
+def upsert_stream(stream: DataFrame, key: str, order: str, buckets: int = 32) -> DataFrame:
+    """STR-07: last write wins per key, batch by batch.
+
+    Keys are dealt into buckets; a batch rewrites only the buckets it touches, as a version of its own. A small table per
+    batch says which version each bucket has, so a batch that is run again, or a number that is skipped, changes nothing.
+    """
     spark = stream.sparkSession
     place = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
     rest = [c for c in stream.columns if c != key]
+    done: list[int] = []
 
-    def merge(df: DataFrame, n: int) -> None:
-        rows = df if n == 0 else df.unionByName(df.sparkSession.read.schema(stream.schema).parquet(f"{place}/v{n - 1}"))
-        rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*stream.columns).write.mode("overwrite").parquet(f"{place}/v{n}")
+    def versions(before: int) -> dict[int, int]:
+        known = [n for n in done if n < before]
+        if not known:
+            return {}
+        return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{place}/versions-{max(known)}").collect()}
 
-    query = stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=0)
-    return spark.read.schema(stream.schema).parquet(f"{place}/v{last}")
+    def merge(df: DataFrame, n: int) -> None:
+        rows = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows.write.mode("overwrite").parquet(f"{place}/batch-{n}")
+        rows = spark.read.schema(rows.schema).parquet(f"{place}/batch-{n}")
+        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())
+        if not touched:
+            return
+        now = versions(n)
+        for b in touched:
+            if b in now:
+                rows = rows.unionByName(spark.read.schema(stream.schema).parquet(f"{place}/rows-{now[b]}/_bucket={b}").withColumn("_bucket", F.lit(b)))
+        merged = rows.groupBy("_bucket", key).agg(F.max_by(F.struct(*rest), order).alias("r")).select("_bucket", key, "r.*")
+        merged.repartition(len(touched), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{place}/rows-{n}")
+        spark.createDataFrame(list({**now, **dict.fromkeys(touched, n)}.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{place}/versions-{n}")
+        done.append(n)
+
+    stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    paths = [f"{place}/rows-{n}/_bucket={b}" for b, n in versions(1 << 62).items()]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def failures(stream: DataFrame, most: int = 3) -> DataFrame:
-    """STR-08: failures per file and whether it is given up."""
-    failed = stream.where(F.col("event_type").isin("error", "signup")).groupBy(F.concat(F.lit("F"), F.col("user_id")).alias("name")).agg(F.count(F.lit(1)).alias("failures"))
-    return failed.withColumn("given_up", F.col("failures") >= most)
+    """STR-08: ``name, failures, given_up, last`` for attempts (``name, scan, ok``): failures since the file's last success.
+
+    The state of a file is its last success and the failures after it; within a batch only numbers of failed attempts are kept.
+    """
+
+    def step(key, batches, state):
+        import numpy as np
+        import pandas as pd
+
+        count, last_ok, last = state.get if state.exists else (0, -1, -1)
+        failed, best = [], last_ok
+        for batch in batches:
+            ok, scan = batch["ok"].to_numpy() == 1, batch["scan"].to_numpy()
+            best = max(best, int(scan[ok].max(initial=-1)))
+            last = max(last, int(scan.max(initial=-1)))
+            failed.append(scan[~ok])
+        count = (count if best == last_ok else 0) + int((np.concatenate(failed) > best).sum())
+        state.update((count, best, last))
+        yield pd.DataFrame({"name": [key[0]], "failures": [count], "given_up": [count >= most], "last": [last]})
+
+    return stream.groupBy("name").applyInPandasWithState(step, "name string, failures long, given_up boolean, last long", "failures long, last_ok long, last long", "update", "NoTimeout")
