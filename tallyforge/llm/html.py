@@ -2,7 +2,9 @@
 
 A page is cut into text blocks at block-level tags. A block's features are its
 word count and link density, those of its neighbours, and what encloses it. The
-tree is trained here, on the labelled table ``LABELLED``, when the job starts.
+tree is trained here, on the blocks of ``LABELLED_PAGES``, when the job starts.
+Word counts alone can't tell an advert from a short paragraph, nor a reader's
+comment from a long one; that is what the marks of enclosing elements are for.
 """
 
 from __future__ import annotations
@@ -39,27 +41,74 @@ _DROPPED, _INLINE, _BOILER_TAGS, _CONTENT, _HEADINGS, _VOID = map(frozenset, (DR
 
 FEATURES = ("words", "link_density", "prev_words", "prev_density", "next_words", "next_density", "boiler", "content", "heading", "listed", "page_has_content")
 
-#: The small labelled table: a row per block, the values of FEATURES and then 1 for main text.
-LABELLED = [
-    # menus, footers, sidebars, notices, adverts, forms, comments: enclosed by a boilerplate mark
-    *[[w, d, pw, pd, nw, nd, 1, c, h, li, pc, 0] for w, d in ((1, 1.0), (1, 0.0), (4, 0.0), (12, 0.0), (40, 0.0), (120, 0.1), (9, 0.6)) for pw, pd, nw, nd in ((0, 0.0, 1, 1.0), (1, 1.0, 30, 0.0), (60, 0.0, 0, 0.0)) for c, pc in ((0, 0), (0, 1), (1, 1)) for h, li in ((0, 0), (0, 1), (1, 0))],
-    # inside the article: long and short paragraphs, headings, list items
-    *[[w, d, pw, pd, nw, nd, 0, 1, h, li, 1, 1] for w, d in ((1, 0.0), (2, 0.0), (6, 0.0), (20, 0.0), (80, 0.02), (300, 0.0), (25, 0.3)) for pw, pd, nw, nd in ((0, 0.0, 20, 0.0), (4, 1.0, 60, 0.0), (80, 0.0, 6, 0.0), (80, 0.0, 0, 0.0)) for h, li in ((0, 0), (1, 0), (0, 1))],
-    # inside the article, but nothing but links
-    *[[w, 1.0, pw, 0.0, nw, nd, 0, 1, 0, li, 1, y] for w, pw, nw, nd, y in ((3, 60, 3, 1.0, 0), (5, 3, 4, 1.0, 0), (2, 30, 2, 1.0, 0), (4, 60, 80, 0.0, 1)) for li in (0, 1)],
-    # pages with an article, but the block outside of it
-    *[[w, d, pw, pd, nw, nd, 0, 0, h, li, 1, 0] for w, d in ((1, 1.0), (3, 0.0), (14, 0.0), (45, 0.0), (8, 0.7)) for pw, pd, nw, nd in ((0, 0.0, 3, 1.0), (2, 1.0, 60, 0.0), (60, 0.0, 0, 0.0)) for h, li in ((0, 0), (0, 1), (1, 0))],
-    # pages without such a mark: word counts and link densities decide
-    *[[w, d, pw, pd, nw, nd, 0, 0, 0, 0, 0, 1] for w, d in ((18, 0.0), (30, 0.05), (70, 0.1), (200, 0.0)) for pw, pd, nw, nd in ((0, 0.0, 0, 0.0), (3, 1.0, 40, 0.0), (50, 0.0, 2, 1.0), (40, 0.0, 40, 0.0))],
-    *[[w, d, pw, pd, nw, nd, 0, 0, h, li, 0, 0] for w, d in ((1, 1.0), (3, 1.0), (9, 0.7), (30, 0.6), (80, 0.55)) for pw, pd, nw, nd in ((0, 0.0, 2, 1.0), (2, 1.0, 2, 1.0), (40, 0.0, 3, 1.0)) for h, li in ((0, 0), (0, 1))],
-    *[[w, 0.0, pw, pd, nw, nd, 0, 0, 0, 0, 0, y] for w, pw, pd, nw, nd, y in ((2, 0, 0.0, 2, 1.0, 0), (5, 3, 1.0, 4, 1.0, 0), (8, 2, 1.0, 3, 0.8, 0), (4, 6, 0.0, 0, 0.0, 0), (6, 40, 0.0, 50, 0.0, 1), (9, 80, 0.0, 60, 0.0, 1), (3, 30, 0.0, 25, 0.0, 1), (11, 60, 0.0, 90, 0.0, 1))],
-    *[[w, 0.0, 2, 1.0, nw, 0.0, 0, 0, 1, 0, 0, 1] for w, nw in ((2, 25), (5, 40), (9, 60), (12, 200))],
-    *[[w, 0.0, 2, 0.5, nw, 1.0, 0, 0, 1, 0, 0, 0] for w, nw in ((1, 2), (2, 3), (3, 2), (2, 6))],
+
+def _words(sign: str, n: int) -> str:
+    return sign + " ".join(["word"] * n)
+
+
+def _main(tag: str, *sizes: int) -> str:
+    """Blocks of main text of so many words."""
+    return "".join(f"<{tag}>{_words('+', n)}</{tag}>" for n in sizes)
+
+
+def _other(tag: str, *sizes: int) -> str:
+    """Blocks of anything else, without links."""
+    return "".join(f"<{tag}>{_words('-', n)}</{tag}>" for n in sizes)
+
+
+def _links(tag: str, *sizes: int) -> str:
+    """Blocks of anything else that are links."""
+    return "".join(f"<{tag}><a href=x>{_words('-', n)}</a></{tag}>" for n in sizes)
+
+
+def _mixed(tag: str, sign: str, plain: int, linked: int) -> str:
+    return f"<{tag}>{_words(sign, plain)} <a href=x>{_words('', linked)}</a></{tag}>"
+
+
+#: The labelled table: pages of the usual kinds, each block marked by its first character, + for main text and - for the rest.
+#: What counts are the features of the blocks, so all words are the same.
+LABELLED_PAGES = [
+    # a news article: menu, advert, article with short and long paragraphs, footer
+    "<nav><ul>" + _links("li", 1, 1, 2, 1, 1) + "</ul></nav><div class=ad>" + _words("-", 7) + "</div><article>" + _main("h1", 9) + _main("p", 48, 3, 80, 1, 22) + "</article><footer>" + _words("-", 11) + "</footer>",
+    "<header>" + _other("p", 3) + "</header><nav>" + _links("p", 1, 1, 1) + "</nav><article>" + _main("h1", 5) + _main("p", 1, 2, 140) + "</article><div class=banner>" + _other("p", 26) + "</div><footer>" + _links("p", 2, 2) + _other("p", 4) + "</footer>",
+    # an article with a byline, a share bar, a list, a quotation, links at its end and readers' comments
+    "<nav>" + _links("div", 1, 2, 1) + "</nav><article><header>" + _other("p", 4) + "</header>" + _main("h1", 7) + "<div class=share>" + _links("span", 1, 1) + "</div>" + _main("p", 60, 35) + "<ul>" + _main("li", 4, 9, 2, 6) + "</ul>" + _main("blockquote", 25) + _mixed("p", "+", 40, 4) + _main("h2", 3) + _main("p", 70)
+    + "<ul>" + _links("li", 5, 6, 4) + "</ul></article><div class=comments>" + _other("h3", 2) + _other("p", 30, 12, 55) + "</div><footer>" + _other("p", 9) + "</footer>",
+    # a page in a main element, with notice, sidebar, form and footer
+    "<div class=cookie-notice>" + _other("p", 22) + "</div><header>" + _links("div", 2) + "</header><main>" + _main("h1", 4) + _main("p", 33, 90, 12) + _main("h2", 2) + _main("p", 6, 58) + "</main><aside>" + _other("h4", 2) + _other("p", 28) + _links("p", 3, 5) + "</aside><form>" + _other("p", 5, 1) + "</form><footer>" + _mixed("p", "-", 5, 2) + "</footer>",
+    # documentation: bread crumbs, headings with little under them, lists, table, pages before and after
+    "<div class=breadcrumb>" + _links("span", 1, 1, 2) + "</div><main>" + _main("h1", 2) + _main("p", 15) + _main("h2", 3) + "<ul>" + _main("li", 3, 5, 8, 1) + "</ul>" + _main("h2", 1) + _main("p", 21, 7) + "<table><tr>" + _main("td", 1, 2, 1) + "</tr></table>" + _mixed("p", "+", 12, 3) + "</main><div class=pagination>" + _links("p", 1, 2) + "</div><footer>" + _other("p", 6) + "</footer>",
+    # a short note, and one whose article holds a single word
+    "<nav>" + _links("p", 1, 1) + "</nav><article>" + _main("p", 14) + "</article><div class=newsletter>" + _other("p", 16, 3) + "</div>",
+    "<div class=ad>" + _other("p", 12) + "</div><article>" + _main("h1", 1) + _main("p", 1) + "</article><footer>" + _other("p", 2) + "</footer>",
+    # articles with nothing after them, or only links
+    "<nav>" + _links("li", 2, 1) + "</nav><article>" + _main("h1", 6) + _main("p", 30, 2, 100, 66, 5) + "</article>",
+    "<article>" + _main("h1", 3) + _main("p", 12, 90, 1) + "</article>" + _links("p", 2, 1, 3),
+    "<header>" + _other("p", 5, 2) + "</header><main>" + _main("p", 4, 15, 200, 64, 1) + "</main>",
+    "<div class=ad>" + _other("p", 8) + "</div><article>" + _main("h2", 4) + _main("p", 17, 65, 20) + _mixed("p", "+", 30, 9) + _main("p", 2) + "</article><footer>" + _links("p", 1, 1, 1) + "</footer>",
+    *["<nav>" + _links("p", 1, 2) + "</nav><article>" + _main("h1", n) + _main("p", 40 - n, n, 2 * n) + "</article>" for n in (2, 6, 12, 30)],
+    *["<nav>" + _links("p", 2) + "</nav><article>" + _main("p", n) + "</article><footer>" + _links("p", 1, 2) + "</footer>" for n in (1, 14, 45)],
+    *[_links("p", 2, 2) + _main("h1", 5) + _main("p", 50, 70) + _other("p", n) for n in (3, 6, 9)],
+    # without marks: a menu of links, heading, paragraphs, links, a line of copyright
+    "<div>" + _links("p", 1, 2, 1, 1) + "</div>" + _main("h1", 6) + _main("p", 45, 80, 7, 62, 110) + _main("h2", 4) + _main("p", 38, 51) + "<div>" + _links("p", 3, 4, 2) + "</div>" + _other("p", 5),
+    # without marks, in a table: links in one cell, text in the next
+    "<table><tr><td>" + _links("p", 2, 2, 1) + "</td><td>" + _main("p", 30, 66) + _mixed("p", "+", 44, 5) + "</td></tr></table>" + _links("p", 2, 1) + _mixed("p", "-", 2, 3),
+    # without marks: text with some links in it, teasers between links
+    _links("p", 1, 1, 3) + _other("p", 2) + _links("p", 4) + _main("h1", 9) + _main("p", 72) + _mixed("p", "+", 50, 6) + _mixed("p", "+", 35, 4) + _main("p", 27) + _other("h3", 2) + _links("p", 7, 9, 6) + _mixed("p", "-", 6, 5) + _links("p", 1, 1),
+    # without marks: paragraphs of middle length, one after the other
+    "<div>" + _links("p", 1, 1, 1) + "</div>" + _main("h1", 5) + _main("p", 25, 18, 31, 22, 40, 16, 29, 24) + _links("p", 2, 3) + _other("p", 6),
+    _other("p", 4) + _links("p", 1, 2) + _main("h2", 6) + _main("p", 28, 35, 19, 12, 33) + _mixed("p", "+", 24, 2) + _main("p", 21) + _links("p", 4, 3, 5) + _other("p", 8),
+    # without marks: nothing but lists of links
+    "<ul>" + _links("li", 1, 2, 4, 6, 3, 8) + "</ul>" + _other("h2", 1) + "<ul>" + _links("li", 5, 7, 6) + "</ul>" + _mixed("p", "-", 4, 4) + _other("h2", 2) + _links("p", 9, 30),
+    # text beside the article that no mark tells of
+    "<article>" + _main("h1", 8) + _main("p", 20, 64) + "</article><div>" + _other("p", 3, 18) + _links("p", 4, 5) + "</div><div>" + _other("p", 45) + "</div>",
+    # a long advert, a form and comments without an article
+    "<div class=advert>" + _other("p", 60) + "</div>" + _main("h1", 5) + _main("p", 85, 40, 95) + "<form>" + _other("label", 3) + _other("p", 14) + "</form><div id=comments>" + _other("p", 70, 24) + "</div><div class=related>" + _links("p", 6, 7) + "</div>",
 ]
 
 
-def fit_tree(table: list[list[float]], depth: int = 8) -> list[tuple[int, float, int, int, int]]:
-    """CART by Gini impurity. Nodes are (feature or -1, threshold, left, right, class); ties go to the lower feature and threshold."""
+def fit_tree(table: list[list[float]], depth: int = 8, least: int = 2) -> list[tuple[int, float, int, int, int]]:
+    """CART by Gini impurity, leaves of ``least`` rows or more. Nodes are (feature or -1, threshold, left, right, class); ties go to the lower feature and threshold."""
     data = np.asarray(table, dtype=float)
     nodes: list[tuple[int, float, int, int, int]] = []
 
@@ -77,6 +126,8 @@ def fit_tree(table: list[list[float]], depth: int = 8) -> list[tuple[int, float,
             values = np.unique(rows[:, f])
             for cut in (values[1:] + values[:-1]) / 2:
                 left = rows[:, f] <= cut
+                if min(left.sum(), len(left) - left.sum()) < least:
+                    continue
                 if (cost := gini(y[left]) + gini(y[~left])) < best[0] - 1e-12:
                     best = (cost, f, float(cut))
         if best[1] < 0:
@@ -211,16 +262,26 @@ def blocks_of(source: str) -> tuple[list[str], list[list[float]]]:
     return texts, rows
 
 
+def labelled_rows(pages: list[str]) -> list[list[float]]:
+    """A row per block of labelled pages: its features, then 1 for main text."""
+    out = []
+    for page in pages:
+        texts, rows = blocks_of(page)
+        out += [[*row, float(text[0] == "+")] for text, row in zip(texts, rows, strict=True)]
+    return out
+
+
 def main_text(source: str, nodes: list[tuple[int, float, int, int, int]]) -> str:
     texts, rows = blocks_of(source)
     return "\n".join(t for t, keep in zip(texts, classify(nodes, rows), strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page. A null or empty html gives an empty text; repeated rows and
-    other columns change nothing; an empty table gives an empty result."""
+    """``page_id, url, text, n_chars`` of every page. A null or empty html gives an empty text; pages of any length are
+    read whole; repeated rows are read one by one and other columns change nothing; an empty table gives an empty result.
+    Where two splits of the tree are as good, the one of the first feature and least threshold is taken."""
     small_batches(pages.sparkSession)
-    nodes = fit_tree(LABELLED)
+    nodes = fit_tree(labelled_rows(LABELLED_PAGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import re
 
 import pytest
@@ -155,16 +156,48 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_html_main_text(spark):
-    nodes = html.fit_tree(html.LABELLED)
+    nodes = html.fit_tree(html.labelled_rows(html.LABELLED_PAGES))
     assert html.main_text(PAGE, nodes) == "Head & tail\nFirst paragraph goes on é.\nSecond <one>.\nitem one"
     assert html.main_text("", nodes) == ""
     plain = "<div><a href=x>Home</a> <a href=y>News</a></div>" + "".join(f"<p>{prose(i, 40)}</p>" for i in range(3)) + "<div><a href=z>Terms</a></div>"
     assert html.main_text(plain, nodes).count("\n") == 2
 
 
+def test_html_word_counts_and_link_density_decide():
+    rows = html.labelled_rows(html.LABELLED_PAGES)
+    nodes = html.fit_tree(rows)
+    right = [got == bool(r[-1]) for got, r in zip(html.classify(nodes, [r[:-1] for r in rows]), rows, strict=True)]
+    assert sum(right) >= 0.98 * len(rows)
+    used = {html.FEATURES[n[0]] for n in nodes if n[0] >= 0}
+    assert {"words", "link_density"} <= used and used & {"prev_words", "prev_density", "next_words", "next_density"}
+    # no element or class says what is what here
+    page = "<div><p><a>Home</a></p><p><a>About us</a></p></div>" + "".join(f"<p>{prose(i, 30 + 9 * i)}</p>" for i in range(6)) + "<p><a>Terms of use</a></p><p><a>Contact</a></p>"
+    text = html.main_text(page, nodes)
+    assert text.count("\n") == 5 and "Home" not in text and "Terms" not in text
+
+
+def direct_text(source):
+    """Main text of the generated pages by their fixed layout, read without the operator."""
+    import html as lib
+
+    body = re.search(r"<article>(.*?)</article>", source, re.S)
+    blocks = re.split(r"</?(?:h1|h2|h3|p|ul|ol|li|div|blockquote|table|tr|td)\b[^>]*>", re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", " ", body.group(1), flags=re.S)) if body else []
+    texts = [re.sub(r"\s+", " ", lib.unescape(re.sub(r"<[^>]+>", lambda m: " " if m.group().startswith("<br") else "", b))).strip() for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="needs the driver's tables")
+def test_html_equals_a_direct_reading_of_the_generated_pages():
+    import pyarrow.parquet as pq
+
+    nodes = html.fit_tree(html.labelled_rows(html.LABELLED_PAGES))
+    for source in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        assert html.main_text(source or "", nodes) == direct_text(source or "")
+
+
 @pytest.mark.parametrize("source", ["<", "<p", "<p>a</b></p></p>", "<!-- x", "<script>", "</article>", "<article>a" * 50, "<a href='>'>x</a>", "&#x110000; &bogus;"])
 def test_html_broken_markup_does_not_crash(source):
-    html.main_text(source, html.fit_tree(html.LABELLED))
+    html.main_text(source, html.fit_tree(html.labelled_rows(html.LABELLED_PAGES)))
 
 
 def test_html_query_shape(spark):
