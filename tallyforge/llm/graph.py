@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import settle
+from tallyforge.llm.common import join_uneven, settle
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,10 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # a large component's centre has most of the edges
+        large = join_uneven(both, least, "u", "n", state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settle(large, "component-large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_uneven(large, low, "u", "n", state[0])
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = settle(small.where("u <> v").distinct(), "component-edges")
         before, state = state, _state(edges)

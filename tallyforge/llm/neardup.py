@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import settle, small_batches, text_of
+from tallyforge.llm.common import join_uneven, settle, small_batches, text_of
 from tallyforge.llm.graph import components
 
 WORD = re.compile(r"\w+")
@@ -114,28 +114,37 @@ class Sampler:
         self.beta = rng.random(self.SIZE).astype(np.float32)
         self.inverse = 1 / self.r
         self.params = params
-        self.steps = np.arange(params.hashes, dtype=np.uint32) * np.uint32(2654435761 & 0xFFFFFFFF)
+        self.steps = (np.arange(params.hashes, dtype=np.uint32) * np.uint32(2654435761) + np.uint32(1))[:, None]
 
     def samples(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One 64-bit sample for each hash."""
-        k = self.params.hashes
+        """One 64-bit sample for each hash. Some shingles at a time, so that the tables of a step stay in the processor's cache."""
+        k, size = self.params.hashes, 256
         best = np.full(k, np.inf, dtype=np.float32)
         out = np.zeros(k, dtype=np.uint64)
-        cols = np.arange(k)
+        rows = np.arange(k)
         logs = np.log(weights)
-        for s in range(0, len(keys), 2048):
-            part, lw = keys[s : s + 2048], logs[s : s + 2048, None]
-            one = (part >> np.uint64(32)).astype(np.uint32)
-            two = part.astype(np.uint32) | np.uint32(1)
-            at = (one[:, None] + two[:, None] * (self.steps + np.uint32(1))) >> np.uint32(15)
-            r, beta = self.r[at], self.beta[at]
-            t = np.floor(lw * self.inverse[at] + beta)
-            a = self.log_c[at] - r * (t - beta + 1)
-            low = a.argmin(axis=0)
-            value = a[low, cols]
-            better = value < best
-            sample = (part[low] ^ (t[low, cols].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x165667B19E3779F9)
-            best, out = np.where(better, value, best), np.where(better, sample, out)
+        one, two = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32) | np.uint32(1)
+        for s in range(0, len(keys), size):
+            part = keys[s : s + size]
+            place = two[s : s + size] * self.steps
+            place += one[s : s + size]
+            place >>= np.uint32(15)
+            place = place.astype(np.intp)
+            # t = floor(log w / r + beta); a = log c - r (t - beta + 1)
+            t, a, r = (x.take(place, mode="clip") for x in (self.inverse, self.beta, self.r))
+            t *= logs[s : s + size]
+            t += a
+            np.floor(t, out=t)
+            a -= t
+            a -= np.float32(1)
+            a *= r
+            a += self.log_c.take(place, mode="clip")
+            low = a.argmin(axis=1)
+            value = a[rows, low]
+            better = np.flatnonzero(value < best)
+            low = low[better]
+            best[better] = value[better]
+            out[better] = (part[low] ^ (t[better, low].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x165667B19E3779F9)
         return out ^ (out >> np.uint64(31))
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
@@ -439,14 +448,16 @@ def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     Two texts are linked if the weighted Jaccard similarity of their shingles is ``similarity`` or more; classes are
     the connected components. ``class_id`` is the least doc_id of the class, ``kept`` marks one row of each class, that
     of the least doc_id. Texts with the same words (any case and punctuation) are alike, and so are null and empty
-    texts. Repeated rows are members of one class; other columns are ignored; an empty table gives an empty result.
+    texts. Texts of any length are sampled whole. Of equal doc_ids the row that is read first is kept. Repeated rows are
+    members of one class; other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
     idf = fit_idf(docs, params)
     rows = settle(signatures(docs, idf, params).withColumn("uid", F.monotonically_increasing_id()), "near-signatures")
-    firsts = rows.groupBy("norm").agg(F.min(F.struct("uid", "doc_id", "text_key")).alias("f"))
-    nodes = settle(firsts.select("norm", F.col("f.uid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key")), "near-nodes")
+    firsts = rows.groupBy("norm").agg(F.min(F.struct("uid", "doc_id", "text_key")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    nodes = settle(firsts.select("norm", "copies", F.col("f.uid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key")), "near-nodes")
+    total = rows.count()
     keyed = rows.join(nodes.select(F.col("node").alias("uid")), "uid")
     sigs = settle(keyed.select(F.col("uid").alias("node"), "sig", "bands"), "near-node-signatures")
     buckets = sigs.select("node", F.explode("bands").alias("key"))
@@ -468,11 +479,11 @@ def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
         across = across.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
         own = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = own.join(across, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
-    labelled = nodes.select("norm", "node").join(labels, "node", "left").select("norm", F.coalesce("label", "node").alias("label"))
-    members = settle(rows.select("uid", "doc_id", "text_key", "norm").join(labelled, "norm").drop("norm"), "near-members")
+    labelled = settle(nodes.select("norm", "copies", "node").join(labels, "node", "left").select("norm", "copies", F.coalesce("label", "node").alias("label")), "near-labelled")
+    members = settle(join_uneven(rows.select("uid", "doc_id", "text_key", "norm"), labelled, "norm", "copies", total).drop("norm", "copies"), "near-members")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("uid"))
-    heads = members.groupBy("label").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("class_size"))
-    out = members.join(heads, "label")
+    heads = settle(members.groupBy("label").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
+    out = join_uneven(members, heads, "label", "class_size", total)
     return out.select("doc_id", "text_key", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
