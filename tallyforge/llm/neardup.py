@@ -338,7 +338,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearPara
 
 
 def _blocks(members: DataFrame, params: NearParams) -> DataFrame:
-    """``key, chunk, node, label`` for bucket members (``key, node, label``) of buckets with two labels or more: any two
+    """``key, band, chunk, node, label`` for bucket members (``key, band, node, label``) of buckets with two labels or more: any two
     members of a bucket with different labels share a chunk at least once.
 
     Small buckets are one chunk. Larger ones are dealt out as blocks of two parts each; parts of the bucket's most
@@ -352,12 +352,13 @@ def _blocks(members: DataFrame, params: NearParams) -> DataFrame:
     draw, common, whole = F.xxhash64("node", "key"), F.col("label") == F.col("top"), F.col("n") <= params.chunk
     own = F.when(whole, F.lit(0)).when(common, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("long")
     last = F.when(whole, F.lit(0)).when(common, F.col("few") - 1).otherwise(F.col("parts") - 1).cast("long")
-    rows = rows.select("key", "node", "label", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
-    return rows.select("key", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("chunk"), "node", "label")
+    rows = rows.select("key", "band", "node", "label", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    return rows.select("key", "band", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("chunk"), "node", "label")
 
 
-def _across(sig: np.ndarray, labels: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows and the other rows of different labels that share ``least`` samples with them, each pair once."""
+def _across(sig: np.ndarray, labels: np.ndarray, band: int, params: NearParams) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows and the other rows of different labels that look like them, each pair once, and only in the first band that both share."""
+    least = int(params.estimate * params.hashes)
     _, group, size = np.unique(labels, return_inverse=True, return_counts=True)
     # the most frequent label first: its rows are never compared with each other
     order = np.lexsort((group, -size[group]))
@@ -366,46 +367,40 @@ def _across(sig: np.ndarray, labels: np.ndarray, least: int) -> Iterator[tuple[i
     for a, b in zip(ends[1:-1], ends[2:], strict=True):
         for i in range(a, b):
             like = np.flatnonzero((sig[:a] == sig[i]).sum(axis=1) >= least)
+            if band and len(like):
+                before = (sig[like, : band * params.rows] == sig[i, : band * params.rows]).reshape(len(like), band, params.rows)
+                like = like[~before.all(axis=2).any(axis=1)]
             if len(like):
                 yield int(order[i]), order[like]
 
 
 def look_alikes(members: DataFrame, sigs: DataFrame, params: NearParams) -> DataFrame:
-    """``key, node`` of the bucket members (``key, node, label``) that look like one of another label; each such pair has
-    both its nodes in the least of the buckets where it meets."""
-    least = int(params.estimate * params.hashes)
+    """``key, band, node`` of the bucket members (``key, band, node, label``) that look like one of another label. A pair that
+    meets in several bands counts in the first; a member comes out once, however many it looks like."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            out = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "node", "other"])
-
-        for (key, _), nodes, sig, labels in _groups(batches):
-            for i, like in _across(sig, np.array(labels), least):
-                other = nodes[like]
-                found.append(np.stack([np.full(len(like), key), np.minimum(other, nodes[i]), np.maximum(other, nodes[i])]))
-                if len(found) > 5_000:
-                    yield flush()
-        yield flush()
-
-    rows = _blocks(members, params).join(sigs, "node").select("key", "chunk", "node", "sig", "label")
+        for (key, _), nodes, sig, own in _groups(batches):
+            band, alike = own[0]["band"], np.zeros(len(nodes), bool)
+            for i, like in _across(sig, np.array([x["label"] for x in own]), band, params):
+                alike[i] = True
+                alike[like] = True
+            n = int(alike.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([band] * n, pa.int32()), pa.array(nodes[alike])], names=["key", "band", "node"])
+
+    rows = _blocks(members, params).join(sigs, "node").select("key", "chunk", "node", "sig", F.struct("label", "band").alias("own"))
     spread = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
-    pairs = spread.mapInArrow(run, "key long, node long, other long").groupBy("node", "other").agg(F.min("key").alias("key"))
-    return pairs.select("key", F.explode(F.array("node", "other")).alias("node")).distinct()
+    return spread.mapInArrow(run, "key long, band int, node long").distinct()
 
 
 def link_across(members: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
-    """``u, v``: links between labels of the bucket members (``key, node, label``).
+    """``u, v``: links between labels of the bucket members (``key, band, node, label``).
 
     Members of a block are compared on whole texts where their signatures look alike and their labels are not yet
     linked in the block; only links that join two labels come out.
     """
-    rows = _blocks(members, params).join(sigs, "node").hint("merge").join(texts, "node").select("key", "chunk", "node", "sig", "label", "text")
-    rows = rows.select("key", "chunk", "node", "sig", F.struct("label", "text").alias("own"))
-    least = int(params.estimate * params.hashes)
+    rows = _blocks(members, params).join(sigs, "node").hint("merge").join(texts, "node")
+    rows = rows.select("key", "chunk", "node", "sig", F.struct("label", "band", "text").alias("own"))
     sent = members.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +424,7 @@ def link_across(members: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.n
                 return sets[k]
 
             found = []
-            for i, like in _across(sig, labels, least):
+            for i, like in _across(sig, labels, own[0]["band"], params):
                 for j in like.tolist():
                     u, v = root(int(labels[i])), root(int(labels[j]))
                     if u != v and weighted_jaccard(of(i), of(j)) >= params.similarity:
@@ -460,21 +455,21 @@ def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     total = rows.count()
     keyed = rows.join(nodes.select(F.col("node").alias("uid")), "uid")
     sigs = settle(keyed.select(F.col("uid").alias("node"), "sig", "bands"), "near-node-signatures")
-    buckets = sigs.select("node", F.explode("bands").alias("key"))
+    buckets = sigs.select("node", F.posexplode("bands").alias("band", "key"))
     sigs = sigs.select("node", "sig")
-    led = settle(candidates(buckets, sigs, params), "near-candidates")
+    led = settle(candidates(buckets.select("node", "key"), sigs, params), "near-candidates")
     pairs = settle(led.select("node", "leader").distinct(), "near-pairs")
     # a bucket without a pair has no two documents that look alike
-    members = settle(buckets.join(led.select("key").distinct(), "key"), "near-members-of-buckets")
+    members = settle(buckets.join(led.select("key").distinct(), "key").select("key", "band", "node"), "near-members-of-buckets")
     texts = node_texts(members.select("node"), nodes, docs)
     like = settle(verify(pairs, texts, idf, params), "near-verified")
     links = like.where(F.col("like") >= params.similarity).select("node", "leader")
     labels = settle(components(links.select(F.col("node").alias("u"), F.col("leader").alias("v"))), "near-labels")
     # what looks alike in a bucket and is not in one class yet is compared too, leaders and linked documents as well
-    members = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    members = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     alike = settle(look_alikes(members, sigs, params), "near-look-alikes")
     if not alike.isEmpty():
-        alike = alike.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        alike = alike.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
         across = components(settle(link_across(alike, sigs, texts, idf, params), "near-links-across"))
         across = across.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
         own = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
