@@ -158,8 +158,14 @@ def flag_columns(df: DataFrame, column: str, names: list[str]) -> DataFrame:
 
 def standardise_house(df: DataFrame, countries: DataFrame, cities: DataFrame, constants: dict[str, str] | None = None) -> DataFrame:
     """STD-01: master number, route and origin, country, phones, ids and HS codes of house records; symbols to spaces in
-    text columns. ``constants`` are columns the house overwrites. Columns the input lacks are left out."""
+    text columns. ``constants`` are columns the house overwrites. Columns the input lacks are left out. An address whose
+    party has postal code, country, state and city keeps what is left without them (STD-03)."""
     has = set(df.columns)
+    for col in [c for c in df.columns if c.endswith("_COMP_ADDRESS")]:
+        party = col.removesuffix("_COMP_ADDRESS")
+        tail = [f"{party}_POSTAL", f"{party}_COUNTRY", f"{party}_STATE", next((c for c in (f"{party}_CITY", f"{party}_CITTY") if c in has), "")]
+        if has.issuperset(tail):
+            df = address_residual(df, "", col, tail, tuple(tail)).withColumn(col, F.col("street")).drop("street")
     for col in [c for c in ("TO1", "TO2", "TO3", "DEST_NAME") if c in has]:
         df = city_code(df, col, cities).withColumn(col, F.col("city_code")).drop("city_code")
     if "ORIGIN_NAME" in has:
@@ -183,6 +189,22 @@ def clean_partial(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(T.blank(v), F.lit(None).cast("string")).otherwise(F.when(k.rlike("_(TEL|FAX)$"), T.phone_cell(v)).when(k.rlike("_(EORI|TAX|AEO)$"), T.id_join(v)).when(k == "MAWB_NO", T.hyphenate11(v)).otherwise(T.fold_ws(v))))
 
 
+def change_preview(df: DataFrame, key: str, parties: list[str], countries: DataFrame, states: DataFrame) -> DataFrame:
+    """ACC-07: ``key, field, from, to, rule, why`` for each cell whose value the rules would change: ``CHARS`` (characters of the
+    print), ``POSTAL`` and ``STATE`` (the form of the party's country). Rules that fire together are joined by ``+``.
+
+    Each party has ``<party>_POSTAL``, ``<party>_STATE`` and ``<party>_COUNTRY``; cells of all parties are looked up at once.
+    """
+    cells = [F.struct(F.lit(f"{p}_{s}").alias("field"), F.lit(s).alias("_kind"), T.text(F.col(f"{p}_{s}")).alias("from"), T.text(F.col(f"{p}_COUNTRY")).alias("_country")) for p in parties for s in ("POSTAL", "STATE")]
+    long = country_iso2(df.select(key, F.inline(F.array(*cells))), "_country", countries).withColumn("_clean", T.clean_chars(F.col("from")))
+    long = state_code(long, "_clean", "country_iso2", states)
+    chars = F.when(F.col("_clean") != F.col("from"), F.struct(F.lit("CHARS").alias("rule"), F.lit("characters of the print").alias("why")))
+    formed = F.when(F.col("_kind") == "POSTAL", T.postal_format(F.col("_clean"), F.col("country_iso2"))).otherwise(F.col("state_code"))
+    form = F.when(formed.isNotNull(), F.struct(F.col("_kind").alias("rule"), F.concat(F.lit("form of "), "country_iso2").alias("why")))
+    rows = long.select(key, "field", "from", F.coalesce(formed, "_clean").alias("to"), F.array_compact(F.array(chars, form)).alias("_r")).where((F.size("_r") > 0) & (F.col("to") != F.col("from")) & (F.col("to") != ""))
+    return rows.select(key, "field", "from", "to", F.array_join("_r.rule", "+").alias("rule"), F.array_join("_r.why", "; ").alias("why"))
+
+
 def strip_tail(address: Column, postal: Column, country: Column, state: Column, city: Column) -> Column:
     """STD-03: an address without commas, without the postal code, country, state and city that stand at its end in any
     order and number, a CITY label before the city and a two-letter country code at the very end."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dictionaries as D
+from tallyforge.functions import text as T
 from tallyforge.operators import events as E
 from tallyforge.operators import evidence as V
 from tallyforge.operators import reports as P
@@ -56,11 +57,23 @@ _SHAPES = {
     "07": ("VAL-07", "iso2 <> CASE k % 4 WHEN 0 THEN 'CN' WHEN 1 THEN 'SE' WHEN 2 THEN 'FI' ELSE 'IE' END"),
     "08": ("VAL-08", "k % 8 <> 2"),
     "11": ("VAL-11", _POSTAL),
-    "12": ("VAL-12", "false"),
-    "23": ("VAL-23", "false"),
+    "12": ("VAL-12", "length(postal) < 6"),
+    "23": ("VAL-23", "contains(tel, ' / ')"),
+    "09_phone": ("VAL-09a", "contains(tel, ' / ')"),
 }
+
+
+def _shaped(d):
+    """Cells that break the rules: an HS cell that begins with the postal code, the second number of a phone cell, a phone for an id."""
+    first, second = F.substring_index("tel", " / ", 1), F.substring_index("tel", " / ", -1)
+    two = F.contains("tel", F.lit(" / "))
+    return {
+        "VAL-12": d.withColumn("goods", F.concat("postal", F.lit(","), F.regexp_extract("goods", r"(\d{7})", 1))),
+        "VAL-23": d.withColumn("tel", second),
+        "VAL-09a": d.withColumn("cell", F.when(two, first).otherwise(F.col("cell"))).withColumn("tel", first),
+    }
 for _k, (_id, _sql) in _SHAPES.items():
-    Q.add(f"val_{_k}_rule", ["id_cells"], lambda d, i=_id: L.validate(d, [r for r in L.shape_rules() if r.rule_id == i], "k").select("k", "rule_id"), f"SELECT k, '{_id}' AS rule_id FROM id_cells WHERE {_sql}")
+    Q.add(f"val_{_k}_rule", ["id_cells"], lambda d, i=_id: L.validate(_shaped(d).get(i, d), [r for r in L.shape_rules() if r.rule_id == i], "k").select("k", "rule_id"), f"SELECT k, '{_id}' AS rule_id FROM id_cells WHERE {_sql}")
 Q.add(
     "val_09_rule",
     ["id_cells"],
@@ -144,7 +157,46 @@ _STD = "SELECT stem, CASE WHEN contains(MAWB_NO, '-') THEN MAWB_NO ELSE MAWB_NO
 Q.add("std_01_house_job", ["finals"], _std, _STD)
 Q.add("std_02_master_job", ["finals"], lambda f: f.select("stem", S.clean_partial(F.create_map(F.lit("A_EORI"), F.concat(F.lit("it 123 / "), "HAWB_NO"), F.lit("GOODS"), "GOODS")).alias("m")).select("stem", F.col("m")["A_EORI"].alias("eori"), F.col("m")["GOODS"].alias("goods")), "SELECT stem, 'IT123 / ' || upper(HAWB_NO) AS eori, GOODS AS goods FROM finals")
 Q.add("std_03_address_residual", ["finals"], lambda f: S.address_residual(f.select("stem", F.concat(F.lit("Road 1, TEL +49 301122334, "), "COUNTRY", F.lit(", VAT 123456789")).alias("address"), "COUNTRY"), "stem", "address", ["COUNTRY"]).select("stem", "street"), "SELECT stem, 'Road 1' AS street FROM finals")
-Q.add("acc_07_change_preview", ["finals"], lambda f: _house(f).join(_std(f).select("stem", F.col("CONSIGNEE_INFO_COUNTRY").alias("to")), "stem").select("stem", F.col("CONSIGNEE_INFO_COUNTRY").alias("from"), "to").where(F.col("from") != F.col("to")), "SELECT stem, CASE WHEN num % 2 = 0 THEN 'Germany' ELSE 'Slovak Republic (SK)' END AS \"from\", CASE WHEN num % 2 = 0 THEN 'DE' ELSE 'SK' END AS \"to\" FROM finals")
+_STATES = "CASE iso2 WHEN 'BR' THEN 'São Paulo' WHEN 'US' THEN 'new  york' ELSE 'X' END"
+
+
+def _cells_of(d):
+    """A party with a postal code, with a zero width space in some, and a state."""
+    return d.select("k", F.concat("postal", F.when(F.col("iso2") == "SE", F.lit("\u200b")).otherwise("")).alias("A_POSTAL"), F.expr(_STATES).alias("A_STATE"), F.col("iso2").alias("A_COUNTRY"))
+
+
+_FORM = "CASE WHEN iso2 = 'BR' AND length(postal) = 8 THEN substr(postal, 1, 5) || '-' || substr(postal, 6) WHEN iso2 = 'SE' AND length(postal) = 5 THEN substr(postal, 1, 3) || ' ' || substr(postal, 4) WHEN iso2 = 'US' AND length(postal) = 9 THEN substr(postal, 1, 5) || '-' || substr(postal, 6) END"
+Q.add(
+    "acc_07_change_preview",
+    ["id_cells"],
+    lambda d: S.change_preview(_cells_of(d), "k", ["A"], D.countries(d.sparkSession), D.states(d.sparkSession)).select("k", "field", "to", "rule", "why"),
+    f"""SELECT k, 'A_POSTAL' AS field, coalesce({_FORM}, postal) AS "to", CASE WHEN iso2 = 'SE' THEN 'CHARS' || CASE WHEN {_FORM} IS NULL THEN '' ELSE '+POSTAL' END ELSE 'POSTAL' END AS rule,
+    CASE WHEN iso2 = 'SE' THEN 'characters of the print' || CASE WHEN {_FORM} IS NULL THEN '' ELSE '; form of SE' END ELSE 'form of ' || iso2 END AS why FROM id_cells WHERE iso2 = 'SE' OR {_FORM} IS NOT NULL
+    UNION ALL SELECT k, 'A_STATE', CASE iso2 WHEN 'BR' THEN 'SP' ELSE 'NY' END, CASE iso2 WHEN 'BR' THEN 'STATE' ELSE 'CHARS+STATE' END, CASE iso2 WHEN 'BR' THEN 'form of BR' ELSE 'characters of the print; form of US' END FROM id_cells WHERE iso2 IN ('BR', 'US')""",
+)
+
+
+def _parties(f):
+    """A house party whose address repeats its postal code, city and country, with commas or without."""
+    parts = {"A_POSTAL": F.substring("MAWB_NO", 5, 5), "A_STATE": F.lit(""), "A_CITY": F.upper("GOODS"), "A_COUNTRY": F.col("COUNTRY")}
+    rows = f.where("trim(SHIPPER) <> ''").select("stem", "num", T.fold_ws(F.col("SHIPPER")).alias("street"), *[c.alias(k) for k, c in parts.items()])
+    with_commas = F.concat_ws(", ", "street", "A_POSTAL", "A_CITY", "A_COUNTRY")
+    plain = F.concat_ws(" ", "street", "A_POSTAL", "A_CITY", "A_COUNTRY")
+    return rows.select("stem", F.when(F.col("num") % 2 == 0, with_commas).otherwise(plain).alias("A_COMP_ADDRESS"), *parts)
+
+
+Q.add(
+    "std_01_house_addresses",
+    ["finals"],
+    lambda f: S.standardise_house(_parties(f), D.countries(f.sparkSession), D.cities(f.sparkSession)).select("stem", "A_COMP_ADDRESS"),
+    "SELECT stem, trim(regexp_replace(regexp_replace(SHIPPER, '[^0-9A-Za-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS A_COMP_ADDRESS FROM finals WHERE trim(SHIPPER) <> ''",
+)
+Q.add(
+    "udx_01_user_dictionary",
+    ["tickets"],
+    lambda t: S.standardise(t.select("stem", "COUNTRY"), "COUNTRY", t.select(F.col("COUNTRY").alias("name"), F.substring("COUNTRY", -2, 2).alias("iso2"), F.length("COUNTRY").alias("ord")).distinct(), "code").select("stem", "code"),
+    "SELECT stem, right(COUNTRY, 2) AS code FROM tickets",
+)
 Q.add("acc_10_recheck", ["finals", "tickets"], lambda f, t: L.qc_record(f, L.validate(_records(f), L.record_rules()), f.select("stem", F.lit("").alias("error"))).join(V.fidelity_summary(V.evidence_job(_fields(t), _lines(t))).select("stem", "checked", "passed"), "stem").select("stem", "needs_review", "checked", "passed"))
 
 # --- streams, drained to tables ---------------------------------------------------------
