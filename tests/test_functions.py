@@ -144,3 +144,9 @@ def test_no_cross_join_on_dictionaries(spark):
     rows = spark.createDataFrame([(1, "+46 1"), (2, "+358 2")], "k int, tel string")
     plan = S.longest_prefix(rows, "tel", D.dial_codes(spark))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_labels_with_dots_and_in_chinese(spark):
+    df = spark.createDataFrame([("R.F.C. ABC123456789",), ("统一社会信用代码：91110000111122223X",), ("TAX 123456789",), ("gstin 22AAAAA0000A1Z5",)], "t string")
+    assert [r[0] for r in df.select(F.array_join(T.labelled_ids(F.col("t")), ",")).collect()] == ["ABC123456789", "91110000111122223X", "", "22AAAAA0000A1Z5"]
+    assert [r[0] for r in df.select(T.clean_tax(F.col("t"))).collect()] == ["ABC123456789", "91110000111122223X", "123456789", "22AAAAA0000A1Z5"]
