@@ -7,8 +7,7 @@ highest piece's. Candidates that overlap a rule's span are scored too, but add n
 
 Labelled findings are those of the rules in at most about ``SAMPLE`` documents (chosen by hash of the id), other candidates of
 these documents as ordinary ones, and made ones in real surroundings: tokens of public formats and ordinary identifiers of
-public formats (``made_findings``). Half of the rules' findings lose the bytes before them, so that a value can speak for
-itself. Two thirds fit the network, one third calibrates it (a logistic curve on its score) and sets a threshold for each
+public formats (``made_findings``). Every finding is also put into other surroundings, so that a value can speak for itself. Two thirds fit the network, one third calibrates it (a logistic curve on its score) and sets a threshold for each
 shape of candidate: the most precise one that keeps ``RECALL`` of the calibration findings.
 
 A null or empty text has no spans; texts of any length are read whole. Rows that repeat an id or a text are scanned one by
@@ -22,6 +21,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import small_batches
+from tallyforge.llm.common import settle, small_batches
 
 MIN_RUN = 12
 PIECE, BEFORE, AFTER = 48, 24, 8
@@ -135,17 +135,26 @@ class Scan:
         pieces = -(-(self.end - self.start) // PIECE)
         owner = np.repeat(np.arange(len(pieces)), pieces)
         at = self.start[owner] + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        end = np.minimum(at + PIECE, self.end[owner])
+        return self._symbols(at, np.minimum(at + PIECE, self.end[owner]), self.doc[owner]), owner
+
+    def surroundings(self) -> np.ndarray:
+        """A row of symbols for one place of each text that isn't empty, chosen by its bytes; nothing stands at the place."""
+        held = np.flatnonzero(self.last > self.first)
+        place = [zlib.crc32(self.data[a:b].tobytes()) % (b - a) for a, b in zip(self.first[held].tolist(), self.last[held].tolist(), strict=True)]
+        at = self.first[held] + np.array(place, np.int64)
+        return self._symbols(at, at, held)
+
+    def _symbols(self, at: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
         offset = np.arange(WIDTH)
         spot = at[:, None] - BEFORE + offset
         # what follows stands behind the piece's end, however short the piece is
         spot[:, BEFORE + PIECE:] = end[:, None] + offset[:AFTER]
-        low, high = self.first[self.doc[owner]][:, None], self.last[self.doc[owner]][:, None]
+        low, high = self.first[doc][:, None], self.last[doc][:, None]
         gone = (spot < low) | (spot >= high)
         gone[:, BEFORE:BEFORE + PIECE] |= spot[:, BEFORE:BEFORE + PIECE] >= end[:, None]
         symbols = _SYMBOL[self.data[np.where(gone, 0, spot)]]
         symbols[gone] = OUTSIDE
-        return symbols, owner
+        return symbols
 
 
 def by_rules(candidates: tuple[np.ndarray, np.ndarray, np.ndarray], spans: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -264,12 +273,13 @@ def calibrate(net: Network, windows: np.ndarray, secret: np.ndarray, recall: flo
     # targets a little inside 0 and 1 keep the curve finite where the classes part
     target = np.where(secret, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     slope, shift = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -40, 40)))
         w = p * (1 - p) + 1e-9
-        gradient = np.array([((p - target) * z).sum(), (p - target).sum()])
-        hessian = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-6 * np.eye(2)
-        move = np.linalg.solve(hessian, gradient)
+        # a weak pull to 1 keeps the slope finite where a line parts the classes
+        gradient = np.array([((p - target) * z).sum() + (slope - 1), (p - target).sum()])
+        hessian = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + np.diag([1, 1e-6])
+        move = np.clip(np.linalg.solve(hessian, gradient), -0.5, 0.5)
         slope, shift = slope - move[0], shift - move[1]
         if abs(move).max() < 1e-7:
             break
@@ -337,28 +347,31 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scan(batch.column("text").to_pylist())
         windows, owner = scan.windows()
         ruled = by_rules(scan.candidates(), scan.spans)[owner]
-        yield pa.RecordBatch.from_pydict({"window": pa.array([w.tobytes() for w in windows.astype(np.uint8)], pa.binary()), "ruled": pa.array(ruled)})
+        around = scan.surroundings()
+        kinds = np.where(ruled, RULED, ORDINARY).tolist() + [AROUND] * len(around)
+        windows = np.concatenate([windows, around]).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"window": pa.array([w.tobytes() for w in windows], pa.binary()), "kind": pa.array(kinds, pa.int32())})
+
 
+#: Kinds of examples: findings of the rules, other candidates, and surroundings of no candidate.
+RULED, ORDINARY, AROUND = 0, 1, 2
 
-def labelled_findings(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> list[tuple[bytes, bool]]:
-    """Windows of the rules' findings and of other candidates in the sampled documents, at most ``examples`` of each, by hash."""
+
+def labelled_findings(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> list[list[bytes]]:
+    """Windows of each kind in the sampled documents, at most ``examples`` of each, by hash."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     share = min(1.0, sample / max(docs.count(), 1))
     # a hash of both columns, so that an id that many rows share doesn't bring them all
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = chosen.select("text").limit(2 * sample).mapInArrow(_examples, "window binary, ruled boolean").distinct()
-    found = found.withColumn("key", F.xxhash64("window"))
-    out = []
-    for ruled in (True, False):
-        out += [(bytes(r["window"]), ruled) for r in found.where(F.col("ruled") == ruled).orderBy("key", "window").limit(examples).collect()]
-    return out
+    found = chosen.select("text").limit(2 * sample).mapInArrow(_examples, "window binary, kind int").distinct()
+    found = settle(found.withColumn("key", F.xxhash64("window")), "findings")
+    return [[bytes(r["window"]) for r in found.where(F.col("kind") == k).orderBy("key", "window").limit(examples).collect()] for k in (RULED, ORDINARY, AROUND)]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> Network:
-    found = labelled_findings(docs, sample, examples)
-    frames = [np.frombuffer(w, np.uint8).astype(np.int16) for w, _ in found]
-    plain = [f for f, (_, ruled) in zip(frames, found, strict=True) if not ruled]
+    frames = [[np.frombuffer(w, np.uint8).astype(np.int16) for w in kind] for kind in labelled_findings(docs, sample, examples)]
+    around = frames[AROUND] or [np.full(WIDTH, OUTSIDE, np.int16)]
     windows, secret, part = [], [], []
 
     def add(window: np.ndarray, y: bool, key: bytes) -> None:
@@ -366,20 +379,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> Netw
         secret.append(y)
         part.append(_split(key.hex()))
 
-    for frame, (key, ruled) in zip(frames, found, strict=True):
-        add(frame, ruled, key)
-        if ruled:
-            bare = frame.copy()
-            # the value in ordinary surroundings
-            bare[:BEFORE] = plain[len(windows) % len(plain)][:BEFORE] if plain else OUTSIDE
-            add(bare, ruled, key)
+    def placed(window: np.ndarray, i: int) -> np.ndarray:
+        """The value in other surroundings, of which some lack a side."""
+        window, other = window.copy(), around[i % len(around)]
+        window[:BEFORE] = OUTSIDE if i % 9 == 0 else other[:BEFORE]
+        window[BEFORE + PIECE:] = OUTSIDE if i % 9 == 1 else other[BEFORE + PIECE:]
+        if window[BEFORE - 1] != OUTSIDE and i % 2:
+            window[BEFORE - 1] = ord(" ")
+        return window
+
+    for y, kind in ((True, frames[RULED]), (False, frames[ORDINARY])):
+        for i, frame in enumerate(kind):
+            add(frame, y, frame.tobytes())
+            add(placed(frame, i), y, frame.tobytes())
     for i, (value, y) in enumerate(made_findings()):
-        scan = Scan([f"{value}"])
-        for window in scan.windows()[0][:3]:
-            if plain:
-                near = plain[(7 * i) % len(plain)]
-                window[:BEFORE], window[BEFORE + PIECE:] = near[:BEFORE], near[BEFORE + PIECE:]
-            add(window, y, value.encode())
+        for window in Scan([value]).windows()[0][:3]:
+            add(placed(window, 7 * i), y, value.encode())
+            add(placed(window, 7 * i + 3), y, value.encode())
     windows, secret, part = np.array(windows), np.array(secret), np.array(part)
     net = train(windows[part > 0], secret[part > 0])
     return calibrate(net, windows[part == 0], secret[part == 0])
