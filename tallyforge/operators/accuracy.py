@@ -124,11 +124,16 @@ def is_blank_record(columns: list[str]) -> Column:
 
 
 def cell_status(cells: DataFrame) -> DataFrame:
-    """ACC-08: one of six states for each cell: edited, cleared, filled, flagged, blank or kept."""
-    m, f = T.blank(F.col("model")), T.blank(F.col("final"))
-    changed = ~T.same_value(F.col("kind"), F.col("model"), F.col("final"))
-    status = F.when(m & f, "blank").when(m, "filled").when(f, "cleared").when(changed, "edited").when((F.col("kind") == "no") & (F.length(T.norm_no(F.col("final"))) < 9), "flagged").otherwise("kept")
-    return cells.withColumn("status", status)
+    """ACC-08: what people see of a cell, from ``flags`` (a count), ``acked``, ``raw``, ``air`` and ``skip`` (sent although empty).
+
+    ``status``: flag or confirmed; empty, emptyok (confirmed) or skipped where both versions are blank; miss where only the
+    normalised one is; else same. ``todo`` holds for flags and empty cells that nobody has looked at.
+    """
+    raw, air, acked = T.blank(F.col("raw")), T.blank(F.col("air")), F.coalesce("acked", F.lit(False))
+    flagged = F.coalesce("flags", F.lit(0)) > 0
+    empty = F.when(acked, "emptyok").when(F.coalesce("skip", F.lit(False)), "skipped").otherwise("empty")
+    status = F.when(flagged, F.when(acked, "confirmed").otherwise("flag")).when(raw & air, empty).when(air, "miss").otherwise("same")
+    return cells.withColumn("status", status).withColumn("todo", F.col("status").isin("flag", "empty"))
 
 
 def segment(total: Column, comparable: Column) -> Column:
@@ -142,9 +147,12 @@ def reader_gain_loss(cells: DataFrame) -> DataFrame:
     return cells.groupBy("stem").agg(F.count_if(m & ~f).alias("gained"), F.count_if(~m & f).alias("lost"), F.count_if(~m & ~f & ~T.same_value(F.col("kind"), F.col("model"), F.col("final"))).alias("changed"))
 
 
-def segment_state(cells: DataFrame, groups: dict[str, str]) -> DataFrame:
-    """AGG-12: progress per record and column group."""
+def segment_state(cells: DataFrame, groups: dict[str, str], key: str = "stem") -> DataFrame:
+    """AGG-12: progress per record and column group over the cells of ``cell_status``: ``hard`` (flags to confirm), ``soft`` (empty
+    cells to confirm), ``todo`` columns, ``cleared`` ones; the state is hasflag, hasissue or clear."""
     group = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])
     rows = cell_status(cells).withColumn("grp", F.coalesce(F.try_element_at(group, F.col("field")), F.lit("other")))
-    out = rows.groupBy("stem", "grp").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("blank", "flagged")).alias("todo"), F.count_if(F.col("status") == "cleared").alias("cleared"))
-    return out.withColumn("state", F.when(F.col("todo") == 0, "done").when(F.col("todo") == F.col("total"), "open").otherwise("partly"))
+    hard, soft = F.count_if(F.col("status") == "flag"), F.count_if(F.col("status") == "empty")
+    out = rows.groupBy(key, "grp").agg(F.count(F.lit(1)).alias("total"), F.count_if("todo").alias("todo"), hard.alias("hard"), soft.alias("soft"))
+    state = F.when(F.col("hard") > 0, "hasflag").when(F.col("soft") > 0, "hasissue").otherwise("clear")
+    return out.withColumn("cleared", F.col("total") - F.col("todo")).withColumn("state", state)

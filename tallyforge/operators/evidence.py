@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -20,57 +22,102 @@ def line_spans(lines: DataFrame, key: str = "stem") -> DataFrame:
     return rows.select(key, "i", F.inline(F.array_compact(F.array(*spans))))
 
 
-def text_evidence(fields: DataFrame, lines: DataFrame, key: str = "stem") -> DataFrame:
-    """EVD-01, JN-17: ``passed`` and ``sources`` (line numbers) for text values: every single line that holds the value,
-    else the first span of 2, 3, then 4 lines. Blank values are not checked."""
-    wanted = fields.where(~T.blank(F.col("value"))).withColumn("_v", T.fold_ws(T.half_width(F.col("value"))))
-    hits = wanted.join(line_spans(lines, key), key).where(F.contains("span", F.col("_v")))
-    single = F.array_sort(F.collect_set(F.when(F.col("n") == 1, F.col("i"))))
-    first = F.min(F.when(F.col("n") > 1, F.struct("n", "i")))
-    found = hits.groupBy(key, "field").agg(single.alias("_one"), first.alias("_more"))
-    sources = F.when(F.size("_one") > 0, F.col("_one")).otherwise(F.sequence(F.col("_more.i"), F.col("_more.i") + F.col("_more.n") - 1))
-    out = wanted.select(key, "field").join(found, [key, "field"], "left")
-    return out.select(key, "field", F.col("_one").isNotNull().alias("passed"), F.when(F.col("_one").isNotNull(), sources).alias("sources"))
+def norm(c: Column) -> Column:
+    """Half-width punctuation, single spaces; upper and lower case stay."""
+    return T.fold_ws(T.half_width(c))
+
+
+def printed(lines: DataFrame, key: str = "stem") -> DataFrame:
+    """A row per record: ``lines`` (normalised, in order), ``at`` (their numbers) and ``whole``, all lines as one text."""
+    rows = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", norm(F.col("text")).alias("t")))).alias("_l"))
+    rows = rows.select(key, F.col("_l.t").alias("lines"), F.col("_l.i").alias("at"))
+    return rows.withColumn("whole", F.array_join(F.filter("lines", lambda x: x != ""), " "))
+
+
+def _numbers(lines: Column, holds: Callable[[Column], Column]) -> Column:
+    """Places of the lines that hold something, from 1."""
+    marked = F.transform(lines, lambda x, i: F.when(holds(x), i + 1))
+    return F.array_compact(marked)
+
+
+def text_sources(value: Column, lines: Column, whole: Column) -> Column:
+    """EVD-01: ``passed`` and ``sources`` of a text value: every line that holds it, else the first span of 2, 3, then 4 lines,
+    else none if only the whole text does. What the whole text lacks no line or span can hold, so lines are looked at
+    for values that are there only."""
+
+    def span(v: Column, n: int) -> Column:
+        joined = lambda i: F.array_join(F.filter(F.slice(lines, i, n), lambda x: x != ""), " ")
+        starts = F.when(F.size(lines) >= n, F.sequence(F.lit(1), F.size(lines) - (n - 1)))
+        first = F.get(F.filter(starts, lambda i: F.contains(joined(i), v)), F.lit(0))
+        return F.when(first.isNotNull(), F.sequence(first, first + n - 1))
+
+    def found(v: Column) -> Column:
+        ones = _numbers(lines, lambda x: F.contains(x, v))
+        where = T.let(ones, lambda o: F.when(F.size(o) > 0, o).otherwise(F.coalesce(span(v, 2), span(v, 3), span(v, 4))))
+        there = F.contains(whole, v)
+        return F.struct(there.alias("passed"), F.when(there, where).alias("sources"))
+
+    return T.let(norm(value), found)
 
 
-def in_alnum(value: Column, lines_text: Column) -> Column:
-    """EVD-02: the value's letters and digits stand in those of the text (6 characters at least across lines)."""
-    return (F.length(T.alnum(value)) >= 6) & F.contains(T.alnum_upper(lines_text), T.alnum_upper(value))
+def in_alnum(value: Column, lines: Column, whole: Column) -> Column:
+    """EVD-02: the value's letters and digits stand in one line, at any length, or six at least across lines."""
+    hit = lambda v: F.exists(lines, lambda x: F.contains(T.alnum(x), v)) | ((F.length(v) >= 6) & F.contains(T.alnum(whole), v))
+    return T.let(T.alnum(value), lambda v: (v != "") & hit(v))
 
 
-def in_multi_id(cell: Column, lines_text: Column) -> Column:
-    """EVD-03: every segment has evidence."""
-    return F.forall(T.split_ids(cell), lambda s: F.contains(T.alnum_upper(lines_text), T.alnum_upper(T.clean_tax(s))))
+def in_multi_id(cell: Column, lines: Column, whole: Column) -> Column:
+    """EVD-03: every segment has evidence; a cell without one has none."""
+    return T.let(T.split_ids(cell), lambda ids: (F.size(ids) > 0) & F.forall(ids, lambda s: in_alnum(s, lines, whole)))
 
 
-def in_master_number(number: Column, lines_text: Column) -> Column:
-    """EVD-04: the 11 digits in the text's digits, or prefix and serial each for itself."""
-    digits, body = F.regexp_replace(T.text(number), r"\D", ""), F.regexp_replace(T.text(lines_text), r"\D", "")
-    return F.contains(body, digits) | (F.contains(body, F.substring(digits, 1, 3)) & F.contains(body, F.substring(digits, 4, 8)))
+def in_master_number(number: Column, whole: Column) -> Column:
+    """EVD-04: eleven digits that stand in the text's digits, in one piece or prefix and serial each for itself."""
+    digits = lambda c: F.regexp_replace(T.text(c), "[^0-9]", "")
+    both = lambda x: F.contains(x["body"], x["n"]) | (F.contains(x["body"], F.substring(x["n"], 1, 3)) & F.contains(x["body"], F.substring(x["n"], 4, 8)))
+    return T.let(F.struct(digits(number).alias("n"), digits(whole).alias("body")), lambda x: (F.length(x["n"]) == 11) & both(x))
 
 
-def in_long_value(value: Column, lines_text: Column) -> Column:
-    """EVD-05: all tokens with digits are there, at most 5 % of the words of 3 letters or more are missing, and the first
-    token does not stand behind the last occurrence of the last one."""
-    tokens, body = T.tokens(F.upper(T.text(value))), F.upper(T.text(lines_text))
-    there = T.tokens(body)
-    digits = F.forall(F.filter(tokens, lambda t: t.rlike(r"\d")), lambda t: F.array_contains(there, t))
-    words = F.filter(tokens, lambda t: F.length(t) >= 3)
-    missing = F.filter(words, lambda t: ~F.array_contains(there, t))
-    last = F.element_at(tokens, -1)
-    behind = F.length(body) - F.instr(F.reverse(body), F.reverse(last)) - F.length(last) + 1
-    ordered = F.instr(body, F.get(tokens, F.lit(0))) - 1 <= behind
-    return F.when(F.size(tokens) == 0, F.lit(False)).otherwise(digits & (F.size(missing) <= 0.05 * F.size(words)) & ordered)
+def long_sources(value: Column, lines: Column, whole: Column) -> Column:
+    """EVD-05: ``passed`` and ``sources`` of a long value that runs over blocks of the print.
+
+    All tokens with digits stand somewhere, within words too; of the other words of three letters or more at most 5 % are
+    missing; the first token stands no later than the last one's last place. The lines are those with any of the first 50
+    tokens. Upper and lower case count alike.
+    """
+
+    def covered(x: Column) -> Column:
+        body, tokens = x["body"], x["tokens"]
+        digits = F.filter(tokens, lambda t: t.rlike("[0-9]"))
+        words = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike("[0-9]"))
+        missing = F.size(F.filter(words, lambda t: ~F.contains(body, t)))
+        first, last = F.instr(body, F.get(tokens, F.lit(0))), F.instr(F.reverse(body), F.reverse(F.element_at(tokens, -1)))
+        last_at = F.length(body) - last - F.length(F.element_at(tokens, -1)) + 2
+        ordered = (first > 0) & (last > 0) & (first <= last_at)
+        some = F.size(digits) + F.size(words) > 0
+        return some & F.forall(digits, lambda t: F.contains(body, t)) & (missing * 20 <= F.size(words)) & ordered
+
+    def checked(x: Column) -> Column:
+        held = lambda line: F.exists(F.slice(x["tokens"], 1, 50), lambda t: F.contains(F.upper(line), t))
+        passed = (F.size(x["tokens"]) > 0) & covered(x)
+        return F.struct(passed.alias("passed"), F.when(passed, _numbers(lines, held)).alias("sources"))
+
+    return T.let(F.struct(F.upper(whole).alias("body"), T.tokens(F.upper(norm(value))).alias("tokens")), checked)
 
 
 def date_evidence(value: Column, candidates: Column, text: Column | None = None) -> Column:
     """EVD-06: the day among the candidates, or among those without a year (``--09-24``) if its year stands in the whole
-    text; null (not counted) if the text names no day."""
-    day = T.strip(value)
-    hit = F.array_contains(candidates, day)
-    if text is not None:
-        hit = hit | (F.array_contains(candidates, F.concat(F.lit("-"), F.substring(day, 5, 6))) & F.contains(T.text(text), F.substring(day, 1, 4)))
-    return F.when(F.size(candidates) > 0, hit)
+    text. Null (not counted) if the value is no day, or the text names none, or none with a year and not the value's year."""
+
+    def judged(x: Column) -> Column:
+        year = F.contains(x["text"], F.substring(x["day"], 1, 4)) if text is not None else F.lit(False)
+        dated = F.exists(x["c"], lambda d: ~d.startswith("--"))
+        hit = F.array_contains(x["c"], x["day"]) | (F.array_contains(x["c"], F.concat(F.lit("-"), F.substring(x["day"], 5, 6))) & year)
+        return F.when(x["day"].isNotNull() & (F.size(x["c"]) > 0) & (dated | year), hit)
+
+    parts = F.split(T.strip(value), "-")
+    padded = F.when(T.strip(value).rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.concat_ws("-", F.get(parts, F.lit(0)), F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(2)), 2, "0")))
+    return T.let(F.struct(padded.alias("day"), candidates.alias("c"), T.text(F.lit("") if text is None else text).alias("text")), judged)
 
 
 def missed_masters(text: Column, record: Column) -> Column:
@@ -80,10 +127,19 @@ def missed_masters(text: Column, record: Column) -> Column:
     return F.filter(digits, lambda d: T.awb_check_digit(F.substring(d, 4, 8)) & ~F.contains(F.regexp_replace(T.text(record), r"\D", ""), d))
 
 
-def missed_hs(text: Column, record: Column) -> Column:
-    """EVD-09: labelled HS runs of 6 to 10 digits whose first 6 the record lacks."""
-    runs = F.filter(F.split(T.hs_from_text(text), ","), lambda x: F.length(x).between(6, 10))
-    return F.filter(runs, lambda x: ~F.contains(T.text(record), F.substring(x, 1, 6)))
+def missed_ids(text: Column, record: Column) -> Column:
+    """EVD-08: labelled ids of the text with eight characters or more that the record's letters and digits lack: ``column`` they
+    belong in (``EORI`` or ``TAX``) and ``number``."""
+    captured = T.alnum(T.text(record))
+    ids = F.transform(T.labelled_marks(text), lambda m: F.struct(F.when(m["label"].rlike("^EO"), "EORI").otherwise("TAX").alias("column"), T.clean_tax(m["number"]).alias("number")))
+    return F.array_distinct(F.filter(ids, lambda m: (F.length(T.alnum(m["number"])) >= 8) & ~F.contains(captured, T.alnum(m["number"]))))
+
+
+def missed_hs(lines: Column, record: Column) -> Column:
+    """EVD-09: runs of 6 to 10 digits behind a line's HS label whose first 6 are not in the record's HS cell."""
+    captured = F.regexp_replace(T.text(record), "[^0-9]", "")
+    runs = F.flatten(F.transform(lines, T.hs_after_colon))
+    return F.array_distinct(F.filter(runs, lambda x: ~F.contains(captured, F.substring(x, 1, 6))))
 
 
 def ranked_lines(fields: DataFrame, lines: DataFrame, key: str = "stem") -> DataFrame:
@@ -98,18 +154,71 @@ def ranked_lines(fields: DataFrame, lines: DataFrame, key: str = "stem") -> Data
     return rows.where("score > 0").withColumn("_best", F.max("score").over(best)).where("score = _best").drop("_best")
 
 
-def evidence_job(fields: DataFrame, lines: DataFrame, key: str = "stem") -> DataFrame:
-    """EVD-10: every field by its kind (``text, alnum, ids, master, long``): ``passed``. One text per record is joined, spans only for text values."""
-    whole = lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n").alias("_t"))
-    rows = fields.where(~T.blank(F.col("value"))).join(whole, key)
-    v, t = F.col("value"), F.col("_t")
-    plain = rows.where("kind <> 'text'").select(key, "field", F.when(F.col("kind") == "alnum", in_alnum(v, t)).when(F.col("kind") == "ids", in_multi_id(v, t)).when(F.col("kind") == "master", in_master_number(v, t)).otherwise(in_long_value(v, t)).alias("passed"))
-    return plain.unionByName(text_evidence(fields.where("kind = 'text'"), lines, key).select(key, "field", "passed"))
+def text_evidence(fields: DataFrame, lines: DataFrame, key: str = "stem") -> DataFrame:
+    """EVD-01, JN-17: ``passed`` and ``sources`` (line numbers) of text values. Blank values are not checked."""
+    rows = fields.where(~T.blank(F.col("value"))).join(printed(lines, key), key, "left")
+    empty = F.array().cast("array<string>")
+    found = rows.select(key, "field", "at", text_sources(F.col("value"), F.coalesce("lines", empty), T.text(F.col("whole"))).alias("_f"))
+    return found.select(key, "field", F.col("_f.passed").alias("passed"), F.transform("_f.sources", lambda p: F.element_at("at", p)).alias("sources"))
+
+
+#: What a reverse check reports, and the column it is reported for.
+REVERSE = {"master": "MAWB_NO", "id": "TAX_ID", "hs": "GOODS_HS_CODE"}
+
+
+def evidence_job(fields: DataFrame, lines: DataFrame, key: str = "stem", dates: Callable[[Column], Column] | None = None, reverse: tuple[str, ...] = tuple(REVERSE), hs_field: str = "GOODS_HS_CODE") -> DataFrame:
+    """EVD-10: a row per check: ``field, kind, value, passed, sources``.
+
+    Fields are checked by kind: ``text``, ``alnum``, ``ids``, ``master``, ``long`` (as text, else by tokens) and ``date`` (only if
+    ``dates`` finds days and the text lets the value be checked); other kinds are captured values that no check reads. Reverse
+    checks (kind ``missed``) name master numbers, labelled ids and HS codes of the print that no field holds.
+
+    A record's fields and lines are one array each and meet in one row; checks run inside it.
+    """
+    held = F.collect_list(F.struct("field", "kind", F.col("value").cast("string").alias("value")))
+    records = fields.groupBy(key).agg(F.array_sort(held).alias("_fields")).join(printed(lines, key), key, "left")
+    records = records.withColumn("lines", F.coalesce("lines", F.array().cast("array<string>"))).withColumn("whole", T.text(F.col("whole")))
+    if dates is not None:
+        records = records.withColumn("_days", dates(F.col("whole")))
+    lines_, whole = F.col("lines"), F.col("whole")
+    none = F.lit(None).cast("array<int>")
+    plain = lambda passed: F.struct(passed.alias("passed"), none.alias("sources"))
+
+    def check(f: Column) -> Column:
+        v, kind = f["value"], f["kind"]
+        exact = text_sources(v, lines_, whole)
+        long = T.let(exact, lambda e: F.when(e["passed"], e).otherwise(long_sources(v, lines_, whole)))
+        found = (
+            F.when(kind == "text", exact).when(kind == "long", long).when(kind == "alnum", plain(in_alnum(v, lines_, whole)))
+            .when(kind == "ids", plain(in_multi_id(v, lines_, whole))).when(kind == "master", plain(in_master_number(v, whole)))
+        )
+        if dates is not None:
+            found = found.when(kind == "date", plain(date_evidence(v, F.col("_days"), whole)))
+        return T.let(found, lambda r: F.struct(f["field"].alias("field"), kind.alias("kind"), v.alias("value"), r["passed"].alias("passed"), r["sources"].alias("sources")))
+
+    missed = lambda field, values: F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), F.lit("missed").alias("kind"), v.alias("value"), F.lit(False).alias("passed"), none.alias("sources")))
+    all_values = F.array_join(F.transform("_fields", lambda f: T.text(f["value"])), " ")
+    hs_value = F.get(F.filter("_fields", lambda f: f["field"] == hs_field), F.lit(0))["value"]
+    parts = {
+        "master": missed(REVERSE["master"], missed_masters(whole, all_values)),
+        "id": missed(REVERSE["id"], F.transform(missed_ids(whole, all_values), lambda m: m["number"])),
+        "hs": missed(hs_field, missed_hs(lines_, hs_value)),
+    }
+    forward = F.transform(F.filter("_fields", lambda f: ~T.blank(f["value"])), check)
+    checks = F.filter(F.concat(forward, *[parts[r] for r in reverse]), lambda c: c["passed"].isNotNull())
+    rows = records.select(key, "at", F.explode(checks).alias("_c")).select(key, "at", "_c.*")
+    return rows.withColumn("sources", F.transform("sources", lambda p: F.element_at("at", p))).drop("at")
 
 
 def fidelity_summary(checks: DataFrame, key: str = "stem") -> DataFrame:
-    """AGG-14."""
-    return checks.groupBy(key).agg(F.count(F.lit(1)).alias("checked"), F.count_if("passed").alias("passed"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("field")))), ",").alias("failed"))
+    """AGG-14, a row per record: counts, the failed fields and ``sources``, a map of fields to their lines."""
+    lines = F.map_from_entries(F.collect_list(F.when(F.size("sources") > 0, F.struct("field", "sources"))))
+    return checks.groupBy(key).agg(F.count(F.lit(1)).alias("checked"), F.count_if("passed").alias("passed"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("field")))), ",").alias("failed"), lines.alias("sources"))
+
+
+def fidelity_batch(summary: DataFrame) -> DataFrame:
+    """AGG-14, a row for the batch: records, those with a failed check, and the counts over all."""
+    return summary.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("checked") > F.col("passed")).alias("with_failures"), F.coalesce(F.sum("checked"), F.lit(0)).alias("checked"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"))
 
 
 def anchor_lines(flags: DataFrame, sources: DataFrame, lines: DataFrame, most: int = 12, key: str = "stem") -> DataFrame:

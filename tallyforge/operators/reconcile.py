@@ -165,11 +165,16 @@ def last_touched(*times: Column) -> Column:
 
 
 def retention_candidates(df: DataFrame, touched: str, now: str, days: int) -> DataFrame:
-    """RET-02, SRT-03: idle days, aged, days until due. An unreadable time is never aged."""
+    """RET-02: idle days, aged, days until due. An unreadable time is never aged."""
     idle = F.datediff(F.to_date(F.lit(now)), F.to_date(touched))
     return df.withColumn("idle", idle).withColumn("aged", F.coalesce(F.col("idle") >= days, F.lit(False))).withColumn("due_in", F.greatest(F.lit(0), F.lit(days) - F.col("idle")))
 
 
+def oldest_first(candidates: DataFrame, key: str, touched: str = "touched") -> DataFrame:
+    """SRT-03: the ones last touched longest ago come first, those without a time before them, then by key."""
+    return candidates.orderBy(F.to_date(touched).asc_nulls_first(), key)
+
+
 def protect_parents(candidates: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """RET-03: parents with submitted children are no candidates."""
     return candidates.join(children.select(key).distinct(), key, "left_anti")

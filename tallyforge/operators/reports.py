@@ -9,15 +9,29 @@ from tallyforge.functions import text as T
 from tallyforge.operators.standardise import error_kind
 
 
-def usage_report(qc: DataFrame, usage: DataFrame, axes: list[str]) -> DataFrame:
+TOKENS = ["calls", "prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens"]
+STAGES = ["render", "l1", "l2", "l3"]
+
+
+def usage_report(qc: DataFrame, usage: DataFrame, axes: list[str], stages: list[str] = STAGES) -> DataFrame:
     """AGG-01, AGG-02: totals by each axis and over all, in one pass over tickets and one over their stages.
 
-    Tickets are counted before the stages are joined, so a ticket with several stages counts once.
+    Tickets are counted before the stages are joined, so a ticket with several stages counts once. ``sec_<stage>`` are seconds.
     """
-    per = usage.groupBy("stem").agg(F.sum("calls").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("millis").alias("millis"))
-    rows = qc.join(per, "stem", "left").select(*axes, "error", "needs_review", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens", "millis")])
+    seconds = [(F.sum(F.when(F.col("stage") == s, F.col("millis"))) / 1000.0).alias(f"sec_{s}") for s in stages]
+    per = usage.groupBy("stem").agg(*[F.sum(c).alias(c) for c in TOKENS], *seconds)
+    sums = [*TOKENS, *[f"sec_{s}" for s in stages]]
+    rows = qc.join(per, "stem", "left").select(*axes, "error", "needs_review", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
     sets = rows.groupingSets([[F.col(a)] for a in axes] + [[]], *[F.col(a) for a in axes])
-    return sets.agg(F.count(F.lit(1)).alias("tickets"), F.count_if(~T.blank(F.col("error"))).alias("failed"), F.count_if(F.col("needs_review") == 1).alias("flagged"), *[F.sum(c).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens", "millis")])
+    total = [F.sum(c).alias(c) for c in TOKENS] + [F.round(F.sum(f"sec_{s}"), 2).alias(f"sec_{s}") for s in stages]
+    return sets.agg(F.count(F.lit(1)).alias("tickets"), F.count_if(~T.blank(F.col("error"))).alias("failed"), F.count_if(F.col("needs_review") == 1).alias("flagged"), *total)
+
+
+def usage_by_stage(qc: DataFrame, usage: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """AGG-02, the stage axis: calls and tokens of each stage over the tickets of a closed window of days. Stages that only
+    have a time (no calls, no tokens) count as zero."""
+    tickets = qc.where(T.in_window(F.col("processed_at"), first, last)).select("stem")
+    return usage.join(tickets, "stem", "left_semi").groupBy("stage").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS])
 
 
 def failure_kinds(qc: DataFrame, kinds: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.functions.dictionaries import DIAL_CODES, MASTER_PREFIXES
+from tallyforge.functions.dictionaries import DIAL_CODES, LIMIT_50, MASTER_PREFIXES
 
 
 @dataclass(frozen=True)
@@ -86,19 +86,81 @@ def shape_rules(country: str = "iso2", tel: str = "tel", cell: str = "cell", pos
     ]
 
 
+def codes_only(cell: str) -> Column:
+    """VAL-16: an empty cell, or codes of four digits or more between commas."""
+    parts = F.transform(F.split(T.text(F.col(cell)), ","), T.strip)
+    return T.blank(F.col(cell)) | F.forall(parts, lambda x: (F.length(x) >= 4) & ~x.rlike("[^0-9]"))
+
+
+def number_rules(sent: tuple[str, str] | None = None) -> list[Rule]:
+    """VAL-03: numbers that are missing; ``sent`` names the columns of the version to be sent, in which a person may have
+    filled them in."""
+    held = [~T.blank(F.col(n)) for n in ("MAWB_NO", "HAWB_NO")]
+    if sent:
+        held = [a | ~T.blank(F.col(n)) for a, n in zip(held, sent, strict=True)]
+    master, house = held
+    return [
+        Rule("VAL-03a", "MAWB_NO", ~master & ~house, "both numbers missing"),
+        Rule("VAL-03b", "MAWB_NO", ~master & house, "master number missing"),
+        Rule("VAL-03c", "HAWB_NO", ~house & master, "house number missing"),
+    ]
+
+
+def place_rules(columns: list[str], origin: str | None = None, origins: list[str] | None = None) -> list[Rule]:
+    """VAL-13: hops and destination are three capital letters; the origin may also be one of ``origins``, city names sent in full."""
+    v = lambda n: T.strip(F.col(n))
+    rules = [Rule("VAL-13", n, (v(n) != "") & ~v(n).rlike("^[A-Z]{3}$"), "not a three-letter place") for n in columns]
+    if origin:
+        rules.append(Rule("VAL-13", origin, (v(origin) != "") & ~v(origin).rlike("^[A-Z]{3}$") & ~v(origin).isin(origins or []), "neither a three-letter place nor a city"))
+    return rules
+
+
+def length_rules(columns: list[str] = LIMIT_50, most: int = 50) -> list[Rule]:
+    """VAL-17."""
+    return [Rule("VAL-17", n, F.length(T.text(F.col(n))) > most, f"longer than {most}") for n in columns]
+
+
+def gap_rules(pairs: dict[str, str]) -> list[Rule]:
+    """VAL-22: a column of the print has a value, the one made from it (``pairs``) none: a gap in a dictionary."""
+    return [Rule("VAL-22", made, T.blank(F.col(made)) & ~T.blank(F.col(printed)), "dictionary gap", "hint") for printed, made in pairs.items()]
+
+
+def id_length_rules(eori: str, tax: str, countries: list[str]) -> list[Rule]:
+    """VAL-24: segments shorter than 8; a tax id of a party in China has 18. Any of ``countries`` may name China."""
+    china = F.lit(False)
+    for n in countries:
+        china = china | F.array_contains(F.split(F.upper(T.text(F.col(n))), "[^A-Z]+"), "CN") | F.contains(F.upper(T.text(F.col(n))), F.lit("CHINA"))
+    bodies = lambda n: F.transform(T.split_ids(F.col(n)), lambda x: T.let(x, lambda s: F.length(T.alnum(T.clean_tax(s)))))
+    return [
+        Rule("VAL-24a", eori, F.exists(bodies(eori), lambda x: x < 8), "segment shorter than 8", "hint"),
+        Rule("VAL-24b", tax, china & F.exists(bodies(tax), lambda x: (x > 0) & (x != 18)), "tax id should be 18", "hint"),
+        Rule("VAL-24c", tax, ~china & F.exists(bodies(tax), lambda x: (x > 0) & (x < 8)), "segment shorter than 8", "hint"),
+    ]
+
+
+def number_form_rules(integers: list[str], decimals: list[str], weight: tuple[str, str] | None = None) -> list[Rule]:
+    """VAL-26: cells that are no numbers, a fraction in an integer column, and a weight (print, made) exactly doubled."""
+    cell = lambda n: T.strip(F.col(n))
+    wrong = lambda n: (cell(n) != "") & T.as_num(F.col(n)).isNull()
+    rules = [Rule("VAL-26", n, wrong(n) | F.contains(cell(n), F.lit(".")), "a fraction or no number", "hint") for n in integers]
+    rules += [Rule("VAL-26", n, wrong(n), "no number", "hint") for n in decimals]
+    if weight:
+        p, q = (F.regexp_replace(T.text(F.col(n)), "[^0-9.]", "").try_cast("double") for n in weight)
+        rules.append(Rule("VAL-26w", weight[1], (p != 0) & (q != 0) & (F.abs(q - p * 2) < 1e-6), "twice the printed weight", "hint"))
+    return rules
+
+
 def record_rules() -> list[Rule]:
     """The rules for numbers, counts and dates of a house or master record."""
     c = lambda n: T.strip(F.col(n))
-    missing_m, missing_h = c("MAWB_NO") == "", c("HAWB_NO") == ""
+    missing_m = c("MAWB_NO") == ""
     zero = lambda n: T.blank(F.col(n)) | F.coalesce(T.as_num(F.col(n)) == 0, F.lit(False))
     route = "TO1"
     return [
         Rule("VAL-01a", route, c(route).rlike("^[A-Za-z]{2}$"), "carrier code in the route"),
         Rule("VAL-01b", route, c(route).rlike(r"^[A-Za-z]{2}\d{3,4}$"), "flight number in the route"),
         Rule("VAL-02", route, (c(route) == "") & (c("DEST_NAME") != ""), "first hop missing"),
-        Rule("VAL-03a", "MAWB_NO", missing_m & missing_h, "both numbers missing"),
-        Rule("VAL-03b", "MAWB_NO", missing_m & ~missing_h, "master number missing"),
-        Rule("VAL-03c", "HAWB_NO", missing_h & ~missing_m, "house number missing"),
+        *number_rules(),
         Rule("VAL-04", "HAWB_NO", is_master_like("HAWB_NO"), "house number looks like a master number"),
         Rule("VAL-05a", "PIECES", zero("PIECES"), "pieces missing or zero"),
         Rule("VAL-05b", "WEIGHT", zero("WEIGHT"), "weight missing or zero"),
@@ -108,7 +170,7 @@ def record_rules() -> list[Rule]:
         Rule("VAL-13", "DEST_NAME", (c("DEST_NAME") != "") & ~c("DEST_NAME").rlike("^[A-Z]{3}$"), "not a three-letter place"),
         Rule("VAL-14", "MAWB_NO", ~missing_m & ~c("MAWB_NO").rlike(r"^\d{3}-\d{8}$"), "master number not ddd-dddddddd"),
         Rule("VAL-15", "PIECES", ~T.blank(F.col("PIECES")) & T.as_num(F.col("PIECES")).isNull(), "not a number"),
-        Rule("VAL-16", "GOODS", ~c("GOODS").rlike(r"^\d{4,}(\s*,\s*\d{4,})*$") & c("GOODS").rlike(r"\d"), "HS cell holds more than codes"),
+        Rule("VAL-16", "GOODS", ~codes_only("GOODS"), "HS cell holds more than codes"),
         Rule("VAL-17", "SHIPPER", F.length(T.text(F.col("SHIPPER"))) > 50, "longer than 50"),
         Rule("VAL-21a", "MAWB_NO", ~T.norm_no(F.col("MAWB_NO")).rlike(r"^\d{11}$"), "not 11 digits", "hint"),
         Rule("VAL-21b", "MAWB_NO", T.norm_no(F.col("MAWB_NO")).rlike(r"^\d{11}$") & ~T.awb_check_digit(F.substring(T.norm_no(F.col("MAWB_NO")), 4, 8)), "check digit", "hint"),

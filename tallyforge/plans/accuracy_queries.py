@@ -120,12 +120,24 @@ Q.add(
     lambda f: f.select("stem", A.is_blank_record(["SHIPPER"]).alias("no_shipper"), A.is_blank_record(list(FIELDS)).alias("empty")),
     "SELECT stem, trim(SHIPPER) = '' AS no_shipper, false AS empty FROM finals",
 )
-Q.add(
-    "acc_08_cell_status",
-    ["cells"],
-    lambda c: A.cell_status(_kinded(c)).select("stem", "field", "status"),
-    _C + "SELECT stem, field, CASE WHEN trim(model) = '' AND trim(final) = '' THEN 'blank' WHEN trim(model) = '' THEN 'filled' WHEN trim(final) = '' THEN 'cleared' WHEN changed THEN 'edited' WHEN kind = 'no' AND length(regexp_replace(upper(final), '[^0-9A-Z]', '', 'g')) < 9 THEN 'flagged' ELSE 'kept' END AS status FROM c",
-)
+#: the cells of a record as people see them: flags by number, versions by layer
+_SEEN = ["SHIPPER", "COUNTRY", "GOODS", "HAWB_NO"]
+
+
+def _seen(t, f):
+    rows = t.alias("t").join(f.alias("f"), "stem")
+    blank = lambda c, k: F.when(F.col("t.num") % k == 0, "").otherwise(F.col(c))
+    cell = lambda i, n: F.struct(
+        F.lit(n).alias("field"), F.when((F.col("t.num") + i) % 4 == 0, i + 1).otherwise(0).alias("flags"), ((F.col("t.num") + i) % 3 == 0).alias("acked"),
+        blank(f"t.{n}", 5 + i).alias("raw"), F.when((F.col("t.num") + i) % 5 == 0, "").otherwise(F.col(f"f.{n}")).alias("air"), ((F.col("t.num") + i) % 7 == 0).alias("skip"))
+    return rows.select("stem", F.inline(F.array(*[cell(i, n) for i, n in enumerate(_SEEN)])))
+
+
+_SEEN_SQL = ", seen AS (" + " UNION ALL ".join(
+    f"SELECT t.stem, '{n}' AS field, (t.num + {i}) % 4 = 0 AS flagged, (t.num + {i}) % 3 = 0 AS acked, CASE WHEN t.num % {5 + i} = 0 THEN '' ELSE t.{n} END AS raw, CASE WHEN (t.num + {i}) % 5 = 0 THEN '' ELSE f.{n} END AS air, (t.num + {i}) % 7 = 0 AS skip FROM tickets t JOIN finals f ON t.stem = f.stem"
+    for i, n in enumerate(_SEEN)) + """), marked AS (SELECT *, CASE WHEN flagged AND acked THEN 'confirmed' WHEN flagged THEN 'flag' WHEN trim(raw) || trim(air) = '' AND acked THEN 'emptyok' WHEN trim(raw) || trim(air) = '' AND skip THEN 'skipped'
+  WHEN trim(raw) || trim(air) = '' THEN 'empty' WHEN trim(air) = '' THEN 'miss' ELSE 'same' END AS status FROM seen) """
+Q.add("acc_08_cell_status", ["tickets", "finals"], lambda t, f: A.cell_status(_seen(t, f)).select("stem", "field", "status", "todo"), _SEEN_SQL + "SELECT stem, field, status, status IN ('flag', 'empty') AS todo FROM marked")
 Q.add("acc_09_accuracy_segments", ["cells"], lambda c: A.accuracy_rows(_kinded(c)).groupBy(A.segment(F.col("total"), F.col("comparable")).alias("seg")).agg(F.count(F.lit(1)).alias("n")), _R + "SELECT CASE WHEN comparable = 0 THEN 'no trace' WHEN total > 0 THEN 'changed' ELSE 'clean' END AS seg, count(*) AS n FROM r GROUP BY 1")
 Q.add("flt_05_accuracy_filter", ["cells"], lambda c: A.accuracy_rows(_kinded(c)).where(A.segment(F.col("total"), F.col("comparable")) == "changed").select("stem"), _R + "SELECT stem FROM r WHERE total > 0")
 Q.add(
@@ -144,9 +156,11 @@ Q.add(
 )
 Q.add(
     "agg_12_segment_state",
-    ["cells"],
-    lambda c: A.segment_state(_kinded(c), {"MAWB_NO": "numbers", "HAWB_NO": "numbers", "PIECES": "cargo", "WEIGHT": "cargo", "GOODS": "cargo"}).select("stem", "grp", "total", "cleared"),
-    _C + "SELECT stem, CASE WHEN kind = 'no' THEN 'numbers' WHEN field IN ('PIECES', 'WEIGHT', 'GOODS') THEN 'cargo' ELSE 'other' END AS grp, count(*) AS total, count(*) FILTER (WHERE trim(model) <> '' AND trim(final) = '') AS cleared FROM c GROUP BY 1, 2",
+    ["tickets", "finals"],
+    lambda t, f: A.segment_state(_seen(t, f), {"HAWB_NO": "numbers", "SHIPPER": "party", "COUNTRY": "party"}),
+    _SEEN_SQL + """, g AS (SELECT stem, CASE field WHEN 'HAWB_NO' THEN 'numbers' WHEN 'GOODS' THEN 'other' ELSE 'party' END AS grp, count(*) AS total, count(*) FILTER (WHERE status IN ('flag', 'empty')) AS todo,
+      count(*) FILTER (WHERE status = 'flag') AS hard, count(*) FILTER (WHERE status = 'empty') AS soft FROM marked GROUP BY 1, 2)
+    SELECT *, total - todo AS cleared, CASE WHEN hard > 0 THEN 'hasflag' WHEN soft > 0 THEN 'hasissue' ELSE 'clear' END AS state FROM g""",
 )
 Q.add(
     "set_02_reader_gain_loss",

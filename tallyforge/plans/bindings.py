@@ -42,8 +42,9 @@ SELECT 'D' || CAST(d.doc_id AS STRING) AS stem, d.doc_id AS num, '2026-09-' || l
   CASE d.doc_id % 17 WHEN 0 THEN 'RuntimeError: read Timeout' WHEN 1 THEN 'RuntimeError: L1 转录失败' WHEN 2 THEN 'OSError: disk' WHEN 3 THEN 'L2 提取失败 Timeout' ELSE '' END AS error,
   d.n_chars AS chars, d.doc_id % 6 AS flags FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "usage": """
-SELECT stem, 'l1' AS stage, 1 AS calls, chars AS prompt_tokens, chars % 97 AS completion_tokens, num % 400 AS millis FROM qc
-UNION ALL SELECT stem, 'l2' AS stage, 2 AS calls, chars % 311 AS prompt_tokens, chars % 53 AS completion_tokens, num % 900 AS millis FROM qc WHERE num % 5 <> 0""",
+SELECT stem, 'l1' AS stage, 1 AS calls, chars AS prompt_tokens, chars % 97 AS completion_tokens, chars + chars % 97 AS total_tokens, num % 13 AS reasoning_tokens, num % 400 AS millis FROM qc
+UNION ALL SELECT stem, 'render', NULL, NULL, NULL, NULL, NULL, num % 50 FROM qc WHERE num % 4 <> 0
+UNION ALL SELECT stem, 'l2' AS stage, 2 AS calls, chars % 311 AS prompt_tokens, chars % 53 AS completion_tokens, chars % 311 + chars % 53 AS total_tokens, NULL AS reasoning_tokens, num % 900 AS millis FROM qc WHERE num % 5 <> 0""",
     "stage_events": """
 SELECT 'S' || CAST(user_id AS STRING) AS stem, event_id AS seq, CAST(ts AS STRING) AS at, 'u' || CAST(event_id % 7 AS STRING) AS who,
   CASE WHEN event_id % 3 = 0 THEN 'inputter' ELSE 'preparer' END AS role, CASE WHEN event_type = 'view' THEN 'review' ELSE 'stage' END AS kind,
@@ -70,6 +71,39 @@ SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN 'CNPJ: 11.222.333/' || lpa
   CASE p_partkey % 5 WHEN 0 THEN 'CN' WHEN 1 THEN 'SE' WHEN 2 THEN 'BR' WHEN 3 THEN 'US' ELSE 'AE' END AS iso2,
   CAST(p_partkey % 3 + 1 AS STRING) || lpad(CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE 4 END, '0') AS postal,
   'HS CODE:' || CAST(p_partkey + 8526109 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN ',' || CAST(p_partkey + 841000 AS STRING) ELSE '' END || ' ' || p_name AS goods FROM part""",
+    "pairs": """
+SELECT stem, num, CASE num % 6 WHEN 0 THEN '' ELSE MAWB_NO END AS MAWB_NO, CASE num % 5 WHEN 0 THEN ' ' ELSE HAWB_NO END AS HAWB_NO, CASE num % 4 WHEN 0 THEN MAWB_NO ELSE '' END AS sent_MAWB_NO, CASE num % 7 WHEN 0 THEN HAWB_NO END AS sent_HAWB_NO,
+  COUNTRY AS TO1, CASE num % 5 WHEN 0 THEN '' WHEN 1 THEN substr(COUNTRY, 1, 3) WHEN 2 THEN lower(substr(COUNTRY, 1, 3)) ELSE COUNTRY END AS air_TO1, CASE WHEN num % 3 = 0 THEN '' ELSE SHIPPER END AS TO2, CASE num % 4 WHEN 0 THEN 'F1A' WHEN 1 THEN ' FRA ' ELSE '' END AS air_TO2,
+  CASE WHEN num % 2 = 0 THEN GOODS ELSE '' END AS DEST_NAME, substr(GOODS, 7, 3) AS air_DEST_NAME, COUNTRY AS ORIGIN_NAME, CASE num % 4 WHEN 0 THEN 'BEIJING' WHEN 1 THEN 'Beijing' WHEN 2 THEN 'PAR' ELSE '' END AS air_ORIGIN_NAME,
+  COUNTRY AS SHIPPER_INFO_COUNTRY, CASE num % 3 WHEN 0 THEN '' WHEN 1 THEN 'CN' ELSE substr(COUNTRY, 1, 2) END AS air_SHIPPER_INFO_COUNTRY, SHIPPER || ' ' || GOODS || ' ' || SHIPPER AS SHIPPER_INFO_STATE, right(SHIPPER, 6) AS SHIPPER_INFO_POSTAL, repeat(COUNTRY, 6) AS NOTIFY_INFO_CITY,
+  CASE num % 5 WHEN 0 THEN 'SE' || right(SHIPPER, 6) WHEN 1 THEN 'VAT NO ' || CAST(num AS STRING) WHEN 2 THEN '' ELSE 'IT03268900267 / ' || CAST(num AS STRING) END AS SHIPPER_INFO_EORI,
+  CASE num % 5 WHEN 0 THEN 'USCI 91110000' || right(SHIPPER, 8) || 'XY' WHEN 1 THEN 'VAT NO' WHEN 2 THEN 'CNPJ: 11.222.333/0001-' || CAST(num % 90 + 10 AS STRING) ELSE CAST(num AS STRING) || ' / TAX ID 123456789' END AS SHIPPER_INFO_TAX,
+  CASE num % 4 WHEN 0 THEN PIECES || '.0' WHEN 1 THEN 'n/a' ELSE PIECES END AS air_PIECES, WEIGHT || ' KG' AS WEIGHT, CASE num % 3 WHEN 0 THEN CAST(CAST(WEIGHT AS BIGINT) * 2 AS STRING) WHEN 1 THEN 'heavy' ELSE WEIGHT END AS air_WEIGHT,
+  CASE num % 6 WHEN 0 THEN '852610, 8471' WHEN 1 THEN 'HS 8526' WHEN 2 THEN '' WHEN 3 THEN 'none' WHEN 4 THEN '852' ELSE '8526;8471' END AS GOODS_INFO_HSCODE,
+  CASE num % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS flags, num % 2 = 0 AS acked, num % 3 = 0 AS skip
+FROM tickets""",
+    "prints": """
+SELECT stem, num, CAST(row_number() OVER (PARTITION BY stem ORDER BY pos, sub, text) AS INT) AS i, text FROM (
+  SELECT stem, num, 1 AS pos, 0 AS sub, 'Air Waybill ' || CASE WHEN num % 3 = 0 THEN substr(MAWB_NO, 1, 3) ELSE MAWB_NO END AS text FROM tickets
+  UNION ALL SELECT stem, num, 2, 0, CASE WHEN num % 3 = 0 THEN 'No. ' || substr(MAWB_NO, 5, 8) || '  ' ELSE '' END || 'House：' || HAWB_NO FROM tickets
+  UNION ALL SELECT stem, num, 3, 0, 'Shipper（s） ' || SHIPPER || ' ' || COUNTRY FROM tickets
+  UNION ALL SELECT t.stem, t.num, 4, l_linenumber, p_name || '  QTY ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || CASE p_partkey % 3 WHEN 0 THEN ' HS CODE: ' || CAST(p_partkey + 8526109 AS STRING) WHEN 1 THEN ' HS:' || CAST(p_partkey + 841000 AS STRING) || ', 900' ELSE ' HS ' || CAST(p_partkey + 701000 AS STRING) END
+    FROM tickets t JOIN lineitem ON t.num = l_orderkey JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT stem, num, 5, 0, CASE num % 4 WHEN 0 THEN 'VAT NO DE' || CAST(num + 100000000 AS STRING) WHEN 1 THEN 'EORI NO: IT' || CAST(num + 3268000000 AS STRING) WHEN 2 THEN 'VAT 123' ELSE '' END FROM tickets
+  UNION ALL SELECT stem, num, 6, 0, CASE num % 6 WHEN 0 THEN 'Issued ' || CREATE_TIME WHEN 1 THEN 'Flight 24SEP' WHEN 2 THEN 'Issued ' || substr(CREATE_TIME, 9, 2) || '-Sep-' || substr(CREATE_TIME, 3, 2) WHEN 3 THEN substr(CREATE_TIME, 9, 2) || 'AUG Year ' || substr(CREATE_TIME, 1, 4)
+    WHEN 4 THEN replace(substr(CREATE_TIME, 1, 5), '-', '年') || substr(CREATE_TIME, 6, 2) || '月' || substr(CREATE_TIME, 9, 2) || '日' ELSE 'no day' END FROM tickets) x""",
+    "print_fields": """
+SELECT stem, 'MAWB_NO' AS field, 'master' AS kind, CASE num % 7 WHEN 0 THEN '' WHEN 1 THEN 'none' WHEN 2 THEN replace(MAWB_NO, '-', '') || '0' ELSE MAWB_NO END AS value FROM tickets
+UNION ALL SELECT stem, 'HAWB_NO', 'alnum', CASE num % 5 WHEN 0 THEN lower(HAWB_NO) ELSE replace(HAWB_NO, '-', ' ') END FROM tickets
+UNION ALL SELECT stem, 'POSTAL', 'alnum', CASE num % 4 WHEN 0 THEN right(SHIPPER, 4) WHEN 1 THEN '71653' WHEN 2 THEN right(SHIPPER, 5) || ' ' || substr(COUNTRY, 1, 3) ELSE substr(HAWB_NO, -2, 2) || 'Ship' END FROM tickets
+UNION ALL SELECT stem, 'SHIPPER', 'text', CASE num % 3 WHEN 0 THEN upper(SHIPPER) ELSE 'Shipper(s)   ' || SHIPPER END FROM tickets
+UNION ALL SELECT stem, 'COUNTRY', 'text', CASE num % 4 WHEN 0 THEN '' ELSE COUNTRY END FROM tickets
+UNION ALL SELECT stem, 'SPAN', 'text', 'House:' || HAWB_NO || ' Shipper(s) ' || SHIPPER FROM tickets
+UNION ALL SELECT stem, 'ALL', 'text', text FROM prints WHERE i = 1 + num % 2
+UNION ALL SELECT stem, 'ADDRESS', 'long', CASE num % 5 WHEN 0 THEN 'way house ' || SHIPPER || ' ' || COUNTRY WHEN 1 THEN COUNTRY || ' shipper' WHEN 2 THEN 'House ' || HAWB_NO || ' missing ' || COUNTRY WHEN 3 THEN 'AIR ' || SHIPPER || ' ROOM 101' ELSE 'waybill ' || substr(SHIPPER, -4, 4) END FROM tickets
+UNION ALL SELECT stem, 'A_TAX', 'ids', CASE num % 4 WHEN 0 THEN 'DE ' || CAST(num + 100000000 AS STRING) WHEN 1 THEN HAWB_NO || ' / ' || MAWB_NO WHEN 2 THEN HAWB_NO || ' / 71653' ELSE ' / ' END FROM tickets
+UNION ALL SELECT stem, 'CREATE_TIME', 'date', CREATE_TIME FROM tickets
+UNION ALL SELECT t.stem, 'GOODS_HS_CODE', 'plain', CASE WHEN t.num % 2 = 0 THEN '8526' ELSE coalesce(max(CASE WHEN l_partkey % 3 = 0 THEN CAST(l_partkey + 8526109 AS STRING) END), '') END FROM tickets t JOIN lineitem ON t.num = l_orderkey GROUP BY t.stem, t.num""",
     "cells": """
 SELECT t.stem, f.field, CASE f.field %s END AS model, CASE f.field %s END AS final FROM tickets t JOIN finals x ON t.stem = x.stem CROSS JOIN (%s) f"""
     % (
@@ -78,7 +112,7 @@ SELECT t.stem, f.field, CASE f.field %s END AS model, CASE f.field %s END AS fin
         " UNION ALL ".join(f"SELECT '{f}' AS field" for f in FIELDS),
     ),
 }
-NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"]}
+NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"], "prints": ["tickets"], "pairs": ["tickets"], "print_fields": ["tickets", "prints"]}
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -129,8 +129,9 @@ def _cands(q):
 
 _AGED = f", c AS (SELECT *, CASE WHEN num % 9 > 0 THEN date_diff('day', CAST(substr(processed_at, 1, 10) AS DATE), DATE '{_NOW}') END AS idle FROM qc), d AS (SELECT *, coalesce(idle >= 30, false) AS aged FROM c) "
 Q.add("ret_01_last_touched", ["qc"], lambda q: q.select("stem", F.date_format(R.last_touched(F.expr(_TOUCH), F.lit("?")), "yyyy-MM-dd").alias("day")), "SELECT stem, CASE WHEN num % 9 > 0 THEN substr(processed_at, 1, 10) END AS day FROM qc")
-for _n in ("ret_02_retention_candidates", "srt_03_oldest_first"):
-    Q.add(_n, ["qc"], lambda q: _cands(q).select("stem", "aged", F.col("due_in").cast("long").alias("due_in")).orderBy("stem"), _AGED + "SELECT stem, aged, CAST(CASE WHEN idle IS NULL THEN 0 ELSE greatest(0, 30 - idle) END AS BIGINT) AS due_in FROM d")
+Q.add("ret_02_retention_candidates", ["qc"], lambda q: _cands(q).select("stem", "aged", F.col("due_in").cast("long").alias("due_in")), _AGED + "SELECT stem, aged, CAST(CASE WHEN idle IS NULL THEN 0 ELSE greatest(0, 30 - idle) END AS BIGINT) AS due_in FROM d")
+Q.add("srt_03_oldest_first", ["qc"], lambda q: R.oldest_first(_cands(q), "stem").limit(50).withColumn("place", F.monotonically_increasing_id()).select("stem", "place"),
+      _AGED + "SELECT stem, row_number() OVER (ORDER BY CASE WHEN num % 9 > 0 THEN substr(processed_at, 1, 10) END NULLS FIRST, stem) - 1 AS place FROM d QUALIFY place < 50")
 Q.add("ret_03_parent_protection", ["masters", "ledger", "tickets"], lambda m, l, t: R.protect_parents(m, t.join(l.select("stem"), "stem", "left_semi"), "cust").select("mawb"), "SELECT mawb FROM masters WHERE cust NOT IN (SELECT cust FROM tickets WHERE stem IN (SELECT stem FROM ledger))")
 Q.add("ret_04_refusals", ["qc"], lambda q: R.retention_refusals(q.select("stem"), _cands(q).where("num % 7 > 0"), q.where("num % 5 = 0"), "stem"), _AGED + "SELECT stem, CASE WHEN num % 7 = 0 THEN 'missing' WHEN num % 5 = 0 THEN 'has children' WHEN NOT aged THEN 'not aged' END AS reason FROM d")
 Q.add("ret_05_purge", ["qc"], lambda q: R.purge([q], _cands(q).where("aged OR num % 2 = 0"), "stem", 30)[0].select("stem", "early"), _AGED + "SELECT stem, coalesce(idle, 0) < 30 AS early FROM d WHERE aged OR num % 2 = 0")

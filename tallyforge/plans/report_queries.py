@@ -43,7 +43,7 @@ _DIGITS = f"replace({_M}, '-', '')"
 _RULES = {
     "VAL-01a": "num % 4 = 1", "VAL-01b": "num % 4 = 2", "VAL-02": "num % 4 = 0 AND num % 3 <> 2", "VAL-03a": "num % 30 = 0", "VAL-03b": "num % 5 = 0 AND num % 6 <> 0", "VAL-03c": "num % 6 = 0 AND num % 5 <> 0",
     "VAL-04": "num % 6 = 1", "VAL-05a": "num % 7 = 0", "VAL-05b": "num % 8 = 0", "VAL-06a": "num % 9 = 0", "VAL-06b": "num % 9 = 1", "VAL-10": "num % 10 = 0", "VAL-13": "num % 3 = 0", "VAL-14": "num % 5 <> 0 AND (num % 5 = 1 OR num % 7 = 2)",
-    "VAL-15": "num % 7 = 2", "VAL-16": "num % 4 = 0", "VAL-17": "num % 11 = 0", "VAL-21a": "num % 5 = 0", "VAL-21b": f"num % 5 <> 0 AND TRY_CAST(substr({_DIGITS}, 4, 7) AS INT) % 7 <> TRY_CAST(substr({_DIGITS}, 11, 1) AS INT)",
+    "VAL-15": "num % 7 = 2", "VAL-16": "num % 4 <> 1", "VAL-17": "num % 11 = 0", "VAL-21a": "num % 5 = 0", "VAL-21b": f"num % 5 <> 0 AND TRY_CAST(substr({_DIGITS}, 4, 7) AS INT) % 7 <> TRY_CAST(substr({_DIGITS}, 11, 1) AS INT)",
     "VAL-22": "num % 10 = 0", "VAL-25": "num % 9 = 1", "VAL-26": "num % 7 = 1",
 }
 _FLAGGED = " UNION ALL ".join(f"SELECT stem, '{k}' AS rule_id FROM finals WHERE {v}" for k, v in _RULES.items())
@@ -104,32 +104,19 @@ def _fields(t):
     return t.select("stem", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), v.alias("value")) for f, k, v in rows])))
 
 
-def _text(t):
-    return t.join(_lines(t).groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n").alias("txt")), "stem")
-
-
-for _n in ("evd_01_text_evidence", "jn_17_evidence_join"):
-    Q.add(_n, ["tickets"], lambda t: V.text_evidence(_fields(t).where("kind = 'text'"), _lines(t)).select("stem", "field", "passed", F.array_join("sources", ",").alias("sources")),
-          "SELECT stem, 'SHIPPER' AS field, true AS passed, '1' AS sources FROM tickets UNION ALL SELECT stem, 'CARGO', true, '2,3' FROM tickets UNION ALL SELECT stem, 'OTHER', false, NULL FROM tickets WHERE num % 2 = 0")
-Q.add("win_03_line_spans", ["tickets"], lambda t: V.line_spans(_lines(t)).select("stem", "i", "n"), "SELECT stem, i, n FROM tickets CROSS JOIN (VALUES (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1)) v(i, n)")
-Q.add("evd_02_alnum_evidence", ["tickets"], lambda t: _text(t).select("stem", V.in_alnum(F.col("GOODS"), F.col("txt")).alias("passed"), V.in_alnum(F.lit("12"), F.col("txt")).alias("short")), "SELECT stem, true AS passed, false AS short FROM tickets")
-Q.add("evd_03_multi_id_evidence", ["tickets"], lambda t: _text(t).select("stem", V.in_multi_id(F.concat(F.lit("852610 / "), F.when(F.col("num") % 2 == 0, "STEEL").otherwise("BRASS")), F.col("txt")).alias("passed")), "SELECT stem, num % 2 = 0 AS passed FROM tickets")
-Q.add("evd_04_master_number_evidence", ["tickets"], lambda t: _text(t).select("stem", V.in_master_number(F.col("MAWB_NO"), F.col("txt")).alias("passed"), V.in_master_number(F.lit("999-99999999"), F.col("txt")).alias("other")), "SELECT stem, true AS passed, false AS other FROM tickets")
-Q.add("evd_05_long_value_evidence", ["tickets"], lambda t: _text(t).select("stem", V.in_long_value(F.concat(F.lit("steel parts "), F.when(F.col("num") % 2 == 0, F.col("GOODS")).otherwise("BRASS 77")), F.col("txt")).alias("passed")), "SELECT stem, num % 2 = 0 AS passed FROM tickets")
-Q.add("evd_06_date_evidence", ["tickets"], lambda t: t.select("stem", V.date_evidence(F.col("CREATE_TIME"), S.date_candidates(F.when(F.col("num") % 3 == 0, "").when(F.col("num") % 3 == 1, F.col("CREATE_TIME")).otherwise("1 May 1970"))).cast("string").alias("passed")), "SELECT stem, CASE num % 3 WHEN 1 THEN 'true' WHEN 2 THEN 'false' END AS passed FROM tickets")
 Q.add("evd_07_missed_masters", ["tickets"], lambda t: t.select("stem", F.array_join(V.missed_masters(F.concat(F.lit("MAWB "), "MAWB_NO"), F.when(F.col("num") % 2 == 0, F.col("MAWB_NO"))), ",").alias("missed")), "SELECT stem, CASE WHEN num % 2 = 1 AND CAST(substr(MAWB_NO, 5, 7) AS INT) % 7 = CAST(substr(MAWB_NO, 12, 1) AS INT) THEN replace(MAWB_NO, '-', '') ELSE '' END AS missed FROM tickets")
-Q.add("evd_09_missed_hs", ["id_cells"], lambda d: d.select("k", F.array_join(V.missed_hs(F.col("goods"), F.when(F.col("k") % 2 == 0, F.col("goods"))), ",").alias("missed")), "SELECT k, CASE WHEN k % 2 = 0 THEN '' ELSE CAST(k + 8526109 AS STRING) END AS missed FROM id_cells")
-Q.add("evd_10_evidence_job", ["tickets"], lambda t: V.evidence_job(_fields(t), _lines(t)), "SELECT stem, f AS field, f <> 'OTHER' AS passed FROM tickets CROSS JOIN (VALUES ('SHIPPER'), ('CARGO'), ('OTHER'), ('MAWB_NO'), ('GOODS'), ('LONG'), ('IDS')) v(f) WHERE f <> 'OTHER' OR num % 2 = 0")
 Q.add("evd_11_ranked_lines", ["tickets"], lambda t: V.ranked_lines(_fields(t).where("field IN ('GOODS', 'SHIPPER')"), _lines(t)).select("stem", "field", "i", "score"), "SELECT stem, 'GOODS' AS field, 3 AS i, 2 AS score FROM tickets UNION ALL SELECT stem, 'SHIPPER', 1, 2 FROM tickets")
-Q.add("agg_14_fidelity_summary", ["tickets"], lambda t: V.fidelity_summary(V.evidence_job(_fields(t), _lines(t))), "SELECT stem, CAST(CASE WHEN num % 2 = 0 THEN 7 ELSE 6 END AS BIGINT) AS checked, CAST(6 AS BIGINT) AS passed, CASE WHEN num % 2 = 0 THEN 'OTHER' ELSE '' END AS failed FROM tickets")
 Q.add("fn_23_anchor_lines", ["tickets"], lambda t: V.anchor_lines(_fields(t).where("field IN ('GOODS', 'MAWB_NO')").select("stem", "field", "value"), t.where("num % 2 = 0").select("stem", F.lit("MAWB_NO").alias("field"), F.array(F.lit(1), F.lit(2)).alias("sources")), _lines(t)).select("stem", "field", F.array_join("lines", ",").alias("lines")), "SELECT stem, 'GOODS' AS field, '3' AS lines FROM tickets UNION ALL SELECT stem, 'MAWB_NO', CASE WHEN num % 2 = 0 THEN '1,2' ELSE '3' END FROM tickets")
 
 # --- usage, ledgers -----------------------------------------------------------------
-_U = ", p AS (SELECT stem, sum(calls) AS calls, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, sum(millis) AS millis FROM usage GROUP BY stem) "
-_SUMS = "count(*) AS tickets, count(*) FILTER (WHERE trim(error) <> '') AS failed, count(*) FILTER (WHERE needs_review = 1) AS flagged, CAST(sum(coalesce(calls, 0)) AS BIGINT) AS calls, CAST(sum(coalesce(prompt_tokens, 0)) AS BIGINT) AS prompt_tokens, CAST(sum(coalesce(completion_tokens, 0)) AS BIGINT) AS completion_tokens, CAST(sum(coalesce(millis, 0)) AS BIGINT) AS millis FROM qc LEFT JOIN p USING (stem)"
+_TOK = ["calls", "prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens"]
+_STAGES = ["render", "l1", "l2", "l3"]
+_U = f", p AS (SELECT stem, {', '.join(f'sum({c}) AS {c}' for c in _TOK)}, {', '.join(f"sum(CASE WHEN stage = '{s}' THEN millis END) / 1000.0 AS sec_{s}" for s in _STAGES)} FROM usage GROUP BY stem) "
+_SUMS = "count(*) AS tickets, count(*) FILTER (WHERE trim(error) <> '') AS failed, count(*) FILTER (WHERE needs_review = 1) AS flagged, " + ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in _TOK) + ", " + ", ".join(f"round(sum(coalesce(sec_{s}, 0)), 2) AS sec_{s}" for s in _STAGES) + " FROM qc LEFT JOIN p USING (stem)"
 Q.add("agg_01_usage_totals", ["qc", "usage"], lambda q, u: P.usage_report(q, u, []), _U + f"SELECT {_SUMS}")
 Q.add("agg_02_usage_report", ["qc", "usage"], lambda q, u: P.usage_report(q.withColumn("day", F.substring("processed_at", 1, 10)), u, ["day", "model"]).withColumns({c: F.coalesce(c, F.lit("all")) for c in ("day", "model")}),
       _U + f"SELECT coalesce(day, 'all') AS day, coalesce(model, 'all') AS model, * EXCLUDE (day, model) FROM (SELECT substr(processed_at, 1, 10) AS day, model, {_SUMS} GROUP BY GROUPING SETS ((substr(processed_at, 1, 10)), (model), ()))")
+Q.add("agg_02_usage_by_stage", ["qc", "usage"], lambda q, u: P.usage_by_stage(q, u, "2026-09-05", "2026-09-20"), "SELECT stage, " + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in _TOK) + " FROM usage JOIN qc USING (stem) WHERE substr(processed_at, 1, 10) BETWEEN '2026-09-05' AND '2026-09-20' GROUP BY stage")
 _KIND = "CASE WHEN error LIKE '%imeout%' THEN 'timeout' WHEN error LIKE '%转录失败%' THEN 'transcription' ELSE 'OSError' END"
 Q.add("agg_03_failure_kinds", ["qc"], P.failure_kinds, f"SELECT {_KIND} AS error_kind, count(*) AS n FROM qc WHERE error <> '' GROUP BY 1")
 Q.add("udx_02_user_kinds", ["qc"], lambda q: P.failure_kinds(q, q.sparkSession.createDataFrame([("disk trouble", "disk", 0), ("rest", "Error", 1)], "kind string, keyword string, precedence int")), "SELECT CASE WHEN error LIKE '%disk%' THEN 'disk trouble' WHEN error LIKE '%Error%' THEN 'rest' ELSE error END AS error_kind, count(*) AS n FROM qc WHERE error <> '' GROUP BY 1")

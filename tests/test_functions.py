@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dictionaries as D
 from tallyforge.functions import text as T
 from tallyforge.operators import evidence as V
+from tallyforge.operators import accuracy as A
 from tallyforge.operators import events as E
 from tallyforge.operators import standardise as S
 
@@ -105,7 +106,7 @@ def test_dates_of_all_printed_forms(spark):
     df = spark.createDataFrame(cases, "text string, want string")
     got = df.select("text", "want", F.array_join(S.date_candidates(F.col("text")), ",").alias("got")).collect()
     assert [(r["text"], r["got"]) for r in got] == [(r["text"], r["want"]) for r in got]
-    rows = [("2026-09-24", "24SEP FLIGHT, 2026", True), ("2025-09-24", "24SEP FLIGHT, 2026", False), ("2026-09-24", "24SEP", False), ("2026-09-26", "26/09/2026", True), ("2026-09-26", "none", None)]
+    rows = [("2026-09-24", "24SEP FLIGHT, 2026", True), ("2025-09-24", "24SEP FLIGHT, 2026", None), ("2026-09-24", "24SEP", None), ("2026-09-26", "26/09/2026", True), ("2026-09-26", "none", None)]
     df = spark.createDataFrame(rows, "day string, text string, want boolean")
     got = df.select("want", V.date_evidence(F.col("day"), S.date_candidates(F.col("text")), F.col("text")).alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
@@ -150,3 +151,52 @@ def test_labels_with_dots_and_in_chinese(spark):
     df = spark.createDataFrame([("R.F.C. ABC123456789",), ("统一社会信用代码：91110000111122223X",), ("TAX 123456789",), ("gstin 22AAAAA0000A1Z5",)], "t string")
     assert [r[0] for r in df.select(F.array_join(T.labelled_ids(F.col("t")), ",")).collect()] == ["ABC123456789", "91110000111122223X", "", "22AAAAA0000A1Z5"]
     assert [r[0] for r in df.select(T.clean_tax(F.col("t"))).collect()] == ["ABC123456789", "91110000111122223X", "123456789", "22AAAAA0000A1Z5"]
+
+
+def test_evidence_on_lines(spark):
+    lines = [("a", 1, "ACME  Gmbh"), ("a", 2, "Room101 EAST"), ("a", 3, "10115 Berlin，HS CODE： 8526109"), ("a", 4, "020-1234 5675")]
+    prints = spark.createDataFrame(lines, "stem string, i int, text string")
+    cases = [
+        ("POSTAL", "alnum", "10115", True), ("HOUSE", "alnum", "9 99", False), ("TEL", "alnum", "EAST 10115", True),
+        ("ADDR", "long", "ACME ROOM 101 EAST", True), ("FAR", "long", "EAST ACME", False), ("LOST", "long", "ACME ROOM 102", False), ("NONE", "long", "--", False),
+        ("TAX", "ids", "Room101 / 10115", True), ("EORI", "ids", "Room101 / 99", False),
+        ("M1", "master", "020-12345675", True), ("M2", "master", "none", False), ("M3", "master", "020-1234567", False), ("M4", "master", "020-12345670", False),
+        ("CASE", "text", "acme Gmbh", False), ("ACROSS", "text", "Gmbh Room101", True), ("FIVE", "text", "Berlin,HS", True), ("EMPTY", "text", " ", None),
+    ]
+    fields = spark.createDataFrame([("a", f, k, v) for f, k, v, _ in cases], "stem string, field string, kind string, value string")
+    got = {r["field"]: r for r in V.evidence_job(fields, prints, reverse=()).collect()}
+    assert {f: got[f]["passed"] if f in got else None for f, _, _, _ in cases} == {f: want for f, _, _, want in cases}
+    assert (got["ADDR"]["sources"], got["ACROSS"]["sources"], got["FIVE"]["sources"]) == ([1, 2, 3], [1, 2], [3])
+    missed = V.evidence_job(fields.where("field = 'CASE'"), prints).where("kind = 'missed'").collect()
+    assert sorted((r["field"], r["value"]) for r in missed) == [("GOODS_HS_CODE", "8526109"), ("MAWB_NO", "02012345675")]
+    summary = V.fidelity_summary(V.evidence_job(fields, prints)).first()
+    assert summary["sources"]["ADDR"] == [1, 2, 3] and summary["checked"] == len(cases) - 1 + 1
+    # a record without lines has no evidence
+    assert [r["passed"] for r in V.evidence_job(fields.where("field IN ('ADDR', 'M1')").withColumn("stem", F.lit("b")), prints).collect()] == [False, False]
+
+
+def test_hs_and_ids_in_running_text(spark):
+    cases = [("HSCODE: 89031200", "89031200"), ("hs：7007290000", "7007290000"), ("HS Codes : 853890, 850511 X 1234567", "853890,850511,1234567"), ("THS: 853890", ""), ("HS 853890", ""), ("NET 12: HS CODE: 12345 850152", "850152"), (None, "")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    got = df.select("want", F.array_join(T.hs_after_colon(F.col("t")), ",").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    cases = [("GOODS HS CODE 8526.10, 8471；9001 PIPES 12345678", "852610,8471,9001"), ("H.S. CODES：8471，9001", "8471,9001"), ("HS码 8471", "8471"), ("HS 8471", "")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [r[1] for r in df.select("want", T.hs_from_text(F.col("t"))).collect()] == [w for _, w in cases]
+    cases = [("Road 5 VAT NO: DE123456789 Berlin", "Road 5 Berlin"), ("TAX ID 1234567 X", "X"), ("VAT no number here", "VAT no number here"), ("Room #5", "Room #5")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [(r[0], r[1]) for r in df.select("want", T.without_ids(F.col("t"))).collect()] == [(w, w) for _, w in cases]
+
+
+def test_status_and_progress_of_cells(spark):
+    cells = [("s", "A", 1, False, "x", "x", False), ("s", "B", 2, True, "x", "x", False), ("s", "C", 0, False, "", " ", False), ("s", "D", 0, True, "", "", True), ("s", "E", 0, False, None, "", True), ("s", "F", 0, False, "x", "", False), ("s", "G", 0, False, "", "y", False)]
+    df = spark.createDataFrame(cells, "stem string, field string, flags int, acked boolean, raw string, air string, skip boolean")
+    got = {r["field"]: (r["status"], r["todo"]) for r in A.cell_status(df).collect()}
+    assert got == {"A": ("flag", True), "B": ("confirmed", False), "C": ("empty", True), "D": ("emptyok", False), "E": ("skipped", False), "F": ("miss", False), "G": ("same", False)}
+    state = {r["grp"]: tuple(r)[2:] for r in A.segment_state(df, {"A": "one", "C": "one", "G": "one", "C2": "x", "E": "two"}).collect()}
+    assert state == {"one": (3, 2, 1, 1, 1, "hasflag"), "two": (1, 0, 0, 0, 1, "clear"), "other": (3, 0, 0, 0, 3, "clear")}
+
+
+def test_error_kind_of_a_missing_setting(spark):
+    df = spark.createDataFrame([("SystemExit: no key",), ("OSError: disk",), ("",), ("RuntimeError: read Timeout",)], "error string")
+    assert sorted(r["error_kind"] for r in S.error_kind(df, "error").collect()) == ["", "OSError", "not configured", "timeout"]
