@@ -28,8 +28,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tallyforge.llm.common import settle, small_batches
 
@@ -195,7 +196,7 @@ def _spread(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
 #: for texts: a fifth less to move than at the first level, for a twentieth more time in all
 _TEXT = pa.Codec("zstd", compression_level=6)
 _SPAN = ("<u4", "<u4", "<u4")  # row in the block, first byte, byte after the last
-_STEPS = ("<u8", "u1")  # steps between sorted minimizers, contexts of each (255: or more)
+_STEPS = ("<u8", "<u4")  # steps between sorted minimizers, contexts of each
 
 
 def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,18 +276,18 @@ def _texts(docs: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def _distinct_keys(docs: pa.RecordBatch, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted minimizers of a block, how many different contexts each has (255: or more), whether several documents have it."""
+    """Sorted minimizers of a block, how many different contexts each has, whether several documents have it."""
     _, texts, _ = _texts(docs)
     found = [(c.key, c.hash, rows[c.row]) for rows, _, parts in _pieces(texts, p) if len((c := contexts(parts, p)).key)]
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, bool)
+        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, bool)
     key, h, row = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((h, key))
     key, h, row = key[order], h[order], row[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
     several = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
-    return key[first], np.minimum(np.add.reduceat(new.astype(np.int64), first), 255).astype(np.uint8), several
+    return key[first], np.add.reduceat(new.astype(np.int64), first).astype(np.uint32), several
 
 
 def _send_keys(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams) -> Iterator[pa.RecordBatch]:
@@ -429,7 +430,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, p: RepeatParams) -> Ite
     size = 0
     for batch in batches:
         for block, data, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            cols = [_spread(x["data"], x["n"], *_STEPS) for x in marks]
+            cols = [_spread(x["data"], x["n"], "<u8", "u1") for x in marks]
             keys, flags = np.concatenate([np.cumsum(c[0]) for c in cols]), np.concatenate([c[1] for c in cols])
             order = np.argsort(keys)
             shared, hot = keys[order], keys[order][flags[order] > 1]
@@ -653,8 +654,10 @@ def _match(batches: Iterator[pa.RecordBatch], p: RepeatParams) -> Iterator[pa.Re
 
 
 def blocks_of(docs: DataFrame, params: RepeatParams) -> DataFrame:
-    """``block, docs``: the rows of ``docs`` with their id as ``_doc``, some megabytes of text together, compressed."""
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    """``block, docs``: ids (``_doc``), texts and all other columns (one struct, ``_row``, so that no name of theirs matters), some
+    megabytes of text together, compressed."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"), others.alias("_row"))
     packed = rows.mapInArrow(lambda batches: _to_blocks(batches, params), "docs binary")
     return settle(packed.select(F.monotonically_increasing_id().alias("block"), "docs"), "repeat-blocks")
 
@@ -677,6 +680,30 @@ def repeats(blocks: DataFrame, params: RepeatParams = RepeatParams()) -> DataFra
     return spans.groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("spans"))
 
 
+#: What ``cut`` adds to a row.
+ADDED = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary", "kept_text": "string"}
+
+
+def _cut_rows(docs: DataFrame, params: RepeatParams) -> DataFrame:
+    """``_row`` (all columns but the text), ``text`` and the added columns."""
+    small_batches(docs.sparkSession)
+    blocks = blocks_of(docs, params)
+    joined = blocks.join(repeats(blocks, params).hint("merge"), "block", "left").select("docs", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield _cut_block(_batch_of(data), packed or [])
+
+    others = StructType([f for f in docs.schema.fields if f.name != "text"])
+    schema = StructType([StructField("_row", others), StructField("text", StringType())] + [StructField(k, {"long": LongType(), "binary": BinaryType(), "string": StringType()}[t]) for k, t in ADDED.items()])
+    return joined.mapInArrow(run, schema)
+
+
+def _column(name: str) -> Column:
+    return F.col("text") if name == "text" else F.col("_row")[name].alias(name)
+
+
 def cut(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes left) and ``kept_text`` added.
 
@@ -684,28 +711,26 @@ def cut(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
     doc_id have no place in the order: they lose nothing and take nothing from others. Rows that repeat a doc_id don't
     take from each other. Of equal strings the one in the document with the least doc_id stays. A text of any length is
     read in slices. ``kept_text`` leaves out the rest of a character that a cut has split. Columns with the added names
-    are replaced; an empty table gives an empty result.
+    are replaced, all others keep their values; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
-    names = [c for c in docs.columns if c not in added]
-    blocks = blocks_of(docs.select(*names), params)
-    joined = blocks.join(repeats(blocks, params).hint("merge"), "block", "left").select("docs", "spans")
+    return _cut_rows(docs, params).select(*[_column(c) for c in docs.columns if c not in ADDED], *ADDED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _cut_block(_batch_of(data), packed or [], names, added)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes) + ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
-    return joined.mapInArrow(run, schema)
+def cut_texts(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
+    """``docs`` with what ``cut`` leaves as ``text`` and its code points as ``n_chars``, if there is such a column.
+
+    A null text stays null. All other columns keep their values, whatever their names.
+    """
+    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+    changed = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return _cut_rows(docs, params).select(*[changed.get(c, _column(c)) for c in docs.columns])
 
 
-def _cut_block(docs: pa.RecordBatch, packed: list[dict], names: list[str], added: list[str]) -> pa.RecordBatch:
+def _cut_block(docs: pa.RecordBatch, packed: list[dict]) -> pa.RecordBatch:
     texts = [t or b"" for t in docs.column("text").cast(pa.binary()).to_pylist()]
     row, start, stop = _merged(*(np.concatenate(x) for x in zip(*(_spread(x["data"], x["n"], *_SPAN) for x in packed), strict=True))) if packed else (np.empty(0, np.int64),) * 3
     first, last = np.searchsorted(row, np.arange(len(texts))).tolist(), np.searchsorted(row, np.arange(len(texts)), side="right").tolist()
-    out: dict[str, list] = {k: [] for k in added}
+    out: dict[str, list] = {k: [] for k in ADDED}
     for raw, a, b in zip(texts, first, last, strict=True):
         kept, at = [], 0
         for s, e in zip(start[a:b].tolist(), stop[a:b].tolist(), strict=True):
@@ -713,7 +738,7 @@ def _cut_block(docs: pa.RecordBatch, packed: list[dict], names: list[str], added
             at = e
         kept.append(raw[at:])
         left = b"".join(kept)
-        for k, v in zip(added, (len(raw), len(raw) - len(left), b - a, left, left.decode("utf-8", "ignore")), strict=True):
+        for k, v in zip(ADDED, (len(raw), len(raw) - len(left), b - a, left, left.decode("utf-8", "ignore")), strict=True):
             out[k].append(v)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-    return pa.RecordBatch.from_arrays([*(docs.column(c) for c in names), *(pa.array(out[k], t) for k, t in zip(added, kinds, strict=True))], names=[*names, *added])
+    return pa.RecordBatch.from_arrays([docs.column("_row"), docs.column("text"), *(pa.array(out[k], t) for k, t in zip(ADDED, kinds, strict=True))], names=["_row", "text", *ADDED])

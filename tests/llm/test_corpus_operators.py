@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.helpers import awkward, documents, frame, prose
 from pyspark.sql import functions as F
@@ -309,3 +311,17 @@ def test_pipeline_stages(spark, tmp_path):
     packed = pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(left)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
+
+
+def test_minimizers_with_very_many_contexts_are_hot():
+    """One phrase in 20,000 surroundings: its minimizers are counted one by one, also within one block."""
+    rng = random.Random(8)
+    phrase = "the parties named above hereby agree to all of it"
+    texts = [" ".join(f"{rng.randbytes(14).hex()} {phrase} {rng.randbytes(14).hex()}" for _ in range(5000)) for _ in range(4)]
+    docs = pa.RecordBatch.from_pydict({"_doc": pa.array(range(4), pa.int64()), "text": pa.array(texts)})
+    p = substrings.RepeatParams()
+    key, n, several = substrings._distinct_keys(docs, p)
+    assert n.max() > 10_000 and several[n.argmax()]
+    blocks = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([substrings._batch_bytes(docs)], pa.binary())], names=["block", "docs"])
+    marks = [r for b in substrings._mark(substrings._send_keys(iter([blocks]), 1, p), p) for r in b.to_pylist()]
+    assert sum(r["hot"] for r in marks) >= int(n.max()) and int(n.max()) >= p.hot_rows

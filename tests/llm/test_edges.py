@@ -68,11 +68,15 @@ def test_pipeline_stages_pass_other_columns_and_empty_tables(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     vocabulary("byte_bpe_50k.json")
     spark.createDataFrame([(1, 1, 0)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
-    docs = documents(spark, [prose(1, 80), None, prose(2, 80)]).selectExpr("*", "1 AS kept", "'a' AS _row", "2 AS block")
+    docs = documents(spark, [prose(1, 80), None, prose(2, 80)]).selectExpr("*", "concat('k', doc_id) AS kept", "'a' AS _row", "2 AS block", "doc_id + 5 AS _doc", "CAST(7 AS INT) AS n_bytes", "named_struct('x', doc_id) AS spans", "'w' AS _text", "doc_id AS cls")
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
-        kept = {r["doc_id"]: r["text"] for r in out.collect()}
+        rows = out.collect()
+        kept = {r["doc_id"]: r["text"] for r in rows}
+        for r in rows:  # other columns keep their values, whatever their names
+            assert (r["kept"], r["_row"], r["block"], r["_doc"], r["n_bytes"], r["spans"]["x"], r["_text"], r["cls"]) == (f"k{r['doc_id']}", "a", 2, r["doc_id"] + 5, 7, r["doc_id"], "w", r["doc_id"]), name
+            assert out.schema["n_bytes"].dataType.simpleString() == "int"
         assert kept[0] == prose(1, 80) and kept[2] == prose(2, 80)
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
