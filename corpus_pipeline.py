@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyforge.llm import neardup, packing, quality, substrings, toxicity
 from tallyforge.llm.common import settle, table
@@ -50,11 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A null text stays null; a document without an id keeps its text. Rows that repeat an id don't cut each other.
     """
-    cut = substrings.cut(docs)
-    # a null text stays null
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    columns = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return cut.select(*[columns.get(c, F.col(c)) for c in docs.columns])
+    return substrings.cut_texts(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
