@@ -183,11 +183,87 @@ def board_current(events: DataFrame) -> DataFrame:
     )
 
 
-def board_apply(events: DataFrame) -> DataFrame:
-    """BRD-03: ``accepted`` for each event: nothing but a repeated retraction may follow a retraction."""
-    w = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.max((F.col("action") == "retract").cast("int")).over(w), F.lit(0)) == 1
-    return events.withColumn("accepted", ~gone | (F.col("action") == "retract"))
+#: What a comment and its decisions may hold.
+BOARD_TEXT, BOARD_NOTE, BOARD_NAME, BOARD_REF = 2000, 200, 160, 60
+BOARD_STATUS = ("open", "adopted", "declined", "later")
+
+
+def _board_fault(action: str, text: str, column: str, status: str, note: str, ref: str, who: str, columns: frozenset[str], statuses: frozenset[str]) -> str | None:
+    """What is wrong with an event in itself."""
+    if action in ("add", "edit"):
+        if not text:
+            return "empty"
+        if len(text) > BOARD_TEXT:
+            return "too long"
+    if action == "add":
+        if column and column not in columns:
+            return "unknown column"
+        return None if who and len(who) <= BOARD_NAME else "unsigned"
+    if action == "decide":
+        if status not in statuses:
+            return "unknown status"
+        if not note:
+            return "no reason"
+        return "too long" if len(note) > BOARD_NOTE or len(ref) > BOARD_REF else None
+    return None if action in ("edit", "retract") else "unknown action"
+
+
+def board_apply(events: DataFrame, columns: list[str], statuses: tuple[str, ...] = BOARD_STATUS) -> DataFrame:
+    """BRD-03: each event of comments (``id, seq, who, action, text, field, status, note, ref``) with ``accepted``, the ``reason``
+    of a rejection, and ``old_text``, the text that an accepted edit replaced.
+
+    An event is rejected for what is wrong in itself first (empty or too long a text, an unknown column or status, no signature,
+    no reason for a decision), then if its comment is missing, there already, or retracted. A retraction may be repeated and
+    changes nothing then; an edit to the same text is accepted and replaces nothing.
+
+    Each comment's events pass in order through one task, row by row: what is kept is the present text of the comment at hand,
+    whatever its history. Equal ``seq`` go by action.
+    """
+    known, allowed = frozenset(columns), frozenset(statuses)
+    names = ["who", "action", "text", "field", "status", "note", "ref"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text, gone = (), None, False
+        for batch in batches:
+            out: list[tuple[bool, str | None, str | None]] = []
+            values = (batch.column(n).to_pylist() for n in ("id", *names))
+            for i, who, action, body, column, status, note, ref in zip(*values, strict=True):
+                if (i,) != now:
+                    now, text, gone = (i,), None, False
+                body = (body or "").strip()
+                reason = _board_fault(action, body, (column or "").strip(), (status or "").strip(), (note or "").strip(), (ref or "").strip(), (who or "").strip(), known, allowed)
+                if reason is None:
+                    if action == "add":
+                        reason = "there already" if text is not None else None
+                    elif text is None:
+                        reason = "missing"
+                    elif gone and action != "retract":
+                        reason = "retracted"
+                old = None
+                if reason is None:
+                    if action == "edit" and body != text:
+                        old = text
+                    text = body if action in ("add", "edit") else text
+                    gone = gone or action == "retract"
+                out.append((reason is None, reason, old))
+            accepted, reasons, olds = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(reasons, pa.string()), pa.array(olds, pa.string())], names=[*batch.schema.names, "accepted", "reason", "old_text"])
+
+    rows = events.select("id", "seq", *[F.col(f"`{n}`").cast("string").alias(n) for n in names])
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.repartition("id").sortWithinPartitions("id", "seq", "action", "text").mapInArrow(run, f"{kinds}, accepted boolean, reason string, old_text string")
+
+
+def board_state(applied: DataFrame) -> DataFrame:
+    """BRD-03: comments as the accepted events leave them: text, old texts in order, status of the last decision, retracted."""
+    good = applied.where("accepted")
+    wrote, decided = F.col("action").isin("add", "edit"), F.col("action") == "decide"
+    return good.groupBy("id").agg(
+        F.trim(F.max_by(F.when(wrote, F.col("text")), F.when(wrote, F.col("seq")))).alias("text"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("old_text").isNotNull(), F.struct("seq", "old_text")))), lambda x: x["old_text"]).alias("revised"),
+        F.coalesce(F.max_by(F.when(decided, F.col("status")), F.when(decided, F.col("seq"))), F.lit("open")).alias("status"),
+        F.bool_or(F.col("action") == "retract").alias("retracted"),
+    )
 
 
 def board_filter(rows: DataFrame, name: str, viewer: str) -> DataFrame:

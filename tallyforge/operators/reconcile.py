@@ -147,10 +147,21 @@ def missed_columns(record: DataFrame, lines: DataFrame) -> DataFrame:
     return first.join(record, ["stem", "field"], "left").where(T.blank(F.col("value"))).select("stem", "field", "seen")
 
 
-def registry_numbers(df: DataFrame, key: str, cell: str) -> DataFrame:
-    """REG-01: distinct customs-id-shaped numbers of a cell."""
+def local_pending(states: DataFrame, masters: DataFrame, master: str, columns: list[str], key: str = "stem") -> DataFrame:
+    """JN-06: rows under one of the masters that are parsed or staged only, so that nobody else knows them yet."""
+    mine = states.where(F.col("state").isin("parsed", "staged")).join(masters.select(master).distinct(), master, "left_semi")
+    return mine.select(key, "state", *columns)
+
+
+#: countries whose numbers the registry doesn't hold
+SKIPPED = ("GB",)
+
+
+def registry_numbers(df: DataFrame, key: str, cell: str, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """REG-01: distinct customs-id-shaped numbers of a cell, each once, without those of countries to skip."""
     parts = F.array_distinct(F.transform(T.split_ids(F.col(cell)), T.id_body))
-    return df.select(key, F.explode(F.filter(parts, lambda x: x.rlike("^[A-Z]{2}[A-Z0-9]{6,15}$") & x.rlike(r"\d"))).alias("num"))
+    shaped = lambda x: x.rlike("^[A-Z]{2}[A-Z0-9]{6,15}$") & x.rlike("[0-9]") & ~F.substring(x, 1, 2).isin(*skip)
+    return df.select(key, F.explode(F.filter(parts, shaped)).alias("num"))
 
 
 def page_verdict(html: Column) -> Column:

@@ -36,6 +36,18 @@ def country_iso2(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame
     return found.withColumn("country_iso2", F.when(value.rlike("^[A-Z]{2}$"), value).when(inner != "", inner).otherwise(F.coalesce("_iso", value))).drop("_iso")
 
 
+def country_full(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """FN-13: add ``country_full``: the dictionary's name of a two-letter code (``XX`` or ``NAME (XX)``), empty for an unknown code
+    alone; a name stays as it is. Of a code's names the last one of the dictionary counts."""
+    value = F.upper(T.strip(F.col(column)))
+    parts = F.regexp_extract_all(value, F.lit(r"^(.*?)\s*\(([A-Z]{2})\)$"), 1), F.regexp_extract(value, r"\(([A-Z]{2})\)$", 1)
+    name = F.when(parts[1] != "", T.text(F.get(parts[0], F.lit(0)))).otherwise(value)
+    code = F.when(F.length(value) == 2, value).otherwise(F.when(F.length(name) == 2, name))
+    names = dictionary.groupBy(F.col("iso2").alias("_code")).agg(F.max_by(F.upper("name"), "ord").alias("_name"))
+    found = df.withColumn("_code", code).join(small(names), "_code", "left")
+    return found.withColumn("country_full", F.when(F.length(value) == 2, T.text(F.col("_name"))).otherwise(F.coalesce(F.col("_name"), F.when(name != "", name), parts[1]))).drop("_code", "_name")
+
+
 def city_code(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """JN-11, FN-14: the whole folded name, else its first known token, else the first dictionary name (5 letters or
     more) that a name of 6 letters or more starts with; unknown names stay.
@@ -189,6 +201,11 @@ def flag_columns(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     return df.withColumn("columns", F.array_compact(F.array(*hits)))
 
 
+def flag_column(flag: Column) -> Column:
+    """FN-22: the first token of a flag that looks like a column: capitals, digits and underscores, three characters or more."""
+    return F.regexp_extract(T.text(flag), "([A-Z][A-Z0-9]{2,}(?:_[A-Z0-9]+)*)", 1)
+
+
 def standardise_house(df: DataFrame, countries: DataFrame, cities: DataFrame, constants: dict[str, str] | None = None) -> DataFrame:
     """STD-01: master number, route and origin, country, phones, ids and HS codes of house records; symbols to spaces in
     text columns. ``constants`` are columns the house overwrites. Columns the input lacks are left out. An address whose

@@ -61,6 +61,17 @@ SELECT 'house' AS kind, 'K' || CAST(user_id AS STRING) AS key, event_id AS seq,
     "board_events": """
 SELECT user_id AS id, event_id AS seq, 'u' || CAST(user_id % 6 AS STRING) AS who, CASE WHEN event_type = 'purchase' THEN 'decide' WHEN event_type = 'error' AND event_id % 9 = 0 THEN 'retract' ELSE 'edit' END AS action,
   CASE event_id % 3 WHEN 0 THEN 'adopted' WHEN 1 THEN 'declined' ELSE 'later' END AS status FROM events""",
+    "board_log": """
+SELECT user_id % 40 * 100 + user_id % 7 AS id, event_id AS seq, CASE WHEN event_id % 37 = 5 THEN ' ' ELSE 'u' || CAST(user_id % 6 AS STRING) END AS who,
+  CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id % 40 * 100 + user_id % 7) AND user_id % 5 <> 0 THEN 'add' WHEN event_id % 97 = 3 THEN 'add' WHEN event_type = 'purchase' THEN 'decide' WHEN event_type = 'error' AND event_id % 29 = 0 THEN 'retract' ELSE 'edit' END AS action,
+  CASE WHEN event_id % 23 = 0 THEN '  ' WHEN event_id % 31 = 0 THEN repeat(event_type || ' ', 400) ELSE event_type || CAST(event_id % 3 AS STRING) END AS text,
+  CASE event_id % 5 WHEN 0 THEN 'NO_SUCH' WHEN 1 THEN '' ELSE 'GOODS' END AS field,
+  CASE event_id % 9 WHEN 0 THEN 'adopted' WHEN 1 THEN 'declined' WHEN 2 THEN 'maybe' ELSE 'later' END AS status,
+  CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 13 = 0 THEN repeat('why ', 60) ELSE 'rule ' || event_type END AS note, CASE WHEN event_id % 17 = 0 THEN repeat('r', 61) ELSE '' END AS ref FROM events""",
+    "transcripts": """
+SELECT stem, num, CASE num % 7 WHEN 0 THEN '```json' || chr(10) ELSE '' END || '{"lines": [' || CASE num % 5 WHEN 4 THEN '' ELSE '{"text": "' || SHIPPER || '", "bbox": [1, 2, ' || PIECES || ', ' || WEIGHT || '], "page": ' || CAST(num % 3 + 1 AS STRING) || '}, "' || GOODS || '", {"text": ""}, ""' END
+  || CASE num % 5 WHEN 1 THEN ', {"bbox": [1, 2, 3, 4]}, {"text": "' || COUNTRY || '", "bbox": [1, 2]}' WHEN 2 THEN ', {"text": ' || PIECES || ', "bbox": "none"}, ' || WEIGHT WHEN 3 THEN ', {"text": " ' || HAWB_NO || '", "bbox": null}' ELSE '' END || ']}'
+  || CASE num % 7 WHEN 0 THEN chr(10) || '```' ELSE '' END AS raw FROM tickets""",
     "scans": """
 SELECT 'F' || CAST(user_id AS STRING) AS name, event_id AS scan, CAST(floor(value / 40) AS BIGINT) AS size, CAST(floor(value / 60) AS BIGINT) AS mtime, CASE WHEN event_type = 'error' OR event_type = 'signup' THEN 0 ELSE 1 END AS ok FROM events""",
     "id_cells": """
@@ -112,7 +123,7 @@ SELECT t.stem, f.field, CASE f.field %s END AS model, CASE f.field %s END AS fin
         " UNION ALL ".join(f"SELECT '{f}' AS field" for f in FIELDS),
     ),
 }
-NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"], "prints": ["tickets"], "pairs": ["tickets"], "print_fields": ["tickets", "prints"]}
+NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"], "prints": ["tickets"], "transcripts": ["tickets"], "pairs": ["tickets"], "print_fields": ["tickets", "prints"]}
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

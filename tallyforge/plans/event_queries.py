@@ -100,12 +100,23 @@ Q.add(
 Q.add("brd_01_board_current", ["board_events"], E.board_current, "SELECT id, arg_min(who, seq) AS who, coalesce(arg_max(status, seq) FILTER (WHERE action = 'decide'), 'open') AS status, bool_or(action = 'retract') AS retracted, count(*) FILTER (WHERE action = 'edit') AS edits FROM board_events GROUP BY id")
 _BOARD = ", b AS (SELECT id, arg_min(who, seq) AS who, coalesce(arg_max(status, seq) FILTER (WHERE action = 'decide'), 'open') AS status, bool_or(action = 'retract') AS retracted FROM board_events GROUP BY id) "
 Q.add("brd_02_board_listing", ["board_events"], lambda b: E.board_current(b).orderBy(F.desc("id")).select("id", "status", "retracted", (F.col("who") == "u2").alias("mine")), _BOARD + "SELECT id, status, retracted, who = 'u2' AS mine FROM b")
-Q.add(
-    "brd_03_event_validity",
-    ["board_events"],
-    lambda b: E.board_apply(b).select("id", "seq", "accepted"),
-    ", r AS (SELECT id, min(seq) FILTER (WHERE action = 'retract') AS gone FROM board_events GROUP BY id) SELECT b.id, b.seq, gone IS NULL OR seq <= gone OR action = 'retract' AS accepted FROM board_events b JOIN r USING (id)",
-)
+_COLUMNS = ["GOODS", "SHIPPER"]
+_BOARD_LOG = """, own AS (SELECT *, trim(text) AS body, CASE
+    WHEN action IN ('add', 'edit') AND trim(text) = '' THEN 'empty' WHEN action IN ('add', 'edit') AND length(trim(text)) > 2000 THEN 'too long'
+    WHEN action = 'add' AND trim(field) NOT IN ('', 'GOODS', 'SHIPPER') THEN 'unknown column' WHEN action = 'add' AND trim(who) = '' THEN 'unsigned'
+    WHEN action = 'decide' AND status NOT IN ('open', 'adopted', 'declined', 'later') THEN 'unknown status' WHEN action = 'decide' AND trim(note) = '' THEN 'no reason'
+    WHEN action = 'decide' AND (length(trim(note)) > 200 OR length(ref) > 60) THEN 'too long' END AS fault FROM board_log),
+  born AS (SELECT id, min(seq) AS made FROM own WHERE action = 'add' AND fault IS NULL GROUP BY id),
+  died AS (SELECT o.id, min(seq) AS gone FROM own o JOIN born b ON o.id = b.id WHERE action = 'retract' AND seq > made GROUP BY o.id),
+  judged AS (SELECT o.*, CASE WHEN fault IS NOT NULL THEN fault WHEN action = 'add' AND seq > made THEN 'there already' WHEN action <> 'add' AND (made IS NULL OR seq < made) THEN 'missing'
+    WHEN action <> 'retract' AND seq > gone THEN 'retracted' END AS reason FROM own o LEFT JOIN born b ON o.id = b.id LEFT JOIN died d ON o.id = d.id),
+  texts AS (SELECT id, seq, lag(body) OVER (PARTITION BY id ORDER BY seq) AS before FROM judged WHERE reason IS NULL AND action IN ('add', 'edit')) """
+Q.add("brd_03_event_validity", ["board_log"], lambda b: E.board_apply(b, _COLUMNS).select("id", "seq", "accepted", "reason", "old_text"),
+      _BOARD_LOG + "SELECT j.id, j.seq, reason IS NULL AS accepted, reason, CASE WHEN action = 'edit' AND before <> body THEN before END AS old_text FROM judged j LEFT JOIN texts t ON j.id = t.id AND j.seq = t.seq")
+Q.add("brd_03_rejects", ["board_log"], lambda b: E.board_apply(b, _COLUMNS).where("NOT accepted").groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n")), _BOARD_LOG + "SELECT action, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2")
+Q.add("brd_03_comments", ["board_log"], lambda b: E.board_state(E.board_apply(b, _COLUMNS)).select("id", "text", F.array_join("revised", "|").alias("revised"), "status", "retracted"),
+      _BOARD_LOG + """SELECT j.id, arg_max(body, j.seq) FILTER (WHERE action IN ('add', 'edit')) AS text, coalesce(string_agg(before, '|' ORDER BY j.seq) FILTER (WHERE action = 'edit' AND before <> body), '') AS revised,
+      coalesce(arg_max(status, j.seq) FILTER (WHERE action = 'decide'), 'open') AS status, bool_or(action = 'retract') AS retracted FROM judged j LEFT JOIN texts t ON j.id = t.id AND j.seq = t.seq WHERE reason IS NULL GROUP BY j.id""")
 Q.add("brd_04_board_filter", ["board_events"], lambda b: E.board_filter(E.board_current(b), "adopted", "u2").select("id", "who"), _BOARD + "SELECT id, who FROM b WHERE status = 'adopted' AND NOT retracted")
 Q.add(
     "agg_11_board_counts",

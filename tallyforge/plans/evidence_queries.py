@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.operators import evidence as V
 from tallyforge.operators import standardise as S
+from tallyforge.operators import validate as L
 from tallyforge.plans.register import Register
+from tallyforge.sources import records as X
 
 Q = Register()
 
@@ -111,3 +113,26 @@ Q.add(
     _TEXTS + _SPANS + "SELECT f.stem, f.field, x.sources AS lines FROM f JOIN found x ON f.stem = x.stem AND f.field = x.field WHERE kind = 'text'",
 )
 Q.add("agg_14_batch", INPUTS, lambda p, f: V.fidelity_batch(V.fidelity_summary(_JOB(p, f))), _ALL + f", s AS ({_COUNTS}) SELECT count(*) AS records, count(*) FILTER (WHERE checked > passed) AS with_failures, CAST(sum(checked) AS BIGINT) AS checked, CAST(sum(passed) AS BIGINT) AS passed FROM s")
+_HISTORY = ["model", "processed_at", "uploader"]
+
+
+def _recheck(pairs, prints, fields, tickets):
+    """Checks of all records, computed twice: on records parsed in the past, then on the result."""
+    flags = L.validate(pairs, [*L.number_rules(("sent_MAWB_NO", "sent_HAWB_NO")), *L.length_rules(["SHIPPER_INFO_STATE", "NOTIFY_INFO_CITY"])]).select("stem", F.concat("field", F.lit(": "), "message").alias("message"))
+    evidence = V.fidelity_summary(_JOB(prints.where("num % 9 <> 0"), fields.where(F.substring("stem", -1, 1) != "9")))
+    evidence = evidence.join(prints.where("num % 9 <> 0").select("stem").distinct(), "stem", "left_semi")
+    old = tickets.where("num % 4 <> 0").select("stem", "model", F.when(F.col("num") % 3 == 0, " ").otherwise(F.col("CREATE_TIME")).alias("processed_at"), F.when(F.col("num") % 2 == 0, "u1").alias("uploader"))
+    first = X.recheck(pairs, flags, evidence, old, _HISTORY)
+    return X.recheck(pairs, flags, evidence, first, _HISTORY)
+
+
+_SENT = lambda n: f"trim({n}) || trim(coalesce(sent_{n}, '')) <> ''"
+Q.add(
+    "acc_10_recheck", ["pairs", *INPUTS, "tickets"],
+    lambda p, l, f, t: _recheck(p, l, f, t).select("stem", *_HISTORY, F.array_join("flags", "; ").alias("flags"), "needs_review", "checked", "passed"),
+    _ALL + f""", s AS (SELECT c.stem, count(*) AS checked, count(*) FILTER (WHERE passed) AS passed, list_sort(list('evidence: ' || field) FILTER (WHERE NOT passed)) AS failed FROM checks c JOIN tickets t ON c.stem = t.stem WHERE t.num % 9 <> 0 AND right(c.stem, 1) <> '9' GROUP BY c.stem),
+    w AS (SELECT stem, CASE WHEN {_SENT('MAWB_NO')} THEN CASE WHEN {_SENT('HAWB_NO')} THEN [] ELSE ['HAWB_NO: house number missing'] END WHEN {_SENT('HAWB_NO')} THEN ['MAWB_NO: master number missing'] ELSE ['MAWB_NO: both numbers missing'] END AS a,
+      CASE WHEN length(NOTIFY_INFO_CITY) > 50 THEN ['NOTIFY_INFO_CITY: longer than 50'] ELSE [] END AS b, CASE WHEN length(SHIPPER_INFO_STATE) > 50 THEN ['SHIPPER_INFO_STATE: longer than 50'] ELSE [] END AS c FROM pairs),
+    g AS (SELECT w.stem, array_to_string(list_concat(list_concat(list_concat(a, b), c), CASE WHEN s.stem IS NULL THEN ['no transcript'] ELSE coalesce(s.failed, []) END), '; ') AS flags, coalesce(s.checked, 0) AS checked, coalesce(s.passed, 0) AS passed FROM w LEFT JOIN s ON w.stem = s.stem)
+    SELECT g.stem, CASE WHEN num % 4 <> 0 THEN model END AS model, CASE WHEN num % 4 <> 0 AND num % 3 <> 0 THEN CREATE_TIME END AS processed_at, CASE WHEN num % 4 <> 0 AND num % 2 = 0 THEN 'u1' END AS uploader, flags, flags <> '' AS needs_review, checked, passed FROM g JOIN tickets t ON g.stem = t.stem""",
+)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyforge.functions import dictionaries as D
 from tallyforge.functions import text as T
@@ -10,6 +13,7 @@ from tallyforge.operators import reconcile as R
 from tallyforge.operators import standardise as S
 from tallyforge.plans.register import Register
 from tallyforge.sources import records as X
+from tallyforge.streaming.streams import shared_folder
 
 Q = Register()
 _NO = "regexp_replace(upper({c}), '[^0-9A-Z]', '', 'g')"
@@ -34,10 +38,43 @@ Q.add(
 )
 Q.add(
     "src_07_normalise_lines",
-    ["tickets"],
-    lambda t: t.select("stem", X.normalise_lines(F.array(F.concat(F.lit(" "), "SHIPPER"), F.lit("  "), "GOODS")).alias("l")).select("stem", F.size("l").cast("long").alias("n"), X.full_text(F.col("l")).alias("text")),
-    "SELECT stem, CAST(2 AS BIGINT) AS n, trim(SHIPPER) || chr(10) || GOODS AS text FROM tickets",
+    ["transcripts"],
+    lambda t: t.select("stem", X.normalise_lines(F.col("raw")).alias("l")).select("stem", X.full_text(F.col("l")).alias("full"), F.explode("l").alias("l"))
+    .select("stem", "full", "l.i", "l.text", F.array_join(F.transform("l.bbox", lambda x: x.cast("int").cast("string")), ",").alias("bbox"), F.coalesce("l.page", F.lit(0)).cast("long").alias("page")),
+    """, body AS (SELECT stem, num, trim(replace(replace(raw, '```json' || chr(10), ''), chr(10) || '```', ''))::JSON AS j FROM transcripts),
+    items AS (SELECT stem, unnest(list_transform(range(0, json_array_length(j, '$.lines')::BIGINT), lambda k: {'k': k, 'v': json_extract(j, '$.lines[' || k || ']')})) AS it FROM body),
+    parts AS (SELECT stem, it.k AS k, CASE WHEN json_type(it.v) = 'OBJECT' THEN coalesce(it.v ->> '$.text', '') ELSE it.v ->> '$' END AS text,
+      CASE WHEN json_type(it.v, '$.bbox') = 'ARRAY' AND json_array_length(it.v, '$.bbox') = 4 THEN array_to_string(CAST(json_extract(it.v, '$.bbox') AS INTEGER[]), ',') END AS bbox, coalesce(CAST(it.v ->> '$.page' AS BIGINT), 0) AS page, json_type(it.v) AS kind FROM items),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY k) AS i FROM parts WHERE text <> '')
+    SELECT stem, string_agg(text, chr(10)) OVER (PARTITION BY stem ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS "full", i, text, bbox, page FROM kept""",
 )
+_FILE = "'{\"s_suppkey\": ' || s_suppkey || ', \"s_name\": \"' || s_name || CASE WHEN s_acctbal < 0 THEN '' ELSE '\"}' END"
+
+
+def _folder(spark, sf_dir):
+    """A folder with a file for each supplier; those with a debt are cut off."""
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    X.write_records(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr(_FILE).alias("value")), folder)
+    return folder
+
+
+_SUPPLIER = StructType().add("s_suppkey", "long").add("s_name", "string")
+_read = lambda spark, d: X.read_records(spark, _folder(spark, d), _SUPPLIER, "txt")
+Q.queries["src_01_read_records"] = lambda spark, d: _read(spark, d).select(F.when(F.col("_corrupt_record").isNull(), F.col("s_suppkey")).alias("s_suppkey"), F.when(F.col("_corrupt_record").isNull(), F.col("s_name")).alias("s_name"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
+Q.oracles["src_01_read_records"] = "SELECT CASE WHEN s_acctbal >= 0 THEN s_suppkey END AS s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_name END AS s_name, s_acctbal < 0 AS corrupt FROM supplier"
+Q.queries["src_02_list_inputs"] = lambda spark, d: X.list_inputs(spark, _folder(spark, d), ["TXT"]).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+Q.oracles["src_02_list_inputs"] = f"SELECT count(*) AS files, CAST(sum(strlen({_FILE}) + 1) AS BIGINT) AS bytes FROM supplier"
+
+
+def _compacted(spark, sf_dir):
+    out = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    good = _read(spark, sf_dir).where("_corrupt_record IS NULL").select("s_suppkey", "s_name")
+    X.compact(good, out)
+    return spark.read.schema(_SUPPLIER).parquet(out)
+
+
+Q.queries["src_06_compact"] = _compacted
+Q.oracles["src_06_compact"] = "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0"
 Q.add(
     "src_08_record_to_lines",
     ["finals"],
@@ -51,13 +88,19 @@ Q.add(
     "SELECT t.stem, CASE WHEN t.num % 2 = 0 AND trim(f.SHIPPER) <> '' THEN f.SHIPPER ELSE t.SHIPPER END AS SHIPPER FROM tickets t JOIN finals f ON f.stem = t.stem",
 )
 Q.add("src_11_delete_keys", ["tickets", "ledger"], lambda t, l: X.delete_keys([t.select("stem", "num")], l, "stem")[0], "SELECT stem, num FROM tickets WHERE stem NOT IN (SELECT stem FROM ledger)")
+_CHECKS = lambda q: q.withColumn("flags", F.transform(F.sequence(F.lit(0), F.col("flags")), lambda i: F.concat(F.lit("f"), i)))
 Q.add(
     "src_12_export_view",
     ["finals", "qc"],
-    lambda f, q: X.export_view(f.withColumn("stem", F.concat(F.lit("D"), F.col("num"))), q, ["MAWB_NO", "GOODS"]),
-    "SELECT 'D' || f.num AS stem, f.MAWB_NO, f.GOODS, CASE WHEN q.needs_review IS NULL THEN 'none' WHEN q.needs_review = 1 THEN 'yes' ELSE 'no' END AS needs_review, coalesce(q.error, '') AS error FROM finals f LEFT JOIN qc q ON q.stem = 'D' || f.num",
+    lambda f, q: X.export_view(f.withColumn("stem", F.concat(F.lit("D"), F.col("num"))), _CHECKS(q), ["MAWB_NO", "GOODS"]),
+    "SELECT 'D' || f.num AS stem, f.MAWB_NO, f.GOODS, CASE WHEN q.stem IS NULL THEN 'none' WHEN q.needs_review = 1 THEN 'yes' ELSE 'no' END AS needs_review, CASE WHEN q.stem IS NULL THEN '' ELSE array_to_string(list_transform(range(0, q.flags + 1), lambda i: 'f' || i), '；') END AS flags FROM finals f LEFT JOIN qc q ON q.stem = 'D' || f.num",
 )
-Q.add("src_14_run_report", ["qc"], X.run_report, "SELECT channel, count(*) AS records, count(*) FILTER (WHERE trim(error) <> '') AS failed, count(*) FILTER (WHERE needs_review = 1) AS review FROM qc GROUP BY channel")
+_RUN = lambda q: q.where("num % 4 <> 0").withColumn("checked", F.col("chars") % 40).withColumn("passed", F.col("chars") % 30)
+Q.add("src_14_run_report", ["qc"], lambda q: X.run_report(q, _RUN(q)).withColumn("channel", F.coalesce("channel", F.lit("all"))),
+      """, r AS (SELECT * FROM qc WHERE num % 4 <> 0)
+      SELECT coalesce(q.channel, 'all') AS channel, count(*) AS files, count(*) FILTER (WHERE r.stem IS NOT NULL AND trim(r.error) = '') AS ok, count(*) FILTER (WHERE trim(r.error) <> '') AS failed, count(*) FILTER (WHERE r.stem IS NULL) AS skipped,
+      count(*) FILTER (WHERE r.needs_review = 1) AS review, CAST(coalesce(sum(r.chars % 40), 0) AS BIGINT) AS checked, CAST(coalesce(sum(r.chars % 30), 0) AS BIGINT) AS passed FROM qc q LEFT JOIN r ON q.stem = r.stem GROUP BY GROUPING SETS ((q.channel), ())""")
+Q.add("src_14_review_list", ["qc"], lambda q: X.review_list(_CHECKS(q)).select("stem", "channel", F.size("flags").cast("long").alias("n")), "SELECT stem, channel, flags + 1 AS n FROM qc WHERE needs_review = 1")
 Q.add("prj_01_contract", ["finals"], lambda f: X.to_contract(f, ["stem", "SHIPPER", "TAX"]), "SELECT stem, SHIPPER, '' AS TAX FROM finals")
 Q.add("prj_02_submit_projection", ["finals"], lambda f: X.submit_projection(f.select("stem", "GOODS", "SHIPPER"), {"GOODS": "CARGO"}, ["SHIPPER"]), "SELECT stem, GOODS AS CARGO FROM finals")
 Q.add(
@@ -75,7 +118,8 @@ Q.add("jn_02_enrich_remote", ["remote", "ledger"], lambda r, l: R.enrich_remote(
 Q.add("jn_03_number_index", ["ledger"], lambda l: R.number_index(l, "submitted_at"), _IDX + "SELECT * FROM i")
 Q.add("jn_04_existence_checked_lookup", ["ledger", "qc"], lambda l, q: R.lookup_stem(R.number_index(l, "submitted_at").select("number_key"), R.number_index(l, "submitted_at"), l.where("num % 3 = 0")), _IDX + "SELECT number_key, CASE WHEN CAST(substr(stem, 2) AS BIGINT) % 3 = 0 THEN stem END AS stem FROM i")
 Q.add("jn_05_children_of_master", ["finals", "masters"], lambda f, m: R.children_of(f, f.where("num % 50 = 0").select(F.col("MAWB_NO").alias("mawb"))).select("stem"), f"SELECT stem FROM finals WHERE {_NO.format(c='MAWB_NO')} IN (SELECT {_NO.format(c='MAWB_NO')} FROM finals WHERE num % 50 = 0)")
-Q.add("jn_06_local_pending", ["finals", "ledger", "masters"], lambda f, l, m: f.join(l.select("stem"), "stem", "left_anti").join(m.where("sent = 1").select("cust"), "cust", "left_semi").select("stem", "MAWB_NO"), "SELECT stem, MAWB_NO FROM finals WHERE stem NOT IN (SELECT stem FROM ledger) AND cust IN (SELECT cust FROM masters WHERE sent = 1)")
+Q.add("jn_06_local_pending", ["qc", "masters"], lambda q, m: R.local_pending(q.select("stem", F.col("num").alias("cust"), F.when(F.col("error") != "", "failed").when(F.col("num") % 3 == 0, "submitted").when(F.col("num") % 3 == 1, "staged").otherwise("parsed").alias("state"), "processed_at", "uploader"), m, "cust", ["processed_at", "uploader"]),
+      "SELECT stem, CASE num % 3 WHEN 1 THEN 'staged' ELSE 'parsed' END AS state, processed_at, uploader FROM qc WHERE error = '' AND num % 3 <> 0 AND num IN (SELECT cust FROM masters)")
 Q.add(
     "jn_07_merge_remote_local",
     ["remote", "finals"],
@@ -117,6 +161,7 @@ Q.add(
 )
 Q.add("rec_09_missed_columns", ["finals"], lambda f: R.missed_columns(f.select("stem", F.lit("SHIPPER").alias("field"), F.col("SHIPPER").alias("value")), f.select("stem", F.lit(1).alias("i"), F.concat(F.lit("SHIPPER: "), "GOODS").alias("text"))), "SELECT stem, 'SHIPPER' AS field, GOODS AS seen FROM finals WHERE trim(SHIPPER) = ''")
 Q.add("rec_10_backfill_flags", ["finals", "masters"], lambda f, m: R.backfill_flags(R.backfill_plan(f, m, "cust", {"SHIPPER": "goods"}), f.select("stem", F.lit("SHIPPER").alias("field"), F.when(F.col("num") % 2 == 0, "by hand").otherwise("").alias("value"))), "SELECT stem, 'SHIPPER' AS field, m.goods AS \"to\" FROM finals f JOIN masters m USING (cust) WHERE trim(SHIPPER) = '' AND f.num % 2 = 1")
+Q.add("reg_01_skipped_prefixes", ["id_cells"], lambda d: R.registry_numbers(d, "k", "cell", skip=("GB", "SE")), "SELECT k, regexp_extract(cell, 'IT[0-9]+') AS num FROM id_cells WHERE k % 8 = 3")
 Q.add("reg_01_registry_numbers", ["id_cells"], lambda d: R.registry_numbers(d, "k", "cell"), "SELECT k, CASE k % 8 WHEN 2 THEN cell ELSE regexp_extract(cell, 'IT[0-9]+') END AS num FROM id_cells WHERE k % 8 IN (2, 3)")
 Q.add("reg_03_page_verdict", ["finals"], lambda f: f.select("stem", R.page_verdict(F.concat(F.lit("<p>This number is "), F.when(F.col("num") % 3 == 0, "not valid.").when(F.col("num") % 3 == 1, "Valid.").otherwise("unknown"), F.lit("</p>"))).alias("verdict")), "SELECT stem, CASE num % 3 WHEN 0 THEN 'invalid' WHEN 1 THEN 'valid' ELSE 'unreachable' END AS verdict FROM finals")
 _TOUCH = "CASE WHEN num % 9 = 0 THEN 'soon' ELSE processed_at END"

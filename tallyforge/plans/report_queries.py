@@ -184,7 +184,6 @@ Q.add(
     lambda t: S.standardise(t.select("stem", "COUNTRY"), "COUNTRY", t.select(F.col("COUNTRY").alias("name"), F.substring("COUNTRY", -2, 2).alias("iso2"), F.length("COUNTRY").alias("ord")).distinct(), "code").select("stem", "code"),
     "SELECT stem, right(COUNTRY, 2) AS code FROM tickets",
 )
-Q.add("acc_10_recheck", ["finals", "tickets"], lambda f, t: L.qc_record(f, L.validate(_records(f), L.record_rules()), f.select("stem", F.lit("").alias("error"))).join(V.fidelity_summary(V.evidence_job(_fields(t), _lines(t))).select("stem", "checked", "passed"), "stem").select("stem", "needs_review", "checked", "passed"))
 
 # --- streams, drained to tables ---------------------------------------------------------
 Q.queries["str_01_ingest"] = lambda spark, d: ST.drain(ST.ingest(spark, d, "events"), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -139,6 +139,9 @@ Q.add(
     _select(lambda: ["stem", T.as_num(F.concat(F.lit("1,"), F.col("PIECES"))).alias("num"), T.int_or_none(F.col("WEIGHT")).alias("whole"), T.as_num(F.concat("PIECES", F.lit("d"))).alias("no_num")]),
     "SELECT stem, CAST('1' || PIECES AS DOUBLE) AS num, CAST(CAST(WEIGHT AS DOUBLE) AS BIGINT) AS whole, CAST(NULL AS DOUBLE) AS no_num FROM finals",
 )
+Q.add("fn_22_flag_column", ["finals"], lambda f: f.select("stem", S.flag_column(F.concat(F.lit("no "), "SHIPPER", F.lit(" in "), "GOODS", F.lit("_INFO"))).alias("column")), """SELECT stem, regexp_extract('no ' || SHIPPER || ' in ' || GOODS || '_INFO', '[A-Z][A-Z0-9]{2,}(_[A-Z0-9]+)*') AS "column" FROM finals""")
+Q.add("fn_13_country_full", ["id_cells"], lambda df: S.country_full(df.select("k", "iso2", F.expr(_PICK).alias("country")).withColumn("country", F.when(F.col("k") % 2 == 0, F.col("country")).otherwise(F.col("iso2"))), "country", D.countries(df.sparkSession)).select("k", "country_full"),
+      f"SELECT k, CASE WHEN k % 2 = 1 THEN CASE iso2 {' '.join(f"WHEN '{c}' THEN '{n}'" for c, n in {v: k for k, v in D.COUNTRIES.items()}.items())} ELSE '' END ELSE CASE k % 5 WHEN 0 THEN 'CHINA' WHEN 1 THEN 'SLOVAK REPUBLIC' WHEN 2 THEN 'VIETNAM (VNM)' WHEN 3 THEN '{({v: k for k, v in D.COUNTRIES.items()})['BR']}' ELSE 'NOWHERE' END END AS country_full FROM id_cells")
 Q.add(
     "fn_22_flag_columns",
     ["cells"],

@@ -9,12 +9,12 @@ from pyspark.sql.types import StructType
 from tallyforge.functions import text as T
 
 
-def read_records(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, schema: StructType, extension: str = "json") -> DataFrame:
     """SRC-01: one-object JSON files with their stem; snapshots (``all_*``) are skipped, broken files keep a row with ``_corrupt_record``."""
-    wide = StructType(schema.fields).add("_corrupt_record", "string")
-    rows = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
+    wide = StructType(list(schema.fields)).add("_corrupt_record", "string")
+    rows = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", f"*.{extension}").json(folder)
     name = F.col("_metadata.file_name")
-    return rows.select("*", F.regexp_replace(name, r"\.json$", "").alias("stem")).where(~F.col("stem").startswith("all_"))
+    return rows.select("*", F.regexp_replace(name, rf"\.{extension}$", "").alias("stem")).where(~F.col("stem").startswith("all_"))
 
 
 def list_inputs(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
@@ -51,10 +51,30 @@ def compact(df: DataFrame, out: str, rows_per_file: int = 1_000_000) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(out)
 
 
-def normalise_lines(lines: Column) -> Column:
-    """SRC-07: from an array of texts: stripped, empty ones dropped, numbered from 1."""
-    kept = F.filter(F.transform(lines, T.strip), lambda x: x != "")
-    return F.transform(kept, lambda x, i: F.struct((i + 1).alias("i"), x.alias("text")))
+def write_records(records: DataFrame, folder: str) -> None:
+    """A file for each record, as text as it is: what a folder of records looks like before ``compact``."""
+    records.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+
+
+def normalise_lines(raw: Column) -> Column:
+    """SRC-07: numbered lines (``i, text, bbox, page``) of a transcript printed as JSON, with a fence around it or without.
+
+    ``lines`` holds objects or bare texts, mixed; empty texts go, the others are numbered from 1. A box that isn't four numbers is
+    null. Text that is no JSON, and JSON without lines, gives none.
+    """
+    unfenced = F.array_join(F.filter(F.split(T.strip(raw), "\n"), lambda x: ~F.trim(x).startswith("```")), "\n")
+    body = F.try_parse_json(F.when(T.strip(raw).startswith("```"), unfenced).otherwise(T.strip(raw)))
+    lines = F.coalesce(F.try_variant_get(body, "$.lines", "array<variant>"), F.array().cast("array<variant>"))
+
+    def line(v: Column) -> Column:
+        is_object = F.schema_of_variant(v).startswith("OBJECT")
+        text = F.when(is_object, T.text(F.try_variant_get(v, "$.text", "string"))).otherwise(T.text(F.try_variant_get(v, "$", "string")))
+        box = F.when(is_object, F.try_variant_get(v, "$.bbox", "array<double>"))
+        good = (F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull())
+        return F.struct(text.alias("text"), F.when(good, box).alias("bbox"), F.when(is_object, F.try_variant_get(v, "$.page", "int")).alias("page"))
+
+    kept = F.filter(F.transform(lines, line), lambda x: x["text"] != "")
+    return F.transform(kept, lambda x, i: F.struct((i + 1).alias("i"), x["text"].alias("text"), x["bbox"].alias("bbox"), x["page"].alias("page")))
 
 
 def full_text(lines: Column) -> Column:
@@ -80,10 +100,12 @@ def delete_keys(tables: list[DataFrame], keys: DataFrame, key: str) -> list[Data
     return [t.join(keys.select(key).distinct(), key, "left_anti") for t in tables]
 
 
-def export_view(records: DataFrame, qc: DataFrame, columns: list[str]) -> DataFrame:
-    """SRC-12: stem, columns in contract order, and whether the record needs review (``none`` without a check)."""
-    label = F.when(F.col("needs_review").isNull(), "none").when(F.col("needs_review") == 1, "yes").otherwise("no")
-    return records.join(qc.select("stem", "needs_review", "error"), "stem", "left").select("stem", *columns, label.alias("needs_review"), T.text(F.col("error")).alias("error"))
+def export_view(records: DataFrame, qc: DataFrame, columns: list[str], separator: str = "；") -> DataFrame:
+    """SRC-12: stem, columns in contract order, whether the record needs review (``none`` without a check), its flags joined."""
+    label = F.when(F.col("_qc").isNull(), "none").when(F.col("_qc"), "yes").otherwise("no")
+    checks = qc.select("stem", F.coalesce(F.col("needs_review").cast("boolean"), F.lit(False)).alias("_qc"), "flags")
+    flags = F.when(F.col("_qc").isNotNull(), F.array_join(F.coalesce("flags", F.array().cast("array<string>")), separator)).otherwise("")
+    return records.select("stem", *columns).join(checks, "stem", "left").select("stem", *columns, label.alias("needs_review"), flags.alias("flags"))
 
 
 def to_long(summary: DataFrame) -> DataFrame:
@@ -91,9 +113,36 @@ def to_long(summary: DataFrame) -> DataFrame:
     return summary.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in summary.columns])))
 
 
-def run_report(qc: DataFrame) -> DataFrame:
-    """SRC-14: per channel: records, failed, and how many need review."""
-    return qc.groupBy("channel").agg(F.count(F.lit(1)).alias("records"), F.count_if(~T.blank(F.col("error"))).alias("failed"), F.count_if(F.col("needs_review") == 1).alias("review"))
+def run_report(inputs: DataFrame, qc: DataFrame) -> DataFrame:
+    """SRC-14: a row per channel and one for all (``channel`` null): inputs, ok, failed, skipped (inputs without a check of this
+    run), how many need review, and the evidence totals (``checked``, ``passed``)."""
+    joined = inputs.select("stem", "channel").join(qc.select("stem", "error", "needs_review", "checked", "passed", F.lit(True).alias("_ran")), "stem", "left")
+    failed = F.col("_ran") & ~T.blank(F.col("error"))
+    return joined.groupingSets([[F.col("channel")], []], F.col("channel")).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("_ran") & T.blank(F.col("error"))).alias("ok"), F.count_if(failed).alias("failed"),
+        F.count_if(F.col("_ran").isNull()).alias("skipped"), F.count_if(F.col("needs_review") == 1).alias("review"),
+        F.coalesce(F.sum("checked"), F.lit(0)).alias("checked"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"),
+    )
+
+
+def review_list(qc: DataFrame) -> DataFrame:
+    """SRC-14: the records to review, with what failed in them."""
+    return qc.where("needs_review = 1").select("stem", "channel", "flags")
+
+
+def recheck(records: DataFrame, flags: DataFrame, evidence: DataFrame, old: DataFrame, history: list[str], key: str = "stem") -> DataFrame:
+    """ACC-10: new check records from stored versions: ``flags`` (``key, message``) and ``evidence`` (counts per record, with
+    ``failed``) are computed anew, ``history`` columns (when and by whom a record was parsed) are carried over where they are
+    not blank. A record without evidence is flagged. Run on its own result it changes nothing.
+    """
+    raised = flags.groupBy(key).agg(F.array_sort(F.collect_set("message")).alias("_f"))
+    found = evidence.select(key, "checked", "passed", F.filter(F.split("failed", ","), lambda x: x != "").alias("_e"))
+    kept = old.select(key, *[F.when(~T.blank(F.col(c)), F.col(c)).alias(c) for c in history])
+    none = F.array().cast("array<string>")
+    missing = F.when(F.col("_e").isNull(), F.array(F.lit("no transcript"))).otherwise(F.transform("_e", lambda x: F.concat(F.lit("evidence: "), x)))
+    joined = records.select(key).join(raised, key, "left").join(found, key, "left").join(kept, key, "left")
+    all_flags = F.concat(F.coalesce("_f", none), missing)
+    return joined.select(key, *history, F.lit("").alias("error"), all_flags.alias("flags"), (F.size(all_flags) > 0).alias("needs_review"), F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("passed", F.lit(0)).alias("passed"))
 
 
 def to_contract(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -36,3 +36,24 @@ def test_upsert_rejects_bad_rows(spark):
 def test_compact(spark, tmp_path):
     X.compact(spark.range(10).repartition(5), str(tmp_path / "out"), 3)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_transcripts_of_mixed_lines(spark):
+    raw = [
+        (1, '```json\n{"lines": ["a", {"text": "b", "bbox": [1, 2, 3, 4], "page": 2}, "", {"text": ""}, {"bbox": [1]}, 5, {"text": 7, "bbox": [1, 2]}, {"text": " c", "bbox": "x"}]}\n```'),
+        (2, '{"lines": []}'), (3, "no json"), (4, None), (5, '{"other": 1}'),
+    ]
+    got = {r["k"]: [tuple(x) for x in r["l"]] for r in spark.createDataFrame(raw, "k int, raw string").select("k", X.normalise_lines(F.col("raw")).alias("l")).collect()}
+    assert got == {1: [(1, "a", None, None), (2, "b", [1.0, 2.0, 3.0, 4.0], 2), (3, "5", None, None), (4, "7", None, None), (5, " c", None, None)], 2: [], 3: [], 4: [], 5: []}
+
+
+def test_recheck_keeps_history_and_is_idempotent(spark):
+    records = spark.createDataFrame([("a",), ("b",)], "stem string")
+    flags = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "w")], "stem string, message string")
+    evidence = spark.createDataFrame([("a", 3, 2, "F")], "stem string, checked long, passed long, failed string")
+    old = spark.createDataFrame([("a", "2026-09-01", " "), ("z", "2026-09-02", "m")], "stem string, processed_at string, model string")
+    once = X.recheck(records, flags, evidence, old, ["processed_at", "model"])
+    twice = X.recheck(records, flags, evidence, once, ["processed_at", "model"])
+    rows = {r["stem"]: r for r in once.collect()}
+    assert rows["a"]["flags"] == ["w", "x", "evidence: F"] and rows["a"]["processed_at"] == "2026-09-01" and rows["a"]["model"] is None
+    assert rows["b"]["flags"] == ["no transcript"] and rows["b"]["needs_review"] and rows == {r["stem"]: r for r in twice.collect()}
