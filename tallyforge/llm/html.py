@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from tallyforge.llm.common import small_batches, text_of
 
 # Elements whose content is never text, elements that end a block, and the marks of enclosing boilerplate.
-DROPPED = "script style noscript template iframe svg canvas object head title select option textarea button math audio video".split()
-INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+DROPPED = "script style noscript template iframe svg canvas object head title select option textarea audio video".split()
+INLINE = "a abbr acronym b bdi bdo big button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover mstyle mspace semantics annotation".split()
 BOILER_TAGS = "nav header footer aside form menu dialog".split()
 BOILER_WORDS = (
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comments-list consent cookie cookies copyright disclaimer disqus footer header "
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget"
 ).split()
+# First parts of class names that tell the state of a page, not what an element is.
+STATES = "has no not is with without show hide can js".split()
 BOILER_ROLES = "navigation banner contentinfo complementary search alert dialog form menu menubar".split()
 CONTENT_TAGS = "article main".split()
 HEADINGS = "h1 h2 h3 h4 h5 h6".split()
@@ -100,6 +102,13 @@ LABELLED_PAGES = [
     _other("p", 4) + _links("p", 1, 2) + _main("h2", 6) + _main("p", 28, 35, 19, 12, 33) + _mixed("p", "+", 24, 2) + _main("p", 21) + _links("p", 4, 3, 5) + _other("p", 8),
     # without marks: nothing but lists of links
     "<ul>" + _links("li", 1, 2, 4, 6, 3, 8) + "</ul>" + _other("h2", 1) + "<ul>" + _links("li", 5, 7, 6) + "</ul>" + _mixed("p", "-", 4, 4) + _other("h2", 2) + _links("p", 9, 30),
+    # without marks: the text runs to the page's end, after a menu, a teaser or nothing
+    _links("p", 1, 2, 1) + _main("h1", 5) + _main("p", 45, 70, 60),
+    "<div>" + _links("p", 2, 1) + _other("p", 3) + "</div>" + _main("h1", 7) + _main("p", 33, 58, 90, 41),
+    _main("h1", 4) + _main("p", 66, 25, 52),
+    _links("li", 1, 1, 1, 1) + _main("p", 75, 62),
+    _links("p", 1, 2) + _main("h2", 3) + _main("p", 27, 49) + _mixed("p", "+", 48, 3),
+    _links("p", 3) + _main("h1", 6) + _main("p", 58, 36) + _other("p", 4),
     # text beside the article that no mark tells of
     "<article>" + _main("h1", 8) + _main("p", 20, 64) + "</article><div>" + _other("p", 3, 18) + _links("p", 4, 5) + "</div><div>" + _other("p", 45) + "</div>",
     # a long advert, a form and comments without an article
@@ -151,15 +160,24 @@ def classify(nodes: list[tuple[int, float, int, int, int]], rows: list[list[floa
     return out
 
 
+def _marked(word: str, whole: bool) -> bool:
+    """Whether a class or id marks boilerplate, as it is or, if not ``whole``, by one of its parts."""
+    if word in _BOILER_WORDS:
+        return True
+    parts = re.split(r"[-_]+", word)
+    return not whole and parts[0] not in STATES and any(p in _BOILER_WORDS for p in parts)
+
+
 def _boiler(tag: str, attributes: str) -> bool:
+    """Whether an element itself is marked as boilerplate."""
     if tag in _BOILER_TAGS:
         return True
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            for word in value.split():
-                if word in _BOILER_WORDS or any(p in _BOILER_WORDS for p in re.split(r"[-_]+", word)):
-                    return True
+            # the page as a whole is no boilerplate; an article is only if its class says so in one word
+            if tag not in ("html", "body") and any(_marked(word, tag in _CONTENT) for word in value.split()):
+                return True
         elif name == "role" and value in BOILER_ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):

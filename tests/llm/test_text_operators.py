@@ -256,3 +256,30 @@ def test_bpe_equals_the_library(spark):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == sha(" ".join(map(str, ids)))
         assert got[i]["decoded_sha256"] == sha(lib.decode(ids, skip_special_tokens=False))
+
+
+def test_html_marks_of_the_page_or_the_article_dont_empty_it():
+    nodes = html.fit_tree(html.labelled_rows(html.LABELLED_PAGES))
+    a, b = " ".join(["alpha"] * 60), " ".join(["beta"] * 60)
+    body = f"<p>{a}</p><p>{b}</p>"
+    pages = [
+        f'<body class="has-sidebar"><article>{body}</article></body>', f'<body class="nav-open"><article>{body}</article></body>', f'<article class="post comments-open">{body}</article>',
+        f'<main id="content-banner">{body}</main>', f'<article class="share-price">{body}</article>', f'<div class="no-sidebar"><article>{body}</article></div>', f"<div>{body}</div>", f"<ul><li><a href=x>one</a></li></ul><h1>Title of it</h1>{body}",
+    ]
+    for page in pages:
+        got = html.main_text(page, nodes).split("\n")
+        assert got[-2:] == [a, b], page
+    assert html.main_text(f'<article>{body}</article><div class="comments"><p>{b}</p></div><div class="site-nav"><p>{b}</p></div>', nodes) == f"{a}\n{b}"
+    assert html.main_text(f"<article><p>{a} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <button>Press</button> end</p><p>{b}</p></article>", nodes) == f"{a} x=1 Press end\n{b}"
+
+
+def test_html_tree_decides_by_more_than_marks():
+    """Without marks, word counts and link densities part text from links; the tree is not the rule of marks."""
+    nodes = html.fit_tree(html.labelled_rows(html.LABELLED_PAGES))
+    used = {html.FEATURES[n[0]] for n in nodes if n[0] >= 0}
+    assert used & {"words", "prev_words", "next_words"} and used & {"link_density", "prev_density", "next_density"}
+    rows = html.labelled_rows(html.LABELLED_PAGES)
+    by_marks = [row[6] == 0 and row[7] == 1 for row in rows]
+    assert html.classify(nodes, [r[:-1] for r in rows]) != by_marks
+    right = [got == bool(r[-1]) for got, r in zip(html.classify(nodes, [r[:-1] for r in rows]), rows, strict=True)]
+    assert sum(right) / len(right) > 0.97
