@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import events as E
 from tallyforge.plans.bindings import FIELDS
+from tallyforge.plans.bindings import prelude
 from tallyforge.plans.register import Register
+from tallyforge.plans.report_queries import SUPPRESSED
 
 Q = Register()
 _LAST = "arg_max({c}, seq) FILTER (WHERE kind <> 'review')"
@@ -97,6 +99,7 @@ Q.add(
     ["scans"],
     lambda s: E.suppress_repeats(s.select(F.col("name").alias("key"), F.col("scan").alias("at"), F.col("size").cast("string").alias("fp"), (F.col("ok") == 1).alias("ok")), 500),
 )
+Q.oracles["rec_05_suppress_repeats"] = prelude("scans").replace("WITH ", "WITH RECURSIVE ", 1) + SUPPRESSED
 Q.add("brd_01_board_current", ["board_events"], E.board_current, "SELECT id, arg_min(who, seq) AS who, coalesce(arg_max(status, seq) FILTER (WHERE action = 'decide'), 'open') AS status, bool_or(action = 'retract') AS retracted, count(*) FILTER (WHERE action = 'edit') AS edits FROM board_events GROUP BY id")
 _BOARD = ", b AS (SELECT id, arg_min(who, seq) AS who, coalesce(arg_max(status, seq) FILTER (WHERE action = 'decide'), 'open') AS status, bool_or(action = 'retract') AS retracted FROM board_events GROUP BY id) "
 Q.add("brd_02_board_listing", ["board_events"], lambda b: E.board_current(b).orderBy(F.desc("id")).select("id", "status", "retracted", (F.col("who") == "u2").alias("mine")), _BOARD + "SELECT id, status, retracted, who = 'u2' AS mine FROM b")

@@ -11,6 +11,7 @@ from tallyforge.operators import evidence as V
 from tallyforge.operators import reports as P
 from tallyforge.operators import standardise as S
 from tallyforge.operators import validate as L
+from tallyforge.plans.bindings import prelude
 from tallyforge.plans.register import Register
 from tallyforge.streaming import streams as ST
 
@@ -190,7 +191,14 @@ Q.queries["str_01_ingest"] = lambda spark, d: ST.drain(ST.ingest(spark, d, "even
 Q.oracles["str_01_ingest"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
 Q.queries["str_02_ingest_dedup"] = lambda spark, d: ST.drain(ST.dedup(ST.ingest(spark, d, "events").select(F.concat("user_id", F.lit("|"), "event_type").alias("key"), "ts"), "key"), "append").select("key")
 Q.oracles["str_02_ingest_dedup"] = "SELECT DISTINCT user_id || '|' || event_type AS key FROM events"
-Q.queries["str_03_suppress_repeats"] = lambda spark, d: ST.drain(ST.suppress_repeats(ST.ingest(spark, d, "events").select(F.concat(F.lit("F"), "user_id").alias("key"), F.col("event_id").alias("at"), F.floor(F.col("value") / 40).cast("string").alias("fp"), (~F.col("event_type").isin("error", "signup")).alias("ok")), 500), "append")
+Q.queries["str_03_suppress_repeats"] = lambda spark, d: ST.suppress_repeats(ST.ingest(spark, d, "events").select(F.concat(F.lit("F"), "user_id").alias("key"), F.col("event_id").alias("at"), F.floor(F.col("value") / 40).cast("string").alias("fp"), (~F.col("event_type").isin("error", "signup")).alias("ok")), 500)
+#: the fold, one event of every key at a time
+SUPPRESSED = """, e AS (SELECT name AS key, scan AS "at", CAST(size AS VARCHAR) AS fp, ok = 1 AS ok, row_number() OVER (PARTITION BY name ORDER BY scan, size, ok) AS rn FROM scans),
+f AS (SELECT key, rn, "at", fp, true AS accepted, CASE WHEN ok THEN fp END AS mf, CASE WHEN ok THEN "at" END AS ma FROM e WHERE rn = 1
+  UNION ALL SELECT e.key, e.rn, e."at", e.fp, NOT coalesce(e.fp = f.mf AND e."at" - f.ma < 500, false), CASE WHEN coalesce(e.fp = f.mf AND e."at" - f.ma < 500, false) THEN f.mf WHEN e.ok THEN e.fp END,
+    CASE WHEN coalesce(e.fp = f.mf AND e."at" - f.ma < 500, false) THEN f.ma WHEN e.ok THEN e."at" END FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
+SELECT key, "at", fp, accepted FROM f"""
+Q.oracles["str_03_suppress_repeats"] = prelude("scans").replace("WITH ", "WITH RECURSIVE ", 1) + SUPPRESSED
 _STAGE = [
     "'S' || user_id AS stem", "event_id AS seq", "CAST(ts AS STRING) AS at", "'u' || event_id % 7 AS who", "CASE WHEN event_id % 3 = 0 THEN 'inputter' ELSE 'preparer' END AS role",
     "CASE WHEN event_type = 'view' THEN 'review' ELSE 'stage' END AS kind", "CAST(floor(value) AS STRING) AS weight", "event_type AS goods",

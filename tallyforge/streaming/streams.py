@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -62,30 +64,83 @@ def dedup(stream: DataFrame, *keys: str, time: str = "ts", late: str = "60 days"
     return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
-def suppress_repeats(stream: DataFrame, ttl: int) -> DataFrame:
-    """STR-03: as the batch fold: a write equal to the last accepted one within ``ttl`` is suppressed; a failure clears the memory.
+def _new_log(spark: SparkSession, target: str) -> None:
+    """The log of finished batches, a row each; it is made once and outlives the stream."""
+    spark.createDataFrame([(-1,)], "batch long").coalesce(1).write.mode("ignore").parquet(f"{target}/log")
 
-    ``key, at, fp, ok`` in; ``key, at, fp, accepted`` out. The state is one value per key, whatever the key's history.
-    """
 
-    def step(key, batches, state):
-        import pandas as pd
+def _finished(spark: SparkSession, target: str, before: int = 1 << 62) -> list[int]:
+    rows = spark.read.schema("batch long").parquet(f"{target}/log").where((F.col("batch") >= 0) & (F.col("batch") < before)).distinct().collect()
+    return sorted(r["batch"] for r in rows)
+
+
+def _finish(spark: SparkSession, target: str, n: int) -> None:
+    """Said last, so that a batch that broke off is none; a batch that is run again is said twice, which changes nothing."""
+    spark.createDataFrame([(n,)], "batch long").coalesce(1).write.mode("append").parquet(f"{target}/log")
+
+
+def _suppress(ttl: int):
+    """The fold over sorted rows (key, kind, at, fp, ok): a key's memory (kind 0) comes first, its events after it; what it
+    remembers in the end comes out as ``is_state``."""
 
-        rows = pd.concat(list(batches)).sort_values(["at", "fp"])
-        fp, at = state.get if state.exists else (None, None)
-        accepted = []
-        for r in rows.itertuples(index=False):
-            repeat = fp is not None and r.fp == fp and r.at - at < ttl
-            if not repeat:
-                fp, at = (r.fp, int(r.at)) if r.ok else (None, None)
-            accepted.append(not repeat)
-        if fp is None:
-            state.update((None, None))
-        else:
-            state.update((fp, at))
-        yield pd.DataFrame({"key": key[0], "at": rows["at"].to_numpy(), "fp": rows["fp"].to_numpy(), "accepted": accepted})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, memory, out = None, None, []
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key string, at long, fp string, accepted boolean", "fp string, at long", "append", "NoTimeout")
+        def given() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 5
+            out.clear()
+            kinds = {"key": pa.string(), "at": pa.int64(), "fp": pa.string(), "accepted": pa.bool_(), "is_state": pa.bool_()}
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+        for batch in batches:
+            for key, kind, at, fp, ok in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (key,) != now:
+                    if memory:
+                        out.append((now[0], memory[1], memory[0], None, True))
+                    now, memory = (key,), None
+                if kind == 0:
+                    memory = (fp, at)
+                    continue
+                repeat = memory is not None and fp == memory[0] and at - memory[1] < ttl
+                if not repeat:
+                    memory = (fp, at) if ok and fp is not None else None
+                out.append((key, at, fp, not repeat, False))
+            yield given()
+        if memory:
+            out.append((now[0], memory[1], memory[0], None, True))
+            yield given()
+
+    return run
+
+
+def suppress_repeats(stream: DataFrame, ttl: int, target: str | None = None) -> DataFrame:
+    """STR-03: as the batch fold: a write equal to the last accepted one within ``ttl`` is suppressed; a failure clears the memory.
+
+    ``key, at, fp, ok`` in; ``key, at, fp, accepted`` out, of all batches that ``target`` holds: a stream that is started again
+    with the same ``target`` goes on where it ended. Each batch is sorted within partitions, behind one remembered row per
+    key, and folded row by row, so a task holds one key's memory whatever the key's history. What is ``ttl`` older than the
+    newest write is forgotten: no later write could repeat it.
+    """
+    spark = stream.sparkSession
+    target = target or f"{shared_folder(spark)}/suppress-{uuid.uuid4().hex}"
+    schema = "key string, at long, fp string, accepted boolean, is_state boolean"
+    _new_log(spark, target)
+
+    def merge(df: DataFrame, n: int) -> None:
+        rows = df.select("key", F.lit(1).alias("kind"), F.col("at").cast("long").alias("at"), "fp", "ok")
+        if before := _finished(spark, target, n):
+            last = spark.read.schema(schema).parquet(f"{target}/batch-{before[-1]}").where("is_state")
+            rows = rows.unionByName(last.select("key", F.lit(0).alias("kind"), "at", "fp", F.lit(True).alias("ok")))
+        oldest = F.broadcast(rows.agg(F.min(F.when(F.col("kind") == 1, F.col("at"))).alias("_oldest")))
+        rows = rows.join(oldest).where((F.col("kind") == 1) | (F.col("at") > F.col("_oldest") - ttl)).drop("_oldest")
+        dealt = rows.repartition("key").sortWithinPartitions("key", "kind", "at", "fp", "ok")
+        dealt.mapInArrow(_suppress(ttl), schema).write.mode("overwrite").parquet(f"{target}/batch-{n}")
+        _finish(spark, target, n)
+
+    stream.writeStream.option("checkpointLocation", f"{target}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    paths = [f"{target}/batch-{n}" for n in _finished(spark, target)]
+    found = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return found.where("NOT is_state").select("key", "at", "fp", "accepted")
 
 
 def fold(stream: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,41 +155,41 @@ def usage_by_day(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "amount")
 
 
-def upsert_stream(stream: DataFrame, key: str, order: str, buckets: int = 32) -> DataFrame:
-    """STR-07: last write wins per key, batch by batch.
+def upsert_stream(stream: DataFrame, key: str, order: str, buckets: int = 32, target: str | None = None) -> DataFrame:
+    """STR-07: last write wins per key, batch by batch; ``target`` holds the table and outlives the stream.
 
     Keys are dealt into buckets; a batch rewrites only the buckets it touches, as a version of its own. A small table per
     batch says which version each bucket has, so a batch that is run again, or a number that is skipped, changes nothing.
     """
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    target = target or f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
     rest = [c for c in stream.columns if c != key]
-    done: list[int] = []
+    _new_log(spark, target)
 
     def versions(before: int) -> dict[int, int]:
-        known = [n for n in done if n < before]
+        known = _finished(spark, target, before)
         if not known:
             return {}
-        return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{place}/versions-{max(known)}").collect()}
+        return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{target}/versions-{known[-1]}").collect()}
 
     def merge(df: DataFrame, n: int) -> None:
         rows = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        rows.write.mode("overwrite").parquet(f"{place}/batch-{n}")
-        rows = spark.read.schema(rows.schema).parquet(f"{place}/batch-{n}")
+        rows.write.mode("overwrite").parquet(f"{target}/batch-{n}")
+        rows = spark.read.schema(rows.schema).parquet(f"{target}/batch-{n}")
         touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())
         if not touched:
             return
         now = versions(n)
         for b in touched:
             if b in now:
-                rows = rows.unionByName(spark.read.schema(stream.schema).parquet(f"{place}/rows-{now[b]}/_bucket={b}").withColumn("_bucket", F.lit(b)))
+                rows = rows.unionByName(spark.read.schema(stream.schema).parquet(f"{target}/rows-{now[b]}/_bucket={b}").withColumn("_bucket", F.lit(b)))
         merged = rows.groupBy("_bucket", key).agg(F.max_by(F.struct(*rest), order).alias("r")).select("_bucket", key, "r.*")
-        merged.repartition(len(touched), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{place}/rows-{n}")
-        spark.createDataFrame(list({**now, **dict.fromkeys(touched, n)}.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{place}/versions-{n}")
-        done.append(n)
+        merged.repartition(len(touched), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/rows-{n}")
+        spark.createDataFrame(list({**now, **dict.fromkeys(touched, n)}.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{target}/versions-{n}")
+        _finish(spark, target, n)
 
-    stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    paths = [f"{place}/rows-{n}/_bucket={b}" for b, n in versions(1 << 62).items()]
+    stream.writeStream.option("checkpointLocation", f"{target}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    paths = [f"{target}/rows-{n}/_bucket={b}" for b, n in versions(1 << 62).items()]
     return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 

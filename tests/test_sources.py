@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyforge.functions import text as T
+from tallyforge.operators import events as E
 from tallyforge.sources import records as X
+from tallyforge.streaming import streams as ST
 
 
 def test_read_records_skips_snapshots_and_keeps_broken_files(spark, tmp_path):
@@ -57,3 +59,23 @@ def test_recheck_keeps_history_and_is_idempotent(spark):
     rows = {r["stem"]: r for r in once.collect()}
     assert rows["a"]["flags"] == ["w", "x", "evidence: F"] and rows["a"]["processed_at"] == "2026-09-01" and rows["a"]["model"] is None
     assert rows["b"]["flags"] == ["no transcript"] and rows["b"]["needs_review"] and rows == {r["stem"]: r for r in twice.collect()}
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    """A hot key over several batches, and a stream that is started again, give what the batch fold gives."""
+    rows = [("hot" if i % 3 else f"k{i % 11}", i, str(i // 70 % 4), i % 13 != 0) for i in range(6000)]
+    schema = "key string, at long, fp string, ok boolean"
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:2500], rows[2500:4000]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    ST.suppress_repeats(stream(), 90, target)
+    spark.createDataFrame(rows[4000:], schema).coalesce(1).write.mode("append").parquet(folder)
+    got = ST.suppress_repeats(stream(), 90, target).collect()
+    want = E.suppress_repeats(spark.createDataFrame(rows, schema), 90).collect()
+    assert len(got) == 6000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    spread = str(tmp_path / "upsert")
+    ST.upsert_stream(stream(), "key", "at", 4, spread)
+    spark.createDataFrame([("hot", 9000, "last", True)], schema).coalesce(1).write.mode("append").parquet(folder)
+    last = {r["key"]: r["at"] for r in ST.upsert_stream(stream(), "key", "at", 4, spread).collect()}
+    assert last["hot"] == 9000 and len(last) == 12 and last["k3"] == max(at for k, at, _, _ in rows if k == "k3")
