@@ -208,13 +208,16 @@ def flag_column(flag: Column) -> Column:
 
 def standardise_house(df: DataFrame, countries: DataFrame, cities: DataFrame, constants: dict[str, str] | None = None) -> DataFrame:
     """STD-01: master number, route and origin, country, phones, ids and HS codes of house records; symbols to spaces in
-    text columns. ``constants`` are columns the house overwrites. Columns the input lacks are left out. An address whose
-    party has postal code, country, state and city keeps what is left without them (STD-03)."""
+    text columns. ``constants`` are columns the house overwrites. Columns the input lacks are left out. A party with all its cells
+    has its ids routed and its address parsed (``party_addresses``); one without id cells keeps what is left of its address
+    without postal code, country, state and city (STD-03)."""
     has = set(df.columns)
     for col in [c for c in df.columns if c.endswith("_COMP_ADDRESS")]:
         party = col.removesuffix("_COMP_ADDRESS")
         tail = [f"{party}_POSTAL", f"{party}_COUNTRY", f"{party}_STATE", next((c for c in (f"{party}_CITY", f"{party}_CITTY") if c in has), "")]
-        if has.issuperset(tail):
+        if has.issuperset([*tail, f"{party}_EORI", f"{party}_TAX"]):
+            df = party_addresses(df, party, countries)
+        elif has.issuperset(tail):
             df = address_residual(df, "", col, tail, tuple(tail)).withColumn(col, F.col("street")).drop("street")
     for col in [c for c in ("TO1", "TO2", "TO3", "DEST_NAME") if c in has]:
         df = city_code(df, col, cities).withColumn(col, F.col("city_code")).drop("city_code")
@@ -292,6 +295,109 @@ def address_residual(df: DataFrame, key: str, address: str, known: list[str], ta
     return df.withColumn("street", street)
 
 
+def routed_ids(eori: Column, tax: Column, address: Column, others: list[Column]) -> Column:
+    """STD-01: ``eori, tax, address``: ids in the cell of their kind. A customs cell gives its tax ids to the tax cell; the first
+    labelled id of the address goes to the cell its label names, unless its number stands in a cell already (``others`` are phones
+    and postal code), and leaves the address."""
+    kind = lambda wanted, cell: F.filter(T.split_ids(cell), lambda x: T.let(x, T.classify_id) == wanted)
+    sent = lambda ids: F.transform(ids, lambda x: T.let(x, T.id_cell))
+    body = lambda x: F.upper(T.alnum(T.clean_tax(x)))
+
+    def route(c: Column) -> Column:
+        held = F.transform(F.concat(c["e"], c["t"], c["others"]), lambda x: T.let(x, body))
+        number = T.let(c["mark"], lambda m: T.id_cell(F.concat(m["label"], F.lit(" "), m["number"])))
+        new = c["mark"].isNotNull() & ~F.array_contains(held, T.let(c["mark"]["number"], body))
+        added = lambda customs: F.when(new & (c["mark"]["label"].rlike("^EO") == customs), F.array(number)).otherwise(F.array().cast("array<string>"))
+        joined = lambda ids: F.array_join(F.array_distinct(ids), " / ")
+        return F.struct(joined(F.concat(c["e"], added(True))).alias("eori"), joined(F.concat(c["t"], added(False))).alias("tax"), c["address"].alias("address"))
+
+    first = F.get(T.labelled_marks(address), F.lit(0))
+    parts = F.struct(
+        sent(kind("eori", eori)).alias("e"), F.concat(sent(kind("tax", eori)), sent(kind("tax", tax))).alias("t"),
+        F.array(*[T.text(c) for c in others]).alias("others"), first.alias("mark"), T.without_ids(address, 1).alias("address"),
+    )
+    return T.let(parts, route)
+
+
+def _segment(c: Column) -> Column:
+    """A segment without the marks at its ends and the rest of a country code that was cut out of brackets."""
+    plain = F.regexp_replace(c, r"^[\s.;()\[\]{}]+|[\s.;()\[\]{}]+$", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"[,(]\s*[A-Z]{0,4}\s*$", ""), r"[\s.;()\[\]{}]+$", "")
+
+
+def streets(df: DataFrame, address: str, country_name: str, countries: DataFrame, name: str | None = None, out: str = "street") -> DataFrame:
+    """STD-03: ``street`` of addresses with commas: what is left without postal code, country, state, city and what the print puts
+    around them. Nothing left, the address stays as it is.
+
+    The country and the state are the dictionary phrases that end last. The postal code is the last match of the most telling
+    shape. The city is the last segment without figures or words of companies and streets. A segment that holds the postal code is
+    locality, and so is one that names the city without such words; segments that stand in the locality are no street. A country
+    code at the end counts as ``country_name``; segments equal to the column ``name`` go. Distinct addresses are parsed once.
+    """
+    spark = df.sparkSession
+    full = T.text(F.col(address))
+    code = F.regexp_extract(full, r"[,\s]+([A-Za-z]{2})\s*$", 1)
+    known = sorted(set(D.COUNTRIES.values()))
+    fixed = F.when(F.upper(code).isin(known), F.rtrim(F.concat(F.regexp_replace(full, r"[,\s]+[A-Za-z]{2}\s*$", ""), F.lit(" "), T.text(F.col(country_name))))).otherwise(full)
+    own = F.upper(T.strip(F.col(name))) if name else F.lit("")
+    noise = r"(?i)(TEL|FAX|PHONE|MOBILE)\.?\s*[:：/][^,]*|[\w.+-]+@[\w-]+\.[\w.-]*"
+    lines = F.transform(F.split(F.regexp_replace(fixed, noise, " "), "[,\n]"), lambda x: F.regexp_replace(T.fold_ws(x), "^[ ,;]+|[ ,;]+$", ""))
+    kept = F.filter(lines, lambda x: (x != "") & (F.upper(x) != own))
+    rows = df.withColumn("_up", F.upper(F.array_join(kept, ", ")))
+    texts = rows.select("_up").distinct()
+    states = spark.createDataFrame([(x,) for x in D.ADDRESS_STATES], "name string")
+    texts = rightmost_phrase(texts, "_up", "_up", countries.select(T.bare(F.col("name")).alias("name")), "_country")
+    texts = rightmost_phrase(texts, "_up", "_up", states, "_state")
+    found = [F.element_at(F.regexp_extract_all("_up", F.lit(p), 0), -1) for p in D.POSTAL_PRINTS]
+    hits = [F.when(F.size(F.regexp_extract_all("_up", F.lit(p), 0)) > 0, f) for p, f in zip(D.POSTAL_PRINTS, found, strict=True)]
+    texts = texts.withColumn("_postal", F.coalesce(*hits, F.lit("")))
+    stop = r"\b(" + "|".join(D.NO_CITY) + r")\b"
+
+    def parsed(c: Column) -> Column:
+        up, postal = c["up"], c["postal"]
+        at = F.length(up) - F.instr(F.reverse(up), F.reverse(postal)) - F.length(postal) + 2
+        body = F.when(postal == "", up).otherwise(F.concat(F.substr(up, F.lit(1), at - 1), F.substr(up, at + F.length(postal))))
+        for phrase in ("country", "state"):
+            pattern = F.concat(F.lit("(?<![A-Z])"), c[phrase], F.lit("(?![A-Z])"))
+            body = F.when(c[phrase].isNull(), body).otherwise(F.regexp_replace(body, pattern, F.lit(" ")))
+        segments = F.filter(F.transform(F.split(body, ","), _segment), lambda x: x != "")
+        return T.let(F.struct(segments.alias("s"), postal.alias("postal"), up.alias("up")), chosen)
+
+    def chosen(c: Column) -> Column:
+        fits = lambda x: x.rlike("[A-Z]{2}") & ~x.rlike("[0-9]") & ~x.rlike(stop)
+        last = F.array_max(F.array_compact(F.transform(c["s"], lambda x, i: F.when(fits(x), i))))
+        return T.let(F.struct(c["s"].alias("s"), c["postal"].alias("postal"), c["up"].alias("up"), last.alias("at"), F.get(c["s"], last).alias("city")), left)
+
+    def left(c: Column) -> Column:
+        has_postal = lambda x: (c["postal"] != "") & F.contains(x, c["postal"])
+        has_city = lambda x: F.coalesce(F.contains(x, c["city"]), F.lit(False)) & ~x.rlike("[0-9]") & ~x.rlike(stop)
+        around = F.filter(F.transform(F.split(c["up"], ","), _segment), lambda x: (x != "") & (has_postal(x) | has_city(x)) & ~x.rlike("[+@]"))
+        return T.let(F.array_join(around, ", "), lambda loc: F.array_join(F.filter(c["s"], lambda x, i: (i != F.coalesce(c["at"], F.lit(-1))) & ~F.contains(loc, x)), ", "))
+
+    street = T.let(F.struct(F.col("_up").alias("up"), F.col("_postal").alias("postal"), F.col("_country").alias("country"), F.col("_state").alias("state")), parsed)
+    texts = texts.select("_up", street.alias("_street"))
+    phone = r"(?i)^(TEL|TE|FAX|PHONE|MOB)?[.:\s]*\+?[0-9][0-9 ()./-]{5,}$"
+    joined = rows.join(texts, "_up", "left")
+    whole = F.when(T.blank(F.col("_street")), fixed).otherwise(F.col("_street"))
+    no_phones = F.array_join(F.filter(F.transform(F.split(whole, ","), T.strip), lambda x: (x != "") & ~x.rlike(phone)), ", ")
+    return joined.withColumn(out, F.when(F.contains(fixed, F.lit(",")), no_phones).otherwise(full)).drop("_up", "_street")
+
+
+def party_addresses(df: DataFrame, party: str, countries: DataFrame) -> DataFrame:
+    """STD-01, STD-03 for a party with all its cells: ids go to ``_EORI`` and ``_TAX``, the address keeps its street, whether it has
+    commas or not."""
+    city = next(c for c in (f"{party}_CITY", f"{party}_CITTY") if c in df.columns)
+    cell = lambda n: F.col(f"{party}_{n}")
+    ids = routed_ids(cell("EORI"), cell("TAX"), cell("COMP_ADDRESS"), [cell(n) for n in ("TEL", "FAX", "POSTAL") if f"{party}_{n}" in df.columns])
+    named = country_full(df.withColumn("_ids", ids), f"{party}_COUNTRY", countries).withColumn("_addr", F.col("_ids.address"))
+    name = f"{party}_COMP_NAME" if f"{party}_COMP_NAME" in df.columns else None
+    parsed = streets(named, "_addr", "country_full", countries, name)
+    plain = strip_tail(F.col("_addr"), cell("POSTAL"), F.col("country_full"), cell("STATE"), F.col(city))
+    street = F.when(F.contains("_addr", F.lit(",")), F.col("street")).otherwise(plain)
+    out = parsed.withColumns({f"{party}_COMP_ADDRESS": street, f"{party}_EORI": F.col("_ids.eori"), f"{party}_TAX": F.col("_ids.tax")})
+    return out.select(*df.columns)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)

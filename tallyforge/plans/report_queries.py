@@ -173,6 +173,27 @@ def _parties(f):
     return rows.select("stem", F.when(F.col("num") % 2 == 0, with_commas).otherwise(plain).alias("A_COMP_ADDRESS"), *parts)
 
 
+_ADDRESSES = """num || ' Long Road, Unit ' || CAST(num % 9 AS STRING) || ', ' || CASE num % 4 WHEN 0 THEN 'Hangzhou, Zhejiang 310000, China' WHEN 1 THEN '10115 Berlin, DE' WHEN 2 THEN 'London SW1A 1AA, United Kingdom' ELSE 'Tel: +55 11 2222, 04546-040 Sao Paulo, Brazil' END"""
+_PARTY = {
+    "P_COMP_ADDRESS": f"CASE num % 3 WHEN 0 THEN 'VAT NO DE' || CAST(num + 100000000 AS STRING) || ', ' WHEN 1 THEN 'EORI NO IT' || CAST(num + 3268000000 AS STRING) || ', ' ELSE '' END || {_ADDRESSES}",
+    "P_EORI": "SHIPPER_INFO_EORI", "P_TAX": "SHIPPER_INFO_TAX", "P_POSTAL": "''", "P_STATE": "''", "P_CITY": "''", "P_COUNTRY": "CASE num % 4 WHEN 0 THEN 'CN' WHEN 1 THEN 'Germany' WHEN 2 THEN 'GB' ELSE 'BRAZIL' END",
+}
+_join = lambda a, b: f"CASE WHEN {a} = '' THEN {b} WHEN {b} = '' THEN {a} ELSE {a} || ' / ' || {b} END"
+Q.add(
+    "std_03_comma_addresses",
+    ["pairs"],
+    lambda p: S.streets(p.select("stem", F.expr(_ADDRESSES).alias("address"), F.expr(_PARTY["P_COUNTRY"]).alias("country")).withColumn("country", F.when(F.col("country") == "Germany", "GERMANY").otherwise("")), "address", "country", D.countries(p.sparkSession)).select("stem", "street"),
+    "SELECT stem, num || ' LONG ROAD, UNIT ' || (num % 9) AS street FROM pairs",
+)
+Q.add(
+    "std_01_routed_ids",
+    ["pairs"],
+    lambda p: S.standardise_house(p.select("stem", *[F.expr(v).alias(k) for k, v in _PARTY.items()]), D.countries(p.sparkSession), D.cities(p.sparkSession)).select("stem", "P_EORI", "P_TAX", "P_COMP_ADDRESS"),
+    f""", c AS (SELECT stem, num, CASE num % 5 WHEN 0 THEN 'SE' || right(SHIPPER_INFO_POSTAL, 6) WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'IT03268900267' END AS e,
+      CASE num % 5 WHEN 0 THEN 'USCI' || substr(SHIPPER_INFO_TAX, 6) WHEN 1 THEN 'VATNO' || num WHEN 2 THEN 'CNPJ112223330001' || (num % 90 + 10) ELSE num || ' / TAXID123456789' END AS t,
+      CASE num % 3 WHEN 1 THEN 'EORINOIT' || (num + 3268000000) ELSE '' END AS e2, CASE num % 3 WHEN 0 THEN 'VATNODE' || (num + 100000000) ELSE '' END AS t2 FROM pairs)
+    SELECT stem, {_join('e', 'e2')} AS P_EORI, {_join('t', 't2')} AS P_TAX, num || ' LONG ROAD UNIT ' || (num % 9) AS P_COMP_ADDRESS FROM c""",
+)
 Q.add(
     "std_01_house_addresses",
     ["finals"],

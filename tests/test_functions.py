@@ -200,3 +200,29 @@ def test_status_and_progress_of_cells(spark):
 def test_error_kind_of_a_missing_setting(spark):
     df = spark.createDataFrame([("SystemExit: no key",), ("OSError: disk",), ("",), ("RuntimeError: read Timeout",)], "error string")
     assert sorted(r["error_kind"] for r in S.error_kind(df, "error").collect()) == ["", "OSError", "not configured", "timeout"]
+
+
+def test_addresses_with_commas_keep_their_street(spark):
+    rows = [
+        ("Room 5, No 8 Park Road, Hangzhou, Zhejiang 310000, China", "CHINA", "ROOM 5, NO 8 PARK ROAD"),
+        ("Hauptstr. 5, 10115 Berlin, DE", "GERMANY", "HAUPTSTR. 5"),
+        ("ACME Ltd, 12 Long Street, Unit 4, London SW1A 1AA, United Kingdom", "UNITED KINGDOM", "12 LONG STREET, UNIT 4"),
+        ("Rua A 7, TEL: +55 11 2222, 04546-040 Sao Paulo, Brazil", "BRAZIL", "RUA A 7"),
+        ("Georgia House, 5 Oak Avenue, Atlanta, Georgia 30301", "", "HOUSE, 5 OAK AVENUE"),
+        ("Berlin, Germany", "GERMANY", "Berlin, Germany"), ("Main Road 1", "", "Main Road 1"), (None, "", ""),
+    ]
+    df = spark.createDataFrame(rows, "address string, country string, want string").withColumn("company", F.lit("acme ltd"))
+    got = S.streets(df, "address", "country", D.countries(spark), "company").collect()
+    assert len(got) == len(rows) and [(r["address"], r["street"]) for r in got if r["street"] != r["want"]] == []
+
+
+def test_ids_go_to_the_cell_of_their_kind(spark):
+    rows = [
+        ("SE5563646560 / CNPJ: 11.222.333/0001-44", "VAT NO 123456789", "Road 5 EORI NO IT03268900267 Rome", "SE5563646560 / EORINOIT03268900267", "CNPJ11222333000144 / VATNO123456789", "Road 5 Rome"),
+        ("", "", "Road 5 VAT NO 123456789, TAX ID 987654321", "", "VATNO123456789", "Road 5 TAX ID 987654321"),
+        ("VAT NO IT03268900267", "", "x VAT IT03268900267", "VATNOIT03268900267", "", "x"),
+        (None, None, None, "", "", ""),
+    ]
+    df = spark.createDataFrame(rows, "eori string, tax string, address string, e string, t string, a string")
+    got = df.select("e", "t", "a", S.routed_ids(F.col("eori"), F.col("tax"), F.col("address"), [F.lit("+49 30")]).alias("r")).select("e", "t", "a", "r.*").collect()
+    assert [(r["eori"], r["tax"], r["address"]) for r in got] == [(r["e"], r["t"], r["a"]) for r in got]
