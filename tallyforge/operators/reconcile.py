@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,35 @@ def whole_row_merge(existing: DataFrame, ours: DataFrame, key: str, columns: lis
     return joined.select(key, *[F.nullif(T.strip(F.col(c)), F.lit("")).alias(c) if c in ours.columns else F.col(f"_e_{c}").alias(c) for c in columns])
 
 
+def overlay(existing: Column, given: Column, columns: list[str]) -> Column:
+    """JN-13, a partial record over a stored one, both maps: of ``columns`` those that ``given`` names, null included, else the
+    stored value; the result names all of them, so that nothing is left out when the whole row is written."""
+    value = lambda c: F.when(F.coalesce(F.map_contains_key(given, F.lit(c)), F.lit(False)), F.try_element_at(given, F.lit(c))).otherwise(F.try_element_at(existing, F.lit(c)))
+    return F.create_map(*[x for c in columns for x in (F.lit(c), value(c))])
+
+
+def whole_row(existing: Column, ours: Column, columns: list[str], numbers: list[str], parties: list[str]) -> Column:
+    """JN-13, a house record as it is written: ours over the stored one, blank numbers null, and each party's ids, of both
+    versions and both cells, dealt out anew to ``_EORI`` and ``_TAX`` (null if none)."""
+    merged = overlay(existing, ours, columns)
+    none = F.array().cast("array<string>")
+
+    def pool(m: Column, party: str) -> dict[str, Column]:
+        cells = [F.try_element_at(x, F.lit(f"{party}_{k}")) for k in ("EORI", "TAX") for x in (m, ours)] + [F.try_element_at(ours, F.lit(f"{party}_TAX_ID"))]
+        ids = F.array_distinct(F.flatten(F.array(*[F.coalesce(T.split_ids(c), none) for c in cells])))
+        of = lambda kind: F.array_join(F.array_distinct(F.transform(F.filter(ids, lambda x: T.let(x, T.classify_id) == kind), lambda x: T.let(x, T.id_cell))), " / ")
+        return {f"{party}_EORI": F.nullif(of("eori"), F.lit("")), f"{party}_TAX": F.nullif(of("tax"), F.lit(""))}
+
+    def written(m: Column) -> Column:
+        value = lambda c: F.try_element_at(m, F.lit(c))
+        cells = {c: F.when(~T.blank(value(c)), value(c)) if c in numbers else value(c) for c in columns}
+        for party in parties:
+            cells |= pool(m, party)
+        return F.create_map(*[x for c, v in cells.items() for x in (F.lit(c), v)])
+
+    return T.let(merged, written)
+
+
 def three_way_merge(base: Column, local: Column, server: Column) -> Column:
     """JN-14: maps of values: a side that left the base wins; both changed differently is a conflict (local value kept, marked)."""
     keys = F.array_distinct(F.concat(F.map_keys(base), F.map_keys(local), F.map_keys(server)))
@@ -203,3 +234,28 @@ def purge(tables: list[DataFrame], items: DataFrame, key: str, days: int) -> tup
     """RET-05: tombstones (early is computed from the idle days) and the tables without the purged keys, in their given order."""
     stones = items.select(key, "idle", (F.coalesce(F.col("idle"), F.lit(0)) < days).alias("early"))
     return stones, [t.join(items.select(key).distinct(), key, "left_anti") for t in tables]
+
+
+def purge_run(tables: list[tuple[str, DataFrame]], items: DataFrame, key: str, days: int, target: str, before: Callable[[str], None] = lambda step: None) -> None:
+    """RET-05 on disk: tombstones first, then each table without the purged keys, in the given order (derived ones, sources, ledger).
+
+    Each step is written whole and then noted in ``target``'s log; a run that broke off goes on with the first step that isn't
+    noted. What is purged is read from the tombstones, so a run that goes on purges what it set out to, whatever
+    ``items`` is by then. ``before`` is called with the name of each step that is about to run.
+    """
+    spark = items.sparkSession
+    spark.createDataFrame([], "step string").coalesce(1).write.mode("ignore").parquet(f"{target}/log")
+    done = {r["step"] for r in spark.read.schema("step string").parquet(f"{target}/log").collect()}
+
+    def step(name: str, df: DataFrame) -> None:
+        if name in done:
+            return
+        before(name)
+        df.write.mode("overwrite").parquet(f"{target}/{name}")
+        spark.createDataFrame([(name,)], "step string").coalesce(1).write.mode("append").parquet(f"{target}/log")
+
+    stones, _ = purge([], items, key, days)
+    step("tombstones", stones)
+    gone = spark.read.schema(stones.schema).parquet(f"{target}/tombstones").select(key).distinct()
+    for name, table in tables:
+        step(name, table.join(gone, key, "left_anti"))

@@ -11,6 +11,7 @@ from tallyforge.functions import dictionaries as D
 from tallyforge.functions import text as T
 from tallyforge.operators import reconcile as R
 from tallyforge.operators import standardise as S
+from tallyforge.plans.bindings import bind, prelude
 from tallyforge.plans.register import Register
 from tallyforge.sources import records as X
 from tallyforge.streaming.streams import shared_folder
@@ -131,6 +132,23 @@ Q.add("jn_09_rightmost_phrase", ["id_cells"], lambda d: S.rightmost_phrase(d.sel
 Q.add("jn_10_longest_prefix", ["id_cells"], lambda d: S.longest_prefix(d, "tel", D.dial_codes(d.sparkSession)).select("k", F.col("prefix_iso2").alias("dialled")), "SELECT k, CASE k % 4 WHEN 0 THEN 'CN' WHEN 1 THEN 'SE' WHEN 2 THEN 'FI' ELSE 'IE' END AS dialled FROM id_cells")
 Q.add("jn_12_backfill", ["finals", "masters"], lambda f, m: R.backfill_plan(f, m, "cust", {"SHIPPER": "goods", "GOODS": "goods"}), "SELECT stem, 'SHIPPER' AS field, m.goods AS \"to\" FROM finals f JOIN masters m USING (cust) WHERE trim(SHIPPER) = ''")
 Q.add("jn_13_whole_row_merge", ["remote", "finals"], lambda r, f: R.whole_row_merge(r.select("num", F.col("SHIPPER_NAME").alias("SHIPPER"), F.col("state").cast("string").alias("STATE")), f.select("num", "SHIPPER"), "num", ["SHIPPER", "STATE"]), "SELECT f.num, nullif(trim(f.SHIPPER), '') AS SHIPPER, CAST(r.state AS STRING) AS STATE FROM finals f LEFT JOIN remote r ON r.num = f.num")
+_STORED = {"GOODS": "COALESCE(air_DEST_NAME, '')", "PIECES": "WEIGHT", "P_EORI": "'SE5563646560 / CNPJ: 1234567'", "P_TAX": "''", "NOTE": "'kept'"}
+_map = lambda cells: F.create_map(*[x for k, v in cells.items() for x in (F.lit(k), F.expr(v))])
+
+
+def _ours(p):
+    given = _map({"P_EORI": "SHIPPER_INFO_EORI", "PIECES": "CASE num % 3 WHEN 0 THEN ' ' ELSE air_WEIGHT END"})
+    return F.when(F.col("num") % 2 == 0, F.map_concat(given, _map({"GOODS": "CASE num % 4 WHEN 0 THEN NULL ELSE '' END"}))).otherwise(given)
+
+
+_long = lambda c: lambda p: p.select("stem", F.explode(c(p)).alias("k", "v")).withColumn("v", F.coalesce("v", F.lit("(null)")))
+_GIVEN = "CASE WHEN num % 2 = 0 THEN CASE num % 4 WHEN 0 THEN '(null)' ELSE '' END ELSE air_DEST_NAME END"
+Q.add("jn_13_overlay", ["pairs"], _long(lambda p: R.overlay(_map({k: v for k, v in _STORED.items() if k != "NOTE"}), _ours(p), ["GOODS", "PIECES", "NOTE"])),
+      f"SELECT stem, 'GOODS' AS k, {_GIVEN} AS v FROM pairs UNION ALL SELECT stem, 'PIECES', CASE num % 3 WHEN 0 THEN ' ' ELSE air_WEIGHT END FROM pairs UNION ALL SELECT stem, 'NOTE', '(null)' FROM pairs")
+Q.add("jn_13_house_row", ["pairs"], _long(lambda p: R.whole_row(_map(_STORED), _ours(p), list(_STORED), ["PIECES"], ["P"])),
+      f"""SELECT stem, 'GOODS' AS k, {_GIVEN} AS v FROM pairs UNION ALL SELECT stem, 'PIECES', CASE num % 3 WHEN 0 THEN '(null)' ELSE air_WEIGHT END FROM pairs UNION ALL SELECT stem, 'NOTE', 'kept' FROM pairs
+      UNION ALL SELECT stem, 'P_EORI', CASE num % 5 WHEN 0 THEN 'SE' || right(SHIPPER_INFO_POSTAL, 6) WHEN 1 THEN '(null)' WHEN 2 THEN '(null)' ELSE 'IT03268900267' END FROM pairs
+      UNION ALL SELECT stem, 'P_TAX', CASE num % 5 WHEN 0 THEN '(null)' WHEN 1 THEN 'VATNO' || num WHEN 2 THEN '(null)' ELSE CAST(num AS VARCHAR) END FROM pairs""")
 Q.add(
     "jn_14_three_way_merge",
     ["tickets", "finals"],
@@ -180,6 +198,23 @@ Q.add("srt_03_oldest_first", ["qc"], lambda q: R.oldest_first(_cands(q), "stem")
 Q.add("ret_03_parent_protection", ["masters", "ledger", "tickets"], lambda m, l, t: R.protect_parents(m, t.join(l.select("stem"), "stem", "left_semi"), "cust").select("mawb"), "SELECT mawb FROM masters WHERE cust NOT IN (SELECT cust FROM tickets WHERE stem IN (SELECT stem FROM ledger))")
 Q.add("ret_04_refusals", ["qc"], lambda q: R.retention_refusals(q.select("stem"), _cands(q).where("num % 7 > 0"), q.where("num % 5 = 0"), "stem"), _AGED + "SELECT stem, CASE WHEN num % 7 = 0 THEN 'missing' WHEN num % 5 = 0 THEN 'has children' WHEN NOT aged THEN 'not aged' END AS reason FROM d")
 Q.add("ret_05_purge", ["qc"], lambda q: R.purge([q], _cands(q).where("aged OR num % 2 = 0"), "stem", 30)[0].select("stem", "early"), _AGED + "SELECT stem, coalesce(idle, 0) < 30 AS early FROM d WHERE aged OR num % 2 = 0")
+def _purged(spark, sf_dir):
+    """What a purge leaves of three tables, and its tombstones."""
+    q, u, e = (bind(spark, sf_dir, n) for n in ("qc", "usage", "stage_events"))
+    target = f"{shared_folder(spark)}/purge-{uuid.uuid4().hex}"
+    tables = [("usage", u.select("stem", "stage")), ("qc", q.select("stem", "num")), ("stage_events", e.select("stem", "seq"))]
+    R.purge_run(tables, _cands(q).where("aged OR num % 2 = 0"), "stem", 30, target)
+    out = None
+    for name in ("tombstones", *[n for n, _ in tables]):
+        part = spark.read.parquet(f"{target}/{name}").groupBy("stem").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "stem", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+Q.queries["ret_05_purge_tables"] = _purged
+Q.oracles["ret_05_purge_tables"] = prelude("qc", "usage", "stage_events") + _AGED.lstrip() + """, g AS (SELECT stem FROM d WHERE aged OR num % 2 = 0)
+SELECT 'tombstones' AS kind, stem, count(*) AS n FROM g GROUP BY stem UNION ALL SELECT 'usage', stem, count(*) FROM usage WHERE stem NOT IN (SELECT stem FROM g) GROUP BY stem
+UNION ALL SELECT 'qc', stem, count(*) FROM qc WHERE stem NOT IN (SELECT stem FROM g) GROUP BY stem UNION ALL SELECT 'stage_events', stem, count(*) FROM stage_events WHERE stem NOT IN (SELECT stem FROM g) GROUP BY stem"""
 Q.add("set_01_all_keys", ["qc", "ledger", "stage_events"], lambda q, l, e: q.select("stem").union(l.select("stem")).union(e.select("stem")).distinct(), "SELECT stem FROM qc UNION SELECT stem FROM ledger UNION SELECT stem FROM stage_events")
 _FLAGS = lambda q: q.select("stem", F.transform(F.sequence(F.lit(1), F.col("flags") + 1), lambda i: F.concat(F.lit("f"), i)).alias("flags"), F.array(F.lit("f1"), F.lit("f3")).alias("acked"))
 Q.add("set_03_open_flags", ["qc"], lambda q: _FLAGS(q).select("stem", F.array_join(F.array_except("flags", "acked"), ",").alias("open")), "SELECT stem, array_to_string(list_filter(list_transform(range(1, flags + 2), lambda i: 'f' || i), lambda x: x NOT IN ('f1', 'f3')), ',') AS open FROM qc")

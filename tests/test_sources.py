@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyforge.functions import text as T
 from tallyforge.operators import events as E
+from tallyforge.operators import reconcile as R
 from tallyforge.sources import records as X
 from tallyforge.streaming import streams as ST
 
@@ -79,3 +81,30 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     spark.createDataFrame([("hot", 9000, "last", True)], schema).coalesce(1).write.mode("append").parquet(folder)
     last = {r["key"]: r["at"] for r in ST.upsert_stream(stream(), "key", "at", 4, spread).collect()}
     assert last["hot"] == 9000 and len(last) == 12 and last["k3"] == max(at for k, at, _, _ in rows if k == "k3")
+
+
+def test_a_purge_goes_on_after_any_step(spark, tmp_path):
+    """Stopped before each of its steps in turn, a purge ends as one that was never stopped, and purges what it set out to."""
+    rows = [(f"k{i}", i) for i in range(20)]
+    tables = lambda: [(n, spark.createDataFrame(rows, "stem string, v int")) for n in ("derived", "source", "ledger")]
+    items = spark.createDataFrame([("k1", 40), ("k2", 3), ("k3", None)], "stem string, idle int")
+
+    class Stop(Exception):
+        pass
+
+    for at in ("tombstones", "derived", "source", "ledger"):
+        target = str(tmp_path / at)
+
+        def stop(step, at=at):
+            if step == at:
+                raise Stop
+
+        with pytest.raises(Stop):
+            R.purge_run(tables(), items, "stem", 30, target, stop)
+        ran = []
+        # by now the plan is another one; it only counts if the tombstones were not written
+        R.purge_run(tables(), items if at == "tombstones" else items.limit(0), "stem", 30, target, ran.append)
+        assert ran == ["tombstones", "derived", "source", "ledger"][["tombstones", "derived", "source", "ledger"].index(at):]
+        assert {tuple(r) for r in spark.read.parquet(f"{target}/tombstones").select("stem", "early").collect()} == {("k1", False), ("k2", True), ("k3", True)}
+        for name in ("derived", "source", "ledger"):
+            assert {r["stem"] for r in spark.read.parquet(f"{target}/{name}").collect()} == {k for k, _ in rows} - {"k1", "k2", "k3"}
