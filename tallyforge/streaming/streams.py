@@ -118,8 +118,8 @@ def suppress_repeats(stream: DataFrame, ttl: int, target: str | None = None) ->
 
     ``key, at, fp, ok`` in; ``key, at, fp, accepted`` out, of all batches that ``target`` holds: a stream that is started again
     with the same ``target`` goes on where it ended. Each batch is sorted within partitions, behind one remembered row per
-    key, and folded row by row, so a task holds one key's memory whatever the key's history. What is ``ttl`` older than the
-    newest write is forgotten: no later write could repeat it.
+    key, and folded row by row, so a task holds one key's memory whatever the key's history. What is ``ttl`` older than
+    a batch's oldest write is forgotten: neither it nor a later one could repeat it.
     """
     spark = stream.sparkSession
     target = target or f"{shared_folder(spark)}/suppress-{uuid.uuid4().hex}"
