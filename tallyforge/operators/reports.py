@@ -18,12 +18,12 @@ def usage_report(qc: DataFrame, usage: DataFrame, axes: list[str], stages: list[
 
     Tickets are counted before the stages are joined, so a ticket with several stages counts once. ``sec_<stage>`` are seconds.
     """
-    seconds = [(F.sum(F.when(F.col("stage") == s, F.col("millis"))) / 1000.0).alias(f"sec_{s}") for s in stages]
-    per = usage.groupBy("stem").agg(*[F.sum(c).alias(c) for c in TOKENS], *seconds)
+    millis = [F.sum(F.when(F.col("stage") == s, F.col("millis"))).alias(f"sec_{s}") for s in stages]
+    per = usage.groupBy("stem").agg(*[F.sum(c).alias(c) for c in TOKENS], *millis)
     sums = [*TOKENS, *[f"sec_{s}" for s in stages]]
     rows = qc.join(per, "stem", "left").select(*axes, "error", "needs_review", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
     sets = rows.groupingSets([[F.col(a)] for a in axes] + [[]], *[F.col(a) for a in axes])
-    total = [F.sum(c).alias(c) for c in TOKENS] + [F.round(F.sum(f"sec_{s}"), 2).alias(f"sec_{s}") for s in stages]
+    total = [F.sum(c).alias(c) for c in TOKENS] + [(F.sum(f"sec_{s}").cast("double") / 1000.0).alias(f"sec_{s}") for s in stages]
     return sets.agg(F.count(F.lit(1)).alias("tickets"), F.count_if(~T.blank(F.col("error"))).alias("failed"), F.count_if(F.col("needs_review") == 1).alias("flagged"), *total)
 
 

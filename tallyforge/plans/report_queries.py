@@ -112,8 +112,8 @@ Q.add("fn_23_anchor_lines", ["tickets"], lambda t: V.anchor_lines(_fields(t).whe
 # --- usage, ledgers -----------------------------------------------------------------
 _TOK = ["calls", "prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens"]
 _STAGES = ["render", "l1", "l2", "l3"]
-_U = f", p AS (SELECT stem, {', '.join(f'sum({c}) AS {c}' for c in _TOK)}, {', '.join(f"sum(CASE WHEN stage = '{s}' THEN millis END) / 1000.0 AS sec_{s}" for s in _STAGES)} FROM usage GROUP BY stem) "
-_SUMS = "count(*) AS tickets, count(*) FILTER (WHERE trim(error) <> '') AS failed, count(*) FILTER (WHERE needs_review = 1) AS flagged, " + ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in _TOK) + ", " + ", ".join(f"round(sum(coalesce(sec_{s}, 0)), 2) AS sec_{s}" for s in _STAGES) + " FROM qc LEFT JOIN p USING (stem)"
+_U = f", p AS (SELECT stem, {', '.join(f'sum({c}) AS {c}' for c in _TOK)}, {', '.join(f"sum(CASE WHEN stage = '{s}' THEN millis END) AS sec_{s}" for s in _STAGES)} FROM usage GROUP BY stem) "
+_SUMS = "count(*) AS tickets, count(*) FILTER (WHERE trim(error) <> '') AS failed, count(*) FILTER (WHERE needs_review = 1) AS flagged, " + ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in _TOK) + ", " + ", ".join(f"CAST(sum(coalesce(sec_{s}, 0)) AS DOUBLE) / 1000.0 AS sec_{s}" for s in _STAGES) + " FROM qc LEFT JOIN p USING (stem)"
 Q.add("agg_01_usage_totals", ["qc", "usage"], lambda q, u: P.usage_report(q, u, []), _U + f"SELECT {_SUMS}")
 Q.add("agg_02_usage_report", ["qc", "usage"], lambda q, u: P.usage_report(q.withColumn("day", F.substring("processed_at", 1, 10)), u, ["day", "model"]).withColumns({c: F.coalesce(c, F.lit("all")) for c in ("day", "model")}),
       _U + f"SELECT coalesce(day, 'all') AS day, coalesce(model, 'all') AS model, * EXCLUDE (day, model) FROM (SELECT substr(processed_at, 1, 10) AS day, model, {_SUMS} GROUP BY GROUPING SETS ((substr(processed_at, 1, 10)), (model), ()))")
