@@ -238,8 +238,49 @@ def standardise_house(df: DataFrame, countries: DataFrame, cities: DataFrame, co
 
 
 def clean_partial(values: Column) -> Column:
-    """PRJ-03, STD-02: a partial record as a map: absent keys stay absent, blank values become an explicit null."""
-    return F.transform_values(values, lambda k, v: F.when(T.blank(v), F.lit(None).cast("string")).otherwise(F.when(k.rlike("_(TEL|FAX)$"), T.phone_cell(v)).when(k.rlike("_(EORI|TAX|AEO)$"), T.id_join(v)).when(k == "MAWB_NO", T.hyphenate11(v)).otherwise(T.fold_ws(v))))
+    """PRJ-03: a partial record as a map: absent keys stay absent, blank values become an explicit null, others take the form of
+    their kind. Ids of a cell stay apart by `` / ``; the cell of an authorised operator holds one number."""
+
+    def formed(k: Column, v: Column) -> Column:
+        squeezed = F.upper(F.regexp_replace(T.text(v), r"(?U)\s+", ""))
+        kinds = F.when(k.rlike("_(TEL|FAX)$"), T.phone_cell(v)).when(k.rlike("_(EORI|TAX)$"), T.id_join(v)).when(k.endswith("_AEO"), squeezed).when(k == "MAWB_NO", T.hyphenate11(v))
+        return F.when(T.blank(v), F.lit(None).cast("string")).otherwise(kinds.otherwise(T.fold_ws(v)))
+
+    return F.transform_values(values, formed)
+
+
+def standardise_master(values: Column) -> Column:
+    """STD-02: a partial master record as a map, ready to be sent.
+
+    Only the master's own columns stay; a column that was not given stays absent, a blank one is null, so that a whole-row write can
+    tell what to keep from what to clear. The shipper's country is China whatever was read. HS codes keep six digits each,
+    text without a code stays for the rules to flag; a piece count that is no number is null. Cells of parties lose
+    their symbols but for postal codes and ids.
+    """
+    parties = "^(" + "|".join(D.MASTER_PARTIES) + ")_INFO_"
+
+    def formed(k: Column, v: Column) -> Column:
+        count = F.regexp_extract(T.strip(v), r"^([+-]?[0-9]+)([.][0-9]*)?$", 1).try_cast("bigint").cast("string")
+        codes = T.let(T.hs6(v), lambda c: F.when(c == "", T.fold_ws(v)).otherwise(c))
+        digits = F.regexp_replace(T.text(v), "[^0-9]", "")
+        number = F.when(F.length(digits) == 11, T.hyphenate11(digits)).otherwise(T.fold_ws(v))
+        own = F.when(k == "MAWB_NO", number).when(k == "SLAC", count).when(k == "GOODS_INFO_HSCODE", codes)
+        return own.otherwise(v)
+
+    def bare(k: Column, v: Column) -> Column:
+        symbols = k.rlike(parties) & ~k.rlike("_(POSTAL|EORI|TAX)$")
+        upper = F.when(k.endswith("_COUNTRY"), F.upper(v)).otherwise(v)
+        china = F.when(k == "SHIPPER_INFO_COUNTRY", F.lit("CN"))
+        return china.otherwise(F.when(symbols & v.isNotNull(), T.sym_to_space(upper)).otherwise(v))
+
+    own = F.map_filter(values, lambda k, _: k.isin(D.MASTER_COLUMNS))
+    return F.transform_values(clean_partial(F.transform_values(own, formed)), bare)
+
+
+def master_body(df: DataFrame, values: str, keys: list[str]) -> DataFrame:
+    """What is sent for a master: ``keys`` and exactly its columns, null where the map ``values`` has none; ``SLAC`` is a number."""
+    cells = [F.col(values)[c].cast("bigint" if c == "SLAC" else "string").alias(c) for c in D.MASTER_COLUMNS]
+    return df.select(*keys, *cells)
 
 
 def change_preview(df: DataFrame, key: str, parties: list[str], countries: DataFrame, states: DataFrame) -> DataFrame:

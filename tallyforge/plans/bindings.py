@@ -82,6 +82,19 @@ SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN 'CNPJ: 11.222.333/' || lpa
   CASE p_partkey % 5 WHEN 0 THEN 'CN' WHEN 1 THEN 'SE' WHEN 2 THEN 'BR' WHEN 3 THEN 'US' ELSE 'AE' END AS iso2,
   CAST(p_partkey % 3 + 1 AS STRING) || lpad(CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE 4 END, '0') AS postal,
   'HS CODE:' || CAST(p_partkey + 8526109 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN ',' || CAST(p_partkey + 841000 AS STRING) ELSE '' END || ' ' || p_name AS goods FROM part""",
+    "master_cells": """
+SELECT stem, num, 'MAWB_NO' AS col, CASE num % 4 WHEN 0 THEN replace(MAWB_NO, '-', '') WHEN 1 THEN ' ' || replace(MAWB_NO, '-', ' ') WHEN 2 THEN substr(MAWB_NO, 1, 9) ELSE MAWB_NO END AS cell FROM tickets
+UNION ALL SELECT stem, num, 'SLAC', CASE num % 5 WHEN 0 THEN PIECES || '.0' WHEN 1 THEN 'many' WHEN 2 THEN ' ' ELSE PIECES END FROM tickets WHERE num % 3 > 0
+UNION ALL SELECT stem, num, 'GOODS_INFO_HSCODE', CASE num % 4 WHEN 0 THEN 'HS CODE:' || CAST(num + 85261000 AS STRING) || ' HS ' || CAST(num + 841000 AS STRING) WHEN 1 THEN GOODS WHEN 2 THEN '8526;84' ELSE '' END FROM tickets
+UNION ALL SELECT stem, num, 'SHIPPER_INFO_COMP_NAME', SHIPPER || ', (' || COUNTRY || ')  CO., LTD.' FROM tickets
+UNION ALL SELECT stem, num, 'SHIPPER_INFO_COUNTRY', CASE WHEN num % 2 = 0 THEN COUNTRY ELSE '' END FROM tickets WHERE num % 5 > 0
+UNION ALL SELECT stem, num, 'CONSIGNEE_INFO_COUNTRY', lower(COUNTRY) || '.' FROM tickets WHERE num % 7 > 0
+UNION ALL SELECT stem, num, 'CONSIGNEE_INFO_POSTAL', right(SHIPPER, 5) || '-' || right(HAWB_NO, 1) FROM tickets
+UNION ALL SELECT stem, num, 'CONSIGNEE_INFO_TEL', '+49 (' || right(SHIPPER, 3) || ') ' || PIECES || ' / 22' FROM tickets
+UNION ALL SELECT stem, num, 'CONSIGNEE_INFO_EORI', 'de ' || right(SHIPPER, 8) || CASE WHEN num % 2 = 0 THEN ' / it ' || HAWB_NO ELSE '' END FROM tickets
+UNION ALL SELECT stem, num, 'NOTIFY_INFO_AEO', 'aeo cn ' || HAWB_NO FROM tickets WHERE num % 4 > 0
+UNION ALL SELECT stem, num, 'NOTIFY_INFO_EMAIL', 'Desk.' || right(SHIPPER, 3) || '@Mail.COM' FROM tickets
+UNION ALL SELECT stem, num, 'SEND_STATUS', status FROM tickets""",
     "pairs": """
 SELECT stem, num, CASE num % 6 WHEN 0 THEN '' ELSE MAWB_NO END AS MAWB_NO, CASE num % 5 WHEN 0 THEN ' ' ELSE HAWB_NO END AS HAWB_NO, CASE num % 4 WHEN 0 THEN MAWB_NO ELSE '' END AS sent_MAWB_NO, CASE num % 7 WHEN 0 THEN HAWB_NO END AS sent_HAWB_NO,
   COUNTRY AS TO1, CASE num % 5 WHEN 0 THEN '' WHEN 1 THEN substr(COUNTRY, 1, 3) WHEN 2 THEN lower(substr(COUNTRY, 1, 3)) ELSE COUNTRY END AS air_TO1, CASE WHEN num % 3 = 0 THEN '' ELSE SHIPPER END AS TO2, CASE num % 4 WHEN 0 THEN 'F1A' WHEN 1 THEN ' FRA ' ELSE '' END AS air_TO2,
@@ -123,7 +136,7 @@ SELECT t.stem, f.field, CASE f.field %s END AS model, CASE f.field %s END AS fin
         " UNION ALL ".join(f"SELECT '{f}' AS field" for f in FIELDS),
     ),
 }
-NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"], "prints": ["tickets"], "transcripts": ["tickets"], "pairs": ["tickets"], "print_fields": ["tickets", "prints"]}
+NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"], "prints": ["tickets"], "transcripts": ["tickets"], "pairs": ["tickets"], "master_cells": ["tickets"], "print_fields": ["tickets", "prints"]}
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -143,7 +143,20 @@ def _std(f):
 
 _STD = "SELECT stem, CASE WHEN contains(MAWB_NO, '-') THEN MAWB_NO ELSE MAWB_NO END AS MAWB_NO, CASE WHEN num % 2 = 0 THEN 'TYO' ELSE 'FRA' END AS TO1, CASE WHEN num % 3 = 0 THEN 'BEIJING' ELSE 'PAR' END AS ORIGIN_NAME, CASE WHEN num % 2 = 0 THEN 'DE' ELSE 'SK' END AS CONSIGNEE_INFO_COUNTRY, '49301122' AS CONSIGNEE_INFO_TEL, trim(regexp_replace(regexp_replace(SHIPPER || ', Ltd.', '[^0-9A-Za-z\\s]', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS SHIPPER, 'BEIJING' AS SHIPPER_INFO_CITY FROM finals"
 Q.add("std_01_house_job", ["finals"], _std, _STD)
-Q.add("std_02_master_job", ["finals"], lambda f: f.select("stem", S.clean_partial(F.create_map(F.lit("A_EORI"), F.concat(F.lit("it 123 / "), "HAWB_NO"), F.lit("GOODS"), "GOODS")).alias("m")).select("stem", F.col("m")["A_EORI"].alias("eori"), F.col("m")["GOODS"].alias("goods")), "SELECT stem, 'IT123 / ' || upper(HAWB_NO) AS eori, GOODS AS goods FROM finals")
+_AMS = lambda m: m.groupBy("stem").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("ams"))
+_SYM = "trim(regexp_replace(regexp_replace({0}, '[^0-9A-Za-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NONE = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in D.MASTER_COLUMNS if c not in ("MAWB_NO", "GOODS_INFO_HSCODE", "SLAC", "SHIPPER_INFO_COMP_NAME", "SHIPPER_INFO_COUNTRY", "CONSIGNEE_INFO_COUNTRY", "CONSIGNEE_INFO_POSTAL", "CONSIGNEE_INFO_TEL", "CONSIGNEE_INFO_EORI", "NOTIFY_INFO_AEO", "NOTIFY_INFO_EMAIL"))
+_CELL = "max(CASE WHEN col = '{0}' THEN cell END)"
+Q.add(
+    "std_02_master_job",
+    ["master_cells"],
+    lambda m: S.master_body(_AMS(m).withColumn("ams", S.standardise_master(F.col("ams"))).withColumn("given", F.array_join(F.array_sort(F.map_keys("ams")), ",")), "ams", ["stem", "given"]).withColumn("SLAC", F.col("SLAC").cast("string")),
+    f""", c AS (SELECT stem, string_agg(CASE WHEN col <> 'SEND_STATUS' THEN col END, ',' ORDER BY col) AS given, {', '.join(f"{_CELL.format(c)} AS {c}" for c in ("MAWB_NO", "GOODS_INFO_HSCODE", "SLAC", "SHIPPER_INFO_COMP_NAME", "SHIPPER_INFO_COUNTRY", "CONSIGNEE_INFO_COUNTRY", "CONSIGNEE_INFO_POSTAL", "CONSIGNEE_INFO_TEL", "CONSIGNEE_INFO_EORI", "NOTIFY_INFO_AEO", "NOTIFY_INFO_EMAIL"))} FROM master_cells GROUP BY stem),
+    d AS (SELECT *, regexp_replace(MAWB_NO, '[^0-9]', '', 'g') AS no, list_transform(regexp_extract_all(GOODS_INFO_HSCODE, '[0-9]{{4,}}'), lambda x: substr(x, 1, 6)) AS hs FROM c)
+    SELECT stem, given, CASE WHEN length(no) = 11 THEN substr(no, 1, 3) || '-' || substr(no, 4) ELSE trim(MAWB_NO) END AS MAWB_NO, CASE WHEN len(hs) > 0 THEN array_to_string(hs, ',') WHEN trim(GOODS_INFO_HSCODE) <> '' THEN trim(GOODS_INFO_HSCODE) END AS GOODS_INFO_HSCODE,
+    CAST(CAST(TRY_CAST(SLAC AS DOUBLE) AS BIGINT) AS VARCHAR) AS SLAC, {_SYM.format('SHIPPER_INFO_COMP_NAME')} AS SHIPPER_INFO_COMP_NAME, CASE WHEN contains(given, 'SHIPPER_INFO_COUNTRY') THEN 'CN' END AS SHIPPER_INFO_COUNTRY, {_SYM.format('upper(CONSIGNEE_INFO_COUNTRY)')} AS CONSIGNEE_INFO_COUNTRY, CONSIGNEE_INFO_POSTAL,
+    regexp_replace(string_split(CONSIGNEE_INFO_TEL, ' / ')[1], '[^0-9A-Za-z]', '', 'g') AS CONSIGNEE_INFO_TEL, replace(replace(upper(replace(CONSIGNEE_INFO_EORI, ' / ', '|')), ' ', ''), '|', ' / ') AS CONSIGNEE_INFO_EORI, {_SYM.format("replace(upper(NOTIFY_INFO_AEO), ' ', '')")} AS NOTIFY_INFO_AEO, {_SYM.format('NOTIFY_INFO_EMAIL')} AS NOTIFY_INFO_EMAIL, {_NONE} FROM d""",
+)
 Q.add("std_03_address_residual", ["finals"], lambda f: S.address_residual(f.select("stem", F.concat(F.lit("Road 1, TEL +49 301122334, "), "COUNTRY", F.lit(", VAT 123456789")).alias("address"), "COUNTRY"), "stem", "address", ["COUNTRY"]).select("stem", "street"), "SELECT stem, 'Road 1' AS street FROM finals")
 _STATES = "CASE iso2 WHEN 'BR' THEN 'São Paulo' WHEN 'US' THEN 'new  york' ELSE 'X' END"
 

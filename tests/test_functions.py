@@ -226,3 +226,24 @@ def test_ids_go_to_the_cell_of_their_kind(spark):
     df = spark.createDataFrame(rows, "eori string, tax string, address string, e string, t string, a string")
     got = df.select("e", "t", "a", S.routed_ids(F.col("eori"), F.col("tax"), F.col("address"), [F.lit("+49 30")]).alias("r")).select("e", "t", "a", "r.*").collect()
     assert [(r["eori"], r["tax"], r["address"]) for r in got] == [(r["e"], r["t"], r["a"]) for r in got]
+
+
+def test_master_records_are_cleaned_by_column(spark):
+    given = {
+        "MAWB_NO": " 176 62400004 ", "SLAC": "12.0", "GOODS_INFO_HSCODE": "HS CODE:8526109 / 8412210", "SHIPPER_INFO_COUNTRY": None, "SHIPPER_INFO_COMP_NAME": " STEEL   (NORTH) CO., LTD.",
+        "SHIPPER_INFO_POSTAL": "101-300", "CONSIGNEE_INFO_EORI": " sa48 27430 / fr 1 ", "CONSIGNEE_INFO_TEL": "+86 22 2532 / 99", "NOTIFY_INFO_COUNTRY": "sa.", "NOTIFY_INFO_AEO": "aeo cn-12", "NOTIFY_INFO_EMAIL": "a@b.COM", "CONSIGNEE_INFO_CITY": "  ", "HMY_ID": "7",
+    }
+    wanted = {
+        "MAWB_NO": "176-62400004", "SLAC": "12", "GOODS_INFO_HSCODE": "852610,841221", "SHIPPER_INFO_COUNTRY": "CN", "SHIPPER_INFO_COMP_NAME": "STEEL NORTH CO LTD",
+        "SHIPPER_INFO_POSTAL": "101-300", "CONSIGNEE_INFO_EORI": "SA4827430 / FR1", "CONSIGNEE_INFO_TEL": "86222532", "NOTIFY_INFO_COUNTRY": "SA", "NOTIFY_INFO_AEO": "AEOCN 12", "NOTIFY_INFO_EMAIL": "a b COM", "CONSIGNEE_INFO_CITY": None,
+    }
+    rows = spark.createDataFrame([(given,), ({"SLAC": "x", "GOODS_INFO_HSCODE": "none", "MAWB_NO": "176-6240004"},), ({},)], "ams map<string,string>")
+    once = rows.select(S.standardise_master(F.col("ams")).alias("ams"))
+    got = [r["ams"] for r in once.collect()]
+    assert got == [wanted, {"SLAC": None, "GOODS_INFO_HSCODE": "none", "MAWB_NO": "176-6240004"}, {}]
+    twice = once.select(S.standardise_master(F.col("ams")).alias("ams"))
+    assert [r["ams"] for r in twice.collect()] == [{**wanted, "NOTIFY_INFO_AEO": "AEOCN12"}, *got[1:]]
+    body = S.master_body(once, "ams", [])
+    assert body.columns == D.MASTER_COLUMNS and len(body.columns) == 39
+    first = body.first()
+    assert first["SLAC"] == 12 and first["NOTIFY_INFO_CITY"] is None
