@@ -270,16 +270,22 @@ def _led(rows: DataFrame, params: NearParams) -> DataFrame:
     return spread.mapInArrow(run, "key long, node long, leader long")
 
 
-def candidates(buckets: DataFrame, sigs: DataFrame, params: NearParams) -> DataFrame:
+def key_counts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``key, n`` of the keys that several of ``rows`` share, and the number of those rows."""
+    counts = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
+    return counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def candidates(buckets: DataFrame, counts: DataFrame, total: int, sigs: DataFrame, params: NearParams) -> DataFrame:
     """``key, node, leader`` with ``node <> leader``. Buckets over ``chunk`` documents are cut into chunks; the
     chunks' leaders meet again, level by level. Where that no longer shrinks a bucket, all pairs of its chunks are
-    compared, block by block, so that no bucket is cut short."""
+    compared, block by block, so that no bucket is cut short. Rows of hot keys stay where they are until they are dealt out."""
     found, rows, size = None, buckets, None
     while True:
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = rows.join(counts, "key").withColumn("chunks", F.ceil(F.col("n") / params.chunk))
+        # rows of buckets that need more than one chunk
+        large = counts.where(F.col("n") > params.chunk).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        sized = join_uneven(rows, counts, "key", "n", total).withColumn("chunks", F.ceil(F.col("n") / params.chunk))
         deal = F.pmod(F.xxhash64("node", "key"), F.col("chunks"))
-        large = None if size is None else sized.where("chunks > 1").count()
         if size is not None and not large:
             deal_rows = sized.withColumn("chunk", F.lit(0).cast("long"))
         elif size is not None and large > 0.5 * size:
@@ -296,16 +302,13 @@ def candidates(buckets: DataFrame, sigs: DataFrame, params: NearParams) -> DataF
         led = settle(_led(deal_rows.select("key", "chunk", "node").join(sigs, "node"), params), "near-led")
         links = led.where("node <> leader")
         found = links if found is None else found.unionByName(links)
-        if size is not None and not large:
+        if not large:
             return found
-        multi = counts.where(F.col("n") > params.chunk).select("key")
-        if size is None:
-            size = sized.where("chunks > 1").count()
-            if not size:
-                return found
-        else:
-            size = large
-        rows = settle(led.where("node = leader").select("key", "node").distinct().join(multi, "key"), "near-leaders")
+        size = large
+        multi = counts.where(F.col("n") > params.chunk)
+        leaders = join_uneven(led.where("node = leader").select("key", "node").distinct(), multi, "key", "n", total)
+        rows = settle(leaders.select("key", "node"), "near-leaders")
+        counts, total = key_counts(rows)
 
 
 def node_texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -337,18 +340,18 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearPara
     return rows.select("node", "leader", "text", "other").mapInArrow(run, "node long, leader long, like double")
 
 
-def _blocks(members: DataFrame, params: NearParams) -> DataFrame:
+def _blocks(members: DataFrame, total: int, params: NearParams) -> DataFrame:
     """``key, band, chunk, node, label`` for bucket members (``key, band, node, label``) of buckets with two labels or more: any two
     members of a bucket with different labels share a chunk at least once.
 
     Small buckets are one chunk. Larger ones are dealt out as blocks of two parts each; parts of the bucket's most
-    frequent label do not meet each other, so a large class costs little more than one reading.
+    frequent label do not meet each other, so a large class costs little more than one reading. ``total``: rows of all buckets.
     """
     half = max(1, params.chunk // 2)
     counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     sized = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     sized = sized.select("key", "n", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.c")) / half).alias("few"), F.ceil(F.col("top.c") / half).alias("many"))
-    rows = members.join(sized, "key").withColumn("parts", F.col("few") + F.col("many"))
+    rows = join_uneven(members, settle(sized, "near-sized"), "key", "n", total).withColumn("parts", F.col("few") + F.col("many"))
     draw, common, whole = F.xxhash64("node", "key"), F.col("label") == F.col("top"), F.col("n") <= params.chunk
     own = F.when(whole, F.lit(0)).when(common, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("long")
     last = F.when(whole, F.lit(0)).when(common, F.col("few") - 1).otherwise(F.col("parts") - 1).cast("long")
@@ -374,7 +377,7 @@ def _across(sig: np.ndarray, labels: np.ndarray, band: int, params: NearParams)
                 yield int(order[i]), order[like]
 
 
-def look_alikes(members: DataFrame, sigs: DataFrame, params: NearParams) -> DataFrame:
+def look_alikes(members: DataFrame, total: int, sigs: DataFrame, params: NearParams) -> DataFrame:
     """``key, band, node`` of the bucket members (``key, band, node, label``) that look like one of another label. A pair that
     meets in several bands counts in the first; a member comes out once, however many it looks like."""
 
@@ -388,18 +391,18 @@ def look_alikes(members: DataFrame, sigs: DataFrame, params: NearParams) -> Data
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([band] * n, pa.int32()), pa.array(nodes[alike])], names=["key", "band", "node"])
 
-    rows = _blocks(members, params).join(sigs, "node").select("key", "chunk", "node", "sig", F.struct("label", "band").alias("own"))
+    rows = _blocks(members, total, params).join(sigs, "node").select("key", "chunk", "node", "sig", F.struct("label", "band").alias("own"))
     spread = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
     return spread.mapInArrow(run, "key long, band int, node long").distinct()
 
 
-def link_across(members: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
+def link_across(members: DataFrame, total: int, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, params: NearParams) -> DataFrame:
     """``u, v``: links between labels of the bucket members (``key, band, node, label``).
 
     Members of a block are compared on whole texts where their signatures look alike and their labels are not yet
     linked in the block; only links that join two labels come out.
     """
-    rows = _blocks(members, params).join(sigs, "node").hint("merge").join(texts, "node")
+    rows = _blocks(members, total, params).join(sigs, "node").hint("merge").join(texts, "node")
     rows = rows.select("key", "chunk", "node", "sig", F.struct("label", "band", "text").alias("own"))
     sent = members.sparkSession.sparkContext.broadcast(idf)
 
@@ -457,20 +460,22 @@ def classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     sigs = settle(keyed.select(F.col("uid").alias("node"), "sig", "bands"), "near-node-signatures")
     buckets = sigs.select("node", F.posexplode("bands").alias("band", "key"))
     sigs = sigs.select("node", "sig")
-    led = settle(candidates(buckets.select("node", "key"), sigs, params), "near-candidates")
+    counts, in_buckets = key_counts(buckets)
+    led = settle(candidates(buckets.select("node", "key"), counts, in_buckets, sigs, params), "near-candidates")
     pairs = settle(led.select("node", "leader").distinct(), "near-pairs")
     # a bucket without a pair has no two documents that look alike
-    members = settle(buckets.join(led.select("key").distinct(), "key").select("key", "band", "node"), "near-members-of-buckets")
+    alike = settle(counts.join(led.select("key").distinct(), "key"), "near-keys")
+    members = settle(join_uneven(buckets, alike, "key", "n", in_buckets).select("key", "band", "node"), "near-members-of-buckets")
     texts = node_texts(members.select("node"), nodes, docs)
     like = settle(verify(pairs, texts, idf, params), "near-verified")
     links = like.where(F.col("like") >= params.similarity).select("node", "leader")
     labels = settle(components(links.select(F.col("node").alias("u"), F.col("leader").alias("v"))), "near-labels")
     # what looks alike in a bucket and is not in one class yet is compared too, leaders and linked documents as well
-    members = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
-    alike = settle(look_alikes(members, sigs, params), "near-look-alikes")
+    members = settle(members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")), "near-labelled-members")
+    alike = settle(look_alikes(members, in_buckets, sigs, params), "near-look-alikes")
     if not alike.isEmpty():
         alike = alike.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
-        across = components(settle(link_across(alike, sigs, texts, idf, params), "near-links-across"))
+        across = components(settle(link_across(alike, in_buckets, sigs, texts, idf, params), "near-links-across"))
         across = across.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
         own = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = own.join(across, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
