@@ -10,6 +10,6 @@ from tallyforge.plans import accuracy_queries, event_queries, evidence_queries,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (scalar_queries, record_queries, event_queries, evidence_queries, ledger_queries, accuracy_queries, report_queries):
+for module in (scalar_queries, record_queries, event_queries, evidence_queries, ledger_queries, accuracy_queries, report_queries, rule_queries):
     QUERIES |= module.Q.queries
     ORACLES |= module.Q.oracles

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import subprocess
 import sys
@@ -43,6 +44,15 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_every_module_of_queries_is_registered():
+    """No module that fills a register is left out, and no two of them use one name."""
+    folder = Path(registry.__file__).parent
+    modules = [importlib.import_module(f"tallyforge.plans.{p.stem}") for p in sorted(folder.glob("*_queries.py"))]
+    names = [n for m in modules for n in m.Q.queries]
+    assert len(names) == len(set(names)) and set(names) == set(registry.QUERIES)
+    assert {n for m in modules for n in m.Q.oracles} == set(registry.ORACLES)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_stream_and_batch_suppression_agree(spark):
     batch = {(r["key"], r["at"]): r["accepted"] for r in entry.queries()["rec_05_suppress_repeats"](spark, SF).collect()}
