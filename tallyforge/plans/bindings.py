@@ -116,6 +116,11 @@ SELECT stem, num, CAST(row_number() OVER (PARTITION BY stem ORDER BY pos, sub, t
   UNION ALL SELECT stem, num, 5, 0, CASE num % 4 WHEN 0 THEN 'VAT NO DE' || CAST(num + 100000000 AS STRING) WHEN 1 THEN 'EORI NO: IT' || CAST(num + 3268000000 AS STRING) WHEN 2 THEN 'VAT 123' ELSE '' END FROM tickets
   UNION ALL SELECT stem, num, 6, 0, CASE num % 6 WHEN 0 THEN 'Issued ' || CREATE_TIME WHEN 1 THEN 'Flight 24SEP' WHEN 2 THEN 'Issued ' || substr(CREATE_TIME, 9, 2) || '-Sep-' || substr(CREATE_TIME, 3, 2) WHEN 3 THEN substr(CREATE_TIME, 9, 2) || 'AUG Year ' || substr(CREATE_TIME, 1, 4)
     WHEN 4 THEN replace(substr(CREATE_TIME, 1, 5), '-', '年') || substr(CREATE_TIME, 6, 2) || '月' || substr(CREATE_TIME, 9, 2) || '日' ELSE 'no day' END FROM tickets) x""",
+    "printed_days": """
+SELECT stem, day, form, 'Flight 123 of ' || CASE form WHEN 0 THEN day WHEN 1 THEN d || '/' || m || '/' || y WHEN 2 THEN d || '-' || name || '-' || substr(y, 3, 2) WHEN 3 THEN name || ' ' || d || ', ' || y
+  WHEN 4 THEN y || '年' || CAST(CAST(m AS INT) AS STRING) || '月' || CAST(CAST(d AS INT) AS STRING) || '日' WHEN 5 THEN d || '-' || m || '月-' || substr(y, 3, 2) WHEN 6 THEN y || m || d ELSE d || upper(name) END || ', page 1' AS text
+FROM (SELECT stem, CREATE_TIME AS day, num % 8 AS form, substr(CREATE_TIME, 1, 4) AS y, substr(CREATE_TIME, 6, 2) AS m, substr(CREATE_TIME, 9, 2) AS d,
+  substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(substr(CREATE_TIME, 6, 2) AS INT) * 3 - 2, 3) AS name FROM tickets) parts""",
     "print_fields": """
 SELECT stem, 'MAWB_NO' AS field, 'master' AS kind, CASE num % 7 WHEN 0 THEN '' WHEN 1 THEN 'none' WHEN 2 THEN replace(MAWB_NO, '-', '') || '0' ELSE MAWB_NO END AS value FROM tickets
 UNION ALL SELECT stem, 'HAWB_NO', 'alnum', CASE num % 5 WHEN 0 THEN lower(HAWB_NO) ELSE replace(HAWB_NO, '-', ' ') END FROM tickets
@@ -136,7 +141,7 @@ SELECT t.stem, f.field, CASE f.field %s END AS model, CASE f.field %s END AS fin
         " UNION ALL ".join(f"SELECT '{f}' AS field" for f in FIELDS),
     ),
 }
-NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"], "prints": ["tickets"], "transcripts": ["tickets"], "pairs": ["tickets"], "master_cells": ["tickets"], "print_fields": ["tickets", "prints"]}
+NEEDS = {"finals": ["tickets"], "ledger": ["tickets", "finals"], "masters": ["tickets"], "remote": ["tickets"], "usage": ["qc"], "cells": ["tickets", "finals"], "ticket_events": ["tickets"], "prints": ["tickets"], "printed_days": ["tickets"], "transcripts": ["tickets"], "pairs": ["tickets"], "master_cells": ["tickets"], "print_fields": ["tickets", "prints"]}
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

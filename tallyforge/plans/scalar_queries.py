@@ -114,7 +114,15 @@ Q.add(
     lambda df: S.state_code(df.select("k", "iso2", F.expr("CASE k % 3 WHEN 0 THEN 'são paulo' WHEN 1 THEN 'New York' ELSE 'BAVARIA' END").alias("state")), "state", "iso2", D.states(df.sparkSession)).select("k", "state_code"),
     "SELECT k, CASE WHEN k % 3 = 0 AND iso2 = 'BR' THEN 'SP' WHEN k % 3 = 1 AND iso2 = 'US' THEN 'NY' END AS state_code FROM id_cells",
 )
-Q.add("fn_17_date_candidates", ["qc"], lambda df: df.select("stem", F.array_join(S.date_candidates(F.concat(F.lit("Issued 20-Sep-26 or 2026年9月22日, flight "), F.substring("processed_at", 1, 10))), ",").alias("dates")))
+Q.add("fn_17_date_candidates", ["qc"], lambda df: df.select("stem", F.array_join(S.date_candidates(F.concat(F.lit("Issued 20-Sep-26 or 2026年9月22日, flight "), F.substring("processed_at", 1, 10))), ",").alias("dates")), "SELECT stem, array_to_string(list_sort(list_distinct(['2026-09-20', '2026-09-22', substr(processed_at, 1, 10)])), ',') AS dates FROM qc")
+# every printed form of a ticket's day; the SQL starts from the day: years of two figures are of this century, days before months may be read either way
+Q.add(
+    "fn_17_printed_forms",
+    ["printed_days"],
+    lambda p: p.select("stem", F.array_join(S.date_candidates(F.col("text")), ",").alias("dates")),
+    """SELECT stem, CASE WHEN form = 7 THEN '--' || substr(day, 6) WHEN form IN (2, 5) THEN '20' || substr(day, 3)
+    WHEN form = 1 AND CAST(substr(day, 9, 2) AS INT) <= 12 THEN array_to_string(list_sort(list_distinct([day, substr(day, 1, 4) || '-' || substr(day, 9, 2) || '-' || substr(day, 6, 2)])), ',') ELSE day END AS dates FROM printed_days""",
+)
 Q.add(
     "fn_18_tokens",
     ["id_cells"],
