@@ -49,23 +49,33 @@ def country_full(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame
 
 
 def city_code(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
-    """JN-11, FN-14: the whole folded name, else its first known token, else the first dictionary name (5 letters or
-    more) that a name of 6 letters or more starts with; unknown names stay.
+    """JN-11, FN-14: add ``city_code`` for one column, see ``city_codes``."""
+    return city_codes(df, {column: "city_code"}, dictionary)
 
-    Distinct names are looked up, so a city that many rows share costs one search.
+
+def city_codes(df: DataFrame, columns: dict[str, str], dictionary: DataFrame) -> DataFrame:
+    """JN-11, FN-14: for each column its city's code, in the column that ``columns`` names (itself or another): the whole
+    folded name, else its first known token, else the first dictionary name (5 letters or more) that a name of 6 letters
+    or more starts with; unknown names stay, in upper case.
+
+    The distinct names of all columns are looked up once, so a city that many rows or columns share costs one search.
     """
     only = lambda c: F.regexp_replace(F.upper(T.fold_ascii(c)), "[^A-Z]", "")
+    value = {c: F.upper(T.strip(F.col(c))) for c in columns}
     entries = small(dictionary.groupBy(only(F.col("name")).alias("key")).agg(F.max_by("code", "ord").alias("code"), F.min("ord").alias("ord")))
-    names = df.select(F.upper(T.strip(F.col(column))).alias("_city")).distinct()
+    names = df.select(F.explode(F.array(*value.values())).alias("_city")).distinct()
     full = only(F.col("_city"))
     parts = F.split(F.upper(T.fold_ascii(F.col("_city"))), "[^A-Z]+")
-    words = names.select("_city", F.posexplode(parts).alias("at", "key")).where("key <> ''").select("_city", "key", F.lit(1).alias("step"), "at")
+    words = F.transform(parts, lambda x, i: F.struct(x.alias("key"), F.lit(1).alias("step"), i.alias("at")))
     # every beginning of the name is a key of its own, so the prefix search is an equi-join too
-    lengths = F.sequence(F.lit(5), F.greatest(F.length(full), F.lit(5)))
-    starts = names.where(F.length(full) >= 6).select("_city", F.explode(F.transform(lengths, lambda n: F.substring(full, F.lit(1), n))).alias("key")).select("_city", "key", F.lit(2).alias("step"), F.lit(0).alias("at"))
-    keys = names.select("_city", full.alias("key"), F.lit(0).alias("step"), F.lit(0).alias("at")).unionByName(words).unionByName(starts)
+    lengths = F.when(F.length(full) >= 6, F.sequence(F.lit(5), F.length(full))).otherwise(F.array().cast("array<int>"))
+    starts = F.transform(lengths, lambda n: F.struct(F.substring(full, F.lit(1), n).alias("key"), F.lit(2).alias("step"), F.lit(0).alias("at")))
+    whole = F.array(F.struct(full.alias("key"), F.lit(0).alias("step"), F.lit(0).alias("at")))
+    keys = names.select("_city", F.inline(F.concat(whole, words, starts))).where("key <> ''")
     best = keys.join(entries, "key").groupBy("_city").agg(F.min_by("code", F.struct("step", "at", "ord")).alias("_code"))
-    return df.withColumn("_city", F.upper(T.strip(F.col(column)))).join(best, "_city", "left").withColumn("city_code", F.coalesce("_code", "_city")).drop("_city", "_code")
+    for column, out in columns.items():
+        df = df.withColumn("_city", value[column]).join(best, "_city", "left").withColumn(out, F.coalesce("_code", "_city")).drop("_city", "_code")
+    return df
 
 
 def origin_place(code: Column) -> Column:
@@ -219,10 +229,11 @@ def standardise_house(df: DataFrame, countries: DataFrame, cities: DataFrame, co
             df = party_addresses(df, party, countries)
         elif has.issuperset(tail):
             df = address_residual(df, "", col, tail, tuple(tail)).withColumn(col, F.col("street")).drop("street")
-    for col in [c for c in ("TO1", "TO2", "TO3", "DEST_NAME") if c in has]:
-        df = city_code(df, col, cities).withColumn(col, F.col("city_code")).drop("city_code")
+    places = [c for c in ("TO1", "TO2", "TO3", "DEST_NAME", "ORIGIN_NAME") if c in has]
+    if places:
+        df = city_codes(df, {c: c for c in places}, cities)
     if "ORIGIN_NAME" in has:
-        df = city_code(df, "ORIGIN_NAME", cities).withColumn("ORIGIN_NAME", origin_place(F.col("city_code"))).drop("city_code")
+        df = df.withColumn("ORIGIN_NAME", origin_place(F.col("ORIGIN_NAME")))
     for col in [c for c in df.columns if c.endswith("COUNTRY")]:
         df = country_iso2(df, col, countries).withColumn(col, F.col("country_iso2")).drop("country_iso2")
     rules = {"MAWB_NO": T.fmt_mawb, "GOODS_HS_CODE": T.hs6}
