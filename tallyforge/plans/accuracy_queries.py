@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyforge.operators import accuracy as A
@@ -10,6 +12,8 @@ from tallyforge.operators import ledger as G
 from tallyforge.plans.bindings import FIELDS
 from tallyforge.plans.register import Register
 from tallyforge.plans.scalar_queries import KINDS, SAME
+from tallyforge.sources.records import settle
+from tallyforge.streaming.streams import shared_folder
 
 Q = Register()
 _C = f", c AS (SELECT *, {KINDS} AS kind, NOT (trim(model) = '' AND trim(final) = '') AS comparable, NOT {SAME} AS changed FROM cells) "
@@ -89,6 +93,11 @@ def _summary_rows(t, f, e):
     return rows.join(final.select("stem", F.expr(_LEGACY).alias("legacy"), (F.col("status") == "F").alias("submitted"), how.alias("h")), "stem").select("*", "h.*").drop("h")
 
 
+def _settled_rows(t, f, e):
+    """The rows of a report whose tables all read them."""
+    return settle(_summary_rows(t, f, e), f"{shared_folder(t.sparkSession)}/accuracy-{uuid.uuid4().hex}")
+
+
 _SUMMARY = _TICKETS + f""", q AS (SELECT r.*, {_LEGACY} AS legacy, status = 'F' AS submitted, NOT coalesce(rv.reviewed, false) AND model <> '5-LOW' AS unrev, NOT coalesce(rv.reviewed, false) AND model = '5-LOW' AS own FROM r JOIN n ON n.stem = r.stem LEFT JOIN rv ON rv.stem = r.stem),
 u AS (SELECT count(*) FILTER (WHERE NOT legacy) AS tickets, count(*) FILTER (WHERE legacy) AS legacy, {', '.join(f"CAST(sum({c}) FILTER (WHERE NOT legacy) AS BIGINT) AS {a}" for c, a in (('comparable', 'comparable'), ('total', 'edits'), ('doc', 'doc'), ('inp', 'inp'), ('polished', 'polished')))},
   count(*) FILTER (WHERE NOT legacy AND total = 0) AS clean, count(*) FILTER (WHERE NOT legacy AND submitted AND unrev) AS unreviewed, count(*) FILTER (WHERE NOT legacy AND submitted AND own) AS self_submit FROM q) """
@@ -99,12 +108,12 @@ Q.add(
     _SUMMARY + "SELECT *, round(clean / tickets, 6) AS acc_ticket, round(1 - edits / comparable, 6) AS acc_field, round(1 - inp / comparable, 6) AS acc_after_review FROM u",
 )
 Q.add("rec_03_review_provenance", _IN, lambda t, f, e: _summary_rows(t, f, e).select("stem", "no_inputter_review", "inputter_self_submit"), _SUMMARY + "SELECT stem, unrev AS no_inputter_review, own AS inputter_self_submit FROM q")
-Q.add("agg_08_closure", _IN, lambda t, f, e: A.closure(A.accuracy_summary(_summary_rows(t, f, e)), _summary_rows(t, f, e).where("NOT legacy")), _SUMMARY + "SELECT tickets + legacy = (SELECT count(*) FROM q WHERE NOT legacy) AS rows_match, comparable = (SELECT sum(comparable) FROM q WHERE NOT legacy) AS columns_match FROM u")
+Q.add("agg_08_closure", _IN, lambda t, f, e: (lambda rows: A.closure(A.accuracy_summary(rows), rows.where("NOT legacy")))(_settled_rows(t, f, e)), _SUMMARY + "SELECT tickets + legacy = (SELECT count(*) FROM q WHERE NOT legacy) AS rows_match, comparable = (SELECT sum(comparable) FROM q WHERE NOT legacy) AS columns_match FROM u")
 Q.add(
     "src_13_report_tables",
     _IN,
     lambda t, f, e: (lambda r: r["summary"].unionByName(r["fields"].select(F.concat(F.lit("field "), "field").alias("name"), F.col("edits").cast("double").alias("value"))).unionByName(r["tickets"].select(F.concat(F.lit("ticket "), "stem").alias("name"), F.col("total").cast("double").alias("value"))).select("name", F.round("value", 6).alias("value")))(
-        A.report_tables(_summary_rows(t, f, e), A.to_cells(t, staged_tickets(t, f, e)[0], STAGED))
+        A.report_tables(_settled_rows(t, f, e), A.to_cells(t, staged_tickets(t, f, e)[0], STAGED))
     ),
     _SUMMARY
     + ", v AS (SELECT *, clean / tickets AS acc_ticket, 1 - edits / comparable AS acc_field, 1 - inp / comparable AS acc_after_review FROM u) "

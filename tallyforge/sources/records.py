@@ -9,6 +9,13 @@ from pyspark.sql.types import StructType
 from tallyforge.functions import text as T
 
 
+def settle(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a new folder and read from there: what several reports use is computed once and outlives lost executors."""
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def read_records(spark: SparkSession, folder: str, schema: StructType, extension: str = "json") -> DataFrame:
     """SRC-01: one-object JSON files with their stem; snapshots (``all_*``) are skipped, broken files keep a row with ``_corrupt_record``."""
     wide = StructType(list(schema.fields)).add("_corrupt_record", "string")
