@@ -247,3 +247,29 @@ def test_master_records_are_cleaned_by_column(spark):
     assert body.columns == D.MASTER_COLUMNS and len(body.columns) == 39
     first = body.first()
     assert first["SLAC"] == 12 and first["NOTIFY_INFO_CITY"] is None
+
+
+def test_a_street_that_holds_the_figures_of_the_postal_code_stays(spark):
+    rows = [("a", "101153 Long Road, Unit 1, 10115 Berlin", "101153 LONG ROAD, UNIT 1"), ("b", "310000 Long Road, Hangzhou, Zhejiang 310000, China", "310000 LONG ROAD")]
+    df = spark.createDataFrame(rows, "k string, address string, street_expected string").withColumn("country", F.lit(""))
+    got = {r["k"]: (r["street"], r["street_expected"]) for r in S.streets(df, "address", "country", D.countries(spark)).collect()}
+    assert all(a == b for a, b in got.values()), got
+
+
+def test_rows_that_take_much_work_are_dealt_out(spark):
+    df = S.spread(spark.range(100).coalesce(1).select(F.lit("x").alias("MAWB_NO"), "id"))
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_overlapping_prints_of_days_and_words_before_them(spark):
+    rows = [("2026-09-24/10/2026", ["2026-09-24", "2026-10-24"]), ("01/02/2026", ["2026-01-02", "2026-02-01"]), ("X24SEP26", []), ("24SEP, 2026", ["2026-09-24"]), ("_\n20260924", ["2026-09-24"])]
+    got = spark.createDataFrame(rows, "t string, e array<string>").select("t", "e", S.date_candidates(F.col("t")).alias("g")).collect()
+    assert [(r["t"], r["g"]) for r in got] == [(t, e) for t, e in rows]
+
+
+def test_rightmost_phrase_of_large_and_small_dictionaries(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Road 1, New York, United States"), (2, "Paris France 7"), (3, "none"), (4, None), (5, "United")], "k int, t string")
+    small = {r["k"]: r["phrase"] for r in S.rightmost_phrase(df, "k", "t", D.countries(spark)).collect()}
+    monkeypatch.setattr(S, "PLAN_PHRASES", 10)
+    large = {r["k"]: r["phrase"] for r in S.rightmost_phrase(df, "k", "t", D.countries(spark)).collect()}
+    assert small == large == {1: "UNITED STATES", 2: "FRANCE", 3: None, 4: None, 5: None}
