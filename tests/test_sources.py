@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyforge.functions import text as T
 from tallyforge.operators import events as E
+from tallyforge.operators import ledger as G
 from tallyforge.operators import reconcile as R
 from tallyforge.sources import records as X
 from tallyforge.streaming import streams as ST
@@ -108,3 +109,17 @@ def test_a_purge_goes_on_after_any_step(spark, tmp_path):
         assert {tuple(r) for r in spark.read.parquet(f"{target}/tombstones").select("stem", "early").collect()} == {("k1", False), ("k2", True), ("k3", True)}
         for name in ("derived", "source", "ledger"):
             assert {r["stem"] for r in spark.read.parquet(f"{target}/{name}").collect()} == {k for k, _ in rows} - {"k1", "k2", "k3"}
+
+
+def test_records_of_one_partition_are_written_by_all_cores(spark, tmp_path):
+    rows = spark.range(40).coalesce(1).select(F.concat(F.lit('{"k": '), "id", F.lit("}")).alias("value"))
+    X.write_records(rows, str(tmp_path / "r"))
+    names = [p.name for p in (tmp_path / "r").glob("part-*.txt")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 1
+
+
+def test_ledger_modes_agree_with_the_filter_of_each(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("b", "2026", None), ("c", None, 0)], "stem string, submitted_at string, flags int")
+    modes = ["unsent", "flag", "done", "other"]
+    got = {(r["mode"], r["stem"]) for r in G.ledger_modes(rows, modes).collect()}
+    assert got == {(m, r["stem"]) for m in modes for r in G.ledger_filter(rows, m).collect()}
