@@ -175,6 +175,16 @@ def test_evidence_on_lines(spark):
     assert [r["passed"] for r in V.evidence_job(fields.where("field IN ('ADDR', 'M1')").withColumn("stem", F.lit("b")), prints).collect()] == [False, False]
 
 
+def test_evidence_without_sources(spark):
+    """The same checks pass; lines are not looked at for their numbers."""
+    prints = spark.createDataFrame([("a", 1, "House: H-1"), ("a", 2, "ACME"), ("a", 3, "LTD, 24-Sep-26 x")], "stem string, i int, text string")
+    fields = spark.createDataFrame([("a", "T", "text", "ACME LTD"), ("a", "L", "long", "acme ltd"), ("a", "H", "alnum", "h1"), ("a", "N", "alnum", "H 1"), ("a", "I", "ids", "H1 / LTD24"), ("a", "D", "date", "2026-09-24")], "stem string, field string, kind string, value string")
+    job = lambda sources: {r["field"]: r for r in V.evidence_job(fields, prints, dates=S.date_candidates, sources=sources).collect()}
+    with_, without = job(True), job(False)
+    assert {f: r["passed"] for f, r in with_.items()} == {f: r["passed"] for f, r in without.items()} == {"T": True, "L": True, "H": False, "N": True, "I": True, "D": True}
+    assert with_["T"]["sources"] == [2, 3] and all(r["sources"] is None for r in without.values())
+
+
 def test_hs_and_ids_in_running_text(spark):
     cases = [("HSCODE: 89031200", "89031200"), ("hs：7007290000", "7007290000"), ("HS Codes : 853890, 850511 X 1234567", "853890,850511,1234567"), ("THS: 853890", ""), ("HS 853890", ""), ("NET 12: HS CODE: 12345 850152", "850152"), (None, "")]
     df = spark.createDataFrame(cases, "t string, want string")
