@@ -22,10 +22,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``buckets`` bounds the model; ``labelled_bound`` bounds the labelled rows it is fitted on."""
+    """``buckets`` bounds the model; it is fitted on all labelled rows."""
 
     buckets: int = 1 << 18
-    labelled_bound: int = 20_000
+    #: words of 64 bits that say which documents may have a label; more labels let more others through, which the join drops
+    marks: int = 1 << 18
     #: weight of the corpus model in the trusted one, as a share of the trusted n-grams
     prior: float = 0.5
     min_words: int = 50
@@ -104,21 +105,35 @@ def _grams(df: DataFrame, params: QualityParams, keep: list[str]) -> DataFrame:
     return rows.select(*keep, uni.alias("uni"), bi.alias("bi"))
 
 
-def labelled_sample(labels: DataFrame, params: QualityParams) -> DataFrame:
-    """At most ``labelled_bound`` labelled ids in the order of their hash; half fit the model, half set the threshold."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """``text, quality, fit`` of every labelled document; half fit the model, half set the threshold.
+
+    Only texts that may have a label are shuffled: a table of at most ``marks`` rows holds a bit for each labelled id's hash.
+    """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(params.labelled_bound)
-    return rows.select("doc_id", "quality", (F.pmod(F.xxhash64("doc_id", F.lit(88)), F.lit(2)) == 0).alias("fit"))
-
-
-def fit_ratio(docs: DataFrame, sample: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """Table ``bucket, llr`` of at most ``buckets`` rows. The corpus model counts every n-gram of every document."""
-    rows = docs.select("doc_id", words_of(text_of()).alias("words")).join(F.broadcast(sample), "doc_id", "left")
-    rows = rows.withColumn("trusted", (F.coalesce("fit", F.lit(False)) & (F.col("quality") == 1)).cast("int"))
-    grams = _grams(rows, params, ["trusted"])
-    each = grams.select("trusted", F.explode(F.array("uni", "bi")).alias("bucket")).where("bucket is not null")
-    counts = settle(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("trusted")), "quality-counts")
+    rows = rows.select("doc_id", "quality", (F.pmod(F.xxhash64("doc_id", F.lit(88)), F.lit(2)) == 0).alias("fit"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(64 * params.marks))
+    word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    marks = rows.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    marked = docs.select("doc_id", "text", word.alias("_word"), bit.alias("_bit")).join(F.broadcast(marks), "_word")
+    marked = marked.where(F.call_function("shiftright", "_bits", "_bit").bitwiseAND(F.lit(1)) == 1).select("doc_id", "text")
+    # texts are not sorted for the join
+    return marked.join(rows.hint("shuffle_hash"), "doc_id").select("text", "quality", "fit")
+
+
+def fit_ratio(docs: DataFrame, labelled: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """Table ``bucket, llr`` of at most ``buckets`` rows. The corpus model counts every n-gram of every document, the trusted one
+    those of every good document of the fitted half of ``labelled``."""
+
+    def counts_of(texts: DataFrame, name: str) -> DataFrame:
+        grams = _grams(texts.select(words_of(text_of()).alias("words")), params, [])
+        each = grams.select(F.explode(F.array("uni", "bi")).alias("bucket")).where("bucket is not null")
+        return each.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+    trusted = counts_of(labelled.where("fit and quality = 1"), "trusted")
+    counts = counts_of(docs, "raw").join(trusted, "bucket", "left").select("bucket", "raw", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    counts = settle(counts, "quality-counts")
     total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raws"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("trusts"))
     share = F.col("raw") / F.col("raws")
     weight = params.prior * F.col("trusts") + 1.0
@@ -138,14 +153,13 @@ def score(rows: DataFrame, ratio: DataFrame, params: QualityParams, keep: list[s
     return found.groupBy("row").agg(*[F.first(c).alias(c) for c in keep], mean.alias("score")).drop("row")
 
 
-def fit_threshold(docs: DataFrame, sample: DataFrame, ratio: DataFrame, params: QualityParams = QualityParams()) -> float:
+def fit_threshold(labelled: DataFrame, ratio: DataFrame, params: QualityParams = QualityParams()) -> float:
     """The score that best parts held-out good from bad labelled documents (largest sum of both rates).
 
     Without labels of both kinds there is nothing to part, and no document is rejected.
     """
-    held = docs.select("doc_id", "text").join(F.broadcast(sample.where("not fit")), "doc_id")
     # documents that the counting rules reject anyway say nothing about the ratio
-    held = base_rules(held, params).where("not base_failed")
+    held = base_rules(labelled.where("not fit"), params).where("not base_failed")
     scores = score(held, ratio, params, ["quality"])
     width = 20.0 / params.bins
     binned = scores.groupBy(F.floor(F.greatest(F.least("score", F.lit(10.0)), F.lit(-10.0)) / width).alias("bin"), "quality").count().collect()
@@ -174,9 +188,9 @@ def judge(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
     Empty tables give an empty result; other columns of ``docs`` are ignored.
     """
     docs = docs.select("doc_id", "text")
-    sample = settle(labelled_sample(labels, params), "quality-sample")
-    ratio = settle(fit_ratio(docs, sample, params), "quality-ratio")
-    threshold = fit_threshold(docs, sample, ratio, params)
+    labelled = settle(labelled_texts(docs, labels, params), "quality-labelled")
+    ratio = settle(fit_ratio(docs, labelled, params), "quality-ratio")
+    threshold = fit_threshold(labelled, ratio, params)
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "text_key"]
     rows = base_rules(docs.withColumn("text_key", F.xxhash64("text")), params)
     scored = score(rows, ratio, params, keep)

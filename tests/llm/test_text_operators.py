@@ -51,6 +51,17 @@ def test_quality_ratio_parts_junk_from_prose(spark):
     assert kept.columns == docs.columns and kept.count() == 60
 
 
+def test_quality_learns_from_every_label(spark):
+    """Labels of 400,000 other documents beside them take none of the 60 from the fit."""
+    good = [prose(i, 80) for i in range(30)]
+    junk = [" ".join(f"zz{(i * 7 + k * k) % 997} buy{(k * 31 + i) % 499}" for k in range(40)) for i in range(30)]
+    docs = documents(spark, good + junk)
+    own = labels(spark, [(i, int(i < 30), 0) for i in range(60)])
+    others = spark.range(1_000, 401_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    alone, among = ({r["doc_id"]: (r["score"], r["kept"]) for r in quality.judge(docs, marks).collect()} for marks in (own, own.union(others)))
+    assert alone == among and not any(kept for i, (_, kept) in among.items() if i >= 30)
+
+
 def test_quality_repeated_ids_are_judged_one_by_one(spark):
     docs = frame(spark, [(1, prose(1, 60), "en", "s", 0, "x"), (1, "short", "en", "s", 0, "x"), (None, prose(2, 60), "en", "s", 0, "x")])
     assert sorted(r["n_words"] for r in quality.judge(docs, labels(spark, [])).collect()) == [1, 60, 60]
