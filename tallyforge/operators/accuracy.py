@@ -56,6 +56,44 @@ def accuracy_rows(cells: DataFrame, touched: DataFrame | None = None, late: Data
     )
 
 
+def attributed_rows(records: DataFrame, kinds: dict[str, str], keep: list[str]) -> DataFrame:
+    """``accuracy_rows`` with events over records that have all they need in one row: nothing is shuffled again.
+
+    ``records``: structs ``m`` (model), ``f`` (final) and ``s`` (as last staged) of the columns, ``staged``, and ``touched``, a struct of
+    ``events.touches`` of each column. ``keep`` are columns that stay; ``cells`` are the compared columns.
+    """
+    same = lambda k, a, b: T.same_value(F.lit(k), F.col(a), F.col(b))
+    some = lambda a, b: ~(T.blank(F.col(a)) & T.blank(F.col(b)))
+    staged = F.coalesce("staged", F.lit(False))
+
+    def cell(f: str, k: str) -> Column:
+        late = staged & ~same(k, f"s.{f}", f"f.{f}")
+        comparable = some(f"m.{f}", f"f.{f}")
+        changed = comparable & ~same(k, f"m.{f}", f"f.{f}")
+        by = lambda n: F.coalesce(F.col(f"touched.{f}.{n}"), F.lit(False))
+        doc = F.when(staged, by("by_preparer")).otherwise(changed)
+        inp = staged & (by("by_inputter") | late)
+        rule = F.when(~late & changed, F.col(f"touched.{f}.rule"))
+        return F.struct(F.lit(f).alias("field"), comparable.alias("comparable"), changed.alias("changed"), rule.alias("rule"), doc.alias("doc"), inp.alias("inp"))
+
+    cells = records.select("stem", *keep, F.array(*[cell(f, k) for f, k in sorted(kinds.items())]).alias("cells"))
+    own = lambda x: x["rule"].isNull()
+    count = lambda n, c: F.size(F.filter("cells", lambda x: c(x) & own(x))).cast("long").alias(n)
+    taken = F.filter("cells", lambda x: ~own(x))
+    return cells.select(
+        "stem",
+        count("comparable", lambda x: x["comparable"]),
+        count("total", lambda x: x["changed"]),
+        count("doc", lambda x: x["doc"]),
+        count("inp", lambda x: x["inp"]),
+        F.array_join(F.transform(F.filter("cells", lambda x: x["changed"] & own(x)), lambda x: x["field"]), ",").alias("fields"),
+        F.size(taken).cast("long").alias("polished"),
+        F.transform(taken, lambda x: F.struct(x["field"].alias("field"), x["rule"].alias("rule"))).alias("rules"),
+        *keep,
+        "cells",
+    )
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 
@@ -92,7 +130,7 @@ def closure(summary: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def report_tables(rows: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
-    """SRC-13: the accuracy report as three tables: ``summary`` (name, value), ``tickets`` and ``fields``."""
+    """SRC-13: the accuracy report as three tables: ``summary`` (name, value), ``tickets`` and ``fields``. ``cells`` may be compared already."""
     one = accuracy_summary(rows)
     numbers = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in one.columns]
     tickets = rows.select("stem", "comparable", "total", "doc", "inp", "polished", "fields")
@@ -101,7 +139,7 @@ def report_tables(rows: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
 
 def edits_by_field(cells: DataFrame) -> DataFrame:
     """AGG-05, SRT-04: edits per field, most first, then by name."""
-    return compared(cells).where("changed").groupBy("field").agg(F.count(F.lit(1)).alias("edits")).orderBy(F.desc("edits"), "field")
+    return (cells if "changed" in cells.columns else compared(cells)).where("changed").groupBy("field").agg(F.count(F.lit(1)).alias("edits")).orderBy(F.desc("edits"), "field")
 
 
 def accuracy_by(rows: DataFrame, axis: str) -> DataFrame:

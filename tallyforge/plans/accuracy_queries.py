@@ -49,13 +49,14 @@ def _same(kind: str, a: str, b: str) -> str:
 
 
 def staged_tickets(t, f, e):
-    """Model, staged and final values, with what the events changed: the inputs of attribution and exemption."""
-    staged = E.fold_stage_events(e, list(STAGED)).where("staged")
-    last = staged.select("stem", *[F.col(c).alias(f"_{c}") for c in STAGED], "reviewed")
-    final = f.join(last, "stem", "left").select("stem", "num", "model", "status", "reviewed", *[F.when(F.expr(_URGENT) | F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in STAGED])
-    late = A.compared(A.to_cells(staged, final, STAGED)).where("changed")
-    touched = E.last_touchers(E.event_diffs(e, t, STAGED))
-    return final, A.accuracy_rows(A.to_cells(t, final, STAGED), touched, late, staged)
+    """Attribution and exemption of each ticket from its model, staged and final values: the log is folded in one pass, and its row
+    meets the ticket's two versions in one row, so each input is read once."""
+    last = E.folded_touches(e, STAGED).select("stem", F.struct(*STAGED).alias("s"), "staged", "reviewed", "first", *[f"later_{c}" for c in STAGED])
+    both = t.select("stem", F.struct(*STAGED).alias("m")).join(f.select("stem", "model", "status", F.struct(*STAGED).alias("_f")), "stem").join(last, "stem", "left")
+    final = F.struct(*[F.when(F.expr(_URGENT) | ~F.coalesce("staged", F.lit(False)) | F.col(f"s.{c}").isNull(), F.col(f"_f.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in STAGED])
+    touched = F.struct(*[E.touches(c, k, F.col(f"m.{c}")).alias(c) for c, k in STAGED.items()])
+    records = both.select("stem", "model", "status", F.when(F.col("staged"), F.col("reviewed")).alias("reviewed"), "staged", "m", "s", final.alias("f"), touched.alias("touched"))
+    return A.attributed_rows(records, STAGED, ["model", "status", "reviewed"])
 
 
 _DIFFS = " UNION ALL ".join(
@@ -74,9 +75,9 @@ z AS (SELECT y.*, coalesce(h.by_inp, false) AS by_inp, coalesce(h.by_doc, false)
 r AS (SELECT stem, count(*) FILTER (WHERE comparable AND rule IS NULL) AS comparable, count(*) FILTER (WHERE changed AND rule IS NULL) AS total,
   count(*) FILTER (WHERE rule IS NULL AND CASE WHEN staged THEN by_doc ELSE changed END) AS doc, count(*) FILTER (WHERE rule IS NULL AND staged AND (by_inp OR late)) AS inp, count(*) FILTER (WHERE rule IS NOT NULL) AS polished FROM z GROUP BY stem) """
 _IN = ["tickets", "finals", "ticket_events"]
-Q.add("acc_02_attribution", _IN, lambda t, f, e: staged_tickets(t, f, e)[1].select("stem", "doc", "inp"), _TICKETS + "SELECT stem, doc, inp FROM r")
-Q.add("acc_03_rule_exemption", _IN, lambda t, f, e: staged_tickets(t, f, e)[1].select("stem", "comparable", "total", "polished"), _TICKETS + "SELECT stem, comparable, total, polished FROM r")
-Q.add("agg_07_rule_histogram", _IN, lambda t, f, e: A.accepted_rules(staged_tickets(t, f, e)[1]), _TICKETS + "SELECT rule, count(*) AS n FROM z WHERE rule IS NOT NULL GROUP BY rule")
+Q.add("acc_02_attribution", _IN, lambda t, f, e: staged_tickets(t, f, e).select("stem", "doc", "inp"), _TICKETS + "SELECT stem, doc, inp FROM r")
+Q.add("acc_03_rule_exemption", _IN, lambda t, f, e: staged_tickets(t, f, e).select("stem", "comparable", "total", "polished"), _TICKETS + "SELECT stem, comparable, total, polished FROM r")
+Q.add("agg_07_rule_histogram", _IN, lambda t, f, e: A.accepted_rules(staged_tickets(t, f, e)), _TICKETS + "SELECT rule, count(*) AS n FROM z WHERE rule IS NOT NULL GROUP BY rule")
 Q.add(
     "evt_03_event_diffs",
     ["tickets", "ticket_events"],
@@ -88,9 +89,9 @@ _LEGACY = "status = 'F' AND model = '4-NOT SPECIFIED'"
 
 
 def _summary_rows(t, f, e):
-    final, rows = staged_tickets(t, f, e)
     how = G.review_provenance(F.col("reviewed"), F.when(F.col("model") == "5-LOW", "inputter").otherwise("preparer"))
-    return rows.join(final.select("stem", F.expr(_LEGACY).alias("legacy"), (F.col("status") == "F").alias("submitted"), how.alias("h")), "stem").select("*", "h.*").drop("h")
+    rows = staged_tickets(t, f, e).withColumns({"legacy": F.expr(_LEGACY), "submitted": F.col("status") == "F", "h": how})
+    return rows.select("*", "h.*").drop("h", "model", "status", "reviewed")
 
 
 def _settled_rows(t, f, e):
@@ -113,7 +114,7 @@ Q.add(
     "src_13_report_tables",
     _IN,
     lambda t, f, e: (lambda r: r["summary"].unionByName(r["fields"].select(F.concat(F.lit("field "), "field").alias("name"), F.col("edits").cast("double").alias("value"))).unionByName(r["tickets"].select(F.concat(F.lit("ticket "), "stem").alias("name"), F.col("total").cast("double").alias("value"))).select("name", F.round("value", 6).alias("value")))(
-        A.report_tables(_settled_rows(t, f, e), A.to_cells(t, staged_tickets(t, f, e)[0], STAGED))
+        (lambda rows: A.report_tables(rows, rows.select("stem", F.inline("cells"))))(_settled_rows(t, f, e))
     ),
     _SUMMARY
     + ", v AS (SELECT *, clean / tickets AS acc_ticket, 1 - edits / comparable AS acc_field, 1 - inp / comparable AS acc_after_review FROM u) "

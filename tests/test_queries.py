@@ -11,8 +11,10 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyforge.operators import events as E
 from tallyforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +60,25 @@ def test_stream_and_batch_suppression_agree(spark):
     batch = {(r["key"], r["at"]): r["accepted"] for r in entry.queries()["rec_05_suppress_repeats"](spark, SF).collect()}
     stream = {(r["key"], r["at"]): r["accepted"] for r in entry.queries()["str_03_suppress_repeats"](spark, SF).collect()}
     assert batch == stream and len(batch) > 100
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["acc_02_attribution", "acc_03_rule_exemption", "agg_07_rule_histogram", "agg_04_full_summary"])
+def test_attribution_reads_each_input_once(spark, name):
+    """Model, final and events: the events' lines once, and the lines' sums behind the three readings of tickets."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 4
+
+
+def test_folded_touches_equal_the_long_form(spark):
+    """Reviews between stagings, blanks, rules on unchanged columns, a record that is only reviewed, one without a model."""
+    rows = [(s, i, who, kind, v, r) for s, log in {
+        "a": [("preparer", "review", "9", "X"), ("preparer", "stage", "1", "P"), ("inputter", "review", "7", ""), ("inputter", "stage", "2", " "), ("preparer", "stage", "2", "Q"), (None, "stage", None, "R")],
+        "b": [("inputter", "review", "5", "")], "c": [("inputter", "stage", " ", "S")], "d": [("preparer", "stage", "1.0", "P")], "e": [("preparer", "stage", "3", "P")]}.items() for i, (who, kind, v, r) in enumerate(log)]
+    log = spark.createDataFrame(rows, "stem string, seq long, role string, kind string, N string, rule_N string")
+    model = spark.createDataFrame([("a", "0"), ("b", "1"), ("c", ""), ("d", "1")], "stem string, N string")
+    want = E.last_touchers(E.event_diffs(log, model, {"N": "int"}))
+    folded = E.folded_touches(log, {"N": "int"}).join(model.withColumnRenamed("N", "m"), "stem", "left")
+    got = folded.select("stem", F.lit("N").alias("field"), E.touches("N", "int", F.col("m")).alias("t")).select("stem", "field", "t.*").where("by_inputter or by_preparer")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 2
+    assert {r["stem"]: r["reviewed"] for r in folded.where("staged").collect()} == {r["stem"]: r["reviewed"] for r in E.fold_stage_events(log.withColumns({"who": F.lit("u"), "at": F.lit("")}), ["N"]).where("staged").collect()}
