@@ -283,3 +283,23 @@ def test_rightmost_phrase_of_large_and_small_dictionaries(spark, monkeypatch):
     monkeypatch.setattr(S, "PLAN_PHRASES", 10)
     large = {r["k"]: r["phrase"] for r in S.rightmost_phrase(df, "k", "t", D.countries(spark)).collect()}
     assert small == large == {1: "UNITED STATES", 2: "FRANCE", 3: None, 4: None, 5: None}
+
+
+def test_rows_of_one_city_stay_dealt_out(spark):
+    """All rows name one city: its code comes to them; they don't go to one task for it."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 400, 1, 4).select("id", F.when(F.col("id") >= 0, "Tokyo").alias("TO1"))
+        out = S.city_codes(rows, {"TO1": "TO1"}, D.cities(spark))
+        assert sorted(tuple(r) for r in out.select("TO1", F.spark_partition_id()).distinct().collect()) == [("TYO", i) for i in range(4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_known_parts_are_folded_once_a_row(spark):
+    cols = [F.col(c) for c in ("a", "p", "c", "s", "t")]
+    rows = [("Road 1 12345 Rome City  ITALY IT", "12345", "Italy", "", "Rome"), ("1 A St New York, NY 10001 USA", "10001", "USA", "NY", "New York"), ("Rome Rome", "", "", "", "Rome"), ("", "1", "", "", ""), ("Street Italy Milan City", "", "Italy", "", "City")]
+    found = spark.createDataFrame(rows, "a string, p string, c string, s string, t string").select(S.strip_tail(*cols).alias("x"))
+    assert [r["x"] for r in found.collect()] == ["Road 1 12345 Rome City", "1 A St", "", "", "Street Italy Milan"]
+    assert "regexp_replace" not in found._jdf.queryExecution().analyzed().toString().split("aggregate(")[1]
