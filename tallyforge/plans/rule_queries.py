@@ -51,7 +51,8 @@ Q.add("val_26_number_forms", ["pairs"], _flags(lambda: L.number_form_rules(["air
 ]))
 Q.add(
     "val_18_routed_ids", ["prints", "print_fields"],
-    lambda p, f: V.printed(p).join(f.groupBy("stem").agg(F.array_join(F.collect_list("value"), " ").alias("held")), "stem").select("stem", F.inline(V.missed_ids(F.col("whole"), F.col("held")))),
+    # with num the prints have the columns that the fields read of them, so both read one shuffle
+    lambda p, f: V.whole_print(p, "stem", "num").join(f.groupBy("stem").agg(F.array_join(F.collect_list("value"), " ").alias("held")), "stem").select("stem", F.inline(V.missed_ids(F.col("whole"), F.col("held")))),
     """, i AS (SELECT stem, CASE WHEN contains(upper(text), 'EORI NO') THEN 'EORI' ELSE 'TAX' END AS "column", regexp_extract(upper(text), '(?:VAT|EORI) NO:? ([A-Z]{0,3}[0-9][0-9A-Z./-]{5,})', 1) AS number FROM prints),
     h AS (SELECT stem, string_agg(regexp_replace(value, '[^0-9A-Za-z]', '', 'g'), '') AS held FROM print_fields GROUP BY stem)
     SELECT i.stem, "column", number FROM i JOIN h ON i.stem = h.stem WHERE length(number) >= 8 AND NOT contains(held, number)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +305,24 @@ def test_known_parts_are_folded_once_a_row(spark):
     found = spark.createDataFrame(rows, "a string, p string, c string, s string, t string").select(S.strip_tail(*cols).alias("x"))
     assert [r["x"] for r in found.collect()] == ["Road 1 12345 Rome City", "1 A St", "", "", "Street Italy Milan"]
     assert "regexp_replace" not in found._jdf.queryExecution().analyzed().toString().split("aggregate(")[1]
+
+
+def test_labelled_ids_in_one_search(spark):
+    """The search of the whole text finds what the words one by one do, and looks at no word by its place."""
+    ascii_parts = ["VAT", "v.a.t.", "NO", "/no.", "NUMBER", "EORI", "eoi", "GST", "IN", "TAX", "ID", "TAXID", "R.F.C.", "X-VAT", "-VAT", ":", "#", "(", ",", "DE123456789", "DE123456789,,", "1234567", "123456", "AB12.34-5/6", "ABCD1234567", "\n", "  "]
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(ps) + rnd.choice([" ", " ", ""]) for _ in range(rnd.randint(0, 12))) for ps in (ascii_parts, [*ascii_parts, "：", "（", "统一社会信用代码", "　", "\x85", "é", "​"]) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = lambda m: F.transform(m, lambda x: F.struct(x["label"].alias("label"), x["number"].alias("number")))
+    both = df.select("t", T.labelled_marks(F.col("t")).alias("got"), plain(T.id_marks(T._words(F.col("t")))).alias("want"))
+    assert both.where("NOT got <=> want").collect() == [] and both.where("size(want) > 0").count() > 300
+    assert "sequence(" not in df.select(T.labelled_marks(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_print_holds_the_ids_of_the_lines(spark):
+    """A label at the end of a line, its number on the next; a blank line; full-width marks."""
+    lines = [("a", 1, "ACME  VAT"), ("a", 3, "NO：DE123456789，"), ("a", 2, None), ("b", 2, "IT3268900267"), ("b", 1, " EORI NO"), ("c", 1, "VAT 1234567")]
+    prints = spark.createDataFrame(lines, "stem string, i int, text string")
+    ids = lambda rows: {r["stem"]: [tuple(x) for x in r["m"]] for r in rows.select("stem", V.missed_ids(F.col("whole"), F.lit("IT-3268 ")).alias("m")).collect()}
+    assert ids(V.whole_print(prints)) == ids(V.printed(prints)) == {"a": [("TAX", "DE123456789")], "b": [("EORI", "IT3268900267")], "c": []}
+    assert [V.whole_print(prints).where("stem = 'c'").first()["whole"]] == ["VAT 1234567"]
