@@ -171,6 +171,7 @@ Q.add(
     _SEEN_SQL + """, g AS (SELECT stem, CASE field WHEN 'HAWB_NO' THEN 'numbers' WHEN 'GOODS' THEN 'other' ELSE 'party' END AS grp, count(*) AS total, count(*) FILTER (WHERE status IN ('flag', 'empty')) AS todo,
       count(*) FILTER (WHERE status = 'flag') AS hard, count(*) FILTER (WHERE status = 'empty') AS soft FROM marked GROUP BY 1, 2)
     SELECT *, total - todo AS cleared, CASE WHEN hard > 0 THEN 'hasflag' WHEN soft > 0 THEN 'hasissue' ELSE 'clear' END AS state FROM g""",
+    dealt=("tickets", "finals"),
 )
 Q.add(
     "set_02_reader_gain_loss",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyforge.operators import events as E
-from tallyforge.plans import registry
+from tallyforge.plans import bindings, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,6 +71,19 @@ def test_attribution_reads_each_input_once(spark, name):
     assert plan.count("Relation [l_orderkey") == 4
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["agg_12_segment_state"])
+def test_inputs_are_dealt_into_bounded_tasks(spark, name, monkeypatch):
+    """Tickets and lines go into as many tasks as their number needs, whatever the settings say; the rows stay the same."""
+    few = rows_of(registry.QUERIES[name](spark, SF).toPandas())
+    monkeypatch.setattr(bindings, "TASK_LINES", 500)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    dealt = registry.QUERIES[name](spark, SF)
+    exchanges = re.findall(r"hashpartitioning\((?:stem|\w_orderkey|num)#\w+, (\d+)\)", dealt._jdf.queryExecution().executedPlan().toString())
+    assert exchanges and all(int(n) * 500 >= lines for n in exchanges)
+    assert rows_of(dealt.toPandas()) == few and len(few) > 1000
+
+
 def test_folded_touches_equal_the_long_form(spark):
     """Reviews between stagings, blanks, rules on unchanged columns, a record that is only reviewed, one without a model."""
     rows = [(s, i, who, kind, v, r) for s, log in {
