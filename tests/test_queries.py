@@ -72,7 +72,7 @@ def test_attribution_reads_each_input_once(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["agg_12_segment_state"])
+@pytest.mark.parametrize("name", ["agg_12_segment_state", "jn_01_ticket_state"])
 def test_inputs_are_dealt_into_bounded_tasks(spark, name, monkeypatch):
     """Tickets and lines go into as many tasks as their number needs, whatever the settings say; the rows stay the same."""
     few = rows_of(registry.QUERIES[name](spark, SF).toPandas())
