@@ -147,7 +147,7 @@ _SEEN_SQL = ", seen AS (" + " UNION ALL ".join(
     f"SELECT t.stem, '{n}' AS field, (t.num + {i}) % 4 = 0 AS flagged, (t.num + {i}) % 3 = 0 AS acked, CASE WHEN t.num % {5 + i} = 0 THEN '' ELSE t.{n} END AS raw, CASE WHEN (t.num + {i}) % 5 = 0 THEN '' ELSE f.{n} END AS air, (t.num + {i}) % 7 = 0 AS skip FROM tickets t JOIN finals f ON t.stem = f.stem"
     for i, n in enumerate(_SEEN)) + """), marked AS (SELECT *, CASE WHEN flagged AND acked THEN 'confirmed' WHEN flagged THEN 'flag' WHEN trim(raw) || trim(air) = '' AND acked THEN 'emptyok' WHEN trim(raw) || trim(air) = '' AND skip THEN 'skipped'
   WHEN trim(raw) || trim(air) = '' THEN 'empty' WHEN trim(air) = '' THEN 'miss' ELSE 'same' END AS status FROM seen) """
-Q.add("acc_08_cell_status", ["tickets", "finals"], lambda t, f: A.cell_status(_seen(t, f)).select("stem", "field", "status", "todo"), _SEEN_SQL + "SELECT stem, field, status, status IN ('flag', 'empty') AS todo FROM marked")
+Q.add("acc_08_cell_status", ["tickets", "finals"], lambda t, f: A.cell_status(_seen(t, f)).select("stem", "field", "status", "todo"), _SEEN_SQL + "SELECT stem, field, status, status IN ('flag', 'empty') AS todo FROM marked", dealt=("tickets", "finals"))
 Q.add("acc_09_accuracy_segments", ["cells"], lambda c: A.accuracy_rows(_kinded(c)).groupBy(A.segment(F.col("total"), F.col("comparable")).alias("seg")).agg(F.count(F.lit(1)).alias("n")), _R + "SELECT CASE WHEN comparable = 0 THEN 'no trace' WHEN total > 0 THEN 'changed' ELSE 'clean' END AS seg, count(*) AS n FROM r GROUP BY 1")
 Q.add("flt_05_accuracy_filter", ["cells"], lambda c: A.accuracy_rows(_kinded(c)).where(A.segment(F.col("total"), F.col("comparable")) == "changed").select("stem"), _R + "SELECT stem FROM r WHERE total > 0")
 Q.add(
