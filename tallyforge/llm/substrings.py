@@ -9,8 +9,9 @@ to meet, and no others.
    those that a second document has come back to it, marked.
 2. Blocks send the contexts of marked minimizers, with their bytes. A task sends contexts with equal bytes once, for the
    document with the least id; its other documents have an earlier one for them.
-3. Each partition builds a run-length index of its contexts: suffixes sorted, their Burrows-Wheeler transform cut into
-   runs, with the least document of each run as its sample. Matching statistics of every context are streamed
+3. Each partition builds run-length indexes of its contexts, but for those that have their minimizer alone once equal
+   ones are joined: no other context has a window of theirs. Suffixes are sorted, their Burrows-Wheeler transform cut
+   into runs, with the least document of each run as its sample. Matching statistics of every context are streamed
    right to left through the runs; where a match reaches the window's length, the samples of its interval say whether an
    earlier document has it.
 
@@ -579,6 +580,12 @@ class RunIndex:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
 
+def _neighboured(values: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array it holds twice or more."""
+    again = values[1:] == values[:-1]
+    return np.r_[False, again] | np.r_[again, False] if len(values) else np.empty(0, bool)
+
+
 def _match(batches: Iterator[pa.RecordBatch], p: RepeatParams) -> Iterator[pa.RecordBatch]:
     """``block, n, data``: spans that earlier documents have. Batches are sorted by part."""
     names = ["block", "n", "data"]
@@ -597,6 +604,7 @@ def _match(batches: Iterator[pa.RecordBatch], p: RepeatParams) -> Iterator[pa.Re
         begins, first = np.cumsum(length) - length, np.cumsum(per) - per
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
+        found: list[list[np.ndarray]] = [[], [], []]  # row, first byte, bytes
         at = 0
         while at < len(order):  # all contexts of a minimizer in one index
             end = min(at + p.index_rows, len(order))
@@ -616,12 +624,16 @@ def _match(batches: Iterator[pa.RecordBatch], p: RepeatParams) -> Iterator[pa.Re
             of = np.repeat(same, per[mine])
             least = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(least, of, doc[which])
-            context, place, earliest = RunIndex(_joined(text, (stops - size)[one], size[one]), size[one], least, p.window).matches()
             # a document after the context's first has earlier matches for all windows of it; the first, for those that others have
             later = doc[which] > least[of]
             spans = [(which[later], np.zeros(later.sum(), np.int64), size[one][of[later]])]
-            hit = earliest < least[context]
-            if hit.any():
+            # a context that has its minimizer alone shares no window with others: the index holds those that do not
+            met = np.flatnonzero(_neighboured(key[mine][one]))
+            if len(met):
+                some = one[met]
+                context, place, earliest = RunIndex(_joined(text, (stops - size)[some], size[some]), size[some], least[met], p.window).matches()
+                context = met[context]
+                hit = earliest < least[context]
                 c, o = context[hit], place[hit]
                 sort = np.argsort(c, kind="stable")
                 c, o = c[sort], o[sort]
@@ -629,11 +641,13 @@ def _match(batches: Iterator[pa.RecordBatch], p: RepeatParams) -> Iterator[pa.Re
                 a, b = np.searchsorted(c, of[lead]), np.searchsorted(c, of[lead], side="right")
                 many = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
                 spans.append((np.repeat(which[lead], b - a), o[many], np.full(len(many), p.window)))
-            w, o, k = (np.concatenate(x) for x in zip(*spans, strict=True))
-            begin = start[w].astype(np.int64) + o
-            found = list(_by_block(block[w], row[w], begin, begin + k))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+            for column, values in zip(found, zip(*spans, strict=True), strict=True):
+                column.extend(values)
+        w, o, k = (np.concatenate(x) for x in found)
+        begin = start[w].astype(np.int64) + o
+        rows_out = list(_by_block(block[w], row[w], begin, begin + k))
+        if rows_out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
 
     for batch in batches:
         through = batch.filter(pc.is_null(batch.column(5)))

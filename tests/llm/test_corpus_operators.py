@@ -289,6 +289,31 @@ def test_run_index_is_shorter_than_its_text_and_right():
     assert all(d > got[c, o] for c, o, d in zip(*(x.tolist() for x in index.matches()), strict=True))
 
 
+def test_contexts_alone_with_their_minimizer_are_not_indexed(monkeypatch):
+    """Copies hold the same contexts; only those around a difference meet others and need the index."""
+    indexed = []
+    build = substrings.RunIndex.__init__
+    monkeypatch.setattr(substrings.RunIndex, "__init__", lambda self, blob, lengths, *rest: (indexed.append(len(lengths)), build(self, blob, lengths, *rest))[1])
+    whole, p = prose(31, 2000), substrings.RepeatParams()
+    changed = whole.replace(whole[6000:6010], "#" * 10)
+
+    def removed(*texts: str) -> int:
+        docs = pa.RecordBatch.from_pydict({"_doc": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+        block = [pa.array([0], pa.int64()), pa.array([substrings._batch_bytes(docs)], pa.binary())]
+        keys = substrings._send_keys(iter([pa.RecordBatch.from_arrays(block, names=["block", "docs"])]), 1, p)
+        marks = [{"n": r["n"], "data": r["data"]} for b in substrings._mark(keys, p) for r in b.to_pylist()]
+        # one task a document, so that no task joins equal contexts before they are sent
+        sent = []
+        for i in range(len(texts)):
+            one = pa.RecordBatch.from_arrays([pa.array([i]), pa.array([substrings._batch_bytes(docs.slice(i, 1))], pa.binary()), pa.array([marks])], names=["block", "docs", "marks"])
+            sent += substrings._send(iter([one]), 1, p)
+        spans = [substrings._spread(r["data"], r["n"], *substrings._SPAN) for b in substrings._match(iter(sent), p) for r in b.to_pylist()]
+        return sum(int((stop - start).sum()) for row, start, stop in spans)
+
+    assert removed(whole, whole) == len(whole) and not indexed
+    assert removed(whole, changed) == len(whole) - 10 and 0 < sum(indexed) < 20
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 
