@@ -96,3 +96,26 @@ def test_folded_touches_equal_the_long_form(spark):
     got = folded.select("stem", F.lit("N").alias("field"), E.touches("N", "int", F.col("m")).alias("t")).select("stem", "field", "t.*").where("by_inputter or by_preparer")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 2
     assert {r["stem"]: r["reviewed"] for r in folded.where("staged").collect()} == {r["stem"]: r["reviewed"] for r in E.fold_stage_events(log.withColumns({"who": F.lit("u"), "at": F.lit("")}), ["N"]).where("staged").collect()}
+
+
+def test_records_hold_the_rows_of_both_bindings(spark, tmp_path):
+    """Also for orders that come twice or without lines, parts that are unknown or come twice, and missing values."""
+    day = "TIMESTAMP '1998-02-06 00:00:00'"
+    tables = {
+        "nation": "SELECT 2 AS n_nationkey, 'PERU' AS n_name",
+        "customer": "SELECT * FROM VALUES (1L, 'Customer#1', 2), (2L, NULL, 2), (3L, 'Customer#3', 9) AS t(c_custkey, c_name, c_nationkey)",
+        "orders": f"SELECT *, 'O' AS o_orderstatus, '5-LOW' AS o_orderpriority, {day} AS o_orderdate FROM VALUES (7L, 1L), (7L, 2L), (8L, 1L), (9L, 2L), (10L, 1L), (11L, 3L), (12L, NULL), (NULL, 1L), (13L, 1L) AS t(o_orderkey, o_custkey)",
+        "part": "SELECT * FROM VALUES (3L, 'large ring'), (4L, NULL), (5L, 'small  nut'), (5L, 'small bolt') AS t(p_partkey, p_name)",
+        "lineitem": "SELECT * FROM VALUES (7L, 3L, 1, 2.0D), (7L, 5L, 1, 4.0D), (8L, 99L, 1, 1.0D), (9L, 4L, 2, 1.0D), (9L, 3L, NULL, NULL), (11L, 3L, 1, 1.0D), (12L, 3L, 1, 1.0D), (NULL, 3L, 1, 1.0D), (13L, NULL, 1, 5.0D) AS t(l_orderkey, l_partkey, l_linenumber, l_quantity)",
+    }
+    blank = {"customer": ["c_mktsegment"], "lineitem": []}
+    for name in bindings.TABLES:
+        rows = spark.sql(tables.get(name, "SELECT 1 AS x"))
+        rows.selectExpr("*", *[f"'X' AS {c}" for c in blank.get(name, [])]).write.parquet(f"{tmp_path}/{name}.parquet")
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    records = bindings.print_records(spark, str(tmp_path))
+    fields, prints = (bindings.bind(spark, str(tmp_path), n) for n in ("print_fields", "prints"))
+    assert as_rows(records.select("stem", F.inline("fields"))) == as_rows(fields.select("stem", "field", "kind", "value"))
+    lines = records.select("stem", "num", F.posexplode("texts").alias("i", "text")).select("stem", "num", F.col("i") + 1, "text")
+    assert as_rows(lines) == as_rows(prints.select("stem", "num", "i", "text"))
+    assert records.where("stem = 'T7'").select(F.size("texts")).first()[0] == 2 * 5 + 2 * 3
