@@ -98,7 +98,7 @@ def test_folded_touches_equal_the_long_form(spark):
     assert {r["stem"]: r["reviewed"] for r in folded.where("staged").collect()} == {r["stem"]: r["reviewed"] for r in E.fold_stage_events(log.withColumns({"who": F.lit("u"), "at": F.lit("")}), ["N"]).where("staged").collect()}
 
 
-def test_records_hold_the_rows_of_both_bindings(spark, tmp_path):
+def test_records_hold_the_rows_of_both_bindings(spark, tmp_path, monkeypatch):
     """Also for orders that come twice or without lines, parts that are unknown or come twice, and missing values."""
     day = "TIMESTAMP '1998-02-06 00:00:00'"
     tables = {
@@ -119,3 +119,7 @@ def test_records_hold_the_rows_of_both_bindings(spark, tmp_path):
     lines = records.select("stem", "num", F.posexplode("texts").alias("i", "text")).select("stem", "num", F.col("i") + 1, "text")
     assert as_rows(lines) == as_rows(prints.select("stem", "num", "i", "text"))
     assert records.where("stem = 'T7'").select(F.size("texts")).first()[0] == 2 * 5 + 2 * 3
+    # dealt out into tasks of a bounded number of lines
+    monkeypatch.setattr(bindings, "dealt_tasks", lambda spark, sf_dir: 7)
+    dealt = bindings.print_records(spark, str(tmp_path))
+    assert as_rows(dealt) == as_rows(records) and "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
